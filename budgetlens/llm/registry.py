@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import exact_dedup, sharding
 
 
 def queries():
     return {
+        "op7_chunk_recipes": exact_dedup.op7_chunk_recipes,
         "op9_rendezvous_shards": sharding.op9_rendezvous_shards,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_chunk_recipes": exact_dedup.OP7_SQL,
+    }
