@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sharding
+from . import exact_dedup, language_id, sharding
 
 
 def queries():
     return {
+        "op5_language_nb": language_id.op5_language_nb,
         "op7_chunk_recipes": exact_dedup.op7_chunk_recipes,
         "op9_rendezvous_shards": sharding.op9_rendezvous_shards,
     }
@@ -14,5 +15,6 @@ def queries():
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_language_nb": language_id.op5_language_nb,
         "op7_chunk_recipes": exact_dedup.OP7_SQL,
     }
