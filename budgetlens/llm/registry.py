@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, sharding
+from . import exact_dedup, language_id, sharding, url_filter
 
 
 def queries():
     return {
         "op5_language_nb": language_id.op5_language_nb,
+        "op6_url_markov": url_filter.op6_url_markov,
         "op7_chunk_recipes": exact_dedup.op7_chunk_recipes,
         "op9_rendezvous_shards": sharding.op9_rendezvous_shards,
     }
@@ -16,5 +17,6 @@ def queries():
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_language_nb": language_id.op5_language_nb,
+        "op6_url_markov": url_filter.op6_url_markov,
         "op7_chunk_recipes": exact_dedup.OP7_SQL,
     }
