@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, sharding, url_filter
+from . import exact_dedup, language_id, packing, sharding, url_filter
 
 
 def queries():
     return {
+        "op4_hierarchical_packing": packing.op4_hierarchical_packing,
         "op5_language_nb": language_id.op5_language_nb,
         "op6_url_markov": url_filter.op6_url_markov,
         "op7_chunk_recipes": exact_dedup.op7_chunk_recipes,
@@ -16,6 +17,7 @@ def queries():
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_hierarchical_packing": packing.op4_hierarchical_packing,
         "op5_language_nb": language_id.op5_language_nb,
         "op6_url_markov": url_filter.op6_url_markov,
         "op7_chunk_recipes": exact_dedup.OP7_SQL,
