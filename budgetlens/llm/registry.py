@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, packing, sharding, url_filter
+from . import exact_dedup, language_id, packing, sharding, token_counts, url_filter
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op6_url_markov": url_filter.op6_url_markov,
         "op7_chunk_recipes": exact_dedup.op7_chunk_recipes,
         "op9_rendezvous_shards": sharding.op9_rendezvous_shards,
+        "op10_edit_aware_counts": token_counts.op10_edit_aware_counts,
     }
 
 
