@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, packing, sharding, token_counts, url_filter
+from . import decontamination, exact_dedup, language_id, packing, sharding, token_counts, url_filter
 
 
 def queries():
     return {
+        "op1_simhash_decontamination": decontamination.op1_simhash_decontamination,
         "op4_hierarchical_packing": packing.op4_hierarchical_packing,
         "op5_language_nb": language_id.op5_language_nb,
         "op6_url_markov": url_filter.op6_url_markov,
@@ -18,6 +19,7 @@ def queries():
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_simhash_decontamination": decontamination.op1_simhash_decontamination,
         "op4_hierarchical_packing": packing.op4_hierarchical_packing,
         "op5_language_nb": language_id.op5_language_nb,
         "op6_url_markov": url_filter.op6_url_markov,
