@@ -141,11 +141,10 @@ def minima(values: np.ndarray, at: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     full = np.flatnonzero(np.diff(at) > 0)
     if len(full):
         starts = at[full]
-        for k, s in enumerate(seeds):
-            x = low * np.uint32(s | 1)
+        for k, s in enumerate(map(int, seeds)):
+            x = low * np.uint32(s & 0xFFFFFFFF | 1)
             x ^= x >> np.uint32(15)
-            x *= np.uint32((s >> 32 & 0xFFFFFFFF) | 1)
-            x ^= x >> np.uint32(16)
+            x *= np.uint32(s >> 32 | 1)
             out[full, k] = np.minimum.reduceat(x, starts)
     return out
 
