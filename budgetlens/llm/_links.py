@@ -183,9 +183,12 @@ def _block_links(rule: Similarity):
 
 
 def nodes_of(rows: DataFrame, small: int = SMALL) -> DataFrame:
-    """rows(id, node) of the nodes with two members at least, with their number n, written to the shared folder."""
-    sizes = rows.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
-    return _spark.written(rows.join(sizes, "node").select("id", "node", "n"))
+    """rows(id, node) of the nodes with two members at least, with their number n, written to the shared folder.
+
+    Rows may repeat; then n is larger than the number of members.
+    """
+    sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("node", "n")
+    return _spark.written(rows.join(sizes, "node").select("id", "node", "n").distinct())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -218,7 +221,7 @@ def link(rows: DataFrame, sketches: DataFrame, texts: Callable[[DataFrame], Data
     """
     spark = rows.sparkSession
     _spark.small_batches(spark, 2000)
-    rows = rows.distinct().join(sketches, "id")
+    rows = rows.join(sketches, "id")
     lists = rows.filter(F.col("n") <= small).groupBy("node").agg(F.collect_list(F.struct("id", "sketch")).alias("l")).select("l")
     candidates = lists.mapInArrow(_exhaustive(rule.loose), "a bigint, b bigint")
     large = _spark.written(rows.filter(F.col("n") > small).select("node", "id", "sketch"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, language_id, near_dedup, packing, sharding, token_counts, url_filter
+from . import decontamination, exact_dedup, language_id, line_dedup, near_dedup, packing, sharding, token_counts, url_filter
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op5_language_nb": language_id.op5_language_nb,
         "op6_url_markov": url_filter.op6_url_markov,
         "op7_chunk_recipes": exact_dedup.op7_chunk_recipes,
+        "op8_minhash_lines": line_dedup.op8_minhash_lines,
         "op9_rendezvous_shards": sharding.op9_rendezvous_shards,
         "op10_edit_aware_counts": token_counts.op10_edit_aware_counts,
     }
