@@ -8,7 +8,7 @@ import struct
 from . import _spark
 
 #: Entries that a memo may hold; beyond, it starts anew.  It changes speed only.
-MEMO = 500_000
+MEMO = 1_000_000
 #: Longer pieces are not kept.
 MEMO_CHARS = 64
 #: Controls that str.split() takes for white space and the tokenizers do not.
@@ -45,7 +45,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo = _Memo(self._plain)
+        self.memo = _Memo(self._word)
+        # byte-level symbols: printable bytes stand for themselves, the others for the code points from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.symbols = {b: b for b in plain} | {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - set(plain)))}
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -58,6 +61,18 @@ class WordEncoder:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _word(self, word: str) -> bytes:
+        """Ids of a word: one of Latin letters is one pre-token for the model, a stop at its end one of its own."""
+        if max(word) <= "\xff":
+            if word[-1] in ",." and word[-2:-1].isalpha():
+                return self.memo[word[:-1]] + self.memo[word[-1]]
+            if word.isalpha():
+                if (low := word.lower()) != word:
+                    return self.memo[low]
+                ids = [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.symbols))]
+                return struct.pack(f"<{len(ids)}I", *ids)
+        return self._plain(word)
+
     def encode(self, text: str) -> bytes:
         if any(c in text for c in ODD_SPACE):
             return self._plain(text)
