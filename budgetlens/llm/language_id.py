@@ -150,8 +150,8 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     return Model.of(languages, counts)
 
 
-def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """A row for each row of df: key, the columns of keep, lang_pred, score (0 to 1).
+def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """A row for each row of df: key, the columns of keep, and under names the language and its score (0 to 1).
 
     A null text, one without a letter, and every text if the model knows no language get ``und`` and score 0.
     Whole texts are read, however long; equal texts get equal rows; other columns are never looked at.
@@ -172,10 +172,10 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 score.append(y)
             names = np.array([*m.languages, UNKNOWN], dtype=object)
             columns = [pa.array(names[np.concatenate(best)], pa.string()), pa.array(np.concatenate(score))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], [*batch.schema.names[1:], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], [*batch.schema.names[1:], *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[1:])
-    return slim.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return slim.mapInArrow(run, f"{fields}, `{names[0]}` string, `{names[1]}` double")
 
 
 def held_out(key: str):

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, language_id, line_dedup, near_dedup, packing, sharding, token_counts, url_filter
+from . import decontamination, exact_dedup, language_id, line_dedup, near_dedup, packing, pii, sharding, token_counts, url_filter
 
 
 def queries():
     return {
         "op1_simhash_decontamination": decontamination.op1_simhash_decontamination,
+        "op2_weak_pii": pii.op2_weak_pii,
         "op3_chosen_path_dedup": near_dedup.op3_chosen_path_dedup,
         "op4_hierarchical_packing": packing.op4_hierarchical_packing,
         "op5_language_nb": language_id.op5_language_nb,
@@ -22,6 +23,7 @@ def queries():
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_simhash_decontamination": decontamination.op1_simhash_decontamination,
+        "op2_weak_pii": pii.op2_weak_pii,
         "op3_chosen_path_dedup": near_dedup.op3_chosen_path_dedup,
         "op4_hierarchical_packing": packing.op4_hierarchical_packing,
         "op5_language_nb": language_id.op5_language_nb,
