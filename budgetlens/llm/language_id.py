@@ -170,8 +170,8 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 x, y = m.score(buf[off[a] : off[b]], off[a : b + 1] - off[a])
                 best.append(x)
                 score.append(y)
-            names = np.array([*m.languages, UNKNOWN], dtype=object)
-            columns = [pa.array(names[np.concatenate(best)], pa.string()), pa.array(np.concatenate(score))]
+            known = np.array([*m.languages, UNKNOWN], dtype=object)
+            columns = [pa.array(known[np.concatenate(best)], pa.string()), pa.array(np.concatenate(score))]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], [*batch.schema.names[1:], *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[1:])
