@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
+# Sizes, the seed, and the beginnings of ids.
 DOC_TOKENS, KB_DOCS, SEED = 1024, 10_000, 42
+SHORT_DOC, SHORT_QUESTION, HOP_DOC, HOP_QUESTION = "doc_", "nq_", "hp_", "hotpot_"
 
 
 def _cut(tokens: Column, start: Column, stop: Column) -> Column:
@@ -31,9 +33,9 @@ def short_form(rows: DataFrame, ordinal: str, tokens: int = DOC_TOKENS) -> tuple
     second = F.when((F.col("l.start_token") >= 0) & (F.col("l.end_token") > F.col("l.start_token")), _cut(F.col("w"), F.col("l.start_token"), F.col("l.end_token")))
     answer = F.coalesce(F.nullif(first, F.lit("")), second, F.lit(""))
     good = base.filter((F.size("w") > 0) & (F.col("question") != "")).withColumn("answer", answer).filter(F.length("answer") >= 2)
-    doc_id = X.padded_id("doc_", F.col("n"))
+    doc_id = X.padded_id(SHORT_DOC, F.col("n"))
     docs = good.select(doc_id.alias("doc_id"), F.array_join(F.slice("w", 1, tokens), " ").alias("text"))
-    return docs, good.select(X.padded_id("nq_", F.col("n")).alias("qid"), "question", "answer", F.array(doc_id).alias("gold_docs"))
+    return docs, good.select(X.padded_id(SHORT_QUESTION, F.col("n")).alias("qid"), "question", "answer", F.array(doc_id).alias("gold_docs"))
 
 
 def multi_hop(rows: DataFrame, ordinal: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -54,12 +56,12 @@ def multi_hop(rows: DataFrame, ordinal: str) -> tuple[DataFrame, DataFrame, Data
     each = placed.select("*", F.posexplode("context.title").alias("_i", "title"))
     sentences = F.coalesce(F.get("context.sentences", F.col("_i")), F.array().cast("array<string>"))
     docs = each.select(
-        X.padded_id("hotpot_", F.col("_n")).alias("qid"), X.padded_id("hp_", F.col("_before") + F.col("_in") + F.col("_i")).alias("doc_id"),
+        X.padded_id(HOP_QUESTION, F.col("_n")).alias("qid"), X.padded_id(HOP_DOC, F.col("_before") + F.col("_in") + F.col("_i")).alias("doc_id"),
         F.array_join(sentences, " ").alias("text"), F.array_contains("supporting_facts.title", F.col("title")).alias("gold"),
     )
     qrels = docs.filter("gold").select("qid", "doc_id")
     counts = qrels.groupBy("qid").agg(F.sort_array(F.collect_list("doc_id")).alias("gold_docs"), F.count("*").cast("int").alias("n_supporting"))
-    questions = base.select(X.padded_id("hotpot_", F.col("_n")).alias("qid"), "question", "answer", "type", F.size("supporting_facts.sent_id").alias("n_sent")).join(counts, "qid")
+    questions = base.select(X.padded_id(HOP_QUESTION, F.col("_n")).alias("qid"), "question", "answer", "type", F.size("supporting_facts.sent_id").alias("n_sent")).join(counts, "qid")
     return docs.select("doc_id", "text"), questions, qrels
 
 
