@@ -8,7 +8,7 @@ import struct
 from . import _spark
 
 #: Entries that a memo may hold; beyond, it starts anew.  It changes speed only.
-MEMO = 1_000_000
+MEMO = 300_000
 #: Longer pieces are not kept.
 MEMO_CHARS = 64
 #: Controls that str.split() takes for white space and the tokenizers do not.
