@@ -183,12 +183,12 @@ def _block_links(rule: Similarity):
 
 
 def nodes_of(rows: DataFrame, small: int = SMALL) -> DataFrame:
-    """rows(id, node) of the nodes with two members at least, with their number n, written to the shared folder.
-
-    Rows may repeat; then n is larger than the number of members.
-    """
-    sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("node", "n")
-    return _spark.written(rows.join(sizes, "node").select("id", "node", "n").distinct())
+    """Distinct rows(id, node) of the nodes with two members at least, with their number n, in the shared folder."""
+    many = rows.groupBy("node").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("node")
+    met = _spark.written(rows.join(many.hint("shuffle_hash"), "node").select("id", "node").distinct())
+    out = _spark.written(met.join(met.groupBy("node").agg(F.count("*").alias("n")), "node").select("id", "node", "n"))
+    _spark.dropped(met)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:

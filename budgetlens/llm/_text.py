@@ -123,29 +123,101 @@ def shingle_runs(h: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarra
     return hash_spans(prefix(h), start, end), at
 
 
+def characters(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each character of UTF-8 texts (its bytes, packed), and first character of each text."""
+    begins = (buf & 0xC0) != 0x80
+    if begins.all():
+        return buf.astype(np.uint64), off
+    begins[off[:-1][off[:-1] < len(buf)]] = True
+    starts = np.flatnonzero(begins)
+    size = np.diff(np.append(starts, len(buf)))
+    codes = buf[starts].astype(np.uint64)
+    for k in (1, 2, 3):
+        more = np.flatnonzero(size > k)
+        codes[more] |= buf[starts[more] + k].astype(np.uint64) << np.uint64(8 * k)
+    return codes, np.searchsorted(starts, off)
+
+
+def windows(x: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of x[i : i + size] for each i, by doubling."""
+    out, done, span, factor = None, 0, 1, int(_M1)
+    n = len(x) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    while True:
+        power = np.uint64(pow(factor, span, 1 << 64))
+        if size & span:
+            out = x[:n].copy() if out is None else out * power + x[done : done + n]
+            done += span
+        if done == size:
+            # minima() takes the upper half, which this mixes enough
+            out += np.uint64(size * int(_ODD) & 0xFFFFFFFFFFFFFFFF)
+            out ^= out >> np.uint64(32)
+            out *= _M2
+            return out
+        x = x[:-span] * power + x[span:]
+        span *= 2
+
+
+def character_runs(buf: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``size`` characters (whole shorter texts as one), and first run of each text."""
+    codes, first = characters(buf, off)
+    count = np.diff(first)
+    if not len(codes):
+        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+    codes = (codes + np.uint64(1)) * _ODD
+    whole = np.append(windows(codes, size), np.zeros(min(size - 1, len(codes)), np.uint64))
+    keep = np.ones(len(codes), bool)
+    for k in range(1, size):
+        tail = first[1:] - k
+        keep[tail[tail >= first[:-1]]] = False
+    for i in np.flatnonzero((count > 0) & (count < size)):
+        whole[first[i]] = windows(codes[first[i] : first[i + 1]], int(count[i]))[0]
+        keep[first[i]] = True
+    runs = np.where(count >= size, count - size + 1, (count > 0).astype(count.dtype))
+    at = np.zeros(len(runs) + 1, np.int64)
+    np.cumsum(runs, out=at[1:])
+    return whole[keep], at
+
+
 def sets(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values of each group, sorted as unsigned numbers, and first value of each group."""
-    group = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    order = np.lexsort((values, group))
-    values, group = values[order], group[order]
-    new = np.ones(len(values), bool)
-    new[1:] = (values[1:] != values[:-1]) | (group[1:] != group[:-1])
-    values, group = values[new], group[new]
-    return values, np.searchsorted(group, np.arange(len(at)))
+    out = values.copy()
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        out[a:b].sort()
+    new = np.ones(len(out), bool)
+    new[1:] = out[1:] != out[:-1]
+    new[at[:-1][at[:-1] < len(out)]] = True
+    kept = np.zeros(len(out) + 1, np.int64)
+    np.cumsum(new, out=kept[1:])
+    return out[new], kept[at]
+
+
+#: Values that minima() takes at a time, so that they stay in a core's cache.
+_BLOCK = 1 << 15
 
 
 def minima(values: np.ndarray, at: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """uint32 MinHash signatures, a row for each group; groups without values get the largest number."""
-    low = (values >> np.uint64(32)).astype(np.uint32) ^ values.astype(np.uint32)
-    out = np.full((len(at) - 1, len(seeds)), 0xFFFFFFFF, np.uint32)
+    """uint32 MinHash signatures, a row for each group; groups without values get the largest number.
+
+    The values are well mixed already, so each hash function is a multiplication by an odd number.
+    """
+    low = (values >> np.uint64(32)).astype(np.uint32)  # what the values' hashes mix best
+    odd = [np.uint32(int(s) >> 16 & 0xFFFFFFFF | 1) for s in seeds]
+    out = np.full((len(at) - 1, len(odd)), 0xFFFFFFFF, np.uint32)
     full = np.flatnonzero(np.diff(at) > 0)
-    if len(full):
-        starts = at[full]
-        for k, s in enumerate(map(int, seeds)):
-            x = low * np.uint32(s & 0xFFFFFFFF | 1)
-            x ^= x >> np.uint32(15)
-            x *= np.uint32(s >> 32 | 1)
-            out[full, k] = np.minimum.reduceat(x, starts)
+    starts, ends = at[full], at[full + 1]
+    i = 0
+    while i < len(full):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + _BLOCK, side="right")))
+        part, inner = low[starts[i] : ends[j - 1]], starts[i:j] - starts[i]
+        x = np.empty_like(part)
+        rows = np.empty((len(odd), j - i), np.uint32)
+        for k, m in enumerate(odd):
+            np.multiply(part, m, out=x)
+            np.minimum.reduceat(x, inner, out=rows[k])
+        out[full[i:j]] = rows.T
+        i = j
     return out
 
 

@@ -7,6 +7,8 @@ its bands are buckets, whose members are verified by exact Jaccard similarity an
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,37 +18,24 @@ from . import _links, _spark, _text
 
 SHINGLE = 8
 PERCENT = 80
-#: Bands and values in each: a pair at the threshold meets in one with probability 1 - (1 - 0.8 ** 4) ** 10 = 0.995.
-BANDS, ROWS = 10, 4
+#: Bands and values in each: a pair at the threshold meets in one with probability 1 - (1 - 0.8 ** 3) ** 10 = 0.9992.
+BANDS, ROWS = 10, 3
 #: Four standard deviations under the threshold, for sketches of BANDS * ROWS bytes.
-LOOSE = 0.54
+LOOSE = 0.5
 BREAK = 10
+#: Bytes of text that are worked on at a time, and fingerprints of signed lines that a task remembers.
+SLICE_BYTES, SEEN = 1 << 18, 200_000
 
 
 def line_sets(size: int) -> _links.Sets:
     """Hashed character shingles of texts; shorter texts are one shingle."""
 
     def sets(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return _text.sets(*_shingles(buf, off, size))
+        return _text.sets(*_text.character_runs(buf, off, size))
 
     return sets
 
 
-def _shingles(buf: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    begins = (buf & 0xC0) != 0x80
-    chars = np.zeros(len(buf) + 1, np.int64)
-    np.cumsum(begins, out=chars[1:])
-    starts = np.append(np.flatnonzero(begins), len(buf))
-    first = chars[off]
-    count = np.diff(first)
-    runs = np.where(count >= size, count - size + 1, (count > 0).astype(count.dtype))
-    at = np.zeros(len(runs) + 1, np.int64)
-    np.cumsum(runs, out=at[1:])
-    begin = np.repeat(first[:-1] - at[:-1], runs) + np.arange(at[-1])
-    end = np.minimum(begin + size, np.repeat(first[1:], runs))
-    return _text.hash_spans(_text.prefix(buf), starts[begin], starts[end]), at
-
-
 def _split(buf: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text, number, start and end of the lines that take part: those of least characters that are not blank."""
     breaks = np.flatnonzero(buf == BREAK)
@@ -60,36 +49,54 @@ def _split(buf: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np
     last = np.flatnonzero(np.append(text_of[1:] != text_of[:-1], True)) if len(text_of) else np.zeros(0, int)
     end[last] = off[1:][text_of[last]]
     number = np.arange(len(text_of)) - np.searchsorted(text_of, text_of, side="left")
-    chars, solid = np.zeros(len(buf) + 1, np.int64), np.zeros(len(buf) + 1, np.int64)
-    np.cumsum((buf & 0xC0) != 0x80, out=chars[1:])
-    np.cumsum(~_text._SPACE[buf], out=solid[1:])
-    own = (chars[end] - chars[start] >= least) & (solid[end] > solid[start])
+    own = np.flatnonzero(end > start)
+    solid = np.logical_or.reduceat(~_text._SPACE[buf], start[own]) if len(own) else np.zeros(0, bool)
+    own = own[solid]
+    if least > 1:
+        chars = np.zeros(len(buf) + 1, np.int64)
+        np.cumsum((buf & 0xC0) != 0x80, out=chars[1:])
+        own = own[chars[end[own]] - chars[start[own]] >= least]
     return text_of[own], number[own], start[own], end[own]
 
 
 def _prints(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two fingerprints of spans: over bytes, and over mixed bytes."""
-    table = _text.mix(np.arange(256, dtype=np.uint64) * _text._ODD + np.uint64(7))
-    return _text.hash_spans(_text.prefix(buf), start, end).view(np.int64), _text.hash_spans(_text.prefix(table[buf]), start, end).view(np.int64)
+    """Both halves of 128-bit fingerprints of spans."""
+    raw = buf.tobytes()
+    digests = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist())]
+    halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    return halves[:, 0], halves[:, 1]
+
+
+def _unseen(f1: np.ndarray, f2: np.ndarray, seen: set[tuple[int, int]]) -> np.ndarray:
+    """Places of the lines that are not in seen, one of equal ones; they are added."""
+    if len(seen) > SEEN:
+        seen.clear()
+    out = []
+    for i, line in enumerate(zip(f1.tolist(), f2.tolist())):
+        if line not in seen:
+            seen.add(line)
+            out.append(i)
+    return np.array(out, np.int64)
 
 
 def _made(size: int, least: int):
-    """(doc, line, f1, f2, sketch, bands) of all lines; of equal lines in a slice only one is signed."""
+    """(doc, line, f1, f2, sketch, bands) of all lines; lines that the task has lately signed are not signed again."""
 
     def run(batches):
         seeds = [int(s) for s in _text.seeds(BANDS * ROWS, 8)]
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             buf, off = _text.strings(batch.column(1))
-            for a, b in _text.slices(off):
+            for a, b in _text.slices(off, SLICE_BYTES):
                 part = buf[off[a] : off[b]]
                 text_of, number, start, end = _split(part, off[a : b + 1] - off[a], least)
                 f1, f2 = _prints(part, start, end)
-                _, once = np.unique(np.stack([f1, f2]), axis=1, return_index=True)
+                once = _unseen(f1, f2, seen)
                 start, end = start[once], end[once]
                 spans = np.zeros(len(start) + 1, np.int64)
                 np.cumsum(end - start, out=spans[1:])
                 joined = part[np.repeat(start - spans[:-1], end - start) + np.arange(spans[-1])]
-                sig = _text.minima(*_shingles(joined, spans, size), seeds)
+                sig = _text.minima(*_text.character_runs(joined, spans, size), seeds)
                 bands = sig.reshape(len(sig), BANDS, ROWS).astype(np.uint64)
                 h = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), bands.shape[:2])
                 for k in range(ROWS):
@@ -152,7 +159,7 @@ def duplicate_lines(df: DataFrame, key: str = "doc_id", text: str = "text", size
     linked = linked.join(heads, "component").select("f1", "f2", F.col("head.doc").alias("hd"), F.col("head.line").alias("hl"), "n_links")
     copied = classes.filter("copies > 1").select("f1", "f2", F.col("doc").alias("cd"), F.col("line").alias("cl"), "copies")
     info = _spark.written(copied.join(linked, ["f1", "f2"], "full").select("f1", "f2", F.coalesce("hd", "cd").alias("hd"), F.coalesce("hl", "cl").alias("hl"), "n_links", "copies"))
-    out = lines.join(info, ["f1", "f2"], "left")
+    out = lines.join(info.hint("shuffle_hash"), ["f1", "f2"], "left")
     head, at = F.coalesce("hd", "doc"), F.coalesce("hl", "line")
     return out.select(
         F.col("doc").alias(key), "line", head.alias("component_key"), at.alias("component_line"), (head.eqNullSafe(F.col("doc")) & (at == F.col("line"))).alias("kept"),
