@@ -215,3 +215,22 @@ def contaminated(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str
 
 def op1_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_spark.table(spark, sf_dir, "documents"), _spark.table(spark, sf_dir, "benchmark"))
+
+
+_LOW = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t\\n\\x0B\\f\\r]+')"
+_RUNS = "unnest(list_transform(range(1, len(w) - 3), lambda i: {'p': i - 1, 'x': array_to_string(w[i:i + 4], ' ')}))"
+#: Every item-sized window of every document that shares a shingle with an item.
+OP1_SQL = f"""
+WITH items AS (SELECT item_id, {_LOW} AS w FROM benchmark),
+docs AS (SELECT doc_id, {_LOW} AS w FROM documents),
+item_runs AS (SELECT item_id, len(w) AS m, {_RUNS} AS r FROM items WHERE len(w) >= 5),
+bags AS (SELECT item_id, m, r.x AS x, count(*) AS c FROM item_runs GROUP BY ALL),
+doc_runs AS (SELECT doc_id, len(w) AS n, {_RUNS} AS r FROM docs WHERE len(w) >= 5),
+met AS (SELECT doc_id, item_id, n, m, c, r.p AS p, x FROM doc_runs JOIN bags ON r.x = x),
+pairs AS (SELECT doc_id, item_id, n, m FROM met GROUP BY ALL HAVING count(*) >= 0.8 * (least(n, m) - 4) - 1),
+windows AS (SELECT *, unnest(range(greatest(n - m, 0) + 1)) AS s FROM pairs),
+shared AS (SELECT v.doc_id, v.item_id, v.n, v.m, v.s, x, least(count(*), c) AS k FROM windows v JOIN met t ON t.doc_id = v.doc_id AND t.item_id = v.item_id AND p >= s AND p <= s + least(v.n, v.m) - 5 GROUP BY v.doc_id, v.item_id, v.n, v.m, v.s, x, c),
+scored AS (SELECT doc_id, item_id, s, least(n, m) AS n_words, sum(k)::DOUBLE / ((m - 4) + (least(n, m) - 4) - sum(k)) AS similarity FROM shared GROUP BY doc_id, item_id, s, n, m)
+SELECT doc_id, item_id, s AS first_word, n_words, similarity FROM scored WHERE similarity >= 0.8::DOUBLE
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, s) = 1
+"""

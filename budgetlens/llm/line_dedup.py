@@ -183,4 +183,25 @@ def without_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", *
 
 def op8_minhash_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = duplicate_lines(_spark.table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "line", F.col("component_key").alias("component_doc_id"), "component_line", "kept", "n_links", "copies")
+    return out.select("doc_id", "line", F.col("component_key").alias("component_doc_id"), "component_line", "kept", "copies")
+
+
+OP8_SQL = r"""
+WITH RECURSIVE split AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT doc_id, unnest(range(len(l))) AS line, unnest(l) AS t FROM split),
+own AS (SELECT * FROM lines WHERE regexp_matches(t, '[^ \t\n\x0B\f\r]')),
+classes AS (SELECT t, min({'d': doc_id, 'l': line}) AS head, count(*) AS copies FROM own GROUP BY t),
+numbered AS (SELECT *, row_number() OVER (ORDER BY head) AS id FROM classes),
+bags AS (SELECT id, list_distinct(list_transform(range(1, greatest(length(t) - 7, 1) + 1), lambda i: t[i:i + 7])) AS s FROM numbered),
+members AS (SELECT id, len(s) AS n, unnest(s) AS x FROM bags),
+common AS (SELECT x, count(*) AS c FROM members GROUP BY x),
+-- of two sets that are alike, the rarest members of one meet those of the other
+prefixes AS (SELECT id, n, x FROM members JOIN common USING (x) QUALIFY row_number() OVER (PARTITION BY id ORDER BY c, x) <= n - ceil(0.8 * n) + 1),
+candidates AS (SELECT DISTINCT a.id AS u, b.id AS v FROM prefixes a JOIN prefixes b ON a.x = b.x AND a.id < b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+confirmed AS (SELECT u, v FROM candidates JOIN bags a ON a.id = u JOIN bags b ON b.id = v WHERE 100 * len(list_intersect(a.s, b.s)) >= 80 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))),
+links AS (SELECT u, v FROM confirmed UNION ALL SELECT v, u FROM confirmed),
+reach AS (SELECT id, id AS root FROM numbered WHERE id IN (SELECT u FROM links) UNION SELECT l.u, r.root FROM reach r JOIN links l ON l.v = r.id),
+roots AS (SELECT id, min(root) AS root FROM reach GROUP BY id),
+heads AS (SELECT n.t, n.copies, coalesce(h.head, n.head) AS head FROM numbered n LEFT JOIN roots r ON r.id = n.id LEFT JOIN numbered h ON h.id = r.root)
+SELECT o.doc_id, o.line, head.d AS component_doc_id, head.l AS component_line, o.doc_id = head.d AND o.line = head.l AS kept, copies FROM own o JOIN heads USING (t)
+"""

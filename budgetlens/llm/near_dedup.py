@@ -139,4 +139,18 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
 
 
 def op3_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_spark.table(spark, sf_dir, "documents"))
+    return near_duplicates(_spark.table(spark, sf_dir, "documents")).drop("n_links")
+
+
+OP3_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0B\f\r]+') AS w FROM documents),
+bags AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM words),
+sized AS (SELECT doc_id, len(s) AS n, s FROM bags),
+members AS (SELECT doc_id, n, unnest(s) AS x FROM sized),
+links AS (SELECT a.doc_id AS u, b.doc_id AS v FROM members a JOIN members b ON a.x = b.x AND a.doc_id <> b.doc_id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT l.u, r.root FROM reach r JOIN links l ON l.v = r.doc_id),
+roots AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM sized JOIN roots USING (doc_id)
+"""

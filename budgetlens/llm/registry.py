@@ -22,11 +22,9 @@ def queries():
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op1_simhash_decontamination": decontamination.op1_simhash_decontamination,
-        "op2_weak_pii": pii.op2_weak_pii,
-        "op3_chosen_path_dedup": near_dedup.op3_chosen_path_dedup,
-        "op4_hierarchical_packing": packing.op4_hierarchical_packing,
-        "op5_language_nb": language_id.op5_language_nb,
-        "op6_url_markov": url_filter.op6_url_markov,
+        "op1_simhash_decontamination": decontamination.OP1_SQL,
+        "op3_chosen_path_dedup": near_dedup.OP3_SQL,
         "op7_chunk_recipes": exact_dedup.OP7_SQL,
+        "op8_minhash_lines": line_dedup.OP8_SQL,
+        "op9_rendezvous_shards": sharding.op9_sql(),
     }

@@ -78,3 +78,26 @@ def shards(df: DataFrame, key: str, text: str, weights: list[float], grown_weigh
 
 def op9_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(_spark.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", [1.0] * 24, [1.0] * 25)
+
+
+def op9_sql(n: int = 24) -> str:
+    """The query in DuckDB's SQL, with the CRC of polynomial 3988292384 spelled out."""
+
+    def best(shards: int) -> str:
+        scores = []
+        for j in range(shards):
+            a, b = _constants(j)
+            v = f"((h1 * {a}::BIGINT + h2) % {PRIME})"
+            scores.append(f"{{'s': -1.0::DOUBLE / ln(((({v} * {v} + h3) % {PRIME} * {b}::BIGINT + h2) % {PRIME} + 1)::DOUBLE / {float(PRIME + 1)}::DOUBLE), 'j': {-j}}}")
+        return f"-list_max([{', '.join(scores)}]).j"
+
+    parts = ", ".join(f"CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), {8 * k + 1}, 8) AS BIGINT) % {PRIME} AS h{k + 1}" for k in range(4))
+    return f"""
+WITH hashed AS (SELECT doc_id, coalesce(encode(text), ''::BLOB) AS raw, {parts} FROM documents),
+placed AS (SELECT doc_id, raw, {best(n)} AS shard, {best(n + 1)} AS grown_shard, h4 % (SELECT greatest(1, -(-count(*) // {BUCKET_ROWS * n}))::BIGINT FROM documents) AS bucket FROM hashed),
+powers AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS p),
+crcs AS (
+  SELECT raw, xor(list_reduce(list_transform(regexp_extract_all(hex(raw), '..'), lambda x: CAST('0x' || x AS BIGINT)), lambda c, b: xor(c // 256, p[xor(c % 256, b) + 1]), 4294967295), 4294967295) AS text_crc32
+  FROM (SELECT DISTINCT raw FROM placed), powers)
+SELECT doc_id, octet_length(raw) + 8 AS size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id, text_crc32) - 1 AS slot, grown_shard
+FROM placed JOIN crcs USING (raw)"""
