@@ -56,7 +56,7 @@ class Fixtures:
 
     @cached_property
     def index(self) -> lexical.Index:
-        return lexical.build(self.docs)
+        return lexical.build(self.docs, keep=True)
 
     @cached_property
     def bm25(self) -> DataFrame:
@@ -112,6 +112,8 @@ class Fixtures:
         for name in ("qrels", "questions", "bm25", "dense200", "hybrid", "reranked", "runs", "samples", "scores"):
             if name in self.__dict__:
                 self.__dict__[name].unpersist()
+        if "index" in self.__dict__:
+            self.index.postings.unpersist()
 
 
 _HELD: dict[str, Fixtures] = {}
