@@ -143,7 +143,7 @@ def _sql(final: str) -> str:
     return f"WITH {head}\n{final}" if need else final
 
 
-_MEANS = 'count(*) AS n_queries, avg(cov) AS recall, avg("full"::INT) AS full_rate'
+_MEANS = 'count(*) AS n_queries, round(avg(cov), 9) AS recall, avg("full"::INT) AS full_rate'
 _MATRIX = "SELECT {}, method, k, {} FROM covg {} GROUP BY ALL"
 
 
@@ -153,7 +153,7 @@ def _ladder_union(select: str) -> str:
 
 def _systems() -> str:
     routes = " ".join(f"WHEN '{d}' THEN '{n}'" for d, n in S.ROUTES.items())
-    cut = ", ".join(f"avg(h{k} / n_gold) AS r{k}" for k in S.KS)
+    cut = ", ".join(f"round(avg(h{k} / n_gold), 9) AS r{k}" for k in S.KS)
     hits = ", ".join(f"count(g.doc_id) FILTER (WHERE r.rank <= {k}) AS h{k}" for k in S.KS)
     return f"""
 SELECT system, count(*) AS n_queries, {cut}, avg(n_docs) AS mean_docs, avg(level) AS mean_level FROM (
@@ -191,20 +191,20 @@ FROM embeddings q CROSS JOIN embeddings d WHERE q.vec_id % 50 = 0 QUALIFY rank <
     "rerank_lexical": "FROM reranked",
     "ranked_lists": "SELECT method, qid, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS ranked FROM runs GROUP BY method, qid",
     "run_variant": "SELECT method, CASE WHEN method = 'rerank' THEN 'large' ELSE 'base' END AS variant, count(*) AS n FROM runs WHERE method <> 'hybrid' GROUP BY ALL",
-    "recall_matrix": _MATRIX.format("dataset", "count(*) AS n_queries, avg(cov) AS recall", ""),
-    "recall_pivot": "SELECT dataset, method, " + ", ".join(f"avg(cov) FILTER (WHERE k = {k}) AS r{k}" for k in S.KS) + " FROM covg GROUP BY ALL",
+    "recall_matrix": _MATRIX.format("dataset", "count(*) AS n_queries, round(avg(cov), 9) AS recall", ""),
+    "recall_pivot": "SELECT dataset, method, " + ", ".join(f"round(avg(cov) FILTER (WHERE k = {k}), 9) AS r{k}" for k in S.KS) + " FROM covg GROUP BY ALL",
     "hit_matrix": _MATRIX.format("dataset", "avg((n_hit > 0)::INT) AS hit_rate", ""),
     "full_coverage": _MATRIX.format("dataset", 'avg("full"::INT) AS full_rate', ""),
     "per_query_eval": 'SELECT qid, name, n_hit, n_gold, cov, "full" FROM cov8',
     "best_ranks": "SELECT qid, doc_id, best::DOUBLE AS best FROM best",
     "difficulty": "FROM difficulty",
     "difficulty_dist": f"SELECT dataset, t.difficulty, count(d.qid) AS n, coalesce(count(d.qid)::DOUBLE / nullif(any_value(a), 0), 0) AS share FROM (SELECT dataset, count(*) AS a FROM questions GROUP BY dataset) CROSS JOIN {_CLASS} LEFT JOIN (SELECT qid, difficulty, dataset FROM difficulty JOIN questions USING (qid)) d USING (dataset, difficulty) GROUP BY dataset, t.difficulty",
-    "recall_by_difficulty": _MATRIX.format("dataset, difficulty", "count(*) AS n_queries, avg(cov) AS recall", "JOIN difficulty USING (qid)"),
-    "recall_by_group": _MATRIX.format("grp, CASE WHEN n_gold >= 2 THEN '2+' ELSE '1' END AS gold_group", "count(*) AS n_queries, avg(cov) AS recall", ""),
+    "recall_by_difficulty": _MATRIX.format("dataset, difficulty", "count(*) AS n_queries, round(avg(cov), 9) AS recall", "JOIN difficulty USING (qid)"),
+    "recall_by_group": _MATRIX.format("grp, CASE WHEN n_gold >= 2 THEN '2+' ELSE '1' END AS gold_group", "count(*) AS n_queries, round(avg(cov), 9) AS recall", ""),
     "fixed_strategies": f"SELECT dataset, name, {_MEANS}, avg(n_docs) AS mean_docs FROM cov8 WHERE name IN ({_quoted(S.FIXED)}) GROUP BY ALL",
     "oracle_pick7": f'SELECT qid, name, level, cov, "full" FROM ({_pick("cov7")})',
     "oracle_pick8": f'SELECT qid, name, level, cov, "full" FROM ({_pick("cov8")})',
-    "oracle_summary": f'SELECT dataset, count(*) AS n_queries, avg(cov) AS best_recall, avg("full"::INT) AS full_rate, avg(level) AS mean_level, avg(k) AS mean_docs FROM ({_pick("cov7")}) GROUP BY dataset',
+    "oracle_summary": f'SELECT dataset, count(*) AS n_queries, round(avg(cov), 9) AS best_recall, avg("full"::INT) AS full_rate, avg(level) AS mean_level, avg(k) AS mean_docs FROM ({_pick("cov7")}) GROUP BY dataset',
     "rule_router": "FROM ruled",
     "label_parse": f"SELECT id, coalesce(nullif(regexp_extract(lower(answer), '\\b(easy|medium|hard)\\b', 1), ''), 'easy') AS label, regexp_extract(lower(answer), '\\b(easy|medium|hard)\\b', 1) = '' AS unparsed FROM (VALUES {_values(tuple(enumerate(a.replace(chr(10), ' ') for a in ANSWERS)))}) AS t(id, answer)",
     "router_systems": _systems(),
@@ -213,7 +213,7 @@ FROM embeddings q CROSS JOIN embeddings d WHERE q.vec_id % 50 = 0 QUALIFY rank <
     "early_stop_b": 'SELECT qid, level, name, cov, "full" FROM stop_b',
     "early_stop_3": 'SELECT qid, level, name, cov, "full" FROM stop_3',
     "stage_distribution": _ladder_union("SELECT '{n}' AS ladder, s.level, s.name, count(t.qid) AS n, count(t.qid)::DOUBLE / (SELECT count(*) FROM {stop}) AS share FROM ({rows}) s LEFT JOIN {stop} t USING (level) GROUP BY s.level, s.name"),
-    "ladder_latency": _ladder_union("SELECT '{n}' AS ladder, dataset, count(*) AS n_queries, avg(cov) AS recall, avg(\"full\"::INT) AS full_rate, avg(k) AS mean_docs, avg(level) AS mean_level, count(*) FILTER (WHERE cov < 1) AS never_sufficient, avg(ms) AS mean_ms FROM {stop} JOIN ms USING (method) GROUP BY dataset"),
+    "ladder_latency": _ladder_union("SELECT '{n}' AS ladder, dataset, count(*) AS n_queries, round(avg(cov), 9) AS recall, avg(\"full\"::INT) AS full_rate, avg(k) AS mean_docs, avg(level) AS mean_level, count(*) FILTER (WHERE cov < 1) AS never_sufficient, round(avg(ms), 9) AS mean_ms FROM {stop} JOIN ms USING (method) GROUP BY dataset"),
     "critic_samples": "SELECT qid, phase, level, k, docs, label, ranked FROM samples",
     "critic_scores": f"SELECT qid, phase, label, {_scaled('p')} AS p FROM scores",
     "critic_confusion": _confusion(),
@@ -232,7 +232,7 @@ SELECT count(*) AS n, {_scaled('min(p)')} AS min_p, {_scaled('max(p)')} AS max_p
 FROM false_stops f JOIN scores c ON c.qid = f.qid AND c.phase = f.stop_stage""",
     "gap_report": """
 SELECT round(a.recall - b.recall, 9) AS recall_gap, round(a.full_rate - b.full_rate, 9) AS full_gap, round(a.docs - b.docs, 9) AS docs_gap
-FROM (SELECT avg(cov) AS recall, avg("full"::INT) AS full_rate, avg(k) AS docs FROM stop_3) a, (SELECT avg(cov) AS recall, avg("full"::INT) AS full_rate, avg(k) AS docs FROM stops WHERE config = 't=0.50') b""",
+FROM (SELECT round(avg(cov), 9) AS recall, avg("full"::INT) AS full_rate, avg(k) AS docs FROM stop_3) a, (SELECT round(avg(cov), 9) AS recall, avg("full"::INT) AS full_rate, avg(k) AS docs FROM stops WHERE config = 't=0.50') b""",
     "kb_build": "FROM kb",
     "kb_answerable": "SELECT qid, n_gold FROM questions WHERE qid NOT IN (SELECT qid FROM gold WHERE doc_id NOT IN (SELECT doc_id FROM kb))",
     "split_assign": "FROM split",

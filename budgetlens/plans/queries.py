@@ -24,6 +24,14 @@ def query(f: Callable[[Fixtures], DataFrame]) -> Callable[[Fixtures], DataFrame]
     return f
 
 
+#: Means of fractions, whose last digits hang on the order of their sums.
+MEANS = {"recall", "best_recall", "mean_ms", *(f"r{k}" for k in S.KS)}
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 9).alias(c) if c in MEANS else F.col(c) for c in df.columns])
+
+
 @query
 def dense_topk(x: Fixtures) -> DataFrame:
     vectors = x.table("embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
@@ -90,7 +98,7 @@ def run_variant(x: Fixtures) -> DataFrame:
 @query
 def recall_matrix(x: Fixtures) -> DataFrame:
     grid = tuple((f"{m}@{k}", m, k) for m in ("dense", "hybrid", "rerank") for k in S.KS)
-    return metrics.recall_matrix(x.cov(grid), "dataset").select("dataset", "method", "k", "n_queries", "recall")
+    return rounded(metrics.recall_matrix(x.cov(grid), "dataset").select("dataset", "method", "k", "n_queries", "recall"))
 
 
 def _grid(x: Fixtures) -> DataFrame:
@@ -99,7 +107,7 @@ def _grid(x: Fixtures) -> DataFrame:
 
 @query
 def recall_pivot(x: Fixtures) -> DataFrame:
-    return metrics.recall_pivot(_grid(x), S.KS, "dataset")
+    return rounded(metrics.recall_pivot(_grid(x), S.KS, "dataset"))
 
 
 @query
@@ -134,13 +142,13 @@ def difficulty_dist(x: Fixtures) -> DataFrame:
 
 @query
 def recall_by_difficulty(x: Fixtures) -> DataFrame:
-    return metrics.recall_matrix(_grid(x).join(x.difficulty, "qid"), "dataset", "difficulty").select("dataset", "difficulty", "method", "k", "n_queries", "recall")
+    return rounded(metrics.recall_matrix(_grid(x).join(x.difficulty, "qid"), "dataset", "difficulty").select("dataset", "difficulty", "method", "k", "n_queries", "recall"))
 
 
 @query
 def recall_by_group(x: Fixtures) -> DataFrame:
     many = _grid(x).withColumn("gold_group", F.when(F.col("n_gold") >= 2, "2+").otherwise("1"))
-    return metrics.recall_matrix(many, "grp", "gold_group").select("grp", "gold_group", "method", "k", "n_queries", "recall")
+    return rounded(metrics.recall_matrix(many, "grp", "gold_group").select("grp", "gold_group", "method", "k", "n_queries", "recall"))
 
 
 def _summary(cov: DataFrame) -> DataFrame:
@@ -149,7 +157,7 @@ def _summary(cov: DataFrame) -> DataFrame:
 
 @query
 def fixed_strategies(x: Fixtures) -> DataFrame:
-    return _summary(x.cov(S.STRATEGIES8).filter(F.col("name").isin(*S.FIXED)))
+    return rounded(_summary(x.cov(S.STRATEGIES8).filter(F.col("name").isin(*S.FIXED))))
 
 
 @query
@@ -164,7 +172,7 @@ def oracle_pick8(x: Fixtures) -> DataFrame:
 
 @query
 def oracle_summary(x: Fixtures) -> DataFrame:
-    return policy.oracle_summary(x.cov(S.STRATEGIES7), "dataset")
+    return rounded(policy.oracle_summary(x.cov(S.STRATEGIES7), "dataset"))
 
 
 @query
@@ -182,7 +190,7 @@ def label_parse(x: Fixtures) -> DataFrame:
 
 @query
 def router_systems(x: Fixtures) -> DataFrame:
-    return policy.system_table(x.cov(S.STRATEGIES8), {"rule": x.rule}, x.runs, x.qrels)
+    return rounded(policy.system_table(x.cov(S.STRATEGIES8), {"rule": x.rule}, x.runs, x.qrels))
 
 
 @query
@@ -219,7 +227,7 @@ def stage_distribution(x: Fixtures) -> DataFrame:
 def ladder_latency(x: Fixtures) -> DataFrame:
     ms = S.stage_latencies(x.spark)
     parts = [policy.ladder_summary(_ladder(x, n), ms, "dataset").withColumn("ladder", F.lit(n)) for n in S.LADDERS]
-    return parts[0].union(parts[1]).union(parts[2])
+    return rounded(parts[0].union(parts[1]).union(parts[2]))
 
 
 @query
