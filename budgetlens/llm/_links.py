@@ -221,10 +221,10 @@ def link(rows: DataFrame, sketches: DataFrame, texts: Callable[[DataFrame], Data
     """
     spark = rows.sparkSession
     _spark.small_batches(spark, 2000)
-    rows = rows.join(sketches, "id")
+    rows = _spark.written(rows.join(sketches, "id").select("node", "id", "sketch", "n"))
     lists = rows.filter(F.col("n") <= small).groupBy("node").agg(F.collect_list(F.struct("id", "sketch")).alias("l")).select("l")
     candidates = lists.mapInArrow(_exhaustive(rule.loose), "a bigint, b bigint")
-    large = _spark.written(rows.filter(F.col("n") > small).select("node", "id", "sketch"))
+    large = rows.filter(F.col("n") > small).select("node", "id", "sketch")
     any_large = bool(large.limit(1).count())
     if any_large:
         sample = large.selectExpr("node", "id", "sketch", "row_number() OVER (PARTITION BY node ORDER BY xxhash64(id), id) AS k").filter(F.col("k") <= SAMPLE)
@@ -259,5 +259,10 @@ def link(rows: DataFrame, sketches: DataFrame, texts: Callable[[DataFrame], Data
     more = _spark.written(grouped.mapInArrow(_block_links(rule), "a bigint, b bigint").distinct())
     if not more.limit(1).count():
         return links, found
-    links = _spark.written(links.union(more).distinct())
-    return links, components(links)
+    # the new links join components
+    ends = more.join(found.toDF("a", "ca"), "a", "left").join(found.toDF("b", "cb"), "b", "left")
+    ends = _spark.written(ends.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")))
+    joined = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).filter("a <> b").distinct())
+    known = found.union(ends.select("a", "ca")).union(ends.select("b", "cb")).distinct()
+    final = known.join(joined.toDF("component", "top"), "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+    return links.union(more).distinct(), _spark.written(final)

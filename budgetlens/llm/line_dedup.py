@@ -141,7 +141,7 @@ def duplicate_lines(df: DataFrame, key: str = "doc_id", text: str = "text", size
     classes = named(classes)
     signed = named(made.filter("sketch is not null"))
     rows = _links.nodes_of(signed.select("id", F.explode("bands").alias("node")))
-    sketches = _links.picked(signed.select("id", "sketch"), "id", rows.select("id").distinct()).dropDuplicates(["id"])
+    sketches = _links.picked(signed.select("id", "sketch"), "id", _spark.written(rows.select("id").distinct())).dropDuplicates(["id"])
 
     def texts(ids: DataFrame) -> DataFrame:
         places = _links.picked(classes.select("id", "doc", "line"), "id", ids)
