@@ -223,19 +223,19 @@ def link(rows: DataFrame, sketches: DataFrame, texts: Callable[[DataFrame], Data
     _spark.small_batches(spark, 2000)
     rows = _spark.written(rows.join(sketches, "id").select("node", "id", "sketch", "n"))
     lists = rows.filter(F.col("n") <= small).groupBy("node").agg(F.collect_list(F.struct("id", "sketch")).alias("l")).select("l")
-    candidates = lists.mapInArrow(_exhaustive(rule.loose), "a bigint, b bigint")
+    candidates = _spark.mapped(lists, _exhaustive(rule.loose), "a bigint, b bigint")
     large = rows.filter(F.col("n") > small).select("node", "id", "sketch")
     any_large = bool(large.limit(1).count())
     if any_large:
         sample = large.selectExpr("node", "id", "sketch", "row_number() OVER (PARTITION BY node ORDER BY xxhash64(id), id) AS k").filter(F.col("k") <= SAMPLE)
-        pivots = sample.groupBy("node").agg(F.collect_list(F.struct("id", "sketch")).alias("l")).mapInArrow(_pivots, "node bigint, pivot bigint, pivot_sketch binary")
+        pivots = _spark.mapped(sample.groupBy("node").agg(F.collect_list(F.struct("id", "sketch")).alias("l")), _pivots, "node bigint, pivot bigint, pivot_sketch binary")
         met = large.join(pivots, "node").select("id", "sketch", "pivot", "pivot_sketch")
-        candidates = candidates.union(met.mapInArrow(_near_pivot(rule.loose), "a bigint, b bigint"))
+        candidates = candidates.union(_spark.mapped(met, _near_pivot(rule.loose), "a bigint, b bigint"))
     candidates = _spark.written(candidates.distinct())
     ids = candidates.select(F.col("a").alias("id")).union(candidates.select("b")).union(large.select("id")).distinct()
     whole = _spark.written(texts(_spark.written(ids)))
     both = candidates.join(whole.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(whole.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    links = _spark.written(both.select("a", "b", "ta", "tb").mapInArrow(_verified(rule), "a bigint, b bigint"))
+    links = _spark.written(_spark.mapped(both.select("a", "b", "ta", "tb"), _verified(rule), "a bigint, b bigint"))
     _spark.dropped(candidates)
     found = components(links)
     if not any_large:
@@ -256,7 +256,7 @@ def link(rows: DataFrame, sketches: DataFrame, texts: Callable[[DataFrame], Data
     members = rest.select("node", own("blocks").alias("x"), each("ask_blocks").alias("y"), entry(False))
     asking = rest.filter("asks").select("node", own("ask_blocks").alias("y"), each("blocks").alias("x"), entry(True)).select("node", "x", "y", "e")
     grouped = members.union(asking).groupBy("node", "x", "y").agg(F.collect_list("e").alias("l")).select("l")
-    more = _spark.written(grouped.mapInArrow(_block_links(rule), "a bigint, b bigint").distinct())
+    more = _spark.written(_spark.mapped(grouped, _block_links(rule), "a bigint, b bigint").distinct())
     if not more.limit(1).count():
         return links, found
     # the new links join components

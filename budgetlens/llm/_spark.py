@@ -55,6 +55,30 @@ def dropped(*tables: DataFrame | None) -> None:
             fs.delete(hadoop, True)
 
 
+def tidied(run):
+    """run, giving back at its end what the worker's allocators keep: idle workers stay alive beside busy ones."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            import pyarrow
+
+            pyarrow.default_memory_pool().release_unused()
+            libc = ctypes.CDLL(None)
+            if hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return wrapped
+
+
+def mapped(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow() of a generator function of batches."""
+    return df.mapInArrow(tidied(run), schema)
+
+
 def worker_cache() -> dict:
     """A dict that lives as long as a Python worker, across tasks."""
     return sys.modules.setdefault("_budgetlens_worker", types.ModuleType("_budgetlens_worker")).__dict__.setdefault("cache", {})

@@ -202,7 +202,7 @@ def flagged(df: DataFrame, items: DataFrame, text: str = "text", item_key: str =
                 yield batch
 
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
-        out = out.mapInArrow(run, fields)
+        out = _spark.mapped(out, run, fields)
     return out if keep_text else out.drop(text)
 
 

@@ -101,13 +101,13 @@ def exact_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", bit
         return run
 
     for seed in range(tries):
-        chunks = slim.mapInArrow(parts(seed), "id binary, body binary").distinct()
+        chunks = _spark.mapped(slim, parts(seed), "id binary, body binary").distinct()
         if not chunks.groupBy("id").count().filter("count > 1").limit(1).count():
             break
     else:
         raise RuntimeError(f"chunk identifiers clash under {tries} keys")
     kind = slim.schema["doc_id"].dataType.simpleString()
-    rows = _spark.written(slim.mapInArrow(recipes(seed), f"doc_id {kind}, text_sha256 string, recipe binary"))
+    rows = _spark.written(_spark.mapped(slim, recipes(seed), f"doc_id {kind}, text_sha256 string, recipe binary"))
     groups = rows.groupBy(F.col("recipe").alias("_r")).agg(F.max("doc_id").alias("_keep"), F.count("*").alias("_n")).filter("_n > 1")
     out = rows.join(groups, F.col("recipe") == F.col("_r"), "left")
     keep = F.when(F.col("_n").isNull(), F.col("doc_id")).otherwise(F.col("_keep"))

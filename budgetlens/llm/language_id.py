@@ -124,7 +124,7 @@ def count_cells(df: DataFrame, text: str, lang: str) -> DataFrame:
                 at = np.flatnonzero(counts)
                 yield pa.RecordBatch.from_arrays([pa.array([lg] * len(at), pa.string()), pa.array(at), pa.array(counts[at])], ["lang", "cell", "n"])
 
-    return df.select(F.col(text).alias("text"), F.col(lang).alias("lang")).mapInArrow(run, "lang string, cell bigint, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    return _spark.mapped(df.select(F.col(text).alias("text"), F.col(lang).alias("lang")), run, "lang string, cell bigint, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
 
 
 def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = 20_000) -> Model:
@@ -175,7 +175,7 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], [*batch.schema.names[1:], *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[1:])
-    return slim.mapInArrow(run, f"{fields}, `{names[0]}` string, `{names[1]}` double")
+    return _spark.mapped(slim, run, f"{fields}, `{names[0]}` string, `{names[1]}` double")
 
 
 def held_out(key: str):

@@ -127,7 +127,7 @@ def duplicate_lines(df: DataFrame, key: str = "doc_id", text: str = "text", size
     _spark.small_batches(spark)
     slim = df.select(F.col(key).alias("doc"), F.col(text).alias("text"))
     kind = slim.schema["doc"].dataType.simpleString()
-    made = _spark.written(slim.mapInArrow(_made(size, least), f"doc {kind}, line bigint, f1 bigint, f2 bigint, sketch binary, bands array<bigint>"))
+    made = _spark.written(_spark.mapped(slim, _made(size, least), f"doc {kind}, line bigint, f1 bigint, f2 bigint, sketch binary, bands array<bigint>"))
     lines = made.select("doc", "line", "f1", "f2")
     classes = lines.groupBy("f1", "f2").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("copies"))
     classes = _spark.written(classes.select("f1", "f2", "first.doc", "first.line", "copies"))

@@ -109,23 +109,23 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     spark = df.sparkSession
     _spark.small_batches(spark)
     slim = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    made = _spark.written(slim.mapInArrow(_embedded(words), "id bigint, n bigint, f1 bigint, f2 bigint, tokens binary"))
+    made = _spark.written(_spark.mapped(slim, _embedded(words), "id bigint, n bigint, f1 bigint, f2 bigint, tokens binary"))
     alike = made.filter("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1")
     docs = _spark.written(made.join(alike, ["f1", "f2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"), F.when(F.coalesce("rep", "id") == F.col("id"), F.col("tokens")).alias("tokens")))
     _spark.dropped(made)
     reps = _spark.written(docs.filter("id = rep and n > 0").select("id", "tokens").dropDuplicates(["id"]))
-    rows = _links.nodes_of(reps.mapInArrow(_roots(trees), "id bigint, node bigint"))
+    rows = _links.nodes_of(_spark.mapped(reps, _roots(trees), "id bigint, node bigint"))
     leaves = [rows.filter(F.col("n") <= _links.SMALL)]
     for level in range(1, DEPTH):
         large = rows.filter(F.col("n") > _links.SMALL)
         if not large.limit(1).count():
             break
-        rows = _links.nodes_of(large.join(reps, "id").select("id", "node", "tokens").mapInArrow(_branches, "id bigint, node bigint"))
+        rows = _links.nodes_of(_spark.mapped(large.join(reps, "id").select("id", "node", "tokens"), _branches, "id bigint, node bigint"))
         leaves.append(rows if level == DEPTH - 1 else rows.filter(F.col("n") <= _links.SMALL))
     all_leaves = leaves[0]
     for more in leaves[1:]:
         all_leaves = all_leaves.union(more)
-    sketches = reps.mapInArrow(_sketch, "id bigint, sketch binary")
+    sketches = _spark.mapped(reps, _sketch, "id bigint, sketch binary")
 
     def texts(ids: DataFrame) -> DataFrame:
         return _links.picked(slim, "id", ids).select("id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).dropDuplicates(["id"])

@@ -157,7 +157,7 @@ def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", end_
             yield packer.flush(True)
 
     kind = slim.schema["doc_id"].dataType.simpleString()
-    out = slim.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"`{n}` bigint" for n in Packer.names[1:]))
+    out = _spark.mapped(slim, run, f"doc_id {kind}, " + ", ".join(f"`{n}` bigint" for n in Packer.names[1:]))
     return out.withColumnRenamed("doc_id", key)
 
 

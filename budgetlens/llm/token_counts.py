@@ -147,7 +147,7 @@ def build(df: DataFrame, path: str, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, totals, *lists], [*batch.schema.names, "n_tokens", "leaf_chars", "leaf_tokens"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields)
-    return slim.mapInArrow(run, f"{fields}, n_tokens bigint, {STATE}")
+    return _spark.mapped(slim, run, f"{fields}, n_tokens bigint, {STATE}")
 
 
 def apply_edits(state: DataFrame, path: str, edits: str = "edits", text: str = "text") -> DataFrame:
@@ -178,7 +178,7 @@ def apply_edits(state: DataFrame, path: str, edits: str = "edits", text: str = "
                 yield pa.RecordBatch.from_arrays([*new[:4], *batch.columns[5:], new[4]], [text, "n_tokens", "leaf_chars", "leaf_tokens", *others, "reencoded_chars"])
 
     fields = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[5:])
-    return slim.mapInArrow(run, f"`{text}` string, n_tokens bigint, {STATE}{fields}, reencoded_chars bigint")
+    return _spark.mapped(slim, run, f"`{text}` string, n_tokens bigint, {STATE}{fields}, reencoded_chars bigint")
 
 
 def with_edits(state: DataFrame, changes: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -95,7 +95,7 @@ def _by_batch(df: DataFrame, work, schema: str) -> DataFrame:
             for a, b in _text.slices(off, 1 << 19):
                 yield work(buf[off[a] : off[b]], off[a : b + 1] - off[a], batch.slice(a, b - a))
 
-    return df.mapInArrow(run, schema)
+    return _spark.mapped(df, run, schema)
 
 
 def _counted(buf, off, batch):
