@@ -79,3 +79,13 @@ def padded_id(prefix: str, number: Column) -> Column:
 def scaled(score: Column) -> Column:
     """A score in whole billionths, so that order and equality do not hang on the order of a sum."""
     return F.round(score * 1e9).cast("bigint")
+
+
+def sentence_bucket(n: Column) -> Column:
+    """3+ for three supporting sentences and more, else 2; null where their number is not known."""
+    return F.when(n >= 3, "3+").when(n.isNotNull(), "2")
+
+
+def positive_probability(negative: Column, positive: Column) -> Column:
+    """Softmax of two logits, for the positive class."""
+    return 1 / (1 + F.exp(negative.cast("double") - positive.cast("double")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -74,6 +74,14 @@ def train(train_rows: DataFrame, val_rows: DataFrame, penalties: tuple[float, ..
     return best, best_f1
 
 
+def save(model, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def scored(model, rows: DataFrame) -> DataFrame:
     """rows with p from a model of train()."""
     return model.transform(features(rows)).withColumn("p", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction", *FEATURES[:2])

@@ -94,3 +94,12 @@ def with_default(value: DataFrame | None, name: str, default: float, spark: Spar
     if value is None:
         value = spark.createDataFrame([], f"{name} double")
     return value.agg(F.coalesce(F.first(name, ignorenulls=True), F.lit(default)).alias(name))
+
+
+def write_vectors(vectors: DataFrame, path: str) -> None:
+    """vectors(doc_id, vec[, norm]) of a dense index."""
+    vectors.write.mode("overwrite").parquet(path)
+
+
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)

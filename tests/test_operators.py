@@ -225,3 +225,30 @@ def test_hash_embedder_and_pluggable_models(spark):
 def test_markdown(spark):
     table = spark.createDataFrame([("a", 0.5), ("b", None)], "name string, share double")
     assert report.markdown(table, {"share": ".1%"}, ("name",)) == "| name | share |\n|---|---|\n| a | 50.0% |\n| b | - |\n"
+
+
+def test_buckets_and_softmax(spark):
+    rows = spark.createDataFrame([(1, 0.0, 0.0), (3, 1.0, 3.0), (None, 2.0, 0.0)], "n int, a double, b double")
+    got = rows.select(X.sentence_bucket(F.col("n")).alias("s"), X.positive_probability(F.col("a"), F.col("b")).alias("p")).collect()
+    assert [r["s"] for r in got] == ["2", "3+", None]
+    assert [r["p"] for r in got] == pytest.approx([0.5, 1 / (1 + np.exp(-2)), 1 / (1 + np.exp(2))])
+
+
+def test_critic_model_and_vectors_are_kept(spark, tmp_path):
+    from budgetlens.sources import files
+
+    rows = spark.createDataFrame([(f"q{i}", "red fox", "dense", 1, 3, "red fox" if i % 2 else "blue hen", i % 2, [1]) for i in range(12)], "qid string, question string, phase string, level int, k int, docs string, label int, ranked array<int>")
+    model, f1 = critic.train(rows, rows)
+    critic.save(model, str(tmp_path / "model"))
+    again = {r["qid"]: r["p"] for r in critic.scored(critic.load(str(tmp_path / "model")), rows).collect()}
+    assert f1 == 1.0 and again == {r["qid"]: r["p"] for r in critic.scored(model, rows).collect()}
+    vectors = spark.createDataFrame([(1, [1.0, 0.0])], "doc_id bigint, vec array<double>")
+    files.write_vectors(vectors, str(tmp_path / "vectors"))
+    assert construct.same_rows(files.read_vectors(spark, str(tmp_path / "vectors")).selectExpr("doc_id", "vec[0] AS x"), vectors.selectExpr("doc_id", "vec[0] AS x"))
+
+
+def test_measured_latencies(spark):
+    from budgetlens.plans.latency import measured
+
+    got = metrics.latency_summary(measured(spark, {"a": lambda: spark.range(3), "b": lambda: spark.range(1)}, 2), "ms", "stage").collect()
+    assert {(r["stage"], r["n"]) for r in got} == {("a", 2), ("b", 2)} and all(r["mean"] > 0 for r in got)
