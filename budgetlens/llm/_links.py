@@ -219,9 +219,22 @@ def link(rows: DataFrame, sketches: DataFrame, texts: Callable[[DataFrame], Data
 
     rows: nodes_of(); sketches(id, sketch): each text's sketch, of one length; texts(ids): (id, text binary) of ids.
     """
-    spark = rows.sparkSession
-    _spark.small_batches(spark, 2000)
-    rows = _spark.written(rows.join(sketches, "id").select("node", "id", "sketch", "n"))
+    held: list[DataFrame] = []
+    try:
+        return _linked(rows, sketches, texts, rule, small, held)
+    finally:
+        _spark.dropped(*held)
+
+
+def _linked(rows: DataFrame, sketches: DataFrame, texts: Callable[[DataFrame], DataFrame], rule: Similarity, small: int, held: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """link(); held gets the tables that its result does not read."""
+
+    def kept(df: DataFrame) -> DataFrame:
+        held.append(_spark.written(df))
+        return held[-1]
+
+    _spark.small_batches(rows.sparkSession, 2000)
+    rows = kept(rows.join(sketches, "id").select("node", "id", "sketch", "n"))
     lists = rows.filter(F.col("n") <= small).groupBy("node").agg(F.collect_list(F.struct("id", "sketch")).alias("l")).select("l")
     candidates = _spark.mapped(lists, _exhaustive(rule.loose), "a bigint, b bigint")
     large = rows.filter(F.col("n") > small).select("node", "id", "sketch")
@@ -231,20 +244,19 @@ def link(rows: DataFrame, sketches: DataFrame, texts: Callable[[DataFrame], Data
         pivots = _spark.mapped(sample.groupBy("node").agg(F.collect_list(F.struct("id", "sketch")).alias("l")), _pivots, "node bigint, pivot bigint, pivot_sketch binary")
         met = large.join(pivots, "node").select("id", "sketch", "pivot", "pivot_sketch")
         candidates = candidates.union(_spark.mapped(met, _near_pivot(rule.loose), "a bigint, b bigint"))
-    candidates = _spark.written(candidates.distinct())
+    candidates = kept(candidates.distinct())
     ids = candidates.select(F.col("a").alias("id")).union(candidates.select("b")).union(large.select("id")).distinct()
-    whole = _spark.written(texts(_spark.written(ids)))
+    whole = kept(texts(kept(ids)))
     both = candidates.join(whole.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(whole.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     links = _spark.written(_spark.mapped(both.select("a", "b", "ta", "tb"), _verified(rule), "a bigint, b bigint"))
-    _spark.dropped(candidates)
     found = components(links)
     if not any_large:
         return links, found
     placed = large.select("node", "id").join(found, "id", "left").select("node", "id", F.coalesce("component", "id").alias("component"))
-    placed = _spark.written(placed)
+    placed = kept(placed)
     shares = placed.groupBy("node", "component").agg(F.count("*").alias("n"))
     split = shares.groupBy("node").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", -F.col("component"))).alias("main")).filter("parts > 1")
-    rest = _spark.written(placed.join(split, "node").join(whole, "id").withColumn("asks", F.col("component") != F.col("main")).select("node", "id", "component", "asks", "text"))
+    rest = kept(placed.join(split, "node").join(whole, "id").withColumn("asks", F.col("component") != F.col("main")).select("node", "id", "component", "asks", "text"))
     if not rest.limit(1).count():
         return links, found
     size = F.octet_length("text") + 64
@@ -261,7 +273,7 @@ def link(rows: DataFrame, sketches: DataFrame, texts: Callable[[DataFrame], Data
         return links, found
     # the new links join components
     ends = more.join(found.toDF("a", "ca"), "a", "left").join(found.toDF("b", "cb"), "b", "left")
-    ends = _spark.written(ends.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")))
+    ends = kept(ends.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")))
     joined = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).filter("a <> b").distinct())
     known = found.union(ends.select("a", "ca")).union(ends.select("b", "cb")).distinct()
     final = known.join(joined.toDF("component", "top"), "component", "left").select("id", F.coalesce("top", "component").alias("component"))

@@ -138,10 +138,12 @@ def duplicate_lines(df: DataFrame, key: str = "doc_id", text: str = "text", size
     def named(rows: DataFrame) -> DataFrame:
         return rows.withColumn("id", F.col("f1")) if clear else rows.join(clash, "f1", "left").withColumn("id", F.when(F.col("clash"), F.col("f2")).otherwise(F.col("f1"))).drop("clash")
 
+    tables = [classes]
     classes = named(classes)
     signed = named(made.filter("sketch is not null"))
     rows = _links.nodes_of(signed.select("id", F.explode("bands").alias("node")))
-    sketches = _links.picked(signed.select("id", "sketch"), "id", _spark.written(rows.select("id").distinct())).dropDuplicates(["id"])
+    tables += [rows, _spark.written(rows.select("id").distinct())]
+    sketches = _links.picked(signed.select("id", "sketch"), "id", tables[-1]).dropDuplicates(["id"])
 
     def texts(ids: DataFrame) -> DataFrame:
         places = _links.picked(classes.select("id", "doc", "line"), "id", ids)
@@ -159,6 +161,7 @@ def duplicate_lines(df: DataFrame, key: str = "doc_id", text: str = "text", size
     linked = linked.join(heads, "component").select("f1", "f2", F.col("head.doc").alias("hd"), F.col("head.line").alias("hl"), "n_links")
     copied = classes.filter("copies > 1").select("f1", "f2", F.col("doc").alias("cd"), F.col("line").alias("cl"), "copies")
     info = _spark.written(copied.join(linked, ["f1", "f2"], "full").select("f1", "f2", F.coalesce("hd", "cd").alias("hd"), F.coalesce("hl", "cl").alias("hl"), "n_links", "copies"))
+    _spark.dropped(*tables)
     out = lines.join(info.hint("shuffle_hash"), ["f1", "f2"], "left")
     head, at = F.coalesce("hd", "doc"), F.coalesce("hl", "line")
     return out.select(

@@ -115,12 +115,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     _spark.dropped(made)
     reps = _spark.written(docs.filter("id = rep and n > 0").select("id", "tokens").dropDuplicates(["id"]))
     rows = _links.nodes_of(_spark.mapped(reps, _roots(trees), "id bigint, node bigint"))
-    leaves = [rows.filter(F.col("n") <= _links.SMALL)]
+    tables, leaves = [reps, rows], [rows.filter(F.col("n") <= _links.SMALL)]
     for level in range(1, DEPTH):
         large = rows.filter(F.col("n") > _links.SMALL)
         if not large.limit(1).count():
             break
         rows = _links.nodes_of(_spark.mapped(large.join(reps, "id").select("id", "node", "tokens"), _branches, "id bigint, node bigint"))
+        tables.append(rows)
         leaves.append(rows if level == DEPTH - 1 else rows.filter(F.col("n") <= _links.SMALL))
     all_leaves = leaves[0]
     for more in leaves[1:]:
@@ -131,6 +132,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
         return _links.picked(slim, "id", ids).select("id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).dropDuplicates(["id"])
 
     links, found = _links.link(all_leaves, sketches, texts, _links.Similarity(word_sets(words), percent, LOOSE))
+    _spark.dropped(*tables)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     info = found.withColumnRenamed("id", "rep").join(degree, "rep", "left")
     out = docs.join(info, "rep", "left")
