@@ -3,24 +3,32 @@
 Two variable-order Markov models, one of accepted and one of rejected URLs, give each character a probability from the
 longest context seen, interpolated with all shorter ones (Witten-Bell).  A URL is judged by the difference of its
 log-likelihoods per character against a threshold calibrated on labelled URLs that training does not see.  Rules on
-host and path go before the models and also label the URLs they learn from.  Contexts are hashed into a fixed number
-of cells, so the models' size is bounded; the counts cover every labelled URL.
+host and path go before the models and also label the URLs they learn from.
+
+The counts cover every labelled URL and are exact: ORDER + 1 symbols fit a 64-bit number, so nothing is hashed.  They
+are a table that grows with the distinct grams.  A gram has one ratio wherever it stands, so the distinct grams of the
+URLs are joined with the counts, order by order, and their ratios go back to groups of URLs, once for each group.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _spark, _text
 
 ORDER = 5
-CELLS = 1 << 16
 BINS = 2001
 SPAN = 10.0
 ALPHABET = 258
+#: Bits of a symbol; a gram of ORDER + 1 has the predicted one lowest.
+BITS = 9
+#: Bytes of URLs whose grams are combined before they are joined.
+GROUP_BYTES = 1 << 20
 
 #: The rules of the contract: (what to do, host + path).
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -58,86 +66,132 @@ def _layout(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return sym, np.flatnonzero(sym), first
 
 
-def _cells(sym: np.ndarray, at: np.ndarray):
-    """(context cell, gram cell) of each predicted symbol, by order from 0."""
-    shift = np.uint64(64 - CELLS.bit_length() + 1)
-    h = np.zeros(len(at), np.uint64)
+def _grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The gram of each predicted symbol, and how many each URL has (its bytes and the end mark)."""
+    sym, at, _ = _layout(buf, off)
+    gram = np.zeros(len(at), np.uint64)
     for k in range(ORDER + 1):
-        if k:
-            h = _text.mix(h * _text._ODD + sym[at - k] + np.uint64(1))
-        context = h >> shift
-        gram = _text.mix((h ^ np.uint64(k << 8)) * _text._ODD + sym[at]) >> shift
-        yield context.astype(np.int64), gram.astype(np.int64)
-
-
-def _log_ratio(model: np.ndarray, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """log P(accepted) - log P(rejected) per symbol of each URL.  model[class, kind, order, cell]; kinds: gram, context, continuations."""
-    sym, at, first = _layout(buf, off)
-    p = np.full((2, len(at)), 1.0 / ALPHABET)
-    for k, (context, gram) in enumerate(_cells(sym, at)):
-        for c in (0, 1):
-            n, t = model[c, 1, k][context].astype(np.float64), model[c, 2, k][context].astype(np.float64)
-            seen = n > 0
-            g = np.minimum(model[c, 0, k][gram].astype(np.float64), n)
-            p[c] = np.where(seen, (g + t * p[c]) / np.maximum(n + t, 1.0), p[c])
-    ratio = np.log(p[1]) - np.log(p[0])
-    starts = np.searchsorted(at, first[:-1])
-    length = np.diff(np.append(starts, len(at)))
-    return np.add.reduceat(ratio, starts) / length if len(length) else np.zeros(0)
-
-
-def _by_batch(df: DataFrame, work, schema: str) -> DataFrame:
-    """df's first column is the URL; work(buf, off, batch) makes a batch from a slice."""
-
-    def run(batches):
-        for batch in batches:
-            buf, off = _text.strings(batch.column(0))
-            for a, b in _text.slices(off, 1 << 19):
-                yield work(buf[off[a] : off[b]], off[a : b + 1] - off[a], batch.slice(a, b - a))
-
-    return _spark.mapped(df, run, schema)
-
-
-def _counted(buf, off, batch):
-    label = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-    sym, at, first = _layout(buf, off)
-    cls = np.repeat(label, np.diff(first))[at]
-    keys = []
-    for k, (context, gram) in enumerate(_cells(sym, at)):
-        keys.append(((cls * (ORDER + 1) + k) * CELLS + context) * CELLS + gram)
-    key, n = np.unique(np.concatenate(keys), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], ["key", "n"])
-
-
-def train(labelled: DataFrame) -> np.ndarray:
+        gram |= sym[at - k] << np.uint64(BITS * k)
+    return gram.astype(np.int64), np.diff(off) + 1
+
+
+def _suffix(gram: str, k: int) -> Column:
+    """The last k + 1 symbols of a gram: the context of order k and what it predicts."""
+    return F.col(gram).bitwiseAND(F.lit((1 << BITS * (k + 1)) - 1))
+
+
+class Model:
+    """Counts of all grams of the labelled URLs: counts(gram, n0, n1), by class."""
+
+    def __init__(self, counts: DataFrame) -> None:
+        self.counts = counts
+
+    def ratios(self, grams: DataFrame) -> DataFrame:
+        """(gram, ratio): log P(accepted) - log P(rejected) of what each of grams(gram) predicts; equal ones are one row."""
+        asked = grams.select("gram", F.lit(0).cast("bigint").alias("n0"), F.lit(0).cast("bigint").alias("n1"), F.lit(True).alias("asked"))
+        both = self.counts.select("gram", "n0", "n1", F.lit(False).alias("asked")).union(asked)
+        both = _spark.written(both.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.max("asked").alias("asked")))
+        shorter = None
+        for k in range(ORDER + 1):
+            rows = both.groupBy(_suffix("gram", k).alias("gram")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.max("asked").alias("asked"))
+            # a context is followed by at most ALPHABET distinct symbols, so no window is large
+            after = Window.partitionBy(F.shiftright("gram", BITS))
+            for c in (0, 1):
+                rows = rows.withColumn(f"all{c}", F.sum(f"n{c}").over(after)).withColumn(f"kinds{c}", F.count_if(F.col(f"n{c}") > 0).over(after))
+            rows = rows.filter("asked")
+            if shorter is None:
+                rows = rows.withColumn("p0", F.lit(1.0 / ALPHABET)).withColumn("p1", F.lit(1.0 / ALPHABET))
+            else:
+                rows = rows.withColumn("tail", _suffix("gram", k - 1)).join(shorter, "tail")
+            p = [F.when(F.col(f"all{c}") > 0, (F.col(f"n{c}") + F.col(f"kinds{c}") * F.col(f"p{c}")) / (F.col(f"all{c}") + F.col(f"kinds{c}"))).otherwise(F.col(f"p{c}")).alias(f"p{c}") for c in (0, 1)]
+            shorter = rows.select(F.col("gram").alias("tail"), *p)
+        return shorter.select(F.col("tail").alias("gram"), (F.log("p1") - F.log("p0")).alias("ratio"))
+
+
+def _mean_ratio(buf: np.ndarray, off: np.ndarray, known: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    """Mean ratio of each URL's symbols; known holds all grams, in any order."""
+    gram, length = _grams(buf, off)
+    if not len(length):
+        return np.zeros(0)
+    order = np.argsort(known)
+    each = ratio[order][np.searchsorted(known[order], gram)]
+    return np.add.reduceat(each, np.cumsum(length) - length) / length
+
+
+def _log_ratio(model: Model, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """log P(accepted) - log P(rejected) per symbol of each of a few URLs."""
+    grams = model.counts.sparkSession.createDataFrame([(g,) for g in np.unique(_grams(buf, off)[0]).tolist()], "gram bigint")
+    found = model.ratios(grams).toArrow()
+    return _mean_ratio(buf, off, found["gram"].to_numpy(), found["ratio"].to_numpy())
+
+
+def _counted(batches):
+    """(gram, n0, n1) of batches of (url, label), combined by slice."""
+    for batch in batches:
+        buf, off = _text.strings(batch.column(0))
+        labels = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        for a, b in _text.slices(off):
+            gram, length = _grams(buf[off[a] : off[b]], off[a : b + 1] - off[a])
+            key, n = np.unique(gram | np.repeat(labels[a:b], length) << np.int64(BITS * (ORDER + 1)), return_counts=True)
+            cls = key >> np.int64(BITS * (ORDER + 1))
+            columns = [key & np.int64((1 << BITS * (ORDER + 1)) - 1), n * (cls == 0), n * (cls == 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["gram", "n0", "n1"])
+
+
+def train(labelled: DataFrame) -> Model:
     """The two models from labelled(url, label): label 1 accepted, 0 rejected.  All rows count."""
-    _spark.small_batches(labelled.sparkSession)
-    grams = _by_batch(labelled.select("url", F.col("label").cast("bigint")), _counted, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    grams = grams.select(F.expr(f"key div {CELLS * CELLS}").alias("top"), F.expr(f"key div {CELLS} % {CELLS}").alias("context"), F.expr(f"key % {CELLS}").alias("gram"), "n")
-    model = np.zeros((2, 3, ORDER + 1, CELLS), np.float32)
-    # at most 2 * (ORDER + 1) * CELLS rows each come to the driver
-    by_gram = grams.groupBy("top", "gram").agg(F.sum("n").alias("n")).toArrow()
-    by_context = grams.groupBy("top", "context").agg(F.sum("n").alias("n"), F.count("*").alias("t")).toArrow()
-    for table, name, kinds in ((by_gram, "gram", ((0, "n"),)), (by_context, "context", ((1, "n"), (2, "t")))):
-        top, cell = table["top"].to_numpy(), table[name].to_numpy()
-        for kind, column in kinds:
-            model[top // (ORDER + 1), kind, top % (ORDER + 1), cell] = table[column].to_numpy()
-    return model
-
-
-def scores(df: DataFrame, url: str, model: np.ndarray, name: str = "lm_score") -> DataFrame:
+    _spark.small_batches(labelled.sparkSession, 10_000)
+    rows = _spark.mapped(labelled.select("url", F.col("label").cast("bigint")), _counted, "gram bigint, n0 bigint, n1 bigint")
+    return Model(_spark.written(rows.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))))
+
+
+def _grouped(batches):
+    """Batches whose first column is the URL, with a group for each row; a group holds GROUP_BYTES or a single URL."""
+    group, held = uuid.uuid4().hex, 0
+    for batch in batches:
+        _, off = _text.strings(batch.column(0))
+        for a, b in _text.slices(off, GROUP_BYTES // 4):
+            size = int(off[b] - off[a]) + b - a
+            if held and held + size > GROUP_BYTES:
+                group, held = uuid.uuid4().hex, 0
+            held += size
+            part = batch.slice(a, b - a)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([group] * (b - a))], [*part.schema.names, "_group"])
+
+
+def _group_grams(batches):
+    """(group, gram) of batches of (url, group), equal ones of a task once."""
+    last, seen = None, np.zeros(0, np.int64)
+    for batch in batches:
+        buf, off = _text.strings(batch.column(0))
+        groups = np.array(batch.column(1).to_pylist(), dtype=object)
+        first = np.flatnonzero(np.append(True, groups[1:] != groups[:-1])) if len(groups) else np.zeros(0, np.int64)
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(groups)]):
+            gram = np.unique(_grams(buf[off[a] : off[b]], off[a : b + 1] - off[a])[0])
+            if groups[a] != last:
+                last, seen = groups[a], np.zeros(0, np.int64)
+            fresh = np.setdiff1d(gram, seen, assume_unique=True)
+            seen = np.union1d(seen, fresh)
+            yield pa.RecordBatch.from_arrays([pa.array([last] * len(fresh), pa.string()), pa.array(fresh)], ["_group", "gram"])
+
+
+def scores(df: DataFrame, url: str, model: Model, name: str = "lm_score") -> DataFrame:
     """df with the log-likelihood difference per character; a null URL counts as an empty one."""
     spark = df.sparkSession
-    _spark.small_batches(spark)
-    sent = spark.sparkContext.broadcast(model)
-    others = [c for c in df.columns if c != url]
-    slim = df.select(url, *others)
+    _spark.small_batches(spark, 10_000)
+    slim = df.select(url, *[c for c in df.columns if c != url])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields)
+    rows = _spark.written(_spark.mapped(slim, _grouped, f"{fields}, _group string"))
+    grams = _spark.written(_spark.mapped(rows.select(url, "_group"), _group_grams, "_group string, gram bigint"))
+    ratios = model.ratios(grams.select("gram"))
+    told = grams.join(ratios, "gram").groupBy("_group").agg(F.collect_list("gram").alias("grams"), F.collect_list("ratio").alias("ratios"))
 
-    def work(buf, off, batch):
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(_log_ratio(sent.value, buf, off))], [*batch.schema.names, name])
+    def work(key, left, right):
+        buf, off = _text.strings(left.column(0))
+        known, ratio = (right.column(c).combine_chunks().flatten().to_numpy() for c in ("grams", "ratios"))
+        return left.drop_columns(["_group"]).append_column(name, pa.array(_mean_ratio(buf, off, known, ratio)))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields)
-    return _by_batch(slim, work, f"{fields}, {name} double")
+    return rows.groupBy("_group").cogroup(told.groupBy("_group")).applyInArrow(work, f"{fields}, `{name}` double")
 
 
 def threshold(scored: DataFrame) -> float:
@@ -162,20 +216,22 @@ def judge(df: DataFrame, key: str = "page_id", url: str = "url", rules=RULES, se
     threshold is accepted, so without any labelled URL all are.  Repeated rows are judged alike.
     folds: labelled URLs of one of so many folds (by a hash of the URL) set the threshold; the others train.
     """
-    base = df.select(F.col(key).alias("_key"), F.col(url).alias("url"))
-    host, path = parsed(F.col("url"))
-    base = base.withColumn("host", host).withColumn("path", path)
-    base = base.withColumn("_rule", ruled(F.col("host"), F.col("path"), rules))
+    def known(rows: DataFrame) -> DataFrame:
+        host, path = parsed(F.col("url"))
+        rows = rows.withColumn("host", host).withColumn("path", path)
+        return rows.withColumn("_rule", ruled(F.col("host"), F.col("path"), rules))
+
     seed = F.lit(False)
     for w in seed_words:
         seed = seed | F.col("host").contains(w)
     allowed, blocked = F.col("_rule.verdict") == "allow", F.col("_rule.verdict") == "block"
     label = F.when(blocked | (F.col("_rule").isNull() & seed), 0).when(allowed & ~seed, 1)
-    marked = base.select("url", label.cast("int").alias("label")).filter("url is not null and label is not null")
+    marked = lambda rows: rows.withColumn("label", label.cast("int")).filter("url is not null and label is not null")
     held = F.pmod(F.xxhash64("url"), F.lit(folds)) == 0
-    model = train(marked.filter(~held))
-    limit = threshold(scores(marked.filter(held), "url", model))
-    out = scores(base, "url", model)
+    base = df.select(F.col(key).alias("_key"), F.col(url).alias("url"))
+    model = train(marked(known(base)).filter(~held))
+    out = known(_spark.written(scores(base, "url", model)))
+    limit = threshold(marked(out).filter(held))
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("lm_score") >= limit, "allow").otherwise("block"))
     return out.select(F.col("_key").alias(key), "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), "lm_score")
 

@@ -45,6 +45,39 @@ def test_models_equal_plain_witten_bell(spark):
         assert abs(got - (plain(good, url) - plain(bad, url))) < 1e-6
 
 
+def test_more_contexts_than_any_fixed_table(spark):
+    """Some 300,000 distinct grams, counted without sharing: each URL scores as a plain Witten-Bell model says."""
+    import random
+    from collections import Counter, defaultdict
+
+    rng = random.Random(4)
+    rows = [("http://" + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789/-", k=80)), i % 2) for i in range(4000)]
+    pad = [0] * U.ORDER
+    seqs = lambda u: pad + [b + 2 for b in u.encode()] + [1]
+    after = (defaultdict(Counter), defaultdict(Counter))
+    for u, label in rows:
+        s = seqs(u)
+        for i in range(U.ORDER, len(s)):
+            for k in range(U.ORDER + 1):
+                after[label][tuple(s[i - k : i])][s[i]] += 1
+    assert sum(len(c) == U.ORDER for c in after[0]) > 1 << 16
+
+    def plain(label, url):
+        own, total = seqs(url), 0.0
+        for i in range(U.ORDER, len(own)):
+            p = 1 / U.ALPHABET
+            for k in range(U.ORDER + 1):
+                if (seen := after[label].get(tuple(own[i - k : i]))) is not None:
+                    p = (seen[own[i]] + len(seen) * p) / (sum(seen.values()) + len(seen))
+            total += math.log(p)
+        return total / (len(own) - U.ORDER)
+
+    model = U.train(spark.createDataFrame(rows, "url string, label int"))
+    asked = [u[:60] for u, _ in rows[:150]] + [None, "", "http://other.example/né"]
+    for r in U.scores(pages(spark, asked), "url", model).collect():
+        assert abs(r["lm_score"] - (plain(1, r["url"] or "") - plain(0, r["url"] or ""))) < 1e-9
+
+
 def test_held_out_urls_are_told_apart(spark):
     rows = [(f"http://news.site{i}.net/story/{i}", 1) for i in range(300)] + [(f"http://casino-win{i}.net/play?bonus={i}", 0) for i in range(300)]
     frame = spark.createDataFrame([(*r, i % 2) for i, r in enumerate(rows)], "url string, label int, part int")
