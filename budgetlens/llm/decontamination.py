@@ -4,8 +4,12 @@ Each benchmark item has fingerprints of its first and last g words, where g is a
 Every g-word window of every document is fingerprinted by the same 64-bit SimHash over words: bit counters lie eight
 to a 64-bit number, so a window's counters are differences of running sums.  Fingerprints are cut into four blocks;
 an item and a window within RADIUS bits agree in some block up to one bit, so tables of such block values find every
-pair within the radius.  Candidates are verified by the similarity of 5-word shingles, weighted by their occurrences,
-between the item and item-sized windows around the place that was found.
+pair within the radius.
+
+The radius alone promises nothing for a copy that is edited or trimmed at both ends.  So each item also has the
+fingerprints of some of its 5-word windows, its anchors: more of them than shingles can be missing at the similarity
+asked for, so that every such copy has one of them whole, with an equal fingerprint.  Candidates are verified by the
+similarity of 5-word shingles, weighted by their occurrences, between the item and every item-sized window of the text.
 """
 
 from __future__ import annotations
@@ -74,24 +78,53 @@ def fingerprints(sums: list[np.ndarray], start: np.ndarray | slice, stop: np.nda
     return out
 
 
-def shingles(h: np.ndarray) -> Counter:
-    return Counter(_text.shingle_runs(h, np.array([0, len(h)]), SHINGLE)[0].tolist())
+def n_anchors(total: int) -> int:
+    """Shingles of an item of so many, one of which is in every window that is similar enough: at least the share
+    SIMILARITY of them is common to both."""
+    least = next(k for k in range(total + 1) if k / total >= SIMILARITY)
+    return total - least + 1
+
 
+def best_window(runs: np.ndarray, n_words: int, kinds: np.ndarray, most: np.ndarray, m_words: int) -> tuple[float, int, int]:
+    """(similarity, first word, words) of the first best item-sized window of a text.
 
-def similarity(a: Counter, b: Counter) -> float:
-    """Common over joint occurrences."""
-    both = sum(min(n, b[k]) for k, n in a.items() if k in b)
-    return both / (sum(a.values()) + sum(b.values()) - both) if a or b else 0.0
+    runs: the text's shingles; kinds and most: the item's distinct shingles, sorted, and their occurrences.
+    """
+    size = min(n_words, m_words)
+    total, own = int(most.sum()), size - SHINGLE + 1
+    at = np.searchsorted(kinds, runs)
+    at[at == len(kinds)] = 0
+    place = np.flatnonzero(kinds[at] == runs)
+    kind = at[place]
+    # an occurrence counts in windows that reach it and hold fewer than most earlier ones of its kind
+    order = np.lexsort((place, kind))
+    place, kind = place[order], kind[order]
+    since = np.full(len(place), -1)
+    for c in np.unique(most[kind]).tolist():
+        mine = np.flatnonzero(most[kind] == c)
+        mine = mine[mine >= c]
+        mine = mine[kind[mine - c] == kind[mine]]
+        since[mine] = place[mine - c]
+    steps = np.zeros(len(runs) + 1, np.int64)
+    np.add.at(steps, np.maximum(since, np.maximum(place - own, -1)) + 1, 1)
+    np.add.at(steps, place + 1, -1)
+    common = np.cumsum(steps)[: n_words - size + 1]
+    s = int(common.argmax())
+    both = int(common[s])
+    return both / (total + own - both), s, size
 
 
 class Items:
-    """An index of items by window size."""
+    """An index of items by window size, and of their anchors."""
 
     def __init__(self, items: list[tuple[object, np.ndarray]]) -> None:
-        self.items = [(i, h, shingles(h)) for i, h in items]
+        self.items = []
+        for i, h in items:
+            runs = _text.shingle_runs(h, np.array([0, len(h)]), SHINGLE)[0]
+            self.items.append((i, h, *np.unique(runs, return_counts=True)))
         sizes = np.array(grid())
         by: dict[int, list[tuple[int, int, int]]] = {}
-        for n, (_, h, _) in enumerate(self.items):
+        for n, (_, h, *_) in enumerate(self.items):
             g = int(sizes[np.searchsorted(sizes, len(h), side="right") - 1])
             sums = running_sums(h)
             for at in sorted({0, len(h) - g}):
@@ -105,51 +138,65 @@ class Items:
             for b in range(4):
                 block = (prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)
                 tables[b][(block[:, None] ^ near).astype(np.int64).ravel()] = True
-            self.sizes[g] = (prints, [(n, at) for _, n, at in found], tables)
+            self.sizes[g] = (prints, [n for _, n, _ in found], tables)
+        self._anchor()
+
+    def _anchor(self) -> None:
+        """Of each item, anchors that few other items have; anchors are sorted, and a table tells their upper bits."""
+        own = [fingerprints(running_sums(h), slice(None, len(h) - SHINGLE + 1), slice(SHINGLE, None), SHINGLE) for _, h, *_ in self.items]
+        shared = Counter(f for marks in own for f in set(marks.tolist()))
+        pairs = sorted({(f, n) for n, marks in enumerate(own) for f in sorted(marks.tolist(), key=shared.__getitem__)[: n_anchors(len(marks))]})
+        self.anchors, self.anchored = np.array([f for f, _ in pairs], np.uint64), np.array([n for _, n in pairs], np.int64)
+        bits = min(24, max(16, len(pairs).bit_length() + 5))
+        self.shift, self.upper = np.uint64(64 - bits), np.zeros(1 << bits, bool)
+        self.upper[(self.anchors >> self.shift).astype(np.int64)] = True
 
     def candidates(self, h: np.ndarray, first: np.ndarray):
-        """(text, item, first word of an item-sized window): pairs whose fingerprints lie within the radius."""
+        """(text, item): pairs that share an anchor, or have fingerprints that lie within the radius."""
         sums = running_sums(h)
         counts = np.diff(first)
         text_of = np.repeat(np.arange(len(counts)), counts)
+        if len(h) >= SHINGLE:
+            marks = fingerprints(sums, slice(None, len(h) - SHINGLE + 1), slice(SHINGLE, None), SHINGLE)
+            at = np.flatnonzero(self.upper[(marks >> self.shift).astype(np.int64)])
+            at = at[text_of[at] == text_of[at + SHINGLE - 1]]
+            low, high = (np.searchsorted(self.anchors, marks[at], side=side) for side in ("left", "right"))
+            for i in np.flatnonzero(high > low).tolist():
+                t = int(text_of[at[i]])
+                yield from ((t, n) for n in self.anchored[low[i] : high[i]].tolist())
         for g, (prints, owners, tables) in self.sizes.items():
             if len(h) >= g:
                 inside = np.flatnonzero(text_of[: len(h) - g + 1] == text_of[g - 1 :])
-                yield from self._search(fingerprints(sums, slice(None, len(h) - g + 1), slice(g, None), g)[inside], inside, prints, owners, tables, text_of, first)
+                yield from self._search(fingerprints(sums, slice(None, len(h) - g + 1), slice(g, None), g)[inside], inside, prints, owners, tables, text_of)
             # texts a little shorter than the window are windows of their own
             short = np.flatnonzero((counts < g) & (counts >= g * SIMILARITY))
             for n in np.unique(counts[short]).tolist():
                 start = first[short[counts[short] == n]]
-                yield from self._search(fingerprints(sums, start, start + n, n), start, prints, owners, tables, text_of, first)
+                yield from self._search(fingerprints(sums, start, start + n, n), start, prints, owners, tables, text_of)
 
     @staticmethod
-    def _search(marks, start, prints, owners, tables, text_of, first):
+    def _search(marks, start, prints, owners, tables, text_of):
         hit = np.zeros(len(marks), bool)
         for b in range(4):
             hit |= tables[b][((marks >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)]
         hit = np.flatnonzero(hit)
         for k in range(len(prints)):
             for i in hit[np.bitwise_count(marks[hit] ^ prints[k]) <= RADIUS].tolist():
-                n, at = owners[k]
-                t = int(text_of[start[i]])
-                yield t, n, int(start[i]) - at - int(first[t])
+                yield int(text_of[start[i]]), owners[k]
 
     def hits(self, h: np.ndarray, first: np.ndarray) -> dict[int, list[tuple[object, int, int, float]]]:
         """For each text with any: (item id, first word, words, similarity) of the best window of each item in it."""
-        near: dict[tuple[int, int], set[int]] = {}
-        for t, n, s in self.candidates(h, first):
-            near.setdefault((t, n), set()).add(s)
         out: dict[int, list] = {}
-        for (t, n), starts in sorted(near.items()):
-            words = h[first[t] : first[t + 1]]
-            item_id, own, bag = self.items[n]
-            last = max(0, len(words) - len(own))
-            best = (0.0, 0, 0)
-            for s in sorted({min(max(0, s + d), last) for s in starts for d in range(-3, 4)}):
-                window = words[s : s + len(own)]
-                best = max(best, (similarity(bag, shingles(window)), -s, len(window)))
-            if best[0] >= SIMILARITY:
-                out.setdefault(t, []).append((item_id, -best[1], best[2], best[0]))
+        runs = None
+        for t, n in sorted(set(self.candidates(h, first))):
+            if runs is None:
+                runs, at = _text.shingle_runs(h, first, SHINGLE)
+            item_id, own, kinds, most = self.items[n]
+            words = int(first[t + 1] - first[t])
+            if words >= SHINGLE:
+                alike, s, size = best_window(runs[at[t] : at[t + 1]], words, kinds, most, len(own))
+                if alike >= SIMILARITY:
+                    out.setdefault(t, []).append((item_id, s, size, alike))
         return out
 
 

@@ -48,6 +48,46 @@ def test_hits_equal_brute_force(spark):
     assert all(0.8 <= r["similarity"] <= 1 for r in got) and len(got) == len({(r["doc_id"], r["item_id"]) for r in got})
 
 
+def test_edited_and_trimmed_passages_are_all_found(spark):
+    """Copies of similarity 0.8 or more with words replaced, put in, left out, or cut off at both ends, by brute force."""
+    import random
+
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(300)]
+    some = lambda n: rng.choices(words, k=n)
+    items = [some(n) for n in (5, 6, 13, 20, 24, 29, 29, 36, 50, 59, 120, 150)]
+    items.append(items[3][:10] * 4)
+    texts = []
+    for own in items:
+        for _ in range(25):
+            copy, edit = list(own), rng.randrange(4)
+            if edit == 0:
+                for _ in range(rng.randint(1, max(1, len(own) // 40))):
+                    copy[rng.randrange(len(copy))] = "replaced"
+            elif edit == 1:
+                cut = rng.randint(0, len(own) // 9)
+                front = rng.randint(0, cut)
+                copy = copy[front : len(copy) - (cut - front)]
+            elif edit == 2:
+                copy.insert(rng.randrange(len(copy) + 1), "added")
+            else:
+                del copy[rng.randrange(len(copy))]
+            texts.append(" ".join(some(rng.choice((0, 40))) + copy + some(rng.choice((0, 40)))))
+    texts.append(" ".join(items[5] + items[5][:20]))
+    bench = [" ".join(i) for i in items]
+    want = brute(texts, bench)
+    got = D.contaminated(documents(spark, texts), spark.createDataFrame(list(enumerate(bench)), "item_id bigint, text string")).collect()
+    assert len(want) > 150 and {(r["doc_id"], r["item_id"]) for r in got} == want
+    for r in got:
+        own, text = bench[r["item_id"]].split(), texts[r["doc_id"]].split()
+        a, scores = shingles(own), []
+        for s in range(max(1, len(text) - len(own) + 1)):
+            b = shingles(text[s : s + len(own)])
+            both = sum((a & b).values())
+            scores.append(both / (sum(a.values()) + sum(b.values()) - both))
+        assert r["similarity"] == max(scores) and r["first_word"] == scores.index(max(scores)) and r["n_words"] == min(len(own), len(text))
+
+
 def test_blocks_of_items_find_the_same(spark, monkeypatch):
     texts, items = case()
     bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
