@@ -112,6 +112,12 @@ def _made(size: int, least: int):
     return run
 
 
+def _numbered(df: DataFrame, key: str) -> DataFrame | None:
+    """df as a written table with a number ``_row`` for each row, if its keys do not tell rows apart; else None."""
+    shared = df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n")).filter("_key is null or _n > 1")
+    return _spark.written(df.withColumn("_row", F.monotonically_increasing_id())) if shared.limit(1).count() else None
+
+
 def duplicate_lines(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT, least: int = 1) -> DataFrame:
     """A row for each line of df that takes part: key, line, component_key, component_line, kept, n_links, copies.
 
@@ -120,12 +126,23 @@ def duplicate_lines(df: DataFrame, key: str = "doc_id", text: str = "text", size
     ``percent`` hundredths of common over joint members, and equal lines always do.  component_key and component_line
     tell the first line of the component by key and number, and kept that the line is it.  copies counts the equal
     lines, n_links the confirmed links of their class that were needed to find components.  A null text has no lines.
-    Keys must tell rows apart; rows that repeat one (null among them) should be made unique first, else the lines of
-    the same number of them are one.  No rows give no rows; other columns are not looked at.
+    Rows whose keys are null or repeated are told apart by a number of their own: a row's lines come before those of
+    the next row of its key, in no stated order of these rows, and null keys come first.  No rows give no rows; other
+    columns are not looked at.
     """
-    spark = df.sparkSession
-    _spark.small_batches(spark)
     slim = df.select(F.col(key).alias("doc"), F.col(text).alias("text"))
+    numbered = _numbered(slim, "doc")
+    if numbered is not None:
+        slim = numbered.select(F.struct(F.col("doc").alias("key"), F.col("_row").alias("row")).alias("doc"), "text")
+    own = lambda c: F.col(c) if numbered is None else F.col(c)["key"]
+    out = _duplicates(slim, size, percent, least)
+    return out.select(own("doc").alias(key), "line", own("head").alias("component_key"), F.col("at").alias("component_line"), "kept", "n_links", "copies")
+
+
+def _duplicates(slim: DataFrame, size: int = SHINGLE, percent: int = PERCENT, least: int = 1) -> DataFrame:
+    """(doc, line, head, at, kept, n_links, copies) of slim(doc, text), in which no doc is null or repeated."""
+    spark = slim.sparkSession
+    _spark.small_batches(spark)
     kind = slim.schema["doc"].dataType.simpleString()
     made = _spark.written(_spark.mapped(slim, _made(size, least), f"doc {kind}, line bigint, f1 bigint, f2 bigint, sketch binary, bands array<bigint>"))
     lines = made.select("doc", "line", "f1", "f2")
@@ -165,7 +182,7 @@ def duplicate_lines(df: DataFrame, key: str = "doc_id", text: str = "text", size
     out = lines.join(info.hint("shuffle_hash"), ["f1", "f2"], "left")
     head, at = F.coalesce("hd", "doc"), F.coalesce("hl", "line")
     return out.select(
-        F.col("doc").alias(key), "line", head.alias("component_key"), at.alias("component_line"), (head.eqNullSafe(F.col("doc")) & (at == F.col("line"))).alias("kept"),
+        "doc", "line", head.alias("head"), at.alias("at"), (head.eqNullSafe(F.col("doc")) & (at == F.col("line"))).alias("kept"),
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("bigint").alias("copies"),
     )
 
@@ -173,10 +190,15 @@ def duplicate_lines(df: DataFrame, key: str = "doc_id", text: str = "text", size
 def without_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", **rules) -> DataFrame:
     """df with the lines that are not kept taken out of its texts.  Rows that lose all their lines go.
 
-    Rows without any line that takes part (null, empty, blank) stay as they are, as do all other columns.
+    Rows without any line that takes part (null, empty, blank) stay as they are, as do all other columns.  Each row
+    loses its own lines only, also where keys are null or repeated.
     """
-    dropped = duplicate_lines(df, key, text, **rules).filter("not kept").groupBy(F.col(key).alias("_key")).agg(F.collect_set("line").alias("_gone"))
-    joined = df.join(dropped, F.col(key).eqNullSafe(F.col("_key")), "left")
+    numbered = _numbered(df, key)
+    rows = df if numbered is None else numbered
+    doc = F.col(key) if numbered is None else F.struct(F.col(key).alias("key"), F.col("_row").alias("row"))
+    gone = _duplicates(rows.select(doc.alias("doc"), F.col(text).alias("text")), **rules).filter("not kept")
+    own, is_own = (F.col("doc"), F.col(key) == F.col("_key")) if numbered is None else (F.col("doc.row"), F.col("_row") == F.col("_key"))
+    joined = rows.join(gone.groupBy(own.alias("_key")).agg(F.collect_set("line").alias("_gone")), is_own, "left")
     parts = F.split(F.col(text), "\n")
     rest = F.filter(parts, lambda _, i: ~F.array_contains("_gone", i.cast("bigint")))
     kept_text = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(rest, "\n"))

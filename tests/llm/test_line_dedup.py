@@ -40,6 +40,24 @@ def test_texts_without_repeated_lines(spark):
     assert out == {0: texts[0], 2: "\nOwn line of it.", 3: None, 4: "", 5: " \n"}
 
 
+def test_null_and_repeated_keys(spark):
+    """Rows are told apart whatever their keys: links hold, and each row loses its own lines only."""
+    texts = corpus(5, 40, 3)
+    same = "The quick brown fox jumps over the lazy dog by the river."
+    texts += [same + "\nA first row's own line, kept.", "Another opening of some text here.\n" + same.replace("lazy", "lame"), "Third row's start is unlike others.\n" + same.replace("lazy", "hazy"), None, "", same]
+    groups = brute(texts)
+    of = lambda n: "\n".join(t for i, t in enumerate((texts[n] or "").split("\n")) if groups.get((n, i), (n, i)) == (n, i))
+    for ids in ([None] * len(texts), [1] * len(texts), [None, None, *[n // 3 for n in range(2, len(texts))]], [None, *range(1, len(texts))]):
+        # in one partition rows are numbered as they come
+        docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id bigint, text string").coalesce(1)
+        rows = line_dedup.duplicate_lines(docs).collect()
+        want = sorted((-1 if ids[d] is None else ids[d], i, -1 if ids[c] is None else ids[c], at, (c, at) == (d, i)) for (d, i), (c, at) in groups.items())
+        assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["line"], -1 if r["component_key"] is None else r["component_key"], r["component_line"], r["kept"]) for r in rows) == want
+        out = line_dedup.without_duplicates(docs)
+        stay = sorted((-1 if k is None else k, str(texts[n] if texts[n] is None else of(n))) for n, k in enumerate(ids) if of(n).strip() or not texts[n])
+        assert out.columns == ["doc_id", "text"] and sorted((-1 if r["doc_id"] is None else r["doc_id"], str(r["text"])) for r in out.collect()) == stay
+
+
 def test_empty_table_and_clashing_columns(spark):
     assert line_dedup.duplicate_lines(documents(spark, ["x"]).limit(0)).count() == 0
     docs = clashing(spark, ["a line\na line", "b"], ["line", "kept", "doc", "f1", "id", "copies"])
