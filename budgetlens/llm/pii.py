@@ -26,10 +26,10 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 # Wider patterns: an address with its signs spelled out, numbers grouped in threes and fours without a plus, and long
-# keys after a word that announces them.
-OPEN_EMAIL = r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}+(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]{1,63}+)++"
+# keys after a word that announces them.  Their runs are possessive and have no upper bound, so spans end where runs do.
+OPEN_EMAIL = r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]++)++"
 OPEN_PHONE = r"(?<![0-9+)(.\x20-])(?<![+(][0-9]{1,3}[\x20.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])"
-SECRET = r"(?i)(?:api[_-]?key|secret|token|password|passwd)\x20{0,3}[:=]\x20{0,3}[\x22\x27]?[A-Za-z0-9_+/-]{16,256}+"
+SECRET = r"(?i)(?:api[_-]?key|secret|token|password|passwd)\x20{0,3}[:=]\x20{0,3}[\x22\x27]?[A-Za-z0-9_+/-]{16,}+"
 #: Code points before and after a candidate that labelers see.
 NEAR = 24
 

@@ -56,6 +56,14 @@ def test_the_method_adds_spans_in_context(spark):
     assert "email" in added[0] and added[1] == ["secret"] and added[2] == [] and added[4] == []
 
 
+def test_candidates_of_any_length_are_whole(spark):
+    key, name, label = "a1B2" * 5_000, "first.last" * 20, "host-" * 20 + "x"
+    texts = [f"token = '{key}' end", f"mail {name} [at] {label} [dot] {label} (dot) com now", "token=" * 20_000, "a [at] " * 10_000, "a" * 50_000 + " [at] b", "secret: short1234567890"]
+    got = {r["_key"]: [s["text"] for s in r["open"]] for r in pii.found(documents(spark, texts), "doc_id", "text").collect()}
+    assert got[0] == [f"token = '{key}"] and got[1] == [f"{name} [at] {label} [dot] {label} (dot) com"]
+    assert [got[n] for n in (2, 3, 4, 5)] == [[], [], [], []]
+
+
 def test_expectation_maximisation_tells_good_labelers():
     rng, counts = random.Random(1), {}
     truth = {}
