@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from . import _spark, _text
 
 UNKNOWN = "und"
-#: Cells of the hashed n-grams.  With at most MAX_LANGUAGES languages this bounds the matrix that is sent out.
+#: Cells of the hashed n-grams.  The matrix that is sent out holds four bytes of each for each language.
 CELLS = 1 << 15
-MAX_LANGUAGES = 256
+#: Languages that are counted or scored at a time, so that a worker's memory depends on their number by the matrix only.
+BLOCK = 16
 ORDERS = (1, 2, 3, 4)
 
 
@@ -92,9 +93,10 @@ class Model:
         sym, first, letters = _symbols(buf, off)
         sums = np.zeros((n, len(self.languages)))
         for c in cells(sym, first):
-            rows = self.weights[np.maximum(c, 0)]
-            rows[c < 0] = 0
-            sums += np.add.reduceat(rows, first[:-1], axis=0, dtype=np.float64)
+            for a in range(0, len(self.languages), BLOCK):
+                rows = self.weights[:, a : a + BLOCK][np.maximum(c, 0)]
+                rows[c < 0] = 0
+                sums[:, a : a + BLOCK] += np.add.reduceat(rows, first[:-1], axis=0, dtype=np.float64)
         grams = np.maximum(np.diff(first) * len(ORDERS), 1)
         # neighbouring n-grams are not independent: the evidence counts with the root of its number
         scaled = sums / np.sqrt(grams)[:, None]
@@ -106,23 +108,31 @@ class Model:
 
 
 def count_cells(df: DataFrame, text: str, lang: str) -> DataFrame:
-    """(lang, cell, n) over all rows of df; each batch is combined before anything is sent."""
+    """(lang, cell, n) over all rows of df; each batch, or slice of one with many languages, is combined before anything is sent."""
+
+    def counted(names, key, n):
+        return pa.RecordBatch.from_arrays([pa.array(names[key // CELLS], pa.string()), pa.array(key % CELLS), pa.array(n)], ["lang", "cell", "n"])
 
     def run(batches):
         for batch in batches:
             buf, off = _text.strings(batch.column(0))
-            langs = np.array(batch.column(1).to_pylist(), dtype=object)
-            held: dict[str, np.ndarray] = {}
+            named: dict[str, int] = {}
+            code = np.array([named.setdefault(lg, len(named)) for lg in batch.column(1).to_pylist()], np.int64)
+            names = np.array(list(named), dtype=object)
+            few = len(named) <= BLOCK
+            held = np.zeros(len(named) * CELLS if few else 0, np.int64)
             for a, b in _text.slices(off):
                 sym, first, _ = _symbols(buf[off[a] : off[b]], off[a : b + 1] - off[a])
-                text_of = np.repeat(np.arange(a, b), np.diff(first))
+                base = np.repeat(code[a:b] * CELLS, np.diff(first))
                 for c in cells(sym, first):
-                    for lg in set(langs[a:b]):
-                        mine = (c >= 0) & (langs == lg)[text_of]
-                        held[lg] = held.get(lg, 0) + np.bincount(c[mine], minlength=CELLS)
-            for lg, counts in held.items():
-                at = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays([pa.array([lg] * len(at), pa.string()), pa.array(at), pa.array(counts[at])], ["lang", "cell", "n"])
+                    key = (base + c)[c >= 0]
+                    if few:
+                        held += np.bincount(key, minlength=len(held))
+                    else:
+                        yield counted(names, *np.unique(key, return_counts=True))
+            if few:
+                at = np.flatnonzero(held)
+                yield counted(names, at, held[at])
 
     return _spark.mapped(df.select(F.col(text).alias("text"), F.col(lang).alias("lang")), run, "lang string, cell bigint, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
 
@@ -132,22 +142,24 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
     sample_rows: about so many rows of each language are used, picked by a hash of their keys; all where there are
     fewer.  It bounds the cost of training; the texts that are picked are counted whole.
+    Any number of languages will do; the driver and each worker hold 128 KB for each.
     """
     _spark.small_batches(df.sparkSession)
     labelled = df.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    picked = F.lit(False)
-    for lg, n in sizes.items():
-        picked = picked | ((F.col("lang") == lg) & (F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample_rows / n))))
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
-    counts = np.zeros((CELLS, max(1, len(languages))))
-    for r in count_cells(labelled.filter(picked), "text", "lang").groupBy("lang").agg(F.collect_list(F.struct("cell", "n")).alias("cells")).toLocalIterator():
-        j = languages.index(r["lang"])
-        for c, n in r["cells"]:
-            counts[c, j] = n
-    return Model.of(languages, counts)
+    shares = [(lg, int((1 << 30) * min(1.0, sample_rows / n))) for lg, n in sizes.items()]
+    told = F.broadcast(df.sparkSession.createDataFrame(shares, "lang string, share bigint"))
+    picked = labelled.join(told, "lang").filter(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < F.col("share"))
+    # a language without a picked text has no counts
+    model = Model.of(languages, np.broadcast_to(np.float32(0), (CELLS, max(1, len(languages)))))
+    place = {lg: j for j, lg in enumerate(languages)}
+    for r in count_cells(picked, "text", "lang").groupBy("lang").agg(F.collect_list(F.struct("cell", "n")).alias("cells")).toLocalIterator():
+        counts = np.zeros((CELLS, 1))
+        at, n = np.array(r["cells"], np.int64).T
+        counts[at, 0] = n
+        model.weights[:, place[r["lang"]]] = Model.of([r["lang"]], counts).weights[:, 0]
+    return model
 
 
 def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

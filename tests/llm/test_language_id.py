@@ -46,3 +46,18 @@ def test_no_labels_empty_table_sample_and_clashing_columns(spark):
     assert kept.columns == ["doc_id", "text", "score", "a", "b"] and kept.first()["text"] == "abc"
     some = L.train(spark.range(400).select(F.col("id").alias("doc_id"), F.lit("abc").alias("text"), F.lit("en").alias("lang")), sample_rows=40)
     assert some.languages == ["en"]
+
+
+def test_any_number_of_languages(spark):
+    """Each language has letters of its own, and each text is told from all others, as by a plain matrix."""
+    names = [f"l{n:03}" for n in range(300)]
+    word = lambda n: "".join(chr(0x4E00 + 20 * n + k) for k in (0, 3, 7, 11, 2))
+    rows = [(n, f"{word(n)} {word(n)[::-1]}", lg) for n, lg in enumerate(names)]
+    model = L.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert model.languages == names and model.weights.shape == (L.CELLS, 300)
+    got = {r["doc_id"]: r for r in L.predict(documents(spark, [t for _, t, _ in rows]), model).collect()}
+    assert all(got[n]["lang_pred"] == lg for n, _, lg in rows)
+    sym = [0, *map(ord, word(7)), 0, *map(ord, word(7)[::-1]), 0]
+    sums = sum(model.weights[c[c >= 0]].astype(np.float64).sum(0) for c in L.cells(np.array(sym, np.uint32), np.array([0, len(sym)])))
+    p = np.exp((sums - sums.max()) / np.sqrt(len(sym) * len(L.ORDERS)))
+    assert abs(got[7]["score"] - p[7] / p.sum()) < 1e-6
