@@ -69,3 +69,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         before, docs = docs, _spark.written(stage(spark, docs, sf_dir))
         _spark.dropped(before)
     return docs
+
+
+def queries():
+    return {"pipeline": run}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"pipeline": ORACLE_SQL} if ORACLE_SQL else {}
