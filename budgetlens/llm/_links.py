@@ -6,15 +6,17 @@ turned into links that are confirmed on whole texts, in a way that is linear in
 * small nodes are compared exhaustively by sketch, and each pair that may be similar is verified;
 * a large node gets a few pivots, the members of a fixed-size sample that are closest to its common sketch; each
   member that may be similar to a pivot is verified against it;
-* members of a large node that this leaves outside its main component are compared with the whole node, in blocks of
-  bounded size, on whole texts.
+* members that no pivot joins get pivots of their own, as long as that joins many;
+* those that are left outside their node's main component are joined with all members of such nodes by an exact
+  prefix filter over whole sets, in which what many texts share comes last.
 
 Components come from label propagation with pointer jumping over tables in the shared folder.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,13 +28,16 @@ from . import _spark, _text
 
 #: Largest node that is compared exhaustively.
 SMALL = 16
-#: Members of a large node among which its pivots are sought, and pivots.
-SAMPLE, PIVOTS = 256, 3
-#: Bytes of text in one side of a block of a large node.
-BLOCK_BYTES = 2 << 20
+#: Members of a large node among which its pivots are sought, pivots, and how often they are sought.
+SAMPLE, PIVOTS, ROUNDS = 256, 3, 4
 #: Ids that are sent to all executors; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
+#: Entries that a task of nodes_of() looks through, and that are packed at a time.
+TASK_ENTRIES, PACK = 2_000_000, 1 << 17
+
+#: From a batch to the ids and nodes of its rows.
+Entries = Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]]
 #: From bytes and offsets of texts to their sets, as values and offsets.
 Sets = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
@@ -80,12 +85,22 @@ def _node_lists(batch: pa.RecordBatch, k: int):
 def _exhaustive(loose: float):
     def run(batches):
         for batch in batches:
+            lists = batch.column(0)
+            off = lists.offsets.to_numpy()
+            flat = lists.values
+            ids, sketch = flat.field(0).to_numpy(zero_copy_only=False), _fixed(flat.field(1))
+            least = np.ceil(loose * sketch.shape[1] - 1e-9)
             low, high = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for ids, sketch in _node_lists(batch, 0):
-                i, j = np.triu_indices(len(ids), 1)
-                near = (sketch[i] == sketch[j]).mean(1) >= loose
-                low.append(ids[i[near]])
-                high.append(ids[j[near]])
+            sizes = np.diff(off)
+            for n in np.unique(sizes).tolist():
+                # nodes of one size are compared together, place by place
+                members = off[:-1][sizes == n][:, None] + np.arange(n)
+                for i in range(n - 1):
+                    for j in range(i + 1, n):
+                        x, y = members[:, i], members[:, j]
+                        near = (sketch[x] == sketch[y]).sum(1) >= least
+                        low.append(ids[x[near]])
+                        high.append(ids[y[near]])
             yield _pairs(np.concatenate(low), np.concatenate(high))
 
     return run
@@ -104,11 +119,13 @@ def _pivots(batches):
 
 
 def _near_pivot(loose: float):
+    """(node, id, pivot) of rows (node, id, sketch, pivot, pivot's sketch) that may be similar."""
+
     def run(batches):
         for batch in batches:
-            near = (_fixed(batch.column(1)) == _fixed(batch.column(3))).mean(1) >= loose
-            near &= batch.column(0).to_numpy() != batch.column(2).to_numpy()
-            yield _pairs(batch.column(0).to_numpy()[near], batch.column(2).to_numpy()[near])
+            near = (_fixed(batch.column(2)) == _fixed(batch.column(4))).mean(1) >= loose
+            near &= batch.column(1).to_numpy() != batch.column(3).to_numpy()
+            yield batch.select([0, 1, 3]).filter(pa.array(near))
 
     return run
 
@@ -146,49 +163,128 @@ def _verified(rule: Similarity):
     return run
 
 
-def _block_links(rule: Similarity):
-    """Rows (list of struct(asks, id, component, text)): links from those that ask to members of other components."""
+def _set_rows(rule: Similarity):
+    """(id, n, token): the members of each text's set, and their number, of rows (id, text)."""
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(0)
-            bounds = lists.offsets.to_numpy()
-            flat = lists.values
-            asks, ids, comp = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2))
-            buf, off = _binary(flat.field(3))
-            low, high = [], []
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            buf, off = _binary(batch.column(1))
+            ids = batch.column(0).to_numpy()
+            for a, b in _text.slices(off):
                 v, at = rule.sets(buf[off[a] : off[b]], off[a : b + 1] - off[a])
                 size = np.diff(at)
-                members = np.flatnonzero(~asks[a:b].astype(bool))
-                spans = [np.arange(at[m], at[m + 1]) for m in members]
-                tokens = v[np.concatenate([np.zeros(0, np.int64), *spans])]
-                owner = np.repeat(np.arange(len(members)), size[members])
-                order = np.argsort(tokens, kind="stable")
-                tokens, owner = tokens[order], owner[order]
-                for q in np.flatnonzero(asks[a:b].astype(bool)).tolist():
-                    x = v[at[q] : at[q + 1]]
-                    lo, hi = np.searchsorted(tokens, x, "left"), np.searchsorted(tokens, x, "right")
-                    runs = hi - lo
-                    where = np.repeat(lo - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs) + np.arange(runs.sum())
-                    both = np.bincount(owner[where], minlength=len(members))
-                    good = 100 * both >= rule.percent * (size[members] + len(x) - both)
-                    hit = members[good & (comp[a + members] != comp[a + q])]
-                    _, one = np.unique(comp[a + hit], return_index=True)
-                    low += [int(ids[a + q])] * len(one)
-                    high += ids[a + hit[one]].tolist()
-            yield _pairs(np.array(low, np.int64), np.array(high, np.int64))
+                columns = [np.repeat(ids[a:b], size), np.repeat(size, size), v.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "n", "token"])
+
+    return run
+
+
+def _packed(entries: Entries, bits: int):
+    """Entries as rows (bucket, ids, nodes) of many: bucket is the upper bits of the nodes."""
+
+    def pack(held):
+        ids, nodes = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+        bucket = (nodes.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        kinds, first = np.unique(bucket[order], return_index=True)
+        off = pa.py_buffer((np.append(first, len(ids)) * 8).astype(np.int32))
+        blobs = [pa.Array.from_buffers(pa.binary(), len(kinds), [None, off, pa.py_buffer(x[order])]) for x in (ids, nodes)]
+        return pa.RecordBatch.from_arrays([pa.array(kinds), *blobs], ["bucket", "ids", "nodes"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            for ids, nodes in entries(batch):
+                held.append((np.ascontiguousarray(ids, np.int64), np.ascontiguousarray(nodes, np.int64)))
+                n += len(ids)
+                if n >= PACK:
+                    yield pack(held)
+                    held, n = [], 0
+        if n:
+            yield pack(held)
 
     return run
 
 
-def nodes_of(rows: DataFrame, small: int = SMALL) -> DataFrame:
-    """Distinct rows(id, node) of the nodes with two members at least, with their number n, in the shared folder."""
-    many = rows.groupBy("node").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("node")
-    met = _spark.written(rows.join(many.hint("shuffle_hash"), "node").select("id", "node").distinct())
-    out = _spark.written(met.join(met.groupBy("node").agg(F.count("*").alias("n")), "node").select("id", "node", "n"))
-    _spark.dropped(met)
-    return out
+def _chunks(batches, least):
+    """(ids, nodes) of packed rows, least() of them at a time."""
+    held, n = [], 0
+    for batch in batches:
+        both = [_binary(batch.column(k)) for k in (0, 1)]
+        held.append([buf[off[0] : off[-1]].view(np.int64) for buf, off in both])
+        n += len(held[-1][0])
+        if n >= least():
+            yield tuple(np.concatenate([h[k] for h in held]) for k in (0, 1))
+            held, n = [], 0
+    if n:
+        yield tuple(np.concatenate([h[k] for h in held]) for k in (0, 1))
+
+
+def _met(batches):
+    """(id, node) of the nodes that two ids have, some rows more than once.
+
+    What is held are the distinct nodes with an id each; a node's members stream past, however many there are.
+    """
+    known, one, done = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    for ids, nodes in _chunks(batches, lambda: max(PACK, len(known) // 2)):
+        order = np.argsort(nodes)
+        ids, nodes = ids[order], nodes[order]
+        new = np.flatnonzero(np.append(True, nodes[1:] != nodes[:-1]))
+        kinds, low, high = nodes[new], np.minimum.reduceat(ids, new), np.maximum.reduceat(ids, new)
+        at = np.searchsorted(known, kinds)
+        at[at == len(known)] = 0
+        old = known[at] == kinds if len(known) else np.zeros(len(kinds), bool)
+        met, late = low != high, np.zeros(len(kinds), bool)
+        if old.any():
+            was, first = done[at], one[at]
+            late = old & ~was & (met | (first != low))  # the id that came alone is told now
+            met = np.where(old, was | late, met)
+        take = np.repeat(met, np.diff(np.append(new, len(nodes))))
+        columns = [np.concatenate([ids[take], one[at[late]]]), np.concatenate([nodes[take], kinds[late]])]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "node"])
+        done[at[late]] = True
+        fresh = ~old
+        known, one, done = (np.concatenate(x) for x in ((known, kinds[fresh]), (one, low[fresh]), (done, met[fresh])))
+        order = np.argsort(known, kind="stable")
+        known, one, done = known[order], one[order], done[order]
+
+
+@dataclass
+class Nodes:
+    """rows(id, node), distinct; large(node): nodes of more members than are compared exhaustively, or None."""
+
+    rows: DataFrame
+    large: DataFrame | None
+    few: bool = True
+
+    def part(self, large: bool) -> DataFrame:
+        """The rows of large nodes, or of the others."""
+        if self.large is None:
+            return self.rows.limit(0) if large else self.rows
+        return self.rows.join(F.broadcast(self.large) if self.few else self.large, "node", "left_semi" if large else "left_anti").select("id", "node")
+
+    def drop(self) -> None:
+        _spark.dropped(self.rows, self.large)
+
+
+def nodes_of(df: DataFrame, entries: Entries, each: float, small: int = SMALL) -> Nodes:
+    """The nodes that two members at least have, in the shared folder.
+
+    entries: from a batch of df to (ids, nodes), about ``each`` of them for each row; nodes are well mixed 64-bit
+    numbers.  Entries move packed, by the upper bits of their nodes, and meet in tasks that hold distinct nodes only.
+    """
+    spark = df.sparkSession
+    total = df.count() * each
+    tasks = max(1, math.ceil(total / TASK_ENTRIES), min(spark.sparkContext.defaultParallelism, math.ceil(total / PACK)))
+    bits = max(4, (4 * tasks).bit_length())
+    packed = _spark.mapped(df, _packed(entries, bits), "bucket int, ids binary, nodes binary")
+    met = _spark.mapped(packed.repartition(tasks, "bucket").select("ids", "nodes"), _met, "id bigint, node bigint")
+    rows = _spark.written(met.distinct())
+    large = _spark.written(rows.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > small).select("node"))
+    n = large.count()
+    if not n:
+        _spark.dropped(large)
+    return Nodes(rows, large if n else None, n <= BROADCAST_IDS)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -214,62 +310,69 @@ def picked(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, key, "left_semi")
 
 
-def link(rows: DataFrame, sketches: DataFrame, texts: Callable[[DataFrame], DataFrame], rule: Similarity, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+def link(small: DataFrame, large: DataFrame | None, sketches: DataFrame, texts: Callable[[DataFrame], DataFrame], rule: Similarity) -> tuple[DataFrame, DataFrame]:
     """(links(a, b), components(id, component)) of distinct texts.
 
-    rows: nodes_of(); sketches(id, sketch): each text's sketch, of one length; texts(ids): (id, text binary) of ids.
+    small, large: rows(id, node) of small and of large nodes, see Nodes; sketches(id, sketch): each text's sketch, of
+    one length; texts(ids): (id, text binary) of ids.
     """
     held: list[DataFrame] = []
     try:
-        return _linked(rows, sketches, texts, rule, small, held)
+        return _linked(small, large, sketches, texts, rule, held)
     finally:
         _spark.dropped(*held)
 
 
-def _linked(rows: DataFrame, sketches: DataFrame, texts: Callable[[DataFrame], DataFrame], rule: Similarity, small: int, held: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+def _linked(small: DataFrame, large: DataFrame | None, sketches: DataFrame, texts: Callable[[DataFrame], DataFrame], rule: Similarity, held: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
     """link(); held gets the tables that its result does not read."""
 
     def kept(df: DataFrame) -> DataFrame:
         held.append(_spark.written(df))
         return held[-1]
 
-    _spark.small_batches(rows.sparkSession, 2000)
-    rows = kept(rows.join(sketches, "id").select("node", "id", "sketch", "n"))
-    lists = rows.filter(F.col("n") <= small).groupBy("node").agg(F.collect_list(F.struct("id", "sketch")).alias("l")).select("l")
+    def confirmed(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+        both = pairs.join(whole.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(whole.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+        return _spark.mapped(both.select("a", "b", "ta", "tb"), _verified(rule), "a bigint, b bigint")
+
+    def near_pivots(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        sample = rows.selectExpr("node", "id", "sketch", "row_number() OVER (PARTITION BY node ORDER BY xxhash64(id), id) AS k").filter(F.col("k") <= SAMPLE)
+        pivots = kept(_spark.mapped(sample.groupBy("node").agg(F.collect_list(F.struct("id", "sketch")).alias("l")), _pivots, "node bigint, pivot bigint, pivot_sketch binary"))
+        met = rows.join(pivots, "node").select("node", "id", "sketch", "pivot", "pivot_sketch")
+        return pivots, kept(_spark.mapped(met, _near_pivot(rule.loose), "node bigint, id bigint, pivot bigint"))
+
+    _spark.small_batches(small.sparkSession, 2000)
+    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    lists = small.join(sketches, "id").groupBy("node").agg(F.collect_list(F.struct("id", "sketch")).alias("l")).select("l")
     candidates = _spark.mapped(lists, _exhaustive(rule.loose), "a bigint, b bigint")
-    large = rows.filter(F.col("n") > small).select("node", "id", "sketch")
-    any_large = bool(large.limit(1).count())
-    if any_large:
-        sample = large.selectExpr("node", "id", "sketch", "row_number() OVER (PARTITION BY node ORDER BY xxhash64(id), id) AS k").filter(F.col("k") <= SAMPLE)
-        pivots = _spark.mapped(sample.groupBy("node").agg(F.collect_list(F.struct("id", "sketch")).alias("l")), _pivots, "node bigint, pivot bigint, pivot_sketch binary")
-        met = large.join(pivots, "node").select("id", "sketch", "pivot", "pivot_sketch")
-        candidates = candidates.union(_spark.mapped(met, _near_pivot(rule.loose), "a bigint, b bigint"))
+    pivots = near = None
+    if large is not None:
+        large = kept(large.join(sketches, "id").select("node", "id", "sketch"))
+        pivots, near = near_pivots(large)
+        candidates = candidates.union(near.select(*ordered("id", "pivot")))
     candidates = kept(candidates.distinct())
-    ids = candidates.select(F.col("a").alias("id")).union(candidates.select("b")).union(large.select("id")).distinct()
-    whole = kept(texts(kept(ids)))
-    both = candidates.join(whole.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(whole.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    links = _spark.written(_spark.mapped(both.select("a", "b", "ta", "tb"), _verified(rule), "a bigint, b bigint"))
+    ids = candidates.select(F.col("a").alias("id")).union(candidates.select("b"))
+    whole = kept(texts(kept((ids if large is None else ids.union(large.select("id"))).distinct())))
+    links = _spark.written(confirmed(candidates, whole))
+    if large is None:
+        return links, components(links)
+    # members that no pivot has joined get pivots of their own, as long as that joins many of them
+    todo, n = large, large.count()
+    for _ in range(ROUNDS - 1):
+        told = near.select("node", "id", *ordered("id", "pivot")).join(links, ["a", "b"]).select("node", "id")
+        told = told.union(pivots.select("node", F.col("pivot").alias("id"))).distinct()
+        rest = todo.join(told, ["node", "id"], "left_anti")
+        many = rest.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > SMALL).select("node")
+        todo, before = kept(rest.join(many, "node", "left_semi")), n
+        n = todo.count()
+        if not n or 4 * n > 3 * before:
+            break
+        pivots, near = near_pivots(todo)
+        more = confirmed(near.select(*ordered("id", "pivot")).distinct(), whole)
+        held.append(links)
+        links = _spark.written(links.union(more).distinct())
     found = components(links)
-    if not any_large:
-        return links, found
-    placed = large.select("node", "id").join(found, "id", "left").select("node", "id", F.coalesce("component", "id").alias("component"))
-    placed = kept(placed)
-    shares = placed.groupBy("node", "component").agg(F.count("*").alias("n"))
-    split = shares.groupBy("node").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", -F.col("component"))).alias("main")).filter("parts > 1")
-    rest = kept(placed.join(split, "node").join(whole, "id").withColumn("asks", F.col("component") != F.col("main")).select("node", "id", "component", "asks", "text"))
-    if not rest.limit(1).count():
-        return links, found
-    size = F.octet_length("text") + 64
-    plan = rest.groupBy("node").agg(F.ceil(F.sum(size) / BLOCK_BYTES).cast("int").alias("blocks"), F.ceil(F.sum(F.when(F.col("asks"), size).otherwise(0)) / BLOCK_BYTES).cast("int").alias("ask_blocks"))
-    rest = rest.join(plan, "node")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    entry = lambda asks: F.struct(F.lit(asks).alias("asks"), "id", "component", "text").alias("e")
-    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    members = rest.select("node", own("blocks").alias("x"), each("ask_blocks").alias("y"), entry(False))
-    asking = rest.filter("asks").select("node", own("ask_blocks").alias("y"), each("blocks").alias("x"), entry(True)).select("node", "x", "y", "e")
-    grouped = members.union(asking).groupBy("node", "x", "y").agg(F.collect_list("e").alias("l")).select("l")
-    more = _spark.written(_spark.mapped(grouped, _block_links(rule), "a bigint, b bigint").distinct())
-    if not more.limit(1).count():
+    more = _late_links(large, found, whole, rule, kept, confirmed)
+    if more is None:
         return links, found
     # the new links join components
     ends = more.join(found.toDF("a", "ca"), "a", "left").join(found.toDF("b", "cb"), "b", "left")
@@ -278,3 +381,40 @@ def _linked(rows: DataFrame, sketches: DataFrame, texts: Callable[[DataFrame], D
     known = found.union(ends.select("a", "ca")).union(ends.select("b", "cb")).distinct()
     final = known.join(joined.toDF("component", "top"), "component", "left").select("id", F.coalesce("top", "component").alias("component"))
     return links.union(more).distinct(), _spark.written(final)
+
+
+def _late_links(large: DataFrame, found: DataFrame, whole: DataFrame, rule: Similarity, kept, confirmed) -> DataFrame | None:
+    """Links(a, b) of members of large nodes outside their node's main component to members of other components.
+
+    An exact join of sets: of two similar sets, in any order of all tokens, the first tokens meet, and what follows
+    the first common one must still hold the overlap that is asked for.  Tokens that no such pair shares come first in
+    the order, then rare ones, so what many texts have in common is hardly ever looked at.  None without any.
+    """
+    placed = kept(large.select("node", "id").join(found, "id", "left").select("node", "id", F.coalesce("component", "id").alias("component")))
+    shares = placed.groupBy("node", "component").agg(F.count("*").alias("n"))
+    split = shares.groupBy("node").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", -F.col("component"))).alias("main")).filter("parts > 1")
+    rest = kept(placed.join(split, "node").groupBy("id", "component").agg(F.bool_or(F.col("component") != F.col("main")).alias("asks")))
+    if not rest.limit(1).count():
+        return None
+    mine = lambda rows: _spark.mapped(whole.join(rows.select("id"), "id").select("id", "text"), _set_rows(rule), "id bigint, n bigint, token bigint")
+    asked = kept(mine(rest.filter("asks")))
+    asked_tokens = kept(asked.select("token").distinct())
+    few = asked_tokens.count() <= BROADCAST_IDS
+    others = mine(rest.filter("not asks")).join(F.broadcast(asked_tokens) if few else asked_tokens, "token", "left_semi")
+    tokens = kept(asked.unionByName(others).join(rest, "id").select("id", "n", "token", "asks", "component"))
+    common = tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token", "c")
+    listed = tokens.join(common, "token").groupBy("id", "n", "asks", "component").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("l"))
+    p, n = rule.percent, F.col("n")
+    least = lambda x: F.ceil(x * p / 100).cast("bigint")  # noqa: E731  the smallest set that is similar enough to one of x
+    front = (n - least(n) + 1 - (n - F.size("l"))).cast("int")  # common tokens among the first of all
+    each = listed.filter(front > 0).select("id", "n", "asks", "component", F.posexplode(F.slice("l", F.lit(1), front)).alias("k", "t"))
+    # what of a set lies from its k-th common token on
+    each = kept(each.join(listed.select("id", F.size("l").alias("of")), "id").select("id", "n", "asks", "component", "t.token", (F.col("of") - F.col("k")).alias("after")))
+    kind = lambda x: F.floor(F.log(x.cast("double")) * 10).cast("int")  # noqa: E731  sets of one kind are within a tenth in size
+    most = F.floor(F.col("after") * (100 + p) / p).cast("bigint") - n  # the largest set with which the overlap can be enough
+    asking = each.filter("asks").withColumn("most", most).filter(F.col("most") >= least(n))
+    asking = asking.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), "token", F.col("after").alias("ax"), F.explode(F.sequence(kind(least(n)), kind(F.col("most")))).alias("kind"))
+    pairs = asking.join(each.withColumn("kind", kind(n)), ["token", "kind"]).filter("cx <> component")
+    pairs = pairs.filter(F.least("ax", "after") * (100 + p) >= p * (F.col("nx") + n)).select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+    more = _spark.written(confirmed(pairs, whole))
+    return more if more.limit(1).count() else None

@@ -101,7 +101,7 @@ def _made(size: int, least: int):
                 h = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), bands.shape[:2])
                 for k in range(ROWS):
                     h = _text.mix(h * _text._ODD + bands[:, :, k])
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(0, h.size + 1, BANDS), pa.int32()), pa.array(h.ravel().view(np.int64)))
+                keys = pa.array([r.tobytes() for r in h], pa.binary())
                 sketch = pa.array([r.tobytes() for r in (sig & 0xFF).astype(np.uint8)], pa.binary())
                 signed = np.full(len(f1), -1)
                 signed[once] = np.arange(len(once))
@@ -112,6 +112,11 @@ def _made(size: int, least: int):
     return run
 
 
+def _buckets(batch):
+    """(ids, nodes): each line's bands."""
+    yield np.repeat(batch.column(0).to_numpy(), BANDS), _links._fixed(batch.column(1)).reshape(-1).view(np.int64)
+
+
 def _numbered(df: DataFrame, key: str) -> DataFrame | None:
     """df as a written table with a number ``_row`` for each row, if its keys do not tell rows apart; else None."""
     shared = df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n")).filter("_key is null or _n > 1")
@@ -144,7 +149,7 @@ def _duplicates(slim: DataFrame, size: int = SHINGLE, percent: int = PERCENT, le
     spark = slim.sparkSession
     _spark.small_batches(spark)
     kind = slim.schema["doc"].dataType.simpleString()
-    made = _spark.written(_spark.mapped(slim, _made(size, least), f"doc {kind}, line bigint, f1 bigint, f2 bigint, sketch binary, bands array<bigint>"))
+    made = _spark.written(_spark.mapped(slim, _made(size, least), f"doc {kind}, line bigint, f1 bigint, f2 bigint, sketch binary, bands binary"))
     lines = made.select("doc", "line", "f1", "f2")
     classes = lines.groupBy("f1", "f2").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("copies"))
     classes = _spark.written(classes.select("f1", "f2", "first.doc", "first.line", "copies"))
@@ -155,12 +160,13 @@ def _duplicates(slim: DataFrame, size: int = SHINGLE, percent: int = PERCENT, le
     def named(rows: DataFrame) -> DataFrame:
         return rows.withColumn("id", F.col("f1")) if clear else rows.join(clash, "f1", "left").withColumn("id", F.when(F.col("clash"), F.col("f2")).otherwise(F.col("f1"))).drop("clash")
 
-    tables = [classes]
+    tables = [classes, clash]
     classes = named(classes)
     signed = named(made.filter("sketch is not null"))
-    rows = _links.nodes_of(signed.select("id", F.explode("bands").alias("node")))
-    tables += [rows, _spark.written(rows.select("id").distinct())]
-    sketches = _links.picked(signed.select("id", "sketch"), "id", tables[-1]).dropDuplicates(["id"])
+    nodes = _links.nodes_of(signed.select("id", "bands"), _buckets, BANDS)
+    tables += [nodes.rows, _spark.written(nodes.rows.select("id").distinct())]
+    tables.append(_spark.written(_links.picked(signed.select("id", "sketch"), "id", tables[-1]).dropDuplicates(["id"])))
+    sketches = tables[-1]
 
     def texts(ids: DataFrame) -> DataFrame:
         places = _links.picked(classes.select("id", "doc", "line"), "id", ids)
@@ -170,7 +176,8 @@ def _duplicates(slim: DataFrame, size: int = SHINGLE, percent: int = PERCENT, le
         each = F.explode(F.transform("asked", lambda a: F.struct(a["id"].alias("id"), F.get("parts", a["line"].cast("int")).cast("binary").alias("text"))))
         return parts.select(each.alias("e")).select("e.*").dropDuplicates(["id"])
 
-    links, found = _links.link(rows, sketches, texts, _links.Similarity(line_sets(size), percent, LOOSE))
+    large = nodes.part(True) if nodes.large is not None else None
+    links, found = _links.link(nodes.part(False), large, sketches, texts, _links.Similarity(line_sets(size), percent, LOOSE))
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     # only classes with links or copies need more than their own first line
     linked = classes.join(found, "id").join(degree, "id", "left")
@@ -179,6 +186,7 @@ def _duplicates(slim: DataFrame, size: int = SHINGLE, percent: int = PERCENT, le
     copied = classes.filter("copies > 1").select("f1", "f2", F.col("doc").alias("cd"), F.col("line").alias("cl"), "copies")
     info = _spark.written(copied.join(linked, ["f1", "f2"], "full").select("f1", "f2", F.coalesce("hd", "cd").alias("hd"), F.coalesce("hl", "cl").alias("hl"), "n_links", "copies"))
     _spark.dropped(*tables)
+    nodes.drop()
     out = lines.join(info.hint("shuffle_hash"), ["f1", "f2"], "left")
     head, at = F.coalesce("hd", "doc"), F.coalesce("hl", "line")
     return out.select(

@@ -11,6 +11,8 @@ bring the recall to its target: one tree keeps a pair of similarity 0.8 together
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -72,21 +74,22 @@ def _tokens(column: pa.Array) -> np.ndarray:
 
 
 def _roots(trees: int):
-    def run(batches):
-        for batch in batches:
-            ids, tokens = batch.column(0).to_numpy(), _tokens(batch.column(1))
-            for t in range(trees):
-                rows, child = _children(np.full(len(ids), t + 1, np.uint64), tokens)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(child.view(np.int64))], ["id", "node"])
+    """(ids, nodes) of (id, tokens): the first level of all trees."""
 
-    return run
+    def entries(batch):
+        ids, tokens = batch.column(0).to_numpy(), _tokens(batch.column(1))
+        for t in range(trees):
+            rows, child = _children(np.full(len(ids), t + 1, np.uint64), tokens)
+            yield ids[rows], child.view(np.int64)
 
+    return entries
 
-def _branches(batches):
-    for batch in batches:
-        ids = batch.column(0).to_numpy()
-        rows, child = _children(batch.column(1).to_numpy().view(np.uint64), _tokens(batch.column(2)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(child.view(np.int64))], ["id", "node"])
+
+def _branches(batch):
+    """(ids, nodes) of (id, node, tokens): the next level."""
+    ids = batch.column(0).to_numpy()
+    rows, child = _children(batch.column(1).to_numpy().view(np.uint64), _tokens(batch.column(2)))
+    yield ids[rows], child.view(np.int64)
 
 
 def _sketch(batches):
@@ -114,25 +117,22 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     docs = _spark.written(made.join(alike, ["f1", "f2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"), F.when(F.coalesce("rep", "id") == F.col("id"), F.col("tokens")).alias("tokens")))
     _spark.dropped(made)
     reps = _spark.written(docs.filter("id = rep and n > 0").select("id", "tokens").dropDuplicates(["id"]))
-    rows = _links.nodes_of(_spark.mapped(reps, _roots(trees), "id bigint, node bigint"))
-    tables, leaves = [reps, rows], [rows.filter(F.col("n") <= _links.SMALL)]
-    for level in range(1, DEPTH):
-        large = rows.filter(F.col("n") > _links.SMALL)
-        if not large.limit(1).count():
-            break
-        rows = _links.nodes_of(_spark.mapped(large.join(reps, "id").select("id", "node", "tokens"), _branches, "id bigint, node bigint"))
-        tables.append(rows)
-        leaves.append(rows if level == DEPTH - 1 else rows.filter(F.col("n") <= _links.SMALL))
-    all_leaves = leaves[0]
-    for more in leaves[1:]:
-        all_leaves = all_leaves.union(more)
+    share = 100 / PERCENT
+    nodes = _links.nodes_of(reps, _roots(trees), trees * share)
+    levels = [nodes]
+    while len(levels) < DEPTH and levels[-1].large is not None:
+        levels.append(_links.nodes_of(levels[-1].part(True).join(reps, "id").select("id", "node", "tokens"), _branches, share))
+    leaves = reduce(DataFrame.union, [n.part(False) for n in levels])
+    large = levels[-1].part(True) if levels[-1].large is not None else None
     sketches = _spark.mapped(reps, _sketch, "id bigint, sketch binary")
 
     def texts(ids: DataFrame) -> DataFrame:
         return _links.picked(slim, "id", ids).select("id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).dropDuplicates(["id"])
 
-    links, found = _links.link(all_leaves, sketches, texts, _links.Similarity(word_sets(words), percent, LOOSE))
-    _spark.dropped(*tables)
+    links, found = _links.link(leaves, large, sketches, texts, _links.Similarity(word_sets(words), percent, LOOSE))
+    _spark.dropped(reps)
+    for n in levels:
+        n.drop()
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     info = found.withColumnRenamed("id", "rep").join(degree, "rep", "left")
     out = docs.join(info, "rep", "left")
