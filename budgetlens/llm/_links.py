@@ -7,8 +7,8 @@ turned into links that are confirmed on whole texts, in a way that is linear in
 * a large node gets a few pivots, the members of a fixed-size sample that are closest to its common sketch; each
   member that may be similar to a pivot is verified against it;
 * members that no pivot joins get pivots of their own, as long as that joins many;
-* those that are left outside their node's main component are joined with all members of such nodes by an exact
-  prefix filter over whole sets, in which what many texts share comes last.
+* those that are left outside their node's main component are compared with all others of the node, or in larger nodes
+  joined with them by an exact prefix filter over whole sets, in which what many texts share comes last.
 
 Components come from label propagation with pointer jumping over tables in the shared folder.
 """
@@ -30,6 +30,8 @@ from . import _spark, _text
 SMALL = 16
 #: Members of a large node among which its pivots are sought, pivots, and how often they are sought.
 SAMPLE, PIVOTS, ROUNDS = 256, 3, 4
+#: Largest node whose late members are compared with all others, and its texts' bytes.
+MIDDLE, NODE_BYTES = 512, 2 << 20
 #: Ids that are sent to all executors; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -163,6 +165,38 @@ def _verified(rule: Similarity):
     return run
 
 
+def _asked(rule: Similarity):
+    """Links of nodes (list of id, component, asks, text): from those that ask, one to each other component."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(0)
+            bounds = lists.offsets.to_numpy()
+            flat = lists.values
+            ids, comp, asks = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2))
+            buf, off = _binary(flat.field(3))
+            low, high = [], []
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                v, at = rule.sets(buf[off[a] : off[b]], off[a : b + 1] - off[a])
+                size = np.diff(at)
+                owner = np.repeat(np.arange(b - a), size)
+                order = np.argsort(v, kind="stable")
+                tokens, owner = v[order], owner[order]
+                for q in np.flatnonzero(asks[a:b].astype(bool)).tolist():
+                    x = v[at[q] : at[q + 1]]
+                    lo, hi = np.searchsorted(tokens, x, "left"), np.searchsorted(tokens, x, "right")
+                    runs = hi - lo
+                    where = np.repeat(lo - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs) + np.arange(runs.sum())
+                    both = np.bincount(owner[where], minlength=b - a)
+                    hit = np.flatnonzero((100 * both >= rule.percent * (size + len(x) - both)) & (comp[a:b] != comp[a + q]))
+                    _, one = np.unique(comp[a + hit], return_index=True)
+                    low += [int(ids[a + q])] * len(one)
+                    high += ids[a + hit[one]].tolist()
+            yield _pairs(np.array(low, np.int64), np.array(high, np.int64))
+
+    return run
+
+
 def _set_rows(rule: Similarity):
     """(id, n, token): the members of each text's set, and their number, of rows (id, text)."""
 
@@ -355,13 +389,13 @@ def _linked(small: DataFrame, large: DataFrame | None, sketches: DataFrame, text
     links = _spark.written(confirmed(candidates, whole))
     if large is None:
         return links, components(links)
-    # members that no pivot has joined get pivots of their own, as long as that joins many of them
+    # where many members are left that no pivot has joined, they get pivots of their own, as long as that joins many
     todo, n = large, large.count()
     for _ in range(ROUNDS - 1):
         told = near.select("node", "id", *ordered("id", "pivot")).join(links, ["a", "b"]).select("node", "id")
         told = told.union(pivots.select("node", F.col("pivot").alias("id"))).distinct()
         rest = todo.join(told, ["node", "id"], "left_anti")
-        many = rest.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > SMALL).select("node")
+        many = rest.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > MIDDLE).select("node")
         todo, before = kept(rest.join(many, "node", "left_semi")), n
         n = todo.count()
         if not n or 4 * n > 3 * before:
@@ -386,16 +420,33 @@ def _linked(small: DataFrame, large: DataFrame | None, sketches: DataFrame, text
 def _late_links(large: DataFrame, found: DataFrame, whole: DataFrame, rule: Similarity, kept, confirmed) -> DataFrame | None:
     """Links(a, b) of members of large nodes outside their node's main component to members of other components.
 
-    An exact join of sets: of two similar sets, in any order of all tokens, the first tokens meet, and what follows
-    the first common one must still hold the overlap that is asked for.  Tokens that no such pair shares come first in
-    the order, then rare ones, so what many texts have in common is hardly ever looked at.  None without any.
+    Nodes of up to MIDDLE members and NODE_BYTES compare these with all others.  The rest have an exact join of sets: of
+    two similar sets, in any order of all tokens, the first tokens meet, and what follows the first common one must
+    still hold the overlap that is asked for.  Tokens that no such pair shares come first in the order, then rare
+    ones, so what many texts have in common is hardly ever looked at.  None without any link.
     """
     placed = kept(large.select("node", "id").join(found, "id", "left").select("node", "id", F.coalesce("component", "id").alias("component")))
     shares = placed.groupBy("node", "component").agg(F.count("*").alias("n"))
-    split = shares.groupBy("node").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", -F.col("component"))).alias("main")).filter("parts > 1")
-    rest = kept(placed.join(split, "node").groupBy("id", "component").agg(F.bool_or(F.col("component") != F.col("main")).alias("asks")))
+    split = shares.groupBy("node").agg(F.count("*").alias("parts"), F.sum("n").alias("members"), F.max_by("component", F.struct("n", -F.col("component"))).alias("main")).filter("parts > 1")
+    sizes = whole.select("id", F.octet_length("text").alias("size"))
+    rest = placed.join(split, "node").join(sizes, "id").select("node", "id", "component", (F.col("component") != F.col("main")).alias("asks"), "members", "size")
+    rest = kept(rest)
     if not rest.limit(1).count():
         return None
+    middle = kept(rest.groupBy("node").agg(F.any_value("members").alias("n"), F.sum("size").alias("bytes")).filter((F.col("n") <= MIDDLE) & (F.col("bytes") <= NODE_BYTES)).select("node"))
+    few = middle.count() <= BROADCAST_IDS
+    part = lambda how: rest.join(F.broadcast(middle) if few else middle, "node", how)
+    lists = part("left_semi").join(whole, "id").groupBy("node").agg(F.collect_list(F.struct("id", "component", "asks", "text")).alias("l")).select("l")
+    more = _spark.mapped(lists, _asked(rule), "a bigint, b bigint")
+    members = kept(part("left_anti").groupBy("id", "component").agg(F.bool_or("asks").alias("asks")))
+    if members.limit(1).count():
+        more = more.union(confirmed(_common_fronts(members, whole, rule, kept).distinct(), whole))
+    more = _spark.written(more.distinct())
+    return more if more.limit(1).count() else None
+
+
+def _common_fronts(rest: DataFrame, whole: DataFrame, rule: Similarity, kept) -> DataFrame:
+    """Pairs(a, b) of rest(id, component, asks), of two components and one at least that asks, that may be similar."""
     mine = lambda rows: _spark.mapped(whole.join(rows.select("id"), "id").select("id", "text"), _set_rows(rule), "id bigint, n bigint, token bigint")
     asked = kept(mine(rest.filter("asks")))
     asked_tokens = kept(asked.select("token").distinct())
@@ -407,14 +458,13 @@ def _late_links(large: DataFrame, found: DataFrame, whole: DataFrame, rule: Simi
     p, n = rule.percent, F.col("n")
     least = lambda x: F.ceil(x * p / 100).cast("bigint")  # noqa: E731  the smallest set that is similar enough to one of x
     front = (n - least(n) + 1 - (n - F.size("l"))).cast("int")  # common tokens among the first of all
-    each = listed.filter(front > 0).select("id", "n", "asks", "component", F.posexplode(F.slice("l", F.lit(1), front)).alias("k", "t"))
-    # what of a set lies from its k-th common token on
-    each = kept(each.join(listed.select("id", F.size("l").alias("of")), "id").select("id", "n", "asks", "component", "t.token", (F.col("of") - F.col("k")).alias("after")))
+    # after: what of a set lies from its k-th common token on
+    each = listed.filter(front > 0).select("id", "n", "asks", "component", F.size("l").alias("of"), F.posexplode(F.slice("l", F.lit(1), front)).alias("k", "t"))
+    each = kept(each.select("id", "n", "asks", "component", "t.token", (F.col("of") - F.col("k")).alias("after")))
     kind = lambda x: F.floor(F.log(x.cast("double")) * 10).cast("int")  # noqa: E731  sets of one kind are within a tenth in size
     most = F.floor(F.col("after") * (100 + p) / p).cast("bigint") - n  # the largest set with which the overlap can be enough
     asking = each.filter("asks").withColumn("most", most).filter(F.col("most") >= least(n))
     asking = asking.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), "token", F.col("after").alias("ax"), F.explode(F.sequence(kind(least(n)), kind(F.col("most")))).alias("kind"))
     pairs = asking.join(each.withColumn("kind", kind(n)), ["token", "kind"]).filter("cx <> component")
-    pairs = pairs.filter(F.least("ax", "after") * (100 + p) >= p * (F.col("nx") + n)).select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
-    more = _spark.written(confirmed(pairs, whole))
-    return more if more.limit(1).count() else None
+    pairs = pairs.filter(F.least("ax", "after") * (100 + p) >= p * (F.col("nx") + n))
+    return pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
