@@ -32,6 +32,9 @@ SMALL = 16
 SAMPLE, PIVOTS, ROUNDS = 256, 3, 4
 #: Largest node whose late members are compared with all others, and its texts' bytes.
 MIDDLE, NODE_BYTES = 512, 2 << 20
+#: Cells in which tokens are counted, by their upper bits: sent to all tasks, eight bytes each.
+CELLS = 1 << 20
+_SHIFT = np.uint64(64 - 20)
 #: Ids that are sent to all executors; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -197,18 +200,47 @@ def _asked(rule: Similarity):
     return run
 
 
-def _set_rows(rule: Similarity):
-    """(id, n, token): the members of each text's set, and their number, of rows (id, text)."""
+def _cells(rule: Similarity):
+    """(cell, n, asked): members of the sets of rows (id, component, asks, text) in each cell, and those of sets that ask."""
 
     def run(batches):
+        held = np.zeros((2, CELLS), np.int64)
         for batch in batches:
-            buf, off = _binary(batch.column(1))
-            ids = batch.column(0).to_numpy()
+            asks = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            buf, off = _binary(batch.column(3))
             for a, b in _text.slices(off):
                 v, at = rule.sets(buf[off[a] : off[b]], off[a : b + 1] - off[a])
-                size = np.diff(at)
-                columns = [np.repeat(ids[a:b], size), np.repeat(size, size), v.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "n", "token"])
+                cell = (v >> _SHIFT).astype(np.int64)
+                held[0] += np.bincount(cell, minlength=CELLS)
+                held[1] += np.bincount(cell[np.repeat(asks[a:b], np.diff(at))], minlength=CELLS)
+        at = np.flatnonzero(held[0])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (at, *held[:, at])], ["cell", "n", "asked"])
+
+    return run
+
+
+def _fronts(rule: Similarity, sent):
+    """(id, component, asks, n, token, after) of rows (id, component, asks, text): the tokens of the first part of each
+    text's set of n, as far as texts that ask may have them, and how many such tokens lie from each on."""
+
+    def run(batches):
+        common = sent.value
+        for batch in batches:
+            buf, off = _binary(batch.column(3))
+            for a, b in _text.slices(off):
+                v, at = rule.sets(buf[off[a] : off[b]], off[a : b + 1] - off[a])
+                size, rows = np.diff(at), np.repeat(np.arange(b - a), np.diff(at))
+                c = common[(v >> _SHIFT).astype(np.int64)]
+                keep = np.flatnonzero(c)
+                keep = keep[np.lexsort((v[keep], c[keep], rows[keep]))]
+                of = np.bincount(rows[keep], minlength=b - a)
+                place = np.arange(len(keep)) - np.repeat(np.cumsum(of) - of, of)
+                row = rows[keep]
+                first = size + 1 + (-rule.percent * size) // 100  # so many of the first of all tokens
+                take = place < (first - (size - of))[row]
+                keep, row, after = keep[take], row[take], (of[row] - place)[take]
+                columns = [batch.column(k).slice(a, b - a).take(pa.array(row)) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(size[row]), pa.array(v[keep].view(np.int64)), pa.array(after)], ["id", "component", "asks", "n", "token", "after"])
 
     return run
 
@@ -422,8 +454,9 @@ def _late_links(large: DataFrame, found: DataFrame, whole: DataFrame, rule: Simi
 
     Nodes of up to MIDDLE members and NODE_BYTES compare these with all others.  The rest have an exact join of sets: of
     two similar sets, in any order of all tokens, the first tokens meet, and what follows the first common one must
-    still hold the overlap that is asked for.  Tokens that no such pair shares come first in the order, then rare
-    ones, so what many texts have in common is hardly ever looked at.  None without any link.
+    still hold the overlap that is asked for.  Tokens that no text that asks has come first in the order, then rare
+    ones by a table of counts of fixed size, so what many texts have in common is hardly ever looked at.  None without
+    any link.
     """
     placed = kept(large.select("node", "id").join(found, "id", "left").select("node", "id", F.coalesce("component", "id").alias("component")))
     shares = placed.groupBy("node", "component").agg(F.count("*").alias("n"))
@@ -447,24 +480,18 @@ def _late_links(large: DataFrame, found: DataFrame, whole: DataFrame, rule: Simi
 
 def _common_fronts(rest: DataFrame, whole: DataFrame, rule: Similarity, kept) -> DataFrame:
     """Pairs(a, b) of rest(id, component, asks), of two components and one at least that asks, that may be similar."""
-    mine = lambda rows: _spark.mapped(whole.join(rows.select("id"), "id").select("id", "text"), _set_rows(rule), "id bigint, n bigint, token bigint")
-    asked = kept(mine(rest.filter("asks")))
-    asked_tokens = kept(asked.select("token").distinct())
-    few = asked_tokens.count() <= BROADCAST_IDS
-    others = mine(rest.filter("not asks")).join(F.broadcast(asked_tokens) if few else asked_tokens, "token", "left_semi")
-    tokens = kept(asked.unionByName(others).join(rest, "id").select("id", "n", "token", "asks", "component"))
-    common = tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token", "c")
-    listed = tokens.join(common, "token").groupBy("id", "n", "asks", "component").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("l"))
+    rows = kept(whole.join(rest, "id").select("id", "component", "asks", "text"))
+    counts = _spark.mapped(rows, _cells(rule), "cell bigint, n bigint, asked bigint").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("asked").alias("asked")).filter("asked > 0").select("cell", "n").toArrow()
+    common = np.zeros(CELLS, np.int64)
+    common[counts["cell"].to_numpy()] = counts["n"].to_numpy()
+    sent = rows.sparkSession.sparkContext.broadcast(common)
+    each = kept(_spark.mapped(rows, _fronts(rule, sent), "id bigint, component bigint, asks boolean, n bigint, token bigint, after bigint"))
     p, n = rule.percent, F.col("n")
-    least = lambda x: F.ceil(x * p / 100).cast("bigint")  # noqa: E731  the smallest set that is similar enough to one of x
-    front = (n - least(n) + 1 - (n - F.size("l"))).cast("int")  # common tokens among the first of all
-    # after: what of a set lies from its k-th common token on
-    each = listed.filter(front > 0).select("id", "n", "asks", "component", F.size("l").alias("of"), F.posexplode(F.slice("l", F.lit(1), front)).alias("k", "t"))
-    each = kept(each.select("id", "n", "asks", "component", "t.token", (F.col("of") - F.col("k")).alias("after")))
+    least = F.ceil(n * p / 100).cast("bigint")  # the smallest set that is similar enough
+    most = F.floor(F.col("after") * (100 + p) / p).cast("bigint") - n  # the largest one with which the overlap can be enough
     kind = lambda x: F.floor(F.log(x.cast("double")) * 10).cast("int")  # noqa: E731  sets of one kind are within a tenth in size
-    most = F.floor(F.col("after") * (100 + p) / p).cast("bigint") - n  # the largest set with which the overlap can be enough
-    asking = each.filter("asks").withColumn("most", most).filter(F.col("most") >= least(n))
-    asking = asking.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), "token", F.col("after").alias("ax"), F.explode(F.sequence(kind(least(n)), kind(F.col("most")))).alias("kind"))
+    asking = each.filter("asks").withColumn("most", most).filter(F.col("most") >= least)
+    asking = asking.select(F.col("id").alias("x"), n.alias("nx"), F.col("component").alias("cx"), "token", F.col("after").alias("ax"), F.explode(F.sequence(kind(least), kind(F.col("most")))).alias("kind"))
     pairs = asking.join(each.withColumn("kind", kind(n)), ["token", "kind"]).filter("cx <> component")
     pairs = pairs.filter(F.least("ax", "after") * (100 + p) >= p * (F.col("nx") + n))
     return pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))

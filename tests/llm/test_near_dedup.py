@@ -72,3 +72,29 @@ def test_components_of_long_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 99)], "a bigint, b bigint")
     got = {r["id"]: r["component"] for r in _links.components(links).collect()}
     assert got == {**{i: 0 for i in range(41)}, 99: 99, 100: 99, 101: 99}
+
+
+@pytest.mark.parametrize("middle", [512, 0])
+def test_families_under_the_threshold_equal_brute_force(spark, monkeypatch, middle):
+    """Texts that share most of a template without being similar, and a few that are, late in large nodes."""
+    import random
+
+    monkeypatch.setattr(_links, "MIDDLE", middle)
+    rng = random.Random(11)
+    fresh = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for shared, own in ((100, 24), (90, 16)):
+        base = fresh(shared)
+        family = [[*base, *fresh(own + rng.randint(-6, 6))] for _ in range(45)]
+        texts += family
+        for copy in family[:12]:
+            copy = list(copy)
+            for _ in range(rng.randint(1, 4)):
+                copy[rng.randrange(shared, len(copy))] = fresh(1)[0]
+            texts.append(copy)
+    texts = [" ".join(t) for t in texts]
+    rng.shuffle(texts)
+    _, comp = brute(texts)
+    assert len(set(comp)) > 20
+    rows = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(documents(spark, texts)).collect()}
+    assert [rows[i] for i in range(len(texts))] == comp
