@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
 import uuid
 
@@ -21,11 +20,11 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder: spark.checkpoint.dir, else (tests on one machine) a temporary folder."""
+    """The cluster's shared folder: spark.checkpoint.dir, else a folder of the warehouse, which executors share too."""
     set_already = spark.sparkContext._jsc.sc().getCheckpointDir()
     if set_already.isDefined():
         return set_already.get()
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="budgetlens-")
+    path = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints-{uuid.uuid4().hex}"
     spark.sparkContext.setCheckpointDir(path)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -84,6 +83,17 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("_budgetlens_worker", types.ModuleType("_budgetlens_worker")).__dict__.setdefault("cache", {})
 
 
+def free(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """names, with underscores before them until df has no such columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return tuple(out)
+
+
 def ascii_lower(c):
     """Lower-cases A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -2,9 +2,9 @@
 
 Each benchmark item has fingerprints of its first and last g words, where g is a grid size just below its length.
 Every g-word window of every document is fingerprinted by the same 64-bit SimHash over words: bit counters lie eight
-to a 64-bit number, so a window's counters are differences of running sums.  Fingerprints are cut into four blocks;
-an item and a window within RADIUS bits agree in some block up to one bit, so tables of such block values find every
-pair within the radius.
+to a 64-bit number (four for long windows), so a window's counters are differences of running sums.  Fingerprints are
+cut into four blocks; an item and a window within RADIUS bits agree in some block up to one bit, so an index from
+block values to items, with all values one bit away, finds every pair within the radius and compares no others.
 
 The radius alone promises nothing for a copy that is edited or trimmed at both ends.  So each item also has the
 fingerprints of some of its 5-word windows, its anchors: more of them than shingles can be missing at the similarity
@@ -14,6 +14,7 @@ similarity of 5-word shingles, weighted by their occurrences, between the item a
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -27,14 +28,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Four blocks, each searched up to one bit: all fingerprints within 4 * 2 - 1 bits.
 RADIUS = 7
-#: Ratio of the grid of window sizes, and the longest window whose bit counters fit a byte.
-RATIO, LONGEST = 1.22, 120
+#: Ratio of the grid of window sizes, the longest window whose bit counters fit a byte, and the longest of all.
+RATIO, BYTE, LONGEST = 1.22, 120, 32_000
 #: Items that one pass over the documents looks for; more are taken in further passes.
-BLOCK_ITEMS, BLOCK_BYTES = 4096, 16 << 20
-
-_HIGH = np.uint64(0x8080808080808080)
-_ONES = np.uint64(0x0101010101010101)
-
+BLOCK_ITEMS, BLOCK_BYTES = 1 << 15, 16 << 20
 
 def grid() -> list[int]:
     sizes, x = [SHINGLE], float(SHINGLE)
@@ -45,37 +42,82 @@ def grid() -> list[int]:
     return sizes
 
 
-def running_sums(h: np.ndarray) -> list[np.ndarray]:
-    """For each byte of the word hashes, running sums of its bits: bit k in byte lane k."""
-    out = []
-    spread = np.zeros(256, np.uint64)
-    for k in range(8):
-        spread |= ((np.arange(256, dtype=np.uint64) >> np.uint64(k)) & np.uint64(1)) << np.uint64(8 * k)
-    for lane in h.view(np.uint8).reshape(-1, 8).T if len(h) else np.zeros((8, 0), np.uint8):
-        s = np.zeros(len(h) + 1, np.uint64)
-        np.cumsum(spread[lane], out=s[1:])
-        out.append(s)
-    return out
-
-
-def fingerprints(sums: list[np.ndarray], start: np.ndarray | slice, stop: np.ndarray | slice, size: int) -> np.ndarray:
-    """SimHash of the windows [start, stop), of size words each: a bit is set where most words have it."""
-    bias = np.uint64(127 - size // 2) * _ONES
-    out = None
-    for k, s in enumerate(sums):
-        x = s[stop] - s[start]
-        x += bias
-        x &= _HIGH
-        x >>= np.uint64(7)
-        # lane k of x (0 or 1) to bit k
-        x *= np.uint64(0x0102040810204080)
-        x >>= np.uint64(56)
-        if k:
-            x <<= np.uint64(8 * k)
-            out |= x
-        else:
-            out = x
-    return out
+def _repeated(value: int, lane: int) -> np.uint64:
+    return np.uint64(sum(value << at for at in range(0, 64, lane)))
+
+
+class Sums:
+    """Running sums of the bits of word hashes, in lanes of 8 bits, or of 16 for windows of more than BYTE words."""
+
+    def __init__(self, h: np.ndarray) -> None:
+        self.h, self.made = h, {}
+
+    def lanes(self, lane: int) -> list[np.ndarray]:
+        """For each 64 // lane bits of the hashes, running sums of them: bit k in lane k."""
+        if lane not in self.made:
+            n = 64 // lane
+            spread = np.zeros(1 << n, np.uint64)
+            for k in range(n):
+                spread |= ((np.arange(1 << n, dtype=np.uint64) >> np.uint64(k)) & np.uint64(1)) << np.uint64(lane * k)
+            self.made[lane] = []
+            for k in range(lane):
+                s = np.zeros(len(self.h) + 1, np.uint64)
+                np.cumsum(spread[((self.h >> np.uint64(n * k)) & np.uint64((1 << n) - 1)).astype(np.uint8)], out=s[1:])
+                self.made[lane].append(s)
+        return self.made[lane]
+
+    def prints(self, start: np.ndarray | slice, stop: np.ndarray | slice, size: int) -> np.ndarray:
+        """SimHash of the windows [start, stop), of size words each: a bit is set where most words have it."""
+        lane = 8 if size <= BYTE else 16
+        n, half = 64 // lane, 1 << (lane - 1)
+        bias, high = _repeated(half - 1 - size // 2, lane), _repeated(half, lane)
+        # moves lane k's lowest bit to bit k of the upper n bits
+        gather = np.uint64(sum(1 << (64 - n + k - lane * k) for k in range(n)))
+        out = None
+        for k, s in enumerate(self.lanes(lane)):
+            x = s[stop] - s[start]
+            x += bias
+            x &= high
+            x >>= np.uint64(lane - 1)
+            x *= gather
+            x >>= np.uint64(64 - n)
+            if k:
+                x <<= np.uint64(n * k)
+                out |= x
+            else:
+                out = x
+        return out
+
+
+class Prints:
+    """A multi-index of fingerprints: from the values of each block, up to one bit, to the fingerprints that have them."""
+
+    near = np.array([0, *(1 << k for k in range(16))], np.int64)
+
+    def __init__(self, prints: np.ndarray) -> None:
+        self.prints, self.any, self.first, self.owners = prints, [], [], []
+        for b in range(4):
+            value = ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
+            value = (value[:, None] ^ self.near).ravel()
+            order = np.argsort(value, kind="stable")
+            count = np.bincount(value, minlength=1 << 16)
+            self.any.append(count > 0)
+            self.first.append(np.concatenate([[0], np.cumsum(count)]))
+            self.owners.append(order // len(self.near))
+
+    def search(self, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place among marks, place among the fingerprints) of pairs within the radius, some more than once."""
+        found = [np.zeros((2, 0), np.int64)]
+        for b in range(4):
+            value = ((marks >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
+            at = np.flatnonzero(self.any[b][value])
+            first = self.first[b][value[at]]
+            n = self.first[b][value[at] + 1] - first
+            mark = np.repeat(at, n)
+            own = self.owners[b][np.repeat(first - (np.cumsum(n) - n), n) + np.arange(len(mark))]
+            good = np.bitwise_count(marks[mark] ^ self.prints[own]) <= RADIUS
+            found.append(np.stack([mark[good], own[good]]))
+        return tuple(np.concatenate(found, axis=1))
 
 
 def n_anchors(total: int) -> int:
@@ -117,33 +159,32 @@ def best_window(runs: np.ndarray, n_words: int, kinds: np.ndarray, most: np.ndar
 class Items:
     """An index of items by window size, and of their anchors."""
 
+    @classmethod
+    def of(cls, name: str, items: list[tuple[object, bytes]]) -> Items:
+        """The index of a block that was sent, made once for a worker."""
+        cache = _spark.worker_cache()
+        if cache.get("items", (None,))[0] != name:
+            cache["items"] = (name, cls([(k, np.frombuffer(h, np.uint64)) for k, h in items]))
+        return cache["items"][1]
+
     def __init__(self, items: list[tuple[object, np.ndarray]]) -> None:
         self.items = []
         for i, h in items:
             runs = _text.shingle_runs(h, np.array([0, len(h)]), SHINGLE)[0]
             self.items.append((i, h, *np.unique(runs, return_counts=True)))
         sizes = np.array(grid())
-        by: dict[int, list[tuple[int, int, int]]] = {}
+        by: dict[int, list[tuple[int, int]]] = {}
         for n, (_, h, *_) in enumerate(self.items):
             g = int(sizes[np.searchsorted(sizes, len(h), side="right") - 1])
-            sums = running_sums(h)
+            sums = Sums(h)
             for at in sorted({0, len(h) - g}):
-                f = int(fingerprints(sums, np.array([at]), np.array([at + g]), g)[0])
-                by.setdefault(g, []).append((f, n, at))
-        self.sizes = {}
-        near = np.array([0, *(1 << k for k in range(16))], np.uint64)
-        for g, found in by.items():
-            prints = np.array([f for f, _, _ in found], np.uint64)
-            tables = np.zeros((4, 1 << 16), bool)
-            for b in range(4):
-                block = (prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)
-                tables[b][(block[:, None] ^ near).astype(np.int64).ravel()] = True
-            self.sizes[g] = (prints, [n for _, n, _ in found], tables)
+                by.setdefault(g, []).append((int(sums.prints(np.array([at]), np.array([at + g]), g)[0]), n))
+        self.sizes = {g: (Prints(np.array([f for f, _ in found], np.uint64)), np.array([n for _, n in found])) for g, found in by.items()}
         self._anchor()
 
     def _anchor(self) -> None:
         """Of each item, anchors that few other items have; anchors are sorted, and a table tells their upper bits."""
-        own = [fingerprints(running_sums(h), slice(None, len(h) - SHINGLE + 1), slice(SHINGLE, None), SHINGLE) for _, h, *_ in self.items]
+        own = [Sums(h).prints(slice(None, len(h) - SHINGLE + 1), slice(SHINGLE, None), SHINGLE) for _, h, *_ in self.items]
         shared = Counter(f for marks in own for f in set(marks.tolist()))
         pairs = sorted({(f, n) for n, marks in enumerate(own) for f in sorted(marks.tolist(), key=shared.__getitem__)[: n_anchors(len(marks))]})
         self.anchors, self.anchored = np.array([f for f, _ in pairs], np.uint64), np.array([n for _, n in pairs], np.int64)
@@ -151,44 +192,37 @@ class Items:
         self.shift, self.upper = np.uint64(64 - bits), np.zeros(1 << bits, bool)
         self.upper[(self.anchors >> self.shift).astype(np.int64)] = True
 
-    def candidates(self, h: np.ndarray, first: np.ndarray):
+    def candidates(self, h: np.ndarray, first: np.ndarray) -> set[tuple[int, int]]:
         """(text, item): pairs that share an anchor, or have fingerprints that lie within the radius."""
-        sums = running_sums(h)
+        sums, out = Sums(h), set()
         counts = np.diff(first)
         text_of = np.repeat(np.arange(len(counts)), counts)
         if len(h) >= SHINGLE:
-            marks = fingerprints(sums, slice(None, len(h) - SHINGLE + 1), slice(SHINGLE, None), SHINGLE)
+            marks = sums.prints(slice(None, len(h) - SHINGLE + 1), slice(SHINGLE, None), SHINGLE)
             at = np.flatnonzero(self.upper[(marks >> self.shift).astype(np.int64)])
             at = at[text_of[at] == text_of[at + SHINGLE - 1]]
             low, high = (np.searchsorted(self.anchors, marks[at], side=side) for side in ("left", "right"))
             for i in np.flatnonzero(high > low).tolist():
                 t = int(text_of[at[i]])
-                yield from ((t, n) for n in self.anchored[low[i] : high[i]].tolist())
-        for g, (prints, owners, tables) in self.sizes.items():
+                out |= {(t, n) for n in self.anchored[low[i] : high[i]].tolist()}
+        for g, (prints, owners) in self.sizes.items():
             if len(h) >= g:
                 inside = np.flatnonzero(text_of[: len(h) - g + 1] == text_of[g - 1 :])
-                yield from self._search(fingerprints(sums, slice(None, len(h) - g + 1), slice(g, None), g)[inside], inside, prints, owners, tables, text_of)
+                mark, own = prints.search(sums.prints(slice(None, len(h) - g + 1), slice(g, None), g)[inside])
+                out |= set(zip(text_of[inside[mark]].tolist(), owners[own].tolist()))
             # texts a little shorter than the window are windows of their own
             short = np.flatnonzero((counts < g) & (counts >= g * SIMILARITY))
             for n in np.unique(counts[short]).tolist():
                 start = first[short[counts[short] == n]]
-                yield from self._search(fingerprints(sums, start, start + n, n), start, prints, owners, tables, text_of)
-
-    @staticmethod
-    def _search(marks, start, prints, owners, tables, text_of):
-        hit = np.zeros(len(marks), bool)
-        for b in range(4):
-            hit |= tables[b][((marks >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)]
-        hit = np.flatnonzero(hit)
-        for k in range(len(prints)):
-            for i in hit[np.bitwise_count(marks[hit] ^ prints[k]) <= RADIUS].tolist():
-                yield int(text_of[start[i]]), owners[k]
+                mark, own = prints.search(sums.prints(start, start + n, n))
+                out |= set(zip(text_of[start[mark]].tolist(), owners[own].tolist()))
+        return out
 
     def hits(self, h: np.ndarray, first: np.ndarray) -> dict[int, list[tuple[object, int, int, float]]]:
         """For each text with any: (item id, first word, words, similarity) of the best window of each item in it."""
         out: dict[int, list] = {}
         runs = None
-        for t, n in sorted(set(self.candidates(h, first))):
+        for t, n in sorted(self.candidates(h, first)):
             if runs is None:
                 runs, at = _text.shingle_runs(h, first, SHINGLE)
             item_id, own, kinds, most = self.items[n]
@@ -215,25 +249,29 @@ def _item_blocks(items: DataFrame, key: str, text: str):
     yield block
 
 
-def flagged(df: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", keep_text: bool = True) -> DataFrame:
-    """df with ``_hits``: array of (item_id, first_word, n_words, similarity) of the items that its text holds.
+def flagged(df: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", keep_text: bool = True, name: str = "_hits") -> DataFrame:
+    """df with a column ``name``: array of (item_id, first_word, n_words, similarity) of the items that its text holds.
 
     Words are what white space (space, codes 9 to 13) divides, A-Z lowered.  Items of fewer than 5 words, and texts
-    without words, match nothing.  A null text has no words.  Items that repeat are each reported.  The items are
-    taken in blocks of bounded size, each looked for by a pass over all documents.
+    without words, match nothing.  A null text has no words.  Items that repeat are each reported, rows of df that
+    repeat each have their hits, and keys are not looked at, so null ones do no harm; of equally similar windows the
+    first is told.  A column of df that is called ``name`` is an error; others pass through.  The items are taken in
+    blocks of bounded size, each looked for by a pass over all documents.
     """
+    if name in df.columns:
+        raise ValueError(f"there is a column {name} already")
     spark = df.sparkSession
     _spark.small_batches(spark)
     item_kind = items.schema[item_key].dataType.simpleString()
     kind = f"array<struct<item_id:{item_kind},first_word:int,n_words:int,similarity:double>>"
-    out = df.select(text, *[c for c in df.columns if c != text]).withColumn("_hits", F.array().cast(kind))
+    out = df.select(text, *[c for c in df.columns if c != text]).withColumn(name, F.array().cast(kind))
     for block in _item_blocks(items, item_key, item_text):
         if not block:
             continue
-        sent = spark.sparkContext.broadcast([(k, h.tobytes()) for k, h in block])
+        sent = spark.sparkContext.broadcast((uuid.uuid4().hex, [(k, h.tobytes()) for k, h in block]))
 
         def run(batches, sent=sent):
-            index = Items([(k, np.frombuffer(h, np.uint64)) for k, h in sent.value])
+            index = Items.of(*sent.value)
             for batch in batches:
                 buf, off = _text.strings(batch.column(0))
                 found: dict[int, list] = {}

@@ -119,7 +119,7 @@ def _buckets(batch):
 
 def _numbered(df: DataFrame, key: str) -> DataFrame | None:
     """df as a written table with a number ``_row`` for each row, if its keys do not tell rows apart; else None."""
-    shared = df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n")).filter("_key is null or _n > 1")
+    shared = df.groupBy(F.col(key).alias("_shared")).agg(F.count("*").alias("_n")).filter("_shared is null or _n > 1")
     return _spark.written(df.withColumn("_row", F.monotonically_increasing_id())) if shared.limit(1).count() else None
 
 
@@ -198,20 +198,21 @@ def _duplicates(slim: DataFrame, size: int = SHINGLE, percent: int = PERCENT, le
 def without_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", **rules) -> DataFrame:
     """df with the lines that are not kept taken out of its texts.  Rows that lose all their lines go.
 
-    Rows without any line that takes part (null, empty, blank) stay as they are, as do all other columns.  Each row
-    loses its own lines only, also where keys are null or repeated.
+    Rows without any line that takes part (null, empty, blank) stay as they are, as do all other columns, whatever
+    they are called.  Each row loses its own lines only, also where keys are null or repeated.
     """
-    numbered = _numbered(df, key)
-    rows = df if numbered is None else numbered
-    doc = F.col(key) if numbered is None else F.struct(F.col(key).alias("key"), F.col("_row").alias("row"))
-    gone = _duplicates(rows.select(doc.alias("doc"), F.col(text).alias("text")), **rules).filter("not kept")
-    own, is_own = (F.col("doc"), F.col(key) == F.col("_key")) if numbered is None else (F.col("doc.row"), F.col("_row") == F.col("_key"))
-    joined = rows.join(gone.groupBy(own.alias("_key")).agg(F.collect_set("line").alias("_gone")), is_own, "left")
-    parts = F.split(F.col(text), "\n")
-    rest = F.filter(parts, lambda _, i: ~F.array_contains("_gone", i.cast("bigint")))
-    kept_text = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(rest, "\n"))
+    named = {c: "_key" if c == key else "_new" if c == text else f"_c{i}" for i, c in enumerate(df.columns)}
+    slim = df.select(*[F.col(f"`{c}`").alias("_text" if c == text else n) for c, n in named.items()])
+    numbered = _numbered(slim, "_key")
+    rows = slim if numbered is None else numbered
+    doc = F.col("_key") if numbered is None else F.struct(F.col("_key").alias("key"), F.col("_row").alias("row"))
+    gone = _duplicates(rows.select(doc.alias("doc"), F.col("_text").alias("text")), **rules).filter("not kept")
+    own, is_own = (F.col("doc"), F.col("_key") == F.col("_own")) if numbered is None else (F.col("doc.row"), F.col("_row") == F.col("_own"))
+    joined = rows.join(gone.groupBy(own.alias("_own")).agg(F.collect_set("line").alias("_gone")), is_own, "left")
+    rest = F.filter(F.split("_text", "\n"), lambda _, i: ~F.array_contains("_gone", i.cast("bigint")))
+    kept_text = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(rest, "\n"))
     out = joined.withColumn("_new", kept_text).filter(F.col("_gone").isNull() | (F.trim(F.col("_new")) != ""))
-    return out.select(*[F.col("_new").alias(c) if c == text else F.col(c) for c in df.columns])
+    return out.select(*[F.col(n).alias(c) for c, n in named.items()])
 
 
 def op8_minhash_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

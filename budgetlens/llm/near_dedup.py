@@ -106,12 +106,25 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     common over joint members.  Equal sets are one class.  component_id is the smallest key that links reach, kept
     says that it is the document's own.  A null, empty or blank text has no members, links with nothing and is kept.
     n_links counts the confirmed links of the document's class to other classes that were needed to find components.
-    Rows that repeat a key stand for one document.  Null keys link with nothing, get a null component and are kept.
-    Keys are integers.  No rows give no rows; other columns are not looked at.
+    Rows that repeat a key stand for one document, whose text is the largest of theirs.  Null keys link with nothing,
+    get a null component and are kept.  Keys are integers.  No rows give no rows; other columns are not looked at.
     """
-    spark = df.sparkSession
-    _spark.small_batches(spark)
     slim = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
+    shared = slim.filter("id is not null").groupBy("id").agg(F.count("*").alias("c")).filter("c > 1").select("id")
+    if shared.limit(1).count():
+        # one row for each key, then its result for each row
+        one = _spark.written(slim.filter("id is not null").groupBy("id").agg(F.max("text").alias("text")).union(slim.filter("id is null")))
+        told = _near_duplicates(one, words, percent, trees)
+        known = slim.filter("id is not null").select("id").join(told.filter("id is not null"), "id")
+        out = known.union(told.filter("id is null").select(*known.columns))
+    else:
+        out = _near_duplicates(slim, words, percent, trees)
+    return out.withColumnRenamed("id", key)
+
+
+def _near_duplicates(slim: DataFrame, words: int, percent: int, trees: int) -> DataFrame:
+    """near_duplicates() of slim(id, text), in which no id but null is repeated."""
+    _spark.small_batches(slim.sparkSession)
     made = _spark.written(_spark.mapped(slim, _embedded(words), "id bigint, n bigint, f1 bigint, f2 bigint, tokens binary"))
     alike = made.filter("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1")
     docs = _spark.written(made.join(alike, ["f1", "f2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"), F.when(F.coalesce("rep", "id") == F.col("id"), F.col("tokens")).alias("tokens")))
@@ -137,7 +150,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     info = found.withColumnRenamed("id", "rep").join(degree, "rep", "left")
     out = docs.join(info, "rep", "left")
     component = F.coalesce("component", "rep")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
 def op3_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 from collections import Counter
 
+import pytest
+
 from budgetlens.llm import decontamination as D
 from tests.llm.helpers import ODD, clashing, corpus, documents
 
@@ -99,27 +101,50 @@ def test_blocks_of_items_find_the_same(spark, monkeypatch):
 def test_fingerprints_equal_a_plain_simhash():
     import numpy as np
 
-    h = np.random.default_rng(1).integers(0, 1 << 63, 40, dtype=np.uint64)
-    sums = D.running_sums(h)
-    for size in (5, 8, 31, 40):
-        got = D.fingerprints(sums, np.arange(40 - size + 1), np.arange(size, 41), size)
-        for s, f in enumerate(got.tolist()):
+    h = np.random.default_rng(1).integers(0, 1 << 63, 400, dtype=np.uint64)
+    sums = D.Sums(h)
+    for size in (5, 8, 31, 120, 121, 255, 256, 399):
+        got = sums.prints(np.arange(400 - size + 1), np.arange(size, 401), size)
+        for s, f in list(enumerate(got.tolist()))[::37]:
             ones = [sum(int(x) >> b & 1 for x in h[s : s + size]) for b in range(64)]
             assert f == sum(1 << b for b, n in enumerate(ones) if n > size // 2)
 
 
-def test_every_fingerprint_within_the_radius_is_found():
+def test_every_fingerprint_within_the_radius_is_found_and_no_other():
     import random
 
     import numpy as np
 
-    rng, index = random.Random(2), D.Items([(0, np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))])
-    (prints, _, tables), = index.sizes.values()
-    for _ in range(500):
-        x = int(prints[0])
-        for b in rng.sample(range(64), rng.randint(0, D.RADIUS)):
+    rng, own = random.Random(2), np.random.default_rng(3).integers(0, 1 << 63, 300, dtype=np.uint64)
+    marks = []
+    for _ in range(600):
+        x = int(rng.choice(own.tolist()))
+        for b in rng.sample(range(64), rng.randint(0, 12)):
             x ^= 1 << b
-        assert any(tables[b][x >> 16 * b & 0xFFFF] for b in range(4))
+        marks.append(x)
+    marks = np.array(marks, np.uint64)
+    near = np.bitwise_count(marks[:, None] ^ own[None, :]) <= D.RADIUS
+    assert set(zip(*(x.tolist() for x in D.Prints(own).search(marks)))) == set(zip(*(x.tolist() for x in np.nonzero(near))))
+
+
+def test_copies_whose_ends_differ_are_found_at_every_length(spark):
+    """Recall against brute force: the first and last words replaced, as many as similarity 0.8 allows."""
+    import random
+
+    rng = random.Random(4)
+    items, texts = [], []
+    for n in (20, 60, 100, 120, 300, 600):
+        for _ in range(6):
+            own = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            cut = next(k for k in range(n, -1, -1) if n - 4 - k > 0 and (n - 4 - k) / (n - 4 + k) >= 0.8)
+            front = rng.randint(0, cut)
+            copy = [*["other"] * front, *own[front : n - (cut - front)], *["else"] * (cut - front)]
+            items.append(" ".join(own))
+            texts.append(" ".join([*["before"] * rng.choice((0, 30)), *copy, *["behind"] * rng.choice((0, 30))]))
+    want = brute(texts, items)
+    assert len(want) == len(items)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in D.contaminated(documents(spark, texts), bench).collect()} == want
 
 
 def test_empty_tables_and_clashing_columns(spark):
@@ -129,3 +154,16 @@ def test_empty_tables_and_clashing_columns(spark):
     docs = clashing(spark, ["One two three four five six", None], ["item_id", "similarity", "h"])
     assert [tuple(r)[:2] for r in D.contaminated(docs, bench).collect()] == [(0, 1)]
     assert D.flagged(docs, bench).count() == 2
+    docs = clashing(spark, ["One two three four five six"], ["_hits", "_key", "_text"])
+    assert [tuple(r)[:2] for r in D.contaminated(docs, bench).collect()] == [(0, 1)]
+    assert D.flagged(docs, bench, name="found").select("_hits").collect()[0][0] == "?"
+    with pytest.raises(ValueError):
+        D.flagged(docs, bench)
+
+
+def test_null_keys_repeated_rows_and_ties(spark):
+    bench = spark.createDataFrame([(1, "one two three four five six"), (1, "one two three four five six"), (None, "one two three four five six")], "item_id bigint, text string")
+    text = "x one two three four five six y one two three four five six"
+    docs = spark.createDataFrame([(None, text), (7, text), (7, text)], "doc_id bigint, text string")
+    got = sorted((r["doc_id"] or 0, r["item_id"] or 0, r["first_word"]) for r in D.contaminated(docs, bench).collect())
+    assert got == sorted([(d, i, 1) for d in (0, 7, 7) for i in (1, 1, 0)])

@@ -64,3 +64,18 @@ def test_empty_table_and_clashing_columns(spark):
     assert line_dedup.duplicate_lines(docs).count() == 3
     out = line_dedup.without_duplicates(docs)
     assert out.columns == docs.columns and {r["text"] for r in out.collect()} == {"a line", "b"}
+
+
+def test_lines_are_taken_out_whatever_other_columns_are_called(spark):
+    names = ["_key", "_gone", "_new", "_own", "_text", "_row", "doc", "line"]
+    docs = clashing(spark, ["A first line here\nsecond", "A first line here\nother", None, "A first line here"], names)
+    got = {r["doc_id"]: r.asDict() for r in line_dedup.without_duplicates(docs).collect()}
+    assert {k: r["text"] for k, r in got.items()} == {0: "A first line here\nsecond", 1: "other", 2: None}
+    assert all(r[n] == "?" for r in got.values() for n in names)
+
+
+def test_rows_of_one_key_lose_their_own_lines_only(spark):
+    rows = [(1, "A repeated line\nsecond one"), (7, "A repeated line\nxx"), (7, "precious text\nother one"), (None, "A repeated line\nkept here"), (None, "second one")]
+    got = [r["text"] for r in line_dedup.without_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    lines = sorted(x for t in got for x in t.split("\n"))
+    assert lines == sorted({x for _, t in rows for x in t.split("\n")})

@@ -98,3 +98,11 @@ def test_families_under_the_threshold_equal_brute_force(spark, monkeypatch, midd
     assert len(set(comp)) > 20
     rows = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(documents(spark, texts)).collect()}
     assert [rows[i] for i in range(len(texts))] == comp
+
+
+def test_rows_of_one_key_are_one_document_with_their_largest_text(spark):
+    rows = [(1, "a b c d e f"), (2, "z b c d e f"), (2, "A B c d e f"), (None, "a b c d e f"), (None, None), (3, "z b c d e f"), (2, None)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0, r["kept"]) for r in got) == sorted(
+        [(1, 3, 1, True), (0, 3, 0, True), (0, 0, 0, True), (3, 3, 2, False), *[(2, 3, 2, True)] * 3]
+    )
