@@ -17,36 +17,44 @@ WORDS = 5
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; the others (no text, no letter, no clear language) go."""
-    names = ("_language_of_text", "_language_score")
-    if set(names) & set(docs.columns):
-        raise ValueError(f"columns {names} are used inside")
+    """Documents in a known language; the others (null or empty text, no letter, no clear language) go.
+
+    Rows with a null or repeated doc_id are judged like others, each by its own text; no rows give no rows.
+    """
+    names = _spark.free(docs, "language", "score")
     others = tuple(c for c in docs.columns if c != "doc_id")
     told = language_id.predict(docs, language_id.train(docs), keep=others, names=names)
     return told.filter((F.col(names[0]) != language_id.UNKNOWN) & (F.col(names[1]) > LEAST_SCORE)).select(*docs.columns)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier line repeats; n_chars follows, and emptied documents go."""
+    """Documents without the lines that an earlier line repeats; n_chars follows, and emptied documents go.
+
+    Rows without any line (null, empty, blank) stay; rows whose doc_id is null or repeated lose their own lines only.
+    """
     out = line_dedup.without_duplicates(docs)
     return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (runs of five words, similarity 0.8)."""
+    """One document of each group of near-duplicates (runs of five words, similarity 0.8).
+
+    Documents without words and those with a null doc_id stay; rows that repeat a doc_id are one document.
+    """
     gone = _spark.written(near_dedup.near_duplicates(docs, words=WORDS).filter("not kept").select("doc_id"))
     few = gone.count() <= _links.BROADCAST_IDS
     return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of a benchmark."""
-    told = decontamination.flagged(docs, _spark.table(spark, sf_dir, "benchmark"))
-    return told.filter(F.size("_hits") == 0).select(*docs.columns)
+    """Documents that hold no passage of a benchmark.  A null text holds none; of repeated rows all go or stay."""
+    (hits,) = _spark.free(docs, "hits")
+    told = decontamination.flagged(docs, _spark.table(spark, sf_dir, "benchmark"), name=hits)
+    return told.filter(F.size(hits) == 0).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in full sequences."""
+    """Pieces of all documents in full sequences; a null text counts as empty, repeated rows are packed each."""
     return packing.pack(docs, _tokens.vocabulary("word_bpe_49k.json"))
 
 
