@@ -123,14 +123,23 @@ def hashing_vectors(df: DataFrame, key: str, text: str, cells: int = 256) -> Dat
 
     The deterministic stand-in for a neural embedder, built from the tokens in the JVM.
     """
-    terms = df.select(key, F.explode(X.tokens(F.col(text))).alias("term")).groupBy(key, (X.hash16(F.col("term")) % cells).cast("int").alias("cell")).agg(F.count("*").alias("w"))
-    lists = terms.groupBy(key).agg(F.collect_list(F.struct("cell", F.col("w").cast("double").alias("w"))).alias("m"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    terms = df.select(key, F.explode(X.tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return hashed(terms, key, cells)
 
-    @F.pandas_udf("array<double>")
-    def dense(at: pd.Series, w: pd.Series) -> pd.Series:
-        out = np.zeros((len(at), cells))
-        for i, (c, v) in enumerate(zip(at, w)):
-            out[i, c] = v
-        return pd.Series(list(out))
 
-    return lists.select(key, dense("m.cell", "m.w").alias("vec"), "norm")
+def hashed(terms: DataFrame, key: str = "doc_id", cells: int = 256) -> DataFrame:
+    """hashing_vectors() of counted terms(key, term, tf), such as an index's postings."""
+    sums = terms.groupBy(key, (X.hash16(F.col("term")) % cells).cast("int").alias("cell")).agg(F.sum("tf").cast("double").alias("w"))
+    lists = sums.groupBy(key).agg(F.collect_list(F.struct("cell", "w")).alias("m"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    kind = terms.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            off, flat = lists.offsets.to_numpy(), lists.values
+            out = np.zeros((len(lists), cells))
+            out[np.repeat(np.arange(len(lists)), np.diff(off)), flat.field(0).to_numpy()[off[0] : off[-1]]] = flat.field(1).to_numpy()[off[0] : off[-1]]
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, cells), pa.int32()), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), vectors, batch.column(2)], [key, "vec", "norm"])
+
+    return lists.select(key, "m", "norm").mapInArrow(run, f"`{key}` {kind}, vec array<double>, norm double")

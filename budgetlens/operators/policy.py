@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -65,7 +66,7 @@ def model_label(questions: DataFrame, chat: Callable[[], Chat]) -> DataFrame:
         for prompts in batches:
             yield model(prompts)
 
-    told = questions.select("qid", ask(F.format_string(X.PROMPT, F.coalesce("question", F.lit("")))).alias("answer"))
+    told = questions.select("qid", ask(X.prompt(F.col("question"))).alias("answer"))
     return told.select("qid", "answer", X.label_or_easy(F.col("answer")).alias("label"), X.parsed_label(F.col("answer")).isNotNull().alias("parsed"))
 
 
@@ -94,10 +95,16 @@ def systems(cov: DataFrame, labels: dict[str, DataFrame]) -> DataFrame:
     return out.unionByName(oracle_pick(cov).withColumn("system", F.lit("oracle")))
 
 
-def system_table(cov: DataFrame, labels: dict[str, DataFrame], runs: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = S.KS) -> DataFrame:
-    """(system, n_queries, r<K>..., mean_docs, mean_level); documents are those that a list really has."""
+def system_table(cov: DataFrame, labels: dict[str, DataFrame], runs: DataFrame, qrels: DataFrame, truth: DataFrame, ks: tuple[int, ...] = S.KS) -> DataFrame:
+    """(system, n_queries, r<K>..., mean_docs, mean_level, accuracy); documents are those that a list really has.
+
+    accuracy, against truth(qid, difficulty), is a router's; it is null for the other systems.
+    """
     both = cut_recalls(systems(cov, labels), runs, qrels, ks)
-    return both.groupBy("system").agg(F.count("*").alias("n_queries"), *[F.avg(f"r{k}").alias(f"r{k}") for k in ks], F.avg("n_docs").alias("mean_docs"), F.avg("level").alias("mean_level"))
+    out = both.groupBy("system").agg(F.count("*").alias("n_queries"), *[F.avg(f"r{k}").alias(f"r{k}") for k in ks], F.avg("n_docs").alias("mean_docs"), F.avg("level").alias("mean_level"))
+    told = [router_accuracy(rows, truth).select(F.lit(name).alias("system"), "accuracy") for name, rows in labels.items()]
+    accuracy = reduce(DataFrame.union, told, cov.sparkSession.createDataFrame([], "system string, accuracy double"))
+    return out.join(accuracy, "system", "left")
 
 
 def router_accuracy(labels: DataFrame, truth: DataFrame) -> DataFrame:

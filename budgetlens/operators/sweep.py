@@ -31,6 +31,11 @@ def select(table: DataFrame, floor: float = S.RECALL_FLOOR, strict: bool = False
     return best
 
 
+def grid(table: DataFrame) -> DataFrame:
+    """The configurations of a threshold for each stage, without those of one for all."""
+    return table.filter(F.col("config").startswith("d"))
+
+
 def cheapest(table: DataFrame, n: int = 10, floor: float = S.RECALL_FLOOR) -> DataFrame:
     """The n feasible configurations of fewest documents: a top-k report."""
     return feasible(table, floor).orderBy("docs", "config_ord").limit(n)
@@ -72,7 +77,3 @@ def leakage(test: DataFrame, *others: DataFrame) -> DataFrame:
     for more in others[1:]:
         seen = seen.union(more.select("qid"))
     return test.join(seen.distinct(), "qid", "left_semi").agg(F.count("*").alias("n_leaked"))
-
-
-def mean_or_zero(value):
-    return F.coalesce(F.avg(value), F.lit(0.0))

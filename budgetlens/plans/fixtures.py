@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import text as X
 from ..operators import coverage, critic, dense, fusion, lexical, matching, policy
+from . import models
 
 
 def _words(text: str, start: int, n: int = 10):
@@ -35,6 +36,10 @@ class Fixtures:
     def docs(self) -> DataFrame:
         return self.table("documents").select("doc_id", "text", "lang")
 
+    @cached_property
+    def spread_docs(self) -> DataFrame:
+        return lexical.spread(self.docs)
+
     @cached_property
     def _asking(self) -> DataFrame:
         doc = self.docs.filter(F.col("doc_id") % 50 == 0).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("qid"), F.lit("doc").alias("dataset"), _words("text", 4).alias("question"), F.col("lang").alias("grp"))
@@ -43,9 +48,11 @@ class Fixtures:
 
     @cached_property
     def qrels(self) -> DataFrame:
-        asks = self.docs.filter(F.col("doc_id") % 50 == 0).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("qid"), "text")
-        same = self.docs.select("doc_id", "text").join(asks, "text").select("qid", "doc_id")
-        held = matching.containing(self.docs, self.table("benchmark")).select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("qid"), "doc_id")
+        asks = self.docs.filter(F.col("doc_id") % 50 == 0).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("qid"), F.sha2("text", 256).alias("h"), F.col("text").alias("asked"))
+        # only texts whose digest is asked for are compared
+        met = self.docs.select("doc_id", "text", F.sha2("text", 256).alias("h")).join(asks.select("h").distinct(), "h", "left_semi")
+        same = met.join(asks, "h").filter("text = asked").select("qid", "doc_id")
+        held = matching.containing(self.spread_docs, self.table("benchmark")).select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("qid"), "doc_id")
         return same.union(held).persist()
 
     @cached_property
@@ -65,7 +72,11 @@ class Fixtures:
     @cached_property
     def dense200(self) -> DataFrame:
         asked = dense.hashing_vectors(self.questions, "qid", "question")
-        return dense.dense_topk(asked, dense.hashing_vectors(self.docs, "doc_id", "text"), fusion.POOL, positive=True).persist()
+        return dense.dense_topk(asked, self.vectors, fusion.POOL, positive=True).persist()
+
+    @cached_property
+    def vectors(self) -> DataFrame:
+        return dense.hashed(self.index.postings).persist()
 
     @cached_property
     def hybrid(self) -> DataFrame:
@@ -95,6 +106,17 @@ class Fixtures:
     def rule(self) -> DataFrame:
         return self.questions.select("qid", "question", policy.rule_label(F.col("question")).alias("label"))
 
+    @cached_property
+    def model(self) -> DataFrame:
+        return policy.model_label(self.questions, models.plain_chat).select("qid", "label")
+
+    def views(self) -> None:
+        """Temporary views of the core tables, by their names."""
+        for name in ("docs", "questions", "qrels", "runs", "difficulty", "samples", "scores", "split"):
+            getattr(self, name).createOrReplaceTempView(name)
+        self.index.postings.createOrReplaceTempView("postings")
+        self.index.idf.createOrReplaceTempView("idf")
+
     @cached_property
     def samples(self) -> DataFrame:
         return critic.samples(self.questions, self.runs, self.docs, self.cov(S.LADDER_3)).persist()
@@ -109,7 +131,7 @@ class Fixtures:
         return self.questions.select("qid", F.when(X.hash16(F.col("qid")) % 2 == 0, "val").otherwise("test").alias("split"))
 
     def release(self) -> None:
-        for name in ("qrels", "questions", "bm25", "dense200", "hybrid", "reranked", "runs", "samples", "scores"):
+        for name in ("qrels", "questions", "vectors", "bm25", "dense200", "hybrid", "reranked", "runs", "samples", "scores"):
             if name in self.__dict__:
                 self.__dict__[name].unpersist()
         if "index" in self.__dict__:

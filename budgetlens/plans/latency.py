@@ -21,3 +21,15 @@ def measured(spark: SparkSession, stages: dict[str, Callable[[], DataFrame]], re
             stage().write.format("noop").mode("overwrite").save()
             rows.append((name, run, (time.perf_counter() - begun) * 1000))
     return spark.createDataFrame(rows, "stage string, run int, ms double")
+
+
+def per_question(questions: DataFrame, stages: dict[str, Callable[[DataFrame], DataFrame]], most: int = 200) -> DataFrame:
+    """(stage, qid, ms): each of the first ``most`` of questions(qid, ...), by qid, is searched for alone by each stage."""
+    spark, rows = questions.sparkSession, []
+    for r in questions.orderBy("qid").take(most):
+        one = spark.createDataFrame([r], questions.schema)
+        for name, stage in stages.items():
+            begun = time.perf_counter()
+            stage(one).write.format("noop").mode("overwrite").save()
+            rows.append((name, r["qid"], (time.perf_counter() - begun) * 1000))
+    return spark.createDataFrame(rows, "stage string, qid string, ms double")

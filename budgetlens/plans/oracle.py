@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from .. import schema as S
 from ..functions import text as X
-from .queries import ANSWERS, FLOOR, KB, SAMPLE
+from .models import ALPHABET, SAYS
+from .queries import ANSWERS, FLOOR, KB, SAMPLE, VIEW_RECALL
 
 _quoted = lambda words: ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 _values = lambda rows: ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else f"{v!r}" for v in r) + ")" for r in rows)
@@ -18,6 +19,7 @@ _TOKENS = f"list_filter({_ALL}, lambda t: length(t) > 1 AND t NOT IN ({_quoted(X
 _HEAD = "array_to_string(list_filter(regexp_split_to_array({}, '\\s+'), lambda w: w <> '')[1:48], ' ')"
 _SEEDED = "md5('42:' || CAST({} AS VARCHAR))"
 _GRID = tuple((f"{m}@{k}", m, k) for m in ("dense", "hybrid", "rerank") for k in S.KS)
+_LETTERS = ", ".join(f"(length({{t}}) - length(replace({{t}}, '{c}', '')))::DOUBLE" for c in ALPHABET)
 _RANK = "row_number() OVER (PARTITION BY qid ORDER BY {})"
 
 
@@ -125,6 +127,34 @@ SELECT doc_id, true AS is_gold FROM documents WHERE doc_id IN (FROM gold_docs)
 UNION ALL (SELECT doc_id, false FROM documents WHERE doc_id NOT IN (FROM gold_docs) ORDER BY {_SEEDED.format('doc_id')}, doc_id LIMIT (SELECT greatest(0, {KB} - count(*)) FROM gold_docs))""",
     "numbered": f"SELECT doc_id AS qid, row_number() OVER (ORDER BY {_SEEDED.format('doc_id')}, doc_id) AS n FROM documents",
     "split": f"SELECT qid, CASE WHEN n <= {SAMPLE[0][1]} THEN 'test' WHEN n <= {SAMPLE[0][1] + SAMPLE[1][1]} THEN 'train' ELSE 'val' END AS split FROM numbered WHERE n <= {sum(n for _, n in SAMPLE)}",
+    "model_asked": f"SELECT qid, question, replace('{X.PROMPT.replace(chr(39), chr(39) * 2)}', '%s', coalesce(question, '')) AS prompt FROM questions",
+    "model_said": f"SELECT qid, [{_quoted(SAYS)}][1 + length(prompt) % {len(SAYS)}] AS answer FROM model_asked",
+    "model": r"SELECT qid, answer, coalesce(nullif(regexp_extract(lower(answer), '\b(easy|medium|hard)\b', 1), ''), 'easy') AS label, regexp_extract(lower(answer), '\b(easy|medium|hard)\b', 1) <> '' AS parsed FROM model_said",
+    "letters_doc": f"SELECT doc_id, [{_LETTERS.format(t='text')}] AS c FROM documents",
+    "letters_asked": f"SELECT qid, [{_LETTERS.format(t='question')}] AS c FROM questions",
+    "letters_met": f"""
+SELECT qid, doc_id, {_scaled('list_dot_product(a.v, d.v)')} AS score, list_dot_product(a.v, d.v) > 0 AS positive
+FROM (SELECT qid, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS v FROM letters_asked WHERE list_sum(c) > 0) a
+CROSS JOIN (SELECT doc_id, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS v FROM letters_doc WHERE list_sum(c) > 0) d""",
+    "short_raw": """
+SELECT row_number() OVER (ORDER BY doc_id) AS n, CASE WHEN doc_id % 13 = 0 THEN [] ELSE string_split(text, ' ') END AS w, doc_id % 11 = 0 AS silent,
+  CASE WHEN doc_id % 2 = 0 THEN [{'a': -1, 'b': -1}, {'a': doc_id % 5, 'b': doc_id % 5 + doc_id % 3}] ELSE [{'a': doc_id % 9, 'b': doc_id % 9}, {'a': doc_id % 5, 'b': doc_id % 5 + doc_id % 3}] END AS spans,
+  doc_id % 4 - 1 AS la, doc_id % 4 - 1 + doc_id % 6 AS lb FROM documents""",
+    "short_spans": "SELECT *, list_filter(spans, lambda x: x.a >= 0 AND x.b > x.a)[1] AS s, CASE WHEN silent THEN '' ELSE array_to_string(w[1:8], ' ') END AS question FROM short_raw WHERE n <= 40000 AND len(w) > 0",
+    "short_answers": r"""
+SELECT n, w, question, coalesce(nullif(CASE WHEN s IS NOT NULL THEN regexp_replace(array_to_string(w[s.a + 1:s.b], ' '), '^\s+|\s+$', '', 'g') END, ''),
+  CASE WHEN la >= 0 AND lb > la THEN regexp_replace(array_to_string(w[la + 1:lb], ' '), '^\s+|\s+$', '', 'g') ELSE '' END) AS answer FROM short_spans WHERE question <> ''""",
+    "short_good": "SELECT *, format('{:06d}', n) AS code FROM short_answers WHERE length(answer) >= 2 ORDER BY n LIMIT 10000",
+    "hop_raw": """
+SELECT conv_id, list(struct_pack(turn, role, text) ORDER BY turn) AS t, row_number() OVER (ORDER BY conv_id) AS n,
+  CASE conv_id % 3 WHEN 0 THEN ['t0'] WHEN 1 THEN ['t1', 't2', 't2'] ELSE ['none'] END AS gold FROM conversations GROUP BY conv_id""",
+    "hop_each": """
+SELECT n, conv_id, gold, row_number() OVER (ORDER BY n, i) - 1 AS place, 't' || (t[i].turn % 3) AS title, CASE WHEN conv_id % 4 = 0 AND i = len(t) THEN '' ELSE array_to_string(string_split(t[i].text, '. '), ' ') END AS text
+FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM hop_raw WHERE n <= 7405)""",
+    "hop_gold": "SELECT format('hotpot_{:06d}', n) AS qid, format('hp_{:06d}', place) AS doc_id FROM hop_each WHERE list_contains(gold, title)",
+    "hop_questions": """
+SELECT format('hotpot_{:06d}', n) AS qid, t[1].text AS question, t[1].role AS answer, CASE WHEN conv_id % 2 = 0 THEN 'bridge' ELSE 'comparison' END AS type, len(gold) AS n_sent, gold_docs, n_supporting
+FROM hop_raw JOIN (SELECT qid, string_agg(doc_id, ',' ORDER BY doc_id) AS gold_docs, count(*) AS n_supporting FROM hop_gold GROUP BY qid) g ON g.qid = format('hotpot_{:06d}', n)""",
 }
 
 
@@ -156,14 +186,17 @@ def _systems() -> str:
     cut = ", ".join(f"round(avg(h{k} / n_gold), 9) AS r{k}" for k in S.KS)
     hits = ", ".join(f"count(g.doc_id) FILTER (WHERE r.rank <= {k}) AS h{k}" for k in S.KS)
     return f"""
-SELECT system, count(*) AS n_queries, {cut}, avg(n_docs) AS mean_docs, avg(level) AS mean_level FROM (
+SELECT system, count(*) AS n_queries, {cut}, avg(n_docs) AS mean_docs, avg(level) AS mean_level, any_value(accuracy) AS accuracy FROM (
   SELECT p.system, p.qid, p.n_gold, p.n_docs, p.level, {hits}
   FROM (SELECT name AS system, * FROM cov8 WHERE name IN ({_quoted(S.FIXED)})
     UNION ALL SELECT 'rule', c.* FROM cov8 c JOIN rule USING (qid) WHERE name = CASE label {routes} END
+    UNION ALL SELECT 'model', c.* FROM cov8 c JOIN model USING (qid) WHERE name = CASE label {routes} END
     UNION ALL SELECT 'oracle', * FROM ({_pick('cov8')})) p
   LEFT JOIN runs r ON r.qid = p.qid AND r.method = p.method AND r.rank <= p.k
   LEFT JOIN gold g ON g.qid = p.qid AND g.doc_id = r.doc_id
-  GROUP BY p.system, p.qid, p.n_gold, p.n_docs, p.level) GROUP BY system"""
+  GROUP BY p.system, p.qid, p.n_gold, p.n_docs, p.level)
+LEFT JOIN (SELECT 'rule' AS system, avg((label = difficulty)::INT) AS accuracy FROM difficulty JOIN rule USING (qid)
+  UNION ALL SELECT 'model', avg((label = difficulty)::INT) FROM difficulty JOIN model USING (qid)) USING (system) GROUP BY system"""
 
 
 def _confusion() -> str:
@@ -221,7 +254,7 @@ FROM embeddings q CROSS JOIN embeddings d WHERE q.vec_id % 50 = 0 QUALIFY rank <
     "fes_rate": "SELECT config, count(*) AS n_queries, count(*) FILTER (WHERE fes) AS n_fes, avg(fes::INT) AS fes FROM stops GROUP BY config",
     "policy_sweep": "SELECT * EXCLUDE (split) FROM swept WHERE split = 'val'",
     "policy_select": "SELECT * EXCLUDE (split) FROM swept WHERE split = 'test' AND config = (SELECT config FROM ok ORDER BY docs, config_ord LIMIT 1)",
-    "policy_cheapest": "SELECT config, recall, docs FROM ok ORDER BY docs, config_ord LIMIT 10",
+    "policy_cheapest": "SELECT config, recall, docs FROM ok WHERE config LIKE 'd%' ORDER BY docs, config_ord LIMIT 10",
     "pareto_front": "SELECT config, recall, docs FROM ok QUALIFY recall > coalesce(max(recall) OVER (ORDER BY docs, config_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1)",
     "fes_diagnostics": f"""
 SELECT f.qid, stop_stage, coverage_at_stop, would_continue, (SELECT string_agg(g.doc_id::VARCHAR, ',' ORDER BY g.doc_id) FROM gold g WHERE g.qid = f.qid) AS gold_docs, s.phase, s.k, s.cov AS coverage,
@@ -237,7 +270,33 @@ FROM (SELECT round(avg(cov), 9) AS recall, avg("full"::INT) AS full_rate, avg(k)
     "kb_answerable": "SELECT qid, n_gold FROM questions WHERE qid NOT IN (SELECT qid FROM gold WHERE doc_id NOT IN (SELECT doc_id FROM kb))",
     "split_assign": "FROM split",
     "leakage_check": "SELECT count(*) AS n_leaked FROM split WHERE split = 'test' AND qid IN (SELECT qid FROM split WHERE split <> 'test')",
+    "short_form_docs": "SELECT 'doc_' || code AS doc_id, array_to_string(w[1:1024], ' ') AS text FROM short_good",
+    "short_form_questions": "SELECT 'nq_' || code AS qid, question, answer, 'doc_' || code AS gold_docs FROM short_good",
+    "multi_hop_docs": "SELECT format('hp_{:06d}', place) AS doc_id, text FROM hop_each",
+    "multi_hop_questions": "FROM hop_questions",
+    "multi_hop_qrels": "FROM hop_gold",
+    "sentence_buckets": "SELECT CASE WHEN n_sent >= 3 THEN '3+' ELSE '2' END AS bucket, count(*) AS n FROM hop_questions GROUP BY bucket",
+    "rebuilt_equal": f"SELECT true AS same, count(*) <= {KB} OR (SELECT count(*) FROM gold_docs) >= {KB} AS other_seed FROM documents",
+    "dataset_file": "SELECT 'bench' AS dataset, 'b' || item_id AS qid, array_to_string(string_split(text, ' ')[1:10], ' ') AS question, 'i' || item_id AS doc_id, text FROM benchmark",
+    "question_index": "SELECT 'c' || conv_id AS qid, max(turn) AS turn, arg_max(text, turn) AS question FROM conversations GROUP BY conv_id",
+    "stored_bm25_topk": "FROM bm25",
+    "stored_runs": "FROM runs",
+    "stored_samples": "SELECT qid, question, phase, k, docs, label, ranked FROM samples JOIN half USING (qid) WHERE split = 'val'",
+    "stored_gold": "FROM gold",
+    "json_report": _MATRIX.format("dataset", "count(*) AS n_queries, round(avg(cov), 9) AS recall", ""),
+    "markdown_report": """
+SELECT 0 AS n, '| method | k | n | recall | full_rate |' AS line UNION ALL SELECT 1, '|---|---|---|---|---|'
+UNION ALL SELECT 1 + row_number() OVER (ORDER BY method, k), format('| {} | {} | {} | {:.3f} | {:.1f}% |', method, k, count(*), avg(cov), 100 * avg("full"::INT)) FROM covg GROUP BY method, k""",
+    "critic_cost": f"SELECT 'measured' AS source, round(avg(value), 6) AS ms FROM events UNION ALL SELECT 'default', {S.CRITIC_MS}::DOUBLE",
+    "pair_inputs": "SELECT qid, phase, question || ' [SEP] ' || docs AS input FROM samples WHERE trim(docs) <> ''",
+    "prompts": "SELECT qid, prompt FROM model_asked",
+    "model_labels": "FROM model",
+    "softmax": "SELECT vec_id, round(1 / (1 + exp(embedding[1]::DOUBLE * 10 - embedding[2]::DOUBLE * 10)), 9) AS p FROM embeddings",
+    "embedded_topk": f"SELECT qid, doc_id, {_RANK.format('score DESC, doc_id')} AS rank, score FROM letters_met WHERE positive QUALIFY rank <= 20",
+    "view_recall": VIEW_RECALL,
     "latency_summary": "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(stddev_pop(value), 6) AS std FROM events GROUP BY event_type",
 }
 
+_FINAL["stored_vectors_topk"] = _FINAL["dense_topk"]
+
 ORACLE: dict[str, str] = {name: _sql(final) for name, final in _FINAL.items()}

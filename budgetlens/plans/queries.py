@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import text as X
-from ..operators import coverage, critic, dense, metrics, policy, sweep
-from ..sources import construct, files
+from ..operators import coverage, critic, dense, fusion, lexical, metrics, policy, sweep
+from ..sources import construct, files, report
 from .fixtures import Fixtures, fixtures
+from .models import letters, plain_chat
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Recall floor of the selection queries; the fixed floor is not reached at every scale of the test data.
@@ -190,7 +191,7 @@ def label_parse(x: Fixtures) -> DataFrame:
 
 @query
 def router_systems(x: Fixtures) -> DataFrame:
-    return rounded(policy.system_table(x.cov(S.STRATEGIES8), {"rule": x.rule}, x.runs, x.qrels))
+    return rounded(policy.system_table(x.cov(S.STRATEGIES8), {"rule": x.rule, "model": x.model}, x.runs, x.qrels, x.difficulty))
 
 
 @query
@@ -279,7 +280,7 @@ def policy_select(x: Fixtures) -> DataFrame:
 
 @query
 def policy_cheapest(x: Fixtures) -> DataFrame:
-    return sweep.cheapest(_table(x, "val"), 10, FLOOR).select("config", "recall", "docs")
+    return sweep.cheapest(sweep.grid(_table(x, "val")), 10, FLOOR).select("config", "recall", "docs")
 
 
 @query
@@ -357,5 +358,196 @@ def critic_ml(x: Fixtures) -> DataFrame:
     return critic.scored(model, rows.filter("split = 'test'")).select("qid", "phase", "label", "p")
 
 
-def retrieve(x: Fixtures, method: str) -> DataFrame:
-    return {"dense": x.dense200, "bm25": x.bm25, "hybrid": x.hybrid, "rerank": x.reranked}[method]
+PHASES = {"dense": "dense200", "bm25": "bm25", "hybrid": "hybrid", "rerank": "reranked"}
+
+
+def retrieve(x: Fixtures, phase: str, k: int = 20) -> DataFrame:
+    """(qid, doc_id, rank, score): the first k of each question's list of a phase; only what it needs is built."""
+    return getattr(x, PHASES[phase]).filter(F.col("rank") <= k)
+
+
+# -- sources, sinks and construction, on rows derived from the tables ------------------------------------------------
+
+
+def _short_rows(x: Fixtures) -> DataFrame:
+    """Raw rows with one document and question each: spans follow from ids; some rows lack tokens, question or answer."""
+    d, ids = x.table("documents"), F.col("doc_id")
+    span = lambda a, b: F.struct(F.array(a).alias("start_token"), F.array(b).alias("end_token"))
+    none = F.array().cast("array<bigint>")
+    first = F.when(ids % 2 == 0, F.struct(none.alias("start_token"), none.alias("end_token"))).otherwise(span(ids % 9, ids % 9))
+    words = F.when(ids % 13 == 0, F.array().cast("array<string>")).otherwise(F.split("text", " "))
+    return d.select(
+        F.row_number().over(Window.orderBy("doc_id")).alias("n"), F.struct(F.struct(words.alias("token")).alias("tokens")).alias("document"),
+        F.struct(F.when(ids % 11 == 0, "").otherwise(F.array_join(F.slice(words, 1, 8), " ")).alias("text")).alias("question"),
+        F.struct(F.array(first, span(ids % 5, ids % 5 + ids % 3)).alias("short_answers"), F.array(F.struct((ids % 4 - 1).alias("start_token"), (ids % 4 - 1 + ids % 6).alias("end_token"))).alias("long_answer")).alias("annotations"),
+    )
+
+
+def _hop_rows(x: Fixtures) -> DataFrame:
+    """Raw rows with several titled contexts: a conversation's turns; some lack the last one's sentences, some any gold."""
+    turns = x.table("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    sentences = F.transform("t", lambda u: F.split(u["text"], r"\. "))
+    conv = F.col("conv_id")
+    gold = F.when(conv % 3 == 0, F.array(F.lit("t0"))).when(conv % 3 == 1, F.array(F.lit("t1"), F.lit("t2"), F.lit("t2"))).otherwise(F.array(F.lit("none")))
+    return turns.select(
+        F.row_number().over(Window.orderBy("conv_id")).alias("n"), F.get("t", F.lit(0))["text"].alias("question"), F.get("t", F.lit(0))["role"].alias("answer"), F.when(conv % 2 == 0, "bridge").otherwise("comparison").alias("type"),
+        F.struct(gold.alias("title"), F.transform(gold, lambda _, i: i).alias("sent_id")).alias("supporting_facts"),
+        F.struct(F.transform("t", lambda u: F.concat(F.lit("t"), (u["turn"] % 3).cast("string"))).alias("title"), F.when(conv % 4 == 0, F.slice(sentences, F.lit(1), F.size("t") - 1)).otherwise(sentences).alias("sentences")).alias("context"),
+    )
+
+
+_joined = lambda c: F.array_join(F.transform(c, lambda d: d.cast("string")), ",")
+
+
+@query
+def short_form_docs(x: Fixtures) -> DataFrame:
+    return construct.short_form(_short_rows(x), "n")[0]
+
+
+@query
+def short_form_questions(x: Fixtures) -> DataFrame:
+    return construct.short_form(_short_rows(x), "n")[1].withColumn("gold_docs", _joined("gold_docs"))
+
+
+@query
+def multi_hop_docs(x: Fixtures) -> DataFrame:
+    return construct.multi_hop(_hop_rows(x), "n")[0]
+
+
+@query
+def multi_hop_questions(x: Fixtures) -> DataFrame:
+    return construct.multi_hop(_hop_rows(x), "n")[1].withColumn("gold_docs", _joined("gold_docs"))
+
+
+@query
+def multi_hop_qrels(x: Fixtures) -> DataFrame:
+    return construct.multi_hop(_hop_rows(x), "n")[2]
+
+
+@query
+def sentence_buckets(x: Fixtures) -> DataFrame:
+    questions = construct.multi_hop(_hop_rows(x), "n")[1]
+    return questions.groupBy(X.sentence_bucket(F.col("n_sent")).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query
+def rebuilt_equal(x: Fixtures) -> DataFrame:
+    """Whether a knowledge base that is built twice is the same, and whether it equals one of another seed."""
+    build = lambda seed: construct.knowledge_base(x.docs, _gold_docs(x), KB, seed).select("doc_id", "is_gold")
+    same = construct.same_rows(build(42), build(42).orderBy("doc_id"))
+    return x.spark.createDataFrame([(same, construct.same_rows(build(42), build(43)))], "same boolean, other_seed boolean")
+
+
+@query
+def dataset_file(x: Fixtures) -> DataFrame:
+    """The benchmark as a dataset file and back."""
+    path, items = files.scratch(x.spark), x.table("benchmark")
+    item = F.col("item_id").cast("string")
+    questions = items.select(F.concat(F.lit("b"), item).alias("qid"), F.array_join(F.slice(F.split("text", " "), 1, 10), " ").alias("question"), F.lit("").alias("answer"), F.array(F.concat(F.lit("i"), item)).alias("gold_docs"))
+    files.write_dataset("bench", items.select(F.concat(F.lit("i"), item).alias("doc_id"), "text"), questions, path)
+    docs, asked, qrels = files.read_dataset(x.spark, path)
+    return asked.join(qrels, ["dataset", "qid"]).join(docs, ["dataset", "doc_id"]).select("dataset", "qid", "question", "doc_id", "text")
+
+
+@query
+def question_index(x: Fixtures) -> DataFrame:
+    rows = x.table("conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("qid"), "turn", F.col("text").alias("question"))
+    return files.by_qid(rows, "turn").select("qid", "turn", "question")
+
+
+@query
+def stored_vectors_topk(x: Fixtures) -> DataFrame:
+    path = files.scratch(x.spark)
+    files.write_vectors(x.table("embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")), path)
+    vectors = files.read_vectors(x.spark, path)
+    return dense.dense_topk(vectors.filter(F.col("doc_id") % 50 == 0).select(F.col("doc_id").cast("string").alias("qid"), "vec"), vectors, 20)
+
+
+@query
+def stored_bm25_topk(x: Fixtures) -> DataFrame:
+    path = files.scratch(x.spark)
+    x.index.write(path)
+    return _listed(lexical.bm25_topk(x.questions, lexical.Index.read(x.spark, path), fusion.POOL), F.col("score"))
+
+
+@query
+def stored_runs(x: Fixtures) -> DataFrame:
+    path = files.scratch(x.spark)
+    files.write_runs(x.runs, path)
+    return files.read_runs(x.spark, path).select("method", "qid", "doc_id", "rank")
+
+
+@query
+def stored_samples(x: Fixtures) -> DataFrame:
+    path = files.scratch(x.spark)
+    files.write_samples(x.samples.join(x.split, "qid").withColumn("ranked", F.transform("ranked", lambda d: d.cast("string"))), path)
+    return files.read_samples(x.spark, path, "val").select("qid", "question", "phase", "k", "docs", "label", F.array_join("ranked", ",").alias("ranked"))
+
+
+@query
+def stored_gold(x: Fixtures) -> DataFrame:
+    path = files.scratch(x.spark)
+    files.write_gold(x.qrels.withColumn("doc_id", F.col("doc_id").cast("string")), path)
+    return files.read_gold(x.spark, path).select("qid", F.col("doc_id").cast("bigint").alias("doc_id"))
+
+
+@query
+def json_report(x: Fixtures) -> DataFrame:
+    path = files.scratch(x.spark)
+    report.write_json(QUERIES["recall_matrix"](x.spark, x.sf_dir), path)
+    return x.spark.read.schema("dataset string, method string, k int, n_queries bigint, recall double").json(path)
+
+
+@query
+def markdown_report(x: Fixtures) -> DataFrame:
+    told = report.markdown(_grid(x).groupBy("method", "k").agg(F.count("*").alias("n"), F.avg("cov").alias("recall"), F.avg(F.col("full").cast("int")).alias("full_rate")), {"recall": ".3f", "full_rate": ".1%"}, ("method", "k"))
+    return x.spark.createDataFrame([(i, line) for i, line in enumerate(told.splitlines())], "n int, line string")
+
+
+@query
+def critic_cost(x: Fixtures) -> DataFrame:
+    """The critic's time where it was measured, and its default where it was not."""
+    held = x.table("events").agg(F.round(F.avg("value"), 6).alias("ms"))
+    return files.with_default(held, "ms", S.CRITIC_MS, x.spark).select(F.lit("measured").alias("source"), "ms").union(files.with_default(None, "ms", S.CRITIC_MS, x.spark).select(F.lit("default"), "ms"))
+
+
+@query
+def pair_inputs(x: Fixtures) -> DataFrame:
+    return critic.pair_text(critic.usable(x.samples)).select("qid", "phase", "input")
+
+
+@query
+def prompts(x: Fixtures) -> DataFrame:
+    return x.questions.select("qid", X.prompt(F.col("question")).alias("prompt"))
+
+
+@query
+def model_labels(x: Fixtures) -> DataFrame:
+    return policy.model_label(x.questions, plain_chat).select("qid", "answer", "label", "parsed")
+
+
+@query
+def softmax(x: Fixtures) -> DataFrame:
+    z = lambda k: F.get("embedding", F.lit(k)).cast("double") * 10
+    return x.table("embeddings").select("vec_id", F.round(X.positive_probability(z(0), z(1)), 9).alias("p"))
+
+
+@query
+def embedded_topk(x: Fixtures) -> DataFrame:
+    """Texts and questions through an embedder that runs in Python, then exact search."""
+    texts = dense.embedded(x.spread_docs.select("doc_id", "text"), "text", letters).select("doc_id", "vec")
+    asked = dense.embedded(x.questions.select("qid", "question"), "question", letters).select("qid", "vec")
+    return _listed(dense.dense_topk(asked, texts, 20, positive=True), X.scaled(F.col("score")))
+
+
+@query
+def view_recall(x: Fixtures) -> DataFrame:
+    """Recall in SQL, over views of the core tables."""
+    x.views()
+    return x.spark.sql(VIEW_RECALL)
+
+
+VIEW_RECALL = """
+SELECT r.method, count(g.doc_id) AS hits, count(DISTINCT r.qid) AS n_queries
+FROM runs r LEFT JOIN (SELECT DISTINCT qid, doc_id FROM qrels) g ON g.qid = r.qid AND g.doc_id = r.doc_id
+WHERE r.rank <= 10 GROUP BY r.method"""

@@ -9,42 +9,47 @@ from ..functions import text as X
 
 # Sizes, the seed, and the beginnings of ids.
 DOC_TOKENS, KB_DOCS, SEED = 1024, 10_000, 42
+SHORT_ROWS, HOP_ROWS = 40_000, 7_405
 SHORT_DOC, SHORT_QUESTION, HOP_DOC, HOP_QUESTION = "doc_", "nq_", "hp_", "hotpot_"
 
 
 def _cut(tokens: Column, start: Column, stop: Column) -> Column:
-    return F.trim(F.array_join(F.slice(tokens, start.cast("int") + 1, (stop - start).cast("int")), " "))
+    return X.stripped(F.array_join(F.slice(tokens, start.cast("int") + 1, (stop - start).cast("int")), " "))
 
 
-def short_form(rows: DataFrame, ordinal: str, tokens: int = DOC_TOKENS) -> tuple[DataFrame, DataFrame]:
+def short_form(rows: DataFrame, ordinal: str, tokens: int = DOC_TOKENS, most_rows: int = SHORT_ROWS, most_docs: int = KB_DOCS) -> tuple[DataFrame, DataFrame]:
     """(docs(doc_id, text), questions(qid, question, answer, gold_docs)) of rows with one document and question each.
 
     rows have schema SHORT_FORM_ROW and an ordinal from 1, which counts dropped rows too.  Dropped are rows without
     tokens, question or an answer of two characters.  The answer is the first short span of the whole document that is
-    not empty, else the first long one.
+    not empty, else the first long one.  The scan ends after most_rows rows, or when it has most_docs documents.
     """
+    rows = rows.filter(F.col(ordinal) <= most_rows)
     words = F.coalesce("document.tokens.token", F.array().cast("array<string>"))
     head = lambda a: F.coalesce(F.get(a, F.lit(0)), F.lit(-1))
     shorts = F.transform("annotations.short_answers", lambda s: F.struct(head(s["start_token"]).alias("a"), head(s["end_token"]).alias("b")))
     short = F.get(F.filter(shorts, lambda s: (s["a"] >= 0) & (s["b"] > s["a"])), F.lit(0))
     long = F.get("annotations.long_answer", F.lit(0))
-    base = rows.select(F.col(ordinal).alias("n"), words.alias("w"), F.trim(F.coalesce("question.text", F.lit(""))).alias("question"), short.alias("s"), long.alias("l"))
+    base = rows.select(F.col(ordinal).alias("n"), words.alias("w"), F.coalesce("question.text", F.lit("")).alias("question"), short.alias("s"), long.alias("l"))
     first = F.when(F.col("s").isNotNull(), _cut(F.col("w"), F.col("s.a"), F.col("s.b")))
     second = F.when((F.col("l.start_token") >= 0) & (F.col("l.end_token") > F.col("l.start_token")), _cut(F.col("w"), F.col("l.start_token"), F.col("l.end_token")))
     answer = F.coalesce(F.nullif(first, F.lit("")), second, F.lit(""))
     good = base.filter((F.size("w") > 0) & (F.col("question") != "")).withColumn("answer", answer).filter(F.length("answer") >= 2)
+    good = good.orderBy("n").limit(most_docs)
     doc_id = X.padded_id(SHORT_DOC, F.col("n"))
     docs = good.select(doc_id.alias("doc_id"), F.array_join(F.slice("w", 1, tokens), " ").alias("text"))
     return docs, good.select(X.padded_id(SHORT_QUESTION, F.col("n")).alias("qid"), "question", "answer", F.array(doc_id).alias("gold_docs"))
 
 
-def multi_hop(rows: DataFrame, ordinal: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def multi_hop(rows: DataFrame, ordinal: str, most_rows: int = HOP_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(docs(doc_id, text), questions, qrels(qid, doc_id)) of rows whose contexts are several titled documents.
 
     rows have schema MULTI_HOP_ROW and an ordinal from 1.  A document is gold for its own question if its title is
     among the supporting ones.  Questions without gold are dropped, their documents are not.  Document ids count the
     contexts in order: each question's offset is a running sum of sizes, summed over blocks of ordinals first.
+    The scan ends after most_rows rows.
     """
+    rows = rows.filter(F.col(ordinal) <= most_rows)
     block = F.floor(F.col("_n") / 10_000)
     base = rows.select(F.col(ordinal).alias("_n"), "question", "answer", "type", "supporting_facts", "context")
     sized = base.withColumn("_size", F.coalesce(F.size("context.title"), F.lit(0)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +18,26 @@ def read_dataset(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
     return docs, questions, questions.select("dataset", "qid", F.explode("gold_docs").alias("doc_id")).distinct()
 
 
-def by_qid(questions: DataFrame) -> DataFrame:
-    """One row for each question id, the last in order of the file's fields where ids repeat."""
-    return questions.dropDuplicates(["qid"])
+def write_dataset(name: str, docs: DataFrame, questions: DataFrame, path: str) -> None:
+    """A dataset as one JSON object: docs(doc_id, text) become its map kb.  For sets that fit one record."""
+    kb = docs.agg(F.map_from_entries(F.collect_list(F.struct("doc_id", "text"))).alias("kb"))
+    asked = questions.agg(F.collect_list(F.struct(*questions.columns)).alias("questions"))
+    kb.join(asked).select(F.lit(name).alias("name"), "kb", "questions").coalesce(1).write.mode("overwrite").json(path)
+
+
+def by_qid(questions: DataFrame, order: str) -> DataFrame:
+    """One row for each question id: where ids repeat, the last by the column order."""
+    others = [c for c in questions.columns if c != "qid"]
+    return questions.groupBy("qid").agg(F.max_by(F.struct(*others), order).alias("_q")).select("qid", "_q.*")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share, deleted when the session's JVM ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base}/files-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
 
 
 def write_runs(runs: DataFrame, path: str) -> None:
