@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from . import _spark, _text
 
 ID_BYTES = 16
+#: Members of a group whose result is sent to all tasks, and the most of such groups; more are joined by a shuffle.
+HOT, HOT_GROUPS = 1000, 20_000
 
 
 def _gear() -> np.ndarray:
@@ -108,10 +110,17 @@ def exact_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", bit
         raise RuntimeError(f"chunk identifiers clash under {tries} keys")
     kind = slim.schema["doc_id"].dataType.simpleString()
     rows = _spark.written(_spark.mapped(slim, recipes(seed), f"doc_id {kind}, text_sha256 string, recipe binary"))
-    groups = rows.groupBy(F.col("recipe").alias("_r")).agg(F.max("doc_id").alias("_keep"), F.count("*").alias("_n")).filter("_n > 1")
-    out = rows.join(groups, F.col("recipe") == F.col("_r"), "left")
+    groups = _spark.written(rows.groupBy(F.col("recipe").alias("_r")).agg(F.max("doc_id").alias("_keep"), F.count("*").alias("_n")).filter("_n > 1"))
+    met = F.col("recipe") == F.col("_r")
+    # members of a large group stay where they are
+    hot = F.broadcast(groups.filter(F.col("_n") > HOT))
+    some = groups.filter(F.col("_n") > HOT).count()
+    if 0 < some <= HOT_GROUPS:
+        out = rows.join(hot, met).union(rows.join(hot, met, "left_anti").join(groups.filter(F.col("_n") <= HOT), met, "left"))
+    else:
+        out = rows.join(groups, met, "left")
     keep = F.when(F.col("_n").isNull(), F.col("doc_id")).otherwise(F.col("_keep"))
-    return out.select(F.col("doc_id").alias(key), keep.alias("keep_id"), F.coalesce("_n", F.lit(1)).cast("bigint").alias("group_size"), (F.col("doc_id") == keep).alias("kept"), "text_sha256")
+    return out.select(F.col("doc_id").alias(key), keep.alias("keep_id"), F.coalesce("_n", F.lit(1)).cast("bigint").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
 def op7_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:

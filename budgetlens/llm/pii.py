@@ -28,7 +28,7 @@ BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 # Wider patterns: an address with its signs spelled out, numbers grouped in threes and fours without a plus, and long
 # keys after a word that announces them.  Their runs are possessive and have no upper bound, so spans end where runs do.
 OPEN_EMAIL = r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]++)++"
-OPEN_PHONE = r"(?<![0-9+)(.\x20-])(?<![+(][0-9]{1,3}[\x20.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])"
+OPEN_PHONE = r"(?<![0-9+)(.-])(?<![0-9)]\x20)(?<![+(][0-9]{1,3}[\x20.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])"
 SECRET = r"(?i)(?:api[_-]?key|secret|token|password|passwd)\x20{0,3}[:=]\x20{0,3}[\x22\x27]?[A-Za-z0-9_+/-]{16,}+"
 #: Code points before and after a candidate that labelers see.
 NEAR = 24
@@ -171,14 +171,17 @@ def logistic(counts: dict, post: dict, steps: int = 300, rate: float = 0.5) -> l
 
 
 def spans(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """A row for each row of df: key, base and added, both array<struct<kind, start, stop, text, p>> by kind and start.
+    """A row for each row of df: key, base and added, both array<struct<kind, start, stop, p>> by kind and start.
 
     Kinds are indices of KINDS; starts and ends are code points, ends exclusive.  A null text is an empty one, without
-    spans; repeated rows get equal spans; texts of any length are read whole; no rows give no rows.
+    spans; repeated rows get equal spans, null keys are passed on; texts of any length are read whole; no rows give no
+    rows; other columns are not looked at.  What is found is not written anywhere: the tables in between hold places
+    and votes only, and cut() takes the texts of spans.
     threshold: the classifier's probability from which a candidate is added.
     """
     both = found(df, key, text)
-    voted = lambda c: F.transform(c, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["text"].alias("text"), F.array(*votes(s, F.col("_text"))).alias("votes")))
+    place = lambda s: [s[c].alias(c) for c in ("kind", "start", "stop")]
+    voted = lambda c: F.transform(c, lambda s: F.struct(*place(s), F.array(*votes(s, F.col("_text"))).alias("votes")))
     rows = _spark.written(both.select("_key", voted("base").alias("base"), voted("open").alias("open")))
     # a few hundred patterns of votes at most
     patterns = rows.select(F.explode(F.concat("base", "open")).alias("s")).groupBy("s.kind", "s.votes").count().collect()
@@ -190,12 +193,30 @@ def spans(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: flo
         for i in range(len(LABELERS)):
             v = s["votes"][i]
             z = z + F.when(v == 1, weights[1 + 2 * i]).when(v == 0, weights[2 + 2 * i]).otherwise(0.0) if counts else z
-        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["text"].alias("text"), (1 / (1 + F.exp(-z))).alias("p"))
+        return F.struct(*place(s), (1 / (1 + F.exp(-z))).alias("p"))
 
     added = F.filter(F.transform("open", scored), lambda s: s["p"] >= threshold)
     return rows.select(F.col("_key").alias(key), F.array_sort(F.transform("base", scored)).alias("base"), F.array_sort(added).alias("added"))
 
 
+def cut(text: Column, spans: Column) -> Column:
+    """The texts of spans."""
+    return F.transform(spans, lambda s: F.substring(text, s["start"] + 1, s["stop"] - s["start"]))
+
+
+def redacted(text: Column, spans: Column) -> Column:
+    """text with each span's characters replaced by its kind in brackets; of spans that overlap the earlier one counts."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("back"), s["kind"].alias("kind"))))
+    names = F.array(*map(F.lit, KINDS))
+    first = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+
+    def step(held: Column, s: Column) -> Column:
+        told = F.concat(held["out"], F.substring(text, held["at"] + 1, s["start"] - held["at"]), F.lit("["), F.get(names, s["kind"]), F.lit("]"))
+        return F.when(s["start"] >= held["at"], F.struct(told.alias("out"), (-s["back"]).alias("at"))).otherwise(held)
+
+    return F.aggregate(ordered, first, step, lambda h: F.concat(h["out"], F.substring(text, h["at"] + 1, F.length(text))))
+
+
 def listed(spans: Column) -> Column:
     """kind:start:end of spans, comma-joined."""
     names = F.array(*map(F.lit, KINDS))

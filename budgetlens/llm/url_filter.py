@@ -3,7 +3,8 @@
 Two variable-order Markov models, one of accepted and one of rejected URLs, give each character a probability from the
 longest context seen, interpolated with all shorter ones (Witten-Bell).  A URL is judged by the difference of its
 log-likelihoods per character against a threshold calibrated on labelled URLs that training does not see.  Rules on
-host and path go before the models and also label the URLs they learn from.
+host and path go before the models.  Labels are the caller's, or weak ones: a host with a word of unwanted trades is
+rejected, others are accepted, and what a rule blocks is not learnt from, so the models do not repeat the rules.
 
 The counts cover every labelled URL and are exact: ORDER + 1 symbols fit a 64-bit number, so nothing is hashed.  They
 are a table that grows with the distinct grams.  A gram has one ratio wherever it stands, so the distinct grams of the
@@ -12,6 +13,7 @@ URLs are joined with the counts, order by order, and their ratios go back to gro
 
 from __future__ import annotations
 
+import math
 import uuid
 
 import numpy as np
@@ -32,7 +34,7 @@ GROUP_BYTES = 1 << 20
 
 #: The rules of the contract: (what to do, host + path).
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: Words that mark a host as unwanted where no rule allows it; they label, they do not judge.
+#: Whole words of a host that label its URLs as unwanted; they do not judge.
 SEED_WORDS = ("casino", "bets", "poker", "ads", "track", "porn", "xxx", "viagra")
 
 
@@ -208,12 +210,20 @@ def threshold(scored: DataFrame) -> float:
     return float(best[len(best) // 2] * SPAN / BINS - SPAN / 2)
 
 
-def judge(df: DataFrame, key: str = "page_id", url: str = "url", rules=RULES, seed_words=SEED_WORDS, folds: int = 5) -> DataFrame:
+def weak_labels(host: Column, verdict: Column, seed_words=SEED_WORDS) -> Column:
+    """0 for hosts with a seed word between signs or digits, 1 for others, null without a host and where a rule blocks."""
+    seed = host.rlike("(^|[^a-z])(" + "|".join(seed_words) + ")([^a-z]|$)") if seed_words else F.lit(False)
+    return F.when((host == "") | F.coalesce(verdict == "block", F.lit(False)), None).when(seed, 0).otherwise(1).cast("int")
+
+
+def judge(df: DataFrame, key: str = "page_id", url: str = "url", rules=RULES, label: str | None = None, seed_words=SEED_WORDS, folds: int = 5) -> DataFrame:
     """A row for each row of df: key, host, path, rule, verdict, lm_score.
 
     rule is the longest rule that fits (null: none), and verdict its word; without a rule the models decide.  A null
     URL, or one without ``://``, has an empty host and path; the models see null as empty.  A score equal to the
-    threshold is accepted, so without any labelled URL all are.  Repeated rows are judged alike.
+    threshold is accepted; without labelled URLs of both kinds all are.  Repeated rows are judged alike,
+    null keys are passed on, and columns other than these are not looked at, whatever they are called.
+    label: a column of df with 1 for accepted, 0 for rejected and null for unknown URLs; weak_labels() without it.
     folds: labelled URLs of one of so many folds (by a hash of the URL) set the threshold; the others train.
     """
     def known(rows: DataFrame) -> DataFrame:
@@ -221,17 +231,14 @@ def judge(df: DataFrame, key: str = "page_id", url: str = "url", rules=RULES, se
         rows = rows.withColumn("host", host).withColumn("path", path)
         return rows.withColumn("_rule", ruled(F.col("host"), F.col("path"), rules))
 
-    seed = F.lit(False)
-    for w in seed_words:
-        seed = seed | F.col("host").contains(w)
-    allowed, blocked = F.col("_rule.verdict") == "allow", F.col("_rule.verdict") == "block"
-    label = F.when(blocked | (F.col("_rule").isNull() & seed), 0).when(allowed & ~seed, 1)
-    marked = lambda rows: rows.withColumn("label", label.cast("int")).filter("url is not null and label is not null")
+    told = F.col("_label") if label else weak_labels(F.col("host"), F.col("_rule.verdict"), seed_words)
+    marked = lambda rows: rows.withColumn("label", told).filter("url is not null and label is not null")
     held = F.pmod(F.xxhash64("url"), F.lit(folds)) == 0
-    base = df.select(F.col(key).alias("_key"), F.col(url).alias("url"))
+    base = df.select(F.col(key).alias("_key"), F.col(url).alias("url"), (F.col(label).cast("int") if label else F.lit(None).cast("int")).alias("_label"))
     model = train(marked(known(base)).filter(~held))
     out = known(_spark.written(scores(base, "url", model)))
-    limit = threshold(marked(out).filter(held))
+    kinds = marked(out).select("label").distinct().count()
+    limit = threshold(marked(out).filter(held)) if kinds == 2 else -math.inf
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("lm_score") >= limit, "allow").otherwise("block"))
     return out.select(F.col("_key").alias(key), "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), "lm_score")
 

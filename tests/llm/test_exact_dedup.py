@@ -57,6 +57,13 @@ def test_clashing_identifiers_are_noticed_and_made_anew(spark):
 
 def test_repeated_rows_null_keys_empty_table_and_clashing_columns(spark):
     rows = E.exact_duplicates(documents(spark, ["a", "A", "b", None], [4, 4, None, 2])).collect()
-    assert sorted((r["doc_id"] or 0, r["keep_id"], r["group_size"], r["kept"]) for r in rows) == [(0, None, 1, None), (2, 2, 1, True), (4, 4, 2, True), (4, 4, 2, True)]
+    assert sorted((r["doc_id"] or 0, r["keep_id"], r["group_size"], r["kept"]) for r in rows) == [(0, None, 1, True), (2, 2, 1, True), (4, 4, 2, True), (4, 4, 2, True)]
     assert E.exact_duplicates(documents(spark, ["x"]).limit(0)).count() == 0
     assert E.exact_duplicates(clashing(spark, ["x", "X"], ["recipe", "keep_id", "_n"])).filter("kept").count() == 1
+
+
+def test_large_groups_are_told_without_moving_their_rows(spark, monkeypatch):
+    texts = ["big"] * 30 + ["pair", "PAIR", "one", None, ""]
+    whole = {tuple(r) for r in E.exact_duplicates(documents(spark, texts)).collect()}
+    monkeypatch.setattr(E, "HOT", 5)
+    assert {tuple(r) for r in E.exact_duplicates(documents(spark, texts)).collect()} == whole and len(whole) == len(texts)

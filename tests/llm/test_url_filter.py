@@ -1,6 +1,8 @@
+import re
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from budgetlens.llm import url_filter as U
 
@@ -93,3 +95,34 @@ def test_repeated_rows_no_labels_and_empty_table(spark):
     assert {r["verdict"] for r in rows} == {"allow"} and len({(r["lm_score"]) for r in rows if r["host"]}) == 1
     wide = pages(spark, ["http://a.org/"]).selectExpr("*", "1 AS host", "2 AS rule", "3 AS _key")
     assert U.judge(wide).columns == ["page_id", "host", "path", "rule", "verdict", "lm_score"]
+
+
+def test_seed_words_are_whole_words_and_rules_do_not_label(spark):
+    hosts = ["roads.example.net", "alphabets.net", "ads-track.net", "my.casino.net", "x.example.org", "y.com"]
+    rows = spark.createDataFrame([(h, v) for h in hosts for v in ("allow", "block", None)], "host string, verdict string")
+    got = {(r["host"], r["verdict"]): r["label"] for r in rows.select("host", "verdict", U.weak_labels(F.col("host"), F.col("verdict")).alias("label")).collect()}
+    assert all(got[h, "block"] is None for h in hosts)
+    assert {h: got[h, None] for h in hosts} == {h: got[h, "allow"] for h in hosts} == dict(zip(hosts, (1, 1, 0, 0, 1, 1)))
+
+
+def test_verdicts_of_hosts_that_training_has_not_seen(spark):
+    """Held out by host: unwanted hosts go and the others stay, whatever folder a rule blocks."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    host, _ = U.parsed(F.col("url"))
+    rows = docs.withColumn("host", host).withColumn("label", U.weak_labels(F.col("host"), F.lit(None).cast("string"))).filter("label is not null")
+    model = U.train(rows.filter("crc32(host) % 3 <> 0"))
+    told = U.scores(rows.filter("crc32(host) % 3 = 0").select("url", "label"), "url", model).collect()
+    limit = U.threshold(U.scores(rows.filter("crc32(host) % 3 <> 0").select("url", "label"), "url", model))
+    good = [r["lm_score"] >= limit for r in told if r["label"] == 1]
+    assert len(good) > 30 and sum(good) / len(good) > 0.9
+    judged = U.judge(docs).filter("rule is null").collect()
+    kept = [r["verdict"] == "allow" for r in judged if not any(w in U.SEED_WORDS for w in re.split("[^a-z]", r["host"]))]
+    assert sum(kept) / len(kept) > 0.9
+    gone = [r["verdict"] == "block" for r in judged if any(w in U.SEED_WORDS for w in re.split("[^a-z]", r["host"]))]
+    assert sum(gone) / len(gone) > 0.9
+
+
+def test_labels_of_the_caller(spark):
+    rows = [(i, f"http://site{i}.net/good/{i}", 1) for i in range(100)] + [(100 + i, f"http://site{i}.net/spam/{i}", 0) for i in range(100)] + [(900, "http://site7.net/spam/x", None), (901, "http://site7.net/good/x", None)]
+    got = {r["page_id"]: r["verdict"] for r in U.judge(spark.createDataFrame(rows, "page_id bigint, url string, quality int"), rules=(), label="quality").collect()}
+    assert got[900] == "block" and got[901] == "allow" and len(got) == len(rows)
