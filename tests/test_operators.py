@@ -180,7 +180,9 @@ def test_short_form_rows(spark):
     frame = spark.createDataFrame(rows, T.StructType([T.StructField("n", T.LongType()), *S.SHORT_FORM_ROW.fields]))
     docs, questions = construct.short_form(frame, "n", tokens=3)
     assert {r["doc_id"]: r["text"] for r in docs.collect()} == {"doc_000001": "Paris is the", "doc_000002": "Paris is the"}
-    assert {(r["qid"], r["question"], r["answer"], *r["gold_docs"]) for r in questions.collect()} == {("nq_000001", "where", "Paris", "doc_000001"), ("nq_000002", "what", "capital of France", "doc_000002")}
+    assert {(r["qid"], r["question"], r["answer"], *r["gold_docs"]) for r in questions.collect()} == {("nq_000001", " where ", "Paris", "doc_000001"), ("nq_000002", "what", "capital of France", "doc_000002")}
+    assert [r["doc_id"] for r in construct.short_form(frame, "n", most_docs=1)[0].collect()] == ["doc_000001"]
+    assert [r["qid"] for r in construct.short_form(frame, "n", most_rows=1)[1].collect()] == ["nq_000001"]
 
 
 def test_multi_hop_rows(spark):
