@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, language_id, line_dedup, near_dedup, packing, pii, sharding, token_counts, url_filter
+from . import decontamination, exact_dedup, hard_negatives, language_id, line_dedup, near_dedup, packing, piece_codec, pii, sharding, spelling, token_counts, url_filter
 
 
 def queries():
@@ -17,6 +17,9 @@ def queries():
         "op8_minhash_lines": line_dedup.op8_minhash_lines,
         "op9_rendezvous_shards": sharding.op9_rendezvous_shards,
         "op10_edit_aware_counts": token_counts.op10_edit_aware_counts,
+        "op11_vantage_negatives": hard_negatives.op11_vantage_negatives,
+        "op12_trie_variants": spelling.op12_trie_variants,
+        "op13_sentencepiece_rounds": piece_codec.op13_sentencepiece_rounds,
     }
 
 
@@ -27,4 +30,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_chunk_recipes": exact_dedup.OP7_SQL,
         "op8_minhash_lines": line_dedup.OP8_SQL,
         "op9_rendezvous_shards": sharding.op9_sql(),
+        "op11_vantage_negatives": hard_negatives.OP11_SQL,
+        "op12_trie_variants": spelling.OP12_SQL,
     }
