@@ -24,6 +24,13 @@ def coverage(runs: DataFrame, qrels: DataFrame, strategies: DataFrame) -> DataFr
     return out.select("qid", "level", "name", "method", "k", n_hit.alias("n_hit"), "n_gold", F.coalesce("n_docs", F.lit(0)).cast("bigint").alias("n_docs"), (n_hit / F.col("n_gold")).alias("cov"), (n_hit == F.col("n_gold")).alias("full"))
 
 
+def chosen(facts: DataFrame, rows: tuple[tuple[str, str, int], ...]) -> DataFrame:
+    """coverage() of some strategies (name, method, k) from facts that hold all their methods and cuts, without a join."""
+    s = F.explode(F.filter(F.array(*[F.struct(F.lit(i + 1).alias("level"), F.lit(n).alias("name"), F.lit(m).alias("m"), F.lit(k).alias("c")) for i, (n, m, k) in enumerate(rows)]), lambda s: (s["m"] == F.col("method")) & (s["c"] == F.col("k"))))
+    others = [c for c in facts.columns if c not in ("qid", "method", "k")]
+    return facts.withColumn("_s", s).select("qid", "_s.level", "_s.name", "method", "k", *others)
+
+
 def best_ranks(runs: DataFrame, qrels: DataFrame, methods: tuple[str, ...] = ("dense", "hybrid", "rerank")) -> DataFrame:
     """(qid, doc_id, best): the best rank of each gold document over methods, null where no list has it."""
     mine = runs.filter(F.col("method").isin(*methods)).groupBy("qid", "doc_id").agg(F.min("rank").alias("best"))

@@ -32,6 +32,13 @@ def samples(questions: DataFrame, runs: DataFrame, docs: DataFrame, cov: DataFra
     )
 
 
+def inputs(questions: DataFrame, lists: DataFrame, docs: DataFrame, phase: str, level: int, k: int, words: int = DOC_WORDS) -> DataFrame:
+    """(qid, question, phase, level, k, docs) of one stage: what the critic reads of lists(qid, doc_id, rank)."""
+    listed = lists.join(docs.select("doc_id", X.first_words(F.col("text"), words).alias("w")), "doc_id").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "w"))).alias("l"))
+    said = F.array_join(F.coalesce(F.transform("l", lambda x: x["w"]), F.array().cast("array<string>")), " ")
+    return questions.select("qid", "question").join(listed, "qid", "left").select("qid", "question", F.lit(phase).alias("phase"), F.lit(level).alias("level"), F.lit(k).alias("k"), said.alias("docs"))
+
+
 def usable(rows: DataFrame) -> DataFrame:
     """Samples whose documents have words; what training takes."""
     return rows.filter(F.trim("docs") != "")

@@ -38,18 +38,30 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.add.accumulate(a * b, axis=1)[:, -1]
 
 
-def _search(qids: list, queries: np.ndarray, k: int, positive: bool):
+def _parts(batch: pa.RecordBatch, need: np.ndarray | None, n: int):
+    """(rows, queries) that are to meet: all, or those whose query needs the rows' cell."""
+    if need is None:
+        yield batch, range(n)
+        return
+    cell = batch.column(3).to_numpy(zero_copy_only=False)
+    for c in np.unique(cell):
+        if need[:, c].any():
+            yield batch.take(pa.array(np.flatnonzero(cell == c))), np.flatnonzero(need[:, c])
+
+
+def _search(qids: list, queries: np.ndarray, k: int, positive: bool, need: np.ndarray | None = None):
+    """The best k of each query among a task's (doc_id, vec, norm[, cell]); need[query, cell] where there are cells."""
+
     def run(batches):
         kind, best = None, [(np.zeros(0), np.zeros(0, np.int64))] * len(qids)
-        for batch in batches:
+        for batch, asked in ((b, q) for whole in batches for b, q in _parts(whole, need, len(qids))):
             kind = batch.schema.field(0).type
             docs = _matrix(batch.column(1))
             if not len(docs):
                 continue
             ids, norm = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
-            near = queries @ docs.T / norm
-            for q in range(len(qids)):
-                row = near[q]
+            near = queries[asked] @ docs.T / norm
+            for row, q in zip(near, asked):
                 if len(row) > k:
                     # the k-th best, less what rounding may have cost
                     edge = np.partition(row, len(row) - k)[len(row) - k]

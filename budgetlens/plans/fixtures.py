@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import text as X
-from ..operators import coverage, critic, dense, fusion, lexical, matching, policy
+from ..operators import blockmax, cells, coverage, critic, dense, fusion, lexical, matching, policy
+from ..sources import files
 from . import models
 
 
@@ -27,7 +28,7 @@ class Fixtures:
     """Lazily built tables, each kept in the session's storage for as long as the object lives."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self.held = spark, sf_dir, []
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -86,21 +87,43 @@ class Fixtures:
     def reranked(self) -> DataFrame:
         return fusion.rerank(self.hybrid, self.questions, self.docs).persist()
 
+    @cached_property
+    def blocks(self) -> blockmax.BlockIndex:
+        return blockmax.build(self.index)
+
+    @cached_property
+    def cells(self) -> cells.CellIndex:
+        return cells.build(self.vectors)
+
+    def _kept(self, **tables: DataFrame) -> dict[str, DataFrame]:
+        """Tables written by question, as read from there."""
+        path = files.scratch(self.spark)
+        files.write_facts(tables, path)
+        held = files.read_facts(self.spark, path)
+        self.held += held.values()
+        return held
+
     @cached_property
     def runs(self) -> DataFrame:
-        """(method, qid, doc_id, rank)."""
+        """(method, qid, doc_id, rank), bucketed by question."""
         named = {"dense": self.dense200.filter(F.col("rank") <= fusion.TOP), "hybrid": self.hybrid, "rerank": self.reranked}
         parts = [df.select(F.lit(m).alias("method"), "qid", "doc_id", "rank") for m, df in named.items()]
-        return parts[0].union(parts[1]).union(parts[2]).persist()
+        return self._kept(runs=parts[0].union(parts[1]).union(parts[2]))["runs"]
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        """Coverage of each question by each method at each cut, with dataset and grp, bucketed by question."""
+        grid = tuple((f"{m}@{k}", m, k) for m in ("dense", "hybrid", "rerank") for k in S.KS)
+        out = coverage.coverage(self.runs, self.qrels, S.strategies(self.spark, grid)).drop("level", "name")
+        return self._kept(facts=out.join(self.questions.select("qid", "dataset", "grp"), "qid"))["facts"]
 
     def cov(self, rows: S.Strategies) -> DataFrame:
-        """Coverage with the questions' dataset and grp."""
-        out = coverage.coverage(self.runs, self.qrels, S.strategies(self.spark, rows))
-        return out.join(self.questions.select("qid", "dataset", "grp"), "qid")
+        """Coverage with the questions' dataset and grp: the facts of some strategies, whose cuts are those of the facts."""
+        return coverage.chosen(self.facts, rows)
 
     @cached_property
     def difficulty(self) -> DataFrame:
-        return coverage.difficulty(self.runs, self.qrels)
+        return self._kept(difficulty=coverage.difficulty(self.runs, self.qrels))["difficulty"]
 
     @cached_property
     def rule(self) -> DataFrame:
@@ -131,9 +154,10 @@ class Fixtures:
         return self.questions.select("qid", F.when(X.hash16(F.col("qid")) % 2 == 0, "val").otherwise("test").alias("split"))
 
     def release(self) -> None:
-        for name in ("qrels", "questions", "vectors", "bm25", "dense200", "hybrid", "reranked", "runs", "samples", "scores"):
+        for name in ("qrels", "questions", "vectors", "bm25", "dense200", "hybrid", "reranked", "samples", "scores"):
             if name in self.__dict__:
                 self.__dict__[name].unpersist()
+        files.forget(*self.held)
         if "index" in self.__dict__:
             self.index.postings.unpersist()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from .. import schema as S
 from ..functions import text as X
 from .models import ALPHABET, SAYS
-from .queries import ANSWERS, FLOOR, KB, SAMPLE, VIEW_RECALL
+from .queries import ANSWERS, CAPPED_DOCS, CAPPED_HOPS, CAPPED_ROWS, FLOOR, KB, SAMPLE, VIEW_RECALL
 
 _quoted = lambda words: ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 _values = lambda rows: ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else f"{v!r}" for v in r) + ")" for r in rows)
@@ -44,6 +44,29 @@ def _pick(name: str) -> str:
     return f"SELECT * FROM {name} QUALIFY row_number() OVER (PARTITION BY qid ORDER BY \"full\" DESC, cov DESC, level) = 1"
 
 
+def _short(c: str, most_rows: int, most_docs: int) -> dict[str, str]:
+    """The short form under two caps; c is the ending of the expressions' names."""
+    return {
+        f"short_spans{c}": f"SELECT *, list_filter(spans, lambda x: x.a >= 0 AND x.b > x.a)[1] AS s, CASE WHEN silent THEN '' ELSE array_to_string(w[1:8], ' ') END AS question FROM short_raw WHERE n <= {most_rows} AND len(w) > 0",
+        f"short_answers{c}": rf"""
+SELECT n, w, question, coalesce(nullif(CASE WHEN s IS NOT NULL THEN regexp_replace(array_to_string(w[s.a + 1:s.b], ' '), '^\s+|\s+$', '', 'g') END, ''),
+  CASE WHEN la >= 0 AND lb > la THEN regexp_replace(array_to_string(w[la + 1:lb], ' '), '^\s+|\s+$', '', 'g') ELSE '' END) AS answer FROM short_spans{c} WHERE question <> ''""",
+        f"short_good{c}": f"SELECT *, format('{{:06d}}', n) AS code FROM short_answers{c} WHERE length(answer) >= 2 ORDER BY n LIMIT {most_docs}",
+    }
+
+
+def _hops(c: str, most_rows: int) -> dict[str, str]:
+    return {
+        f"hop_each{c}": f"""
+SELECT n, conv_id, gold, row_number() OVER (ORDER BY n, i) - 1 AS place, 't' || (t[i].turn % 3) AS title, CASE WHEN conv_id % 4 = 0 AND i = len(t) THEN '' ELSE array_to_string(string_split(t[i].text, '. '), ' ') END AS text
+FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM hop_raw WHERE n <= {most_rows})""",
+        f"hop_gold{c}": f"SELECT format('hotpot_{{:06d}}', n) AS qid, format('hp_{{:06d}}', place) AS doc_id FROM hop_each{c} WHERE list_contains(gold, title)",
+        f"hop_questions{c}": f"""
+SELECT format('hotpot_{{:06d}}', n) AS qid, t[1].text AS question, t[1].role AS answer, CASE WHEN conv_id % 2 = 0 THEN 'bridge' ELSE 'comparison' END AS type, len(gold) AS n_sent, gold_docs, n_supporting
+FROM hop_raw JOIN (SELECT qid, string_agg(doc_id, ',' ORDER BY doc_id) AS gold_docs, count(*) AS n_supporting FROM hop_gold{c} GROUP BY qid) g ON g.qid = format('hotpot_{{:06d}}', n)""",
+    }
+
+
 CTES: dict[str, str] = {
     "asking": """
 SELECT 'd' || doc_id AS qid, 'doc' AS dataset, array_to_string(string_split(text, ' ')[4:13], ' ') AS question, lang AS grp FROM documents WHERE doc_id % 50 = 0
@@ -140,21 +163,13 @@ CROSS JOIN (SELECT doc_id, list_transform(c, lambda x: x / sqrt(list_dot_product
 SELECT row_number() OVER (ORDER BY doc_id) AS n, CASE WHEN doc_id % 13 = 0 THEN [] ELSE string_split(text, ' ') END AS w, doc_id % 11 = 0 AS silent,
   CASE WHEN doc_id % 2 = 0 THEN [{'a': -1, 'b': -1}, {'a': doc_id % 5, 'b': doc_id % 5 + doc_id % 3}] ELSE [{'a': doc_id % 9, 'b': doc_id % 9}, {'a': doc_id % 5, 'b': doc_id % 5 + doc_id % 3}] END AS spans,
   doc_id % 4 - 1 AS la, doc_id % 4 - 1 + doc_id % 6 AS lb FROM documents""",
-    "short_spans": "SELECT *, list_filter(spans, lambda x: x.a >= 0 AND x.b > x.a)[1] AS s, CASE WHEN silent THEN '' ELSE array_to_string(w[1:8], ' ') END AS question FROM short_raw WHERE n <= 40000 AND len(w) > 0",
-    "short_answers": r"""
-SELECT n, w, question, coalesce(nullif(CASE WHEN s IS NOT NULL THEN regexp_replace(array_to_string(w[s.a + 1:s.b], ' '), '^\s+|\s+$', '', 'g') END, ''),
-  CASE WHEN la >= 0 AND lb > la THEN regexp_replace(array_to_string(w[la + 1:lb], ' '), '^\s+|\s+$', '', 'g') ELSE '' END) AS answer FROM short_spans WHERE question <> ''""",
-    "short_good": "SELECT *, format('{:06d}', n) AS code FROM short_answers WHERE length(answer) >= 2 ORDER BY n LIMIT 10000",
     "hop_raw": """
 SELECT conv_id, list(struct_pack(turn, role, text) ORDER BY turn) AS t, row_number() OVER (ORDER BY conv_id) AS n,
   CASE conv_id % 3 WHEN 0 THEN ['t0'] WHEN 1 THEN ['t1', 't2', 't2'] ELSE ['none'] END AS gold FROM conversations GROUP BY conv_id""",
-    "hop_each": """
-SELECT n, conv_id, gold, row_number() OVER (ORDER BY n, i) - 1 AS place, 't' || (t[i].turn % 3) AS title, CASE WHEN conv_id % 4 = 0 AND i = len(t) THEN '' ELSE array_to_string(string_split(t[i].text, '. '), ' ') END AS text
-FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM hop_raw WHERE n <= 7405)""",
-    "hop_gold": "SELECT format('hotpot_{:06d}', n) AS qid, format('hp_{:06d}', place) AS doc_id FROM hop_each WHERE list_contains(gold, title)",
-    "hop_questions": """
-SELECT format('hotpot_{:06d}', n) AS qid, t[1].text AS question, t[1].role AS answer, CASE WHEN conv_id % 2 = 0 THEN 'bridge' ELSE 'comparison' END AS type, len(gold) AS n_sent, gold_docs, n_supporting
-FROM hop_raw JOIN (SELECT qid, string_agg(doc_id, ',' ORDER BY doc_id) AS gold_docs, count(*) AS n_supporting FROM hop_gold GROUP BY qid) g ON g.qid = format('hotpot_{:06d}', n)""",
+    **_short("", 40_000, 10_000),
+    **_short("_c", CAPPED_ROWS, CAPPED_DOCS),
+    **_hops("", 7_405),
+    **_hops("_c", CAPPED_HOPS),
 }
 
 
@@ -239,7 +254,9 @@ FROM embeddings q CROSS JOIN embeddings d WHERE q.vec_id % 50 = 0 QUALIFY rank <
     "oracle_pick8": f'SELECT qid, name, level, cov, "full" FROM ({_pick("cov8")})',
     "oracle_summary": f'SELECT dataset, count(*) AS n_queries, round(avg(cov), 9) AS best_recall, avg("full"::INT) AS full_rate, avg(level) AS mean_level, avg(k) AS mean_docs FROM ({_pick("cov7")}) GROUP BY dataset',
     "rule_router": "FROM ruled",
-    "label_parse": f"SELECT id, coalesce(nullif(regexp_extract(lower(answer), '\\b(easy|medium|hard)\\b', 1), ''), 'easy') AS label, regexp_extract(lower(answer), '\\b(easy|medium|hard)\\b', 1) = '' AS unparsed FROM (VALUES {_values(tuple(enumerate(a.replace(chr(10), ' ') for a in ANSWERS)))}) AS t(id, answer)",
+    "label_parse": f"""
+SELECT conv_id, turn, coalesce(nullif(regexp_extract(lower(answer), '\\b(easy|medium|hard)\\b', 1), ''), 'easy') AS label, regexp_extract(lower(answer), '\\b(easy|medium|hard)\\b', 1) = '' AS unparsed
+FROM (SELECT conv_id, turn, concat_ws(' ', [{_quoted(ANSWERS)}][1 + (conv_id + turn) % {len(ANSWERS)}], text) AS answer FROM conversations)""",
     "router_systems": _systems(),
     "router_accuracy": "SELECT count(*) AS n_queries, avg((label = difficulty)::INT) AS accuracy FROM difficulty JOIN rule USING (qid)",
     "early_stop_a": 'SELECT qid, level, name, cov, "full" FROM stop_a',
@@ -250,6 +267,10 @@ FROM embeddings q CROSS JOIN embeddings d WHERE q.vec_id % 50 = 0 QUALIFY rank <
     "critic_samples": "SELECT qid, phase, level, k, docs, label, ranked FROM samples",
     "critic_scores": f"SELECT qid, phase, label, {_scaled('p')} AS p FROM scores",
     "critic_confusion": _confusion(),
+    "critic_ladder_work": """
+SELECT 1 AS level, 'dense' AS method, (SELECT count(*) FROM questions) AS n_questions, (SELECT count(*) FROM dense200) AS n_pairs
+UNION ALL SELECT 2, 'hybrid', count(DISTINCT s.qid), count(h.doc_id) FROM stops s LEFT JOIN hybrid h USING (qid) WHERE config = 't=0.50' AND level >= 2
+UNION ALL SELECT 3, 'rerank', count(DISTINCT s.qid), count(h.doc_id) FROM stops s LEFT JOIN hybrid h USING (qid) WHERE config = 't=0.50' AND level >= 3""",
     "critic_early_stop": "SELECT qid, level, method, k, cov, \"full\", round(ms, 6) AS ms, fes FROM stops WHERE config = 't=0.50'",
     "fes_rate": "SELECT config, count(*) AS n_queries, count(*) FILTER (WHERE fes) AS n_fes, avg(fes::INT) AS fes FROM stops GROUP BY config",
     "policy_sweep": "SELECT * EXCLUDE (split) FROM swept WHERE split = 'val'",
@@ -272,6 +293,10 @@ FROM (SELECT round(avg(cov), 9) AS recall, avg("full"::INT) AS full_rate, avg(k)
     "leakage_check": "SELECT count(*) AS n_leaked FROM split WHERE split = 'test' AND qid IN (SELECT qid FROM split WHERE split <> 'test')",
     "short_form_docs": "SELECT 'doc_' || code AS doc_id, array_to_string(w[1:1024], ' ') AS text FROM short_good",
     "short_form_questions": "SELECT 'nq_' || code AS qid, question, answer, 'doc_' || code AS gold_docs FROM short_good",
+    "capped_short_docs": "SELECT 'doc_' || code AS doc_id, array_to_string(w[1:1024], ' ') AS text FROM short_good_c",
+    "capped_short_questions": "SELECT 'nq_' || code AS qid, question, answer, 'doc_' || code AS gold_docs FROM short_good_c",
+    "capped_hop_docs": "SELECT format('hp_{:06d}', place) AS doc_id, text FROM hop_each_c",
+    "capped_hop_questions": "FROM hop_questions_c",
     "multi_hop_docs": "SELECT format('hp_{:06d}', place) AS doc_id, text FROM hop_each",
     "multi_hop_questions": "FROM hop_questions",
     "multi_hop_qrels": "FROM hop_gold",
@@ -298,5 +323,9 @@ UNION ALL SELECT 1 + row_number() OVER (ORDER BY method, k), format('| {} | {} |
 }
 
 _FINAL["stored_vectors_topk"] = _FINAL["dense_topk"]
+_FINAL["bm25_blockmax"] = _FINAL["grown_bm25_topk"] = _FINAL["bm25_topk"]
+_FINAL["stored_blockmax_topk"] = "FROM bm25 WHERE rank <= 20"
+_FINAL["dense_cells_topk"] = _FINAL["dense_hashed_topk"]
+_FINAL["critic_ladder_run"] = _FINAL["critic_early_stop"]
 
 ORACLE: dict[str, str] = {name: _sql(final) for name, final in _FINAL.items()}

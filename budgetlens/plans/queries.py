@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import text as X
-from ..operators import coverage, critic, dense, fusion, lexical, metrics, policy, sweep
-from ..sources import construct, files, report
+from ..operators import blockmax, cells, coverage, critic, dense, fusion, lexical, metrics, policy, staged, sweep, text_critic
+from ..sources import capped, construct, files, report
+from . import latency
 from .fixtures import Fixtures, fixtures
 from .models import letters, plain_chat
 
@@ -74,6 +75,46 @@ def dense_hashed_topk(x: Fixtures) -> DataFrame:
     return _listed(x.dense200, X.scaled(F.col("score")))
 
 
+@query
+def bm25_blockmax(x: Fixtures) -> DataFrame:
+    """What bm25_topk finds, from blocks of postings that can matter."""
+    return _listed(blockmax.pruned_topk(x.questions, x.blocks, fusion.POOL)[0], F.col("score"))
+
+
+@query
+def bm25_blockmax_reads(x: Fixtures) -> DataFrame:
+    """How many postings each question has, and how many were read and looked up for its first 20."""
+    return blockmax.pruned_topk(x.questions, x.blocks, fusion.TOP)[1]
+
+
+@query
+def stored_blockmax_topk(x: Fixtures) -> DataFrame:
+    path = files.scratch(x.spark)
+    x.blocks.write(path)
+    return _listed(blockmax.pruned_topk(x.questions, blockmax.BlockIndex.read(x.spark, path), fusion.TOP)[0], F.col("score"))
+
+
+@query
+def grown_bm25_topk(x: Fixtures) -> DataFrame:
+    """BM25 over an index that two batches have made."""
+    path, later = files.scratch(x.spark), F.col("doc_id") % 3 == 1
+    lexical.build(x.docs.filter(~later)).write(path)
+    return _listed(lexical.bm25_topk(x.questions, lexical.Index.append(path, x.docs.filter(later)), fusion.POOL), F.col("score"))
+
+
+@query
+def dense_cells_topk(x: Fixtures) -> DataFrame:
+    """What dense_hashed_topk finds, without the cells of vectors that cannot matter."""
+    asked = dense.hashing_vectors(x.questions, "qid", "question")
+    return _listed(cells.pruned_topk(asked, x.cells, fusion.POOL, positive=True)[0], X.scaled(F.col("score")))
+
+
+@query
+def dense_cells_reads(x: Fixtures) -> DataFrame:
+    """How many vectors there are and how many were scored for each question's first 20."""
+    return cells.pruned_topk(dense.hashing_vectors(x.questions, "qid", "question"), x.cells, fusion.TOP, positive=True)[1]
+
+
 @query
 def rrf_hybrid(x: Fixtures) -> DataFrame:
     return _listed(x.hybrid, F.col("score"))
@@ -185,8 +226,10 @@ def rule_router(x: Fixtures) -> DataFrame:
 
 @query
 def label_parse(x: Fixtures) -> DataFrame:
-    rows = x.spark.createDataFrame(list(enumerate(ANSWERS)), "id int, answer string")
-    return rows.select("id", X.label_or_easy(F.col("answer")).alias("label"), X.parsed_label(F.col("answer")).isNull().alias("unparsed"))
+    """Labels that answers hold: what a model may say, before a turn of a conversation."""
+    said = F.get(F.array(*map(F.lit, ANSWERS)), ((F.col("conv_id") + F.col("turn")) % len(ANSWERS)).cast("int"))
+    answer = F.concat_ws(" ", said, "text")
+    return x.table("conversations").select("conv_id", "turn", X.label_or_easy(answer).alias("label"), X.parsed_label(answer).isNull().alias("unparsed"))
 
 
 @query
@@ -246,14 +289,52 @@ def critic_confusion(x: Fixtures) -> DataFrame:
     return metrics.confusion(x.scores)
 
 
-def _stops(x: Fixtures, split: str | None = None) -> DataFrame:
+def _stops(x: Fixtures, split: str | None = None, config: str | None = None) -> DataFrame:
     scores = x.scores if split is None else x.scores.join(x.split.filter(F.col("split") == split), "qid", "left_semi")
-    return critic.early_stop(x.cov(S.LADDER_3), scores, S.configs(x.spark), S.stage_latencies(x.spark))
+    configs = S.configs(x.spark) if config is None else S.configs(x.spark).filter(F.col("config") == config)
+    return critic.early_stop(x.cov(S.LADDER_3), scores, configs, S.stage_latencies(x.spark))
+
+
+#: The configuration of which single stops are shown, and its threshold.
+HALF, HALF_AT = "t=0.50", 0.5
 
 
 @query
 def critic_early_stop(x: Fixtures) -> DataFrame:
-    return _stops(x).filter("config = 't=0.50'").select("qid", "level", "method", "k", "cov", "full", F.round("ms", 6).alias("ms"), "fes")
+    return _stops(x, config=HALF).select("qid", "level", "method", "k", "cov", "full", F.round("ms", 6).alias("ms"), "fes")
+
+
+def _ladder_run(x: Fixtures) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The ladder of dense, hybrid and rerank, run: BM25 and pairs are worked on for the questions that are left only."""
+    pools: dict[str, DataFrame] = {}
+
+    def by_vectors(todo: DataFrame) -> DataFrame:
+        pools["dense"] = files.kept(dense.dense_topk(dense.hashing_vectors(todo, "qid", "question"), x.vectors, fusion.POOL, positive=True))
+        return pools["dense"]
+
+    def fused(todo: DataFrame) -> DataFrame:
+        pools["hybrid"] = files.kept(fusion.rrf([pools["dense"].join(todo.select("qid"), "qid", "left_semi"), lexical.bm25_topk(todo, x.index, fusion.POOL)]))
+        return pools["hybrid"]
+
+    left = lambda todo: pools["hybrid"].join(todo.select("qid"), "qid", "left_semi")
+    search = {"dense": by_vectors, "hybrid": fused, "rerank": lambda todo: fusion.rerank(left(todo), todo, x.docs)}
+    last = len(S.LADDER_3) - 1
+    stages = [staged.Stage(m, k, HALF_AT if i < last else None, search[m], left if m == "rerank" else lambda todo, m=m: pools[m]) for i, (_, m, k) in enumerate(S.LADDER_3)]
+    return staged.run(x.questions.select("qid", "question"), stages, x.docs)
+
+
+@query
+def critic_ladder_run(x: Fixtures) -> DataFrame:
+    """What critic_early_stop tells, by a ladder whose later stages run for unsatisfied questions only."""
+    stops, lists, _ = _ladder_run(x)
+    out = staged.judged(stops, lists, x.qrels, S.stage_latencies(x.spark), len(S.LADDER_3))
+    return out.withColumn("ms", F.round("ms", 6))
+
+
+@query
+def critic_ladder_work(x: Fixtures) -> DataFrame:
+    """How many questions and rows each stage of the run ladder had: list entries, for rerank pairs that were scored."""
+    return _ladder_run(x)[2]
 
 
 @query
@@ -289,7 +370,7 @@ def pareto_front(x: Fixtures) -> DataFrame:
 
 
 def _false_stops(x: Fixtures) -> DataFrame:
-    return sweep.false_stops(_stops(x).filter("config = 't=0.50'"), x.samples, x.scores, x.qrels, x.cov(S.LADDER_3))
+    return sweep.false_stops(_stops(x, config=HALF), x.samples, x.scores, x.qrels, x.cov(S.LADDER_3))
 
 
 @query
@@ -308,7 +389,7 @@ def fes_summary(x: Fixtures) -> DataFrame:
 def gap_report(x: Fixtures) -> DataFrame:
     cov = x.cov(S.LADDER_3)
     of = lambda df: df.agg(F.avg("cov").alias("recall"), F.avg(F.col("full").cast("int")).alias("full_rate"), F.avg("k").alias("docs"))
-    out = sweep.gap(of(policy.ladder_stop(cov)), of(_stops(x).filter("config = 't=0.50'")))
+    out = sweep.gap(of(policy.ladder_stop(cov)), of(_stops(x, config=HALF)))
     return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
 
 
@@ -358,6 +439,27 @@ def critic_ml(x: Fixtures) -> DataFrame:
     return critic.scored(model, rows.filter("split = 'test'")).select("qid", "phase", "label", "p")
 
 
+@query
+def critic_text(x: Fixtures) -> DataFrame:
+    """critic_ml with the critic that reads the texts: trained by mini-batches, the best epoch of the validation part."""
+    val = X.hash16(F.concat(F.lit("v"), "qid")) % 4 == 0
+    rows = x.samples.join(x.split, "qid")
+    learn = rows.filter("split = 'val'")
+    model = text_critic.train(learn.filter(~val), learn.filter(val))
+    return text_critic.scored(model, rows.filter("split = 'test'").select("qid", "question", "phase", "label", "docs")).select("qid", "phase", "label", "p")
+
+
+@query
+def stage_latency(x: Fixtures) -> DataFrame:
+    """Time of each retrieval stage for all questions, with the rows that Spark observed in it."""
+    asked = dense.hashing_vectors(x.questions, "qid", "question")
+    n = x.questions.count()
+    return latency.observed(x.spark, {
+        "dense": lambda: dense.dense_topk(asked, x.vectors, fusion.TOP, positive=True), "bm25": lambda: lexical.bm25_topk(x.questions, x.index, fusion.POOL),
+        "hybrid": lambda: fusion.rrf([x.dense200, x.bm25]), "rerank": lambda: fusion.rerank(x.hybrid, x.questions, x.docs),
+    }, n)
+
+
 PHASES = {"dense": "dense200", "bm25": "bm25", "hybrid": "hybrid", "rerank": "reranked"}
 
 
@@ -371,16 +473,17 @@ def retrieve(x: Fixtures, phase: str, k: int = 20) -> DataFrame:
 
 def _short_rows(x: Fixtures) -> DataFrame:
     """Raw rows with one document and question each: spans follow from ids; some rows lack tokens, question or answer."""
-    d, ids = x.table("documents"), F.col("doc_id")
+    ids = F.col("doc_id")
     span = lambda a, b: F.struct(F.array(a).alias("start_token"), F.array(b).alias("end_token"))
     none = F.array().cast("array<bigint>")
     first = F.when(ids % 2 == 0, F.struct(none.alias("start_token"), none.alias("end_token"))).otherwise(span(ids % 9, ids % 9))
     words = F.when(ids % 13 == 0, F.array().cast("array<string>")).otherwise(F.split("text", " "))
-    return d.select(
-        F.row_number().over(Window.orderBy("doc_id")).alias("n"), F.struct(F.struct(words.alias("token")).alias("tokens")).alias("document"),
+    rows = x.table("documents").select(
+        "doc_id", F.struct(F.struct(words.alias("token")).alias("tokens")).alias("document"),
         F.struct(F.when(ids % 11 == 0, "").otherwise(F.array_join(F.slice(words, 1, 8), " ")).alias("text")).alias("question"),
         F.struct(F.array(first, span(ids % 5, ids % 5 + ids % 3)).alias("short_answers"), F.array(F.struct((ids % 4 - 1).alias("start_token"), (ids % 4 - 1 + ids % 6).alias("end_token"))).alias("long_answer")).alias("annotations"),
     )
+    return construct.numbered(rows, "doc_id")
 
 
 def _hop_rows(x: Fixtures) -> DataFrame:
@@ -389,11 +492,12 @@ def _hop_rows(x: Fixtures) -> DataFrame:
     sentences = F.transform("t", lambda u: F.split(u["text"], r"\. "))
     conv = F.col("conv_id")
     gold = F.when(conv % 3 == 0, F.array(F.lit("t0"))).when(conv % 3 == 1, F.array(F.lit("t1"), F.lit("t2"), F.lit("t2"))).otherwise(F.array(F.lit("none")))
-    return turns.select(
-        F.row_number().over(Window.orderBy("conv_id")).alias("n"), F.get("t", F.lit(0))["text"].alias("question"), F.get("t", F.lit(0))["role"].alias("answer"), F.when(conv % 2 == 0, "bridge").otherwise("comparison").alias("type"),
+    rows = turns.select(
+        "conv_id", F.get("t", F.lit(0))["text"].alias("question"), F.get("t", F.lit(0))["role"].alias("answer"), F.when(conv % 2 == 0, "bridge").otherwise("comparison").alias("type"),
         F.struct(gold.alias("title"), F.transform(gold, lambda _, i: i).alias("sent_id")).alias("supporting_facts"),
         F.struct(F.transform("t", lambda u: F.concat(F.lit("t"), (u["turn"] % 3).cast("string"))).alias("title"), F.when(conv % 4 == 0, F.slice(sentences, F.lit(1), F.size("t") - 1)).otherwise(sentences).alias("sentences")).alias("context"),
     )
+    return construct.numbered(rows, "conv_id")
 
 
 _joined = lambda c: F.array_join(F.transform(c, lambda d: d.cast("string")), ",")
@@ -424,6 +528,45 @@ def multi_hop_qrels(x: Fixtures) -> DataFrame:
     return construct.multi_hop(_hop_rows(x), "n")[2]
 
 
+#: Caps of the capped scans below: rows and documents of the short form, rows of the other one.
+CAPPED_ROWS, CAPPED_DOCS, CAPPED_HOPS = 900, 300, 60
+
+
+def _stored_rows(x: Fixtures, rows: DataFrame, schema) -> DataFrame:
+    """rows(n, ...) as raw files in order, read again by the source of ordered rows."""
+    path = files.scratch(x.spark)
+    rows.repartitionByRange("n").sortWithinPartitions("n").select(*schema.names).write.option("maxRecordsPerFile", 250).parquet(path)
+    return capped.ordered_rows(x.spark, path, schema)
+
+
+def _capped_short(x: Fixtures) -> tuple[DataFrame, DataFrame]:
+    return capped.short_form(_stored_rows(x, _short_rows(x), S.SHORT_FORM_ROW), most_rows=CAPPED_ROWS, most_docs=CAPPED_DOCS, first=200)
+
+
+def _capped_hops(x: Fixtures) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return capped.multi_hop(_stored_rows(x, _hop_rows(x), S.MULTI_HOP_ROW), most_rows=CAPPED_HOPS)
+
+
+@query
+def capped_short_docs(x: Fixtures) -> DataFrame:
+    return _capped_short(x)[0]
+
+
+@query
+def capped_short_questions(x: Fixtures) -> DataFrame:
+    return _capped_short(x)[1].withColumn("gold_docs", _joined("gold_docs"))
+
+
+@query
+def capped_hop_docs(x: Fixtures) -> DataFrame:
+    return _capped_hops(x)[0]
+
+
+@query
+def capped_hop_questions(x: Fixtures) -> DataFrame:
+    return _capped_hops(x)[1].withColumn("gold_docs", _joined("gold_docs"))
+
+
 @query
 def sentence_buckets(x: Fixtures) -> DataFrame:
     questions = construct.multi_hop(_hop_rows(x), "n")[1]

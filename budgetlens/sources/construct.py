@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import files
 
 # Sizes, the seed, and the beginnings of ids.
 DOC_TOKENS, KB_DOCS, SEED = 1024, 10_000, 42
@@ -13,6 +14,28 @@ SHORT_ROWS, HOP_ROWS = 40_000, 7_405
 SHORT_DOC, SHORT_QUESTION, HOP_DOC, HOP_QUESTION = "doc_", "nq_", "hp_", "hotpot_"
 
 
+def numbered(df: DataFrame, key: str, name: str = "n", size: str | None = None) -> DataFrame:
+    """df, written, with ``name``: the place of each row by key, from 1, or the sum of ``size`` over the rows before it.
+
+    Two passes and no task that sees all rows: rows are dealt by ranges of the key and numbered within each range, and
+    what the ranges before it hold, one number for each, is added to them.
+    """
+    ranged = df.repartitionByRange(key).sortWithinPartitions(key).withColumn("_id", F.monotonically_increasing_id())
+    placed = files.kept(ranged.withColumn("_range", F.shiftright("_id", 33).cast("int")))
+    held = F.count("*") if size is None else F.sum(F.coalesce(size, F.lit(0)))
+    before, offsets = 0, []
+    for r in placed.groupBy("_range").agg(held.cast("bigint").alias("held")).orderBy("_range").collect():  # a row for each range
+        offsets.append((r["_range"], before))
+        before += r["held"]
+    told = placed.join(F.broadcast(placed.sparkSession.createDataFrame(offsets, "_range int, _offset bigint")), "_range")
+    if size is None:
+        place = F.col("_offset") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    else:
+        inside = Window.partitionBy("_range").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
+        place = F.col("_offset") + F.coalesce(F.sum(F.coalesce(size, F.lit(0))).over(inside), F.lit(0))
+    return told.withColumn(name, place.cast("bigint")).drop("_id", "_range", "_offset")
+
+
 def _cut(tokens: Column, start: Column, stop: Column) -> Column:
     return X.stripped(F.array_join(F.slice(tokens, start.cast("int") + 1, (stop - start).cast("int")), " "))
 
@@ -46,22 +69,16 @@ def multi_hop(rows: DataFrame, ordinal: str, most_rows: int = HOP_ROWS) -> tuple
 
     rows have schema MULTI_HOP_ROW and an ordinal from 1.  A document is gold for its own question if its title is
     among the supporting ones.  Questions without gold are dropped, their documents are not.  Document ids count the
-    contexts in order: each question's offset is a running sum of sizes, summed over blocks of ordinals first.
-    The scan ends after most_rows rows.
+    contexts in order: each question's offset is a running sum of sizes, see numbered().  The scan ends after most_rows rows.
     """
     rows = rows.filter(F.col(ordinal) <= most_rows)
-    block = F.floor(F.col("_n") / 10_000)
     base = rows.select(F.col(ordinal).alias("_n"), "question", "answer", "type", "supporting_facts", "context")
     sized = base.withColumn("_size", F.coalesce(F.size("context.title"), F.lit(0)))
-    totals = sized.groupBy(block.alias("_block")).agg(F.sum("_size").alias("_sum"))
-    w = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each 10,000 questions
-    before = totals.select("_block", F.coalesce(F.sum("_sum").over(w), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(block).orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("_in", F.coalesce(F.sum("_size").over(inside), F.lit(0))).withColumn("_block", block).join(before, "_block")
+    placed = numbered(sized, "_n", "_before", "_size")
     each = placed.select("*", F.posexplode("context.title").alias("_i", "title"))
     sentences = F.coalesce(F.get("context.sentences", F.col("_i")), F.array().cast("array<string>"))
     docs = each.select(
-        X.padded_id(HOP_QUESTION, F.col("_n")).alias("qid"), X.padded_id(HOP_DOC, F.col("_before") + F.col("_in") + F.col("_i")).alias("doc_id"),
+        X.padded_id(HOP_QUESTION, F.col("_n")).alias("qid"), X.padded_id(HOP_DOC, F.col("_before") + F.col("_i")).alias("doc_id"),
         F.array_join(sentences, " ").alias("text"), F.array_contains("supporting_facts.title", F.col("title")).alias("gold"),
     )
     qrels = docs.filter("gold").select("qid", "doc_id")

@@ -40,6 +40,51 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: what is read several times is computed once, and again only from there."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_facts(tables: dict[str, DataFrame], path: str, key: str = "qid", buckets: int | None = None) -> None:
+    """Tables bucketed and sorted by key under path, and a manifest of them; what is joined or grouped by key reads them
+    without a shuffle.  buckets: the session's number of shuffle partitions, unless given."""
+    import json
+
+    rows = []
+    for name, df in tables.items():
+        spark = df.sparkSession
+        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        held = f"budgetlens_{name}_{uuid.uuid4().hex}"
+        df.repartition(n, key).write.option("path", f"{path}/{name}").bucketBy(n, key).sortBy(key).format("parquet").saveAsTable(held)
+        spark.sql(f"DROP TABLE {held}")  # its files stay
+        rows.append((name, key, n, json.dumps(df.schema.jsonValue())))
+    spark.createDataFrame(rows, "name string, key string, buckets int, schema string").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+
+
+def read_facts(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of write_facts(), by name, with their buckets.  They stay in the session's catalog until forget()."""
+    import json
+
+    from pyspark.sql import types as T
+
+    out = {}
+    for r in spark.read.schema("name string, key string, buckets int, schema string").json(f"{path}/manifest").collect():
+        held = f"budgetlens_{r['name']}_{uuid.uuid4().hex}"
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in T.StructType.fromJson(json.loads(r["schema"])).fields)
+        spark.sql(f"CREATE TABLE {held} ({fields}) USING parquet CLUSTERED BY (`{r['key']}`) SORTED BY (`{r['key']}`) INTO {r['buckets']} BUCKETS LOCATION '{path}/{r['name']}'")
+        out[r["name"]] = spark.table(held)
+        out[r["name"]]._held = held
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Takes tables of read_facts() out of the catalog; their files stay."""
+    for df in tables:
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._held}")
+
+
 def write_runs(runs: DataFrame, path: str) -> None:
     """runs([dataset, ]method[, variant], qid, doc_id, rank, score), partitioned by its leading names."""
     names = [c for c in ("dataset", "method", "variant") if c in runs.columns]
