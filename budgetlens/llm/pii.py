@@ -1,8 +1,10 @@
 """Personal data in texts, by weak supervision, in DataFrame and SQL functions only.
 
-Base spans come from fixed patterns with checks.  Around them, wider patterns propose further candidate spans of the
-same kinds (and of secrets).  Labelers vote on every candidate for or against, or abstain: its shape, checks of its
-digits, gazetteers of words on either side and of domains, and the context it stands in.  Expectation-maximisation
+Base spans come from fixed patterns with checks.  Around them, wider patterns propose further candidates: addresses with
+their signs spelled out, numbers without a plus, what has a base pattern's form but fails its check, keys that a word
+announces and long keys that none does, and names behind a title.  Labelers vote on every candidate for or against, or
+abstain: its pattern, the check of its digits, its shape, gazetteers of words on either side and of domains, and the
+context it stands in.  Expectation-maximisation
 over the counts of vote patterns, which are few whatever the corpus, estimates each labeler's reliability without any
 labels.  Its posteriors then train the span classifier, a logistic model of the votes, which decides on candidates;
 base spans always stay.
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import _spark
 
-KINDS = ("email", "ip", "card", "phone", "secret")
+KINDS = ("email", "ip", "card", "phone", "secret", "name")
 # Possessive groups and the anchor \G give the leftmost matches of the plain patterns in linear time: an attempt inside
 # a run that has failed at its beginning cannot succeed, unless the last match ended there.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -30,6 +32,9 @@ BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 OPEN_EMAIL = r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]++)++"
 OPEN_PHONE = r"(?<![0-9+)(.-])(?<![0-9)]\x20)(?<![+(][0-9]{1,3}[\x20.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])"
 SECRET = r"(?i)(?:api[_-]?key|secret|token|password|passwd)\x20{0,3}[:=]\x20{0,3}[\x22\x27]?[A-Za-z0-9_+/-]{16,}+"
+# A key of its own has digits and letters; a name follows a title, or words that announce it.
+KEY = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{32,}+"
+NAME = r"(?:\b(?:Mr|Mrs|Ms|Dr|Prof)\.?|\b[Nn]ame(?:\x20is|:))\x20[A-Z][a-z]++(?:\x20[A-Z][a-z]++)?+"
 #: Code points before and after a candidate that labelers see.
 NEAR = 24
 
@@ -39,7 +44,11 @@ SPAN = "struct<kind:int,start:int,stop:int,text:string>"
 FOR_WORDS = ("mail", "call", "phone", "tel", "contact", "mobile", "fax", "card", "visa", "host", "server", "key", "secret", "token", "password")
 AGAINST_WORDS = ("version", "isbn", "order", "invoice", "page", "figure", "section", "example of")
 DOMAINS = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "info")
-LABELERS = ("pattern", "digits", "gazetteer", "against", "context", "edges")
+LABELERS = ("pattern", "check", "shape", "gazetteer", "against", "context", "edges")
+#: What labelers are believed to do at first, by truth and vote; this belief weighs ten votes.
+BELIEF = ({1: 0.2, 0: 0.5, -1: 0.3}, {1: 0.6, 0: 0.1, -1: 0.3})
+#: What is known of a check of digits, whose rates are not estimated: no number of failures makes a failure likely.
+KNOWN = {"check": ({1: 0.1, 0: 0.7, -1: 0.2}, {1: 0.79, 0: 0.01, -1: 0.2})}
 ROUNDS = 25
 
 
@@ -83,6 +92,12 @@ def _base_ok(span: Column) -> Column:
     return F.when(span["kind"] == 1, ip).when(span["kind"] == 2, card).when(span["kind"] == 3, n.between(9, 15)).otherwise(True)
 
 
+def _near_base(span: Column) -> Column:
+    """Whether a match that fails its check is a candidate all the same: numbers of a card's or a phone's length."""
+    n = F.length(_digits(span["text"]))
+    return F.when(span["kind"] == 2, n.between(13, 19)).when(span["kind"] == 3, n >= 7).otherwise(True)
+
+
 def found(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, text, base array<SPAN>, open array<SPAN>) of each row: base spans, and candidates that overlap none."""
     df = df.select(F.col(key).alias("_key"), F.coalesce(text, F.lit("")).alias("_text"))
@@ -91,13 +106,17 @@ def found(df: DataFrame, key: str, text: str) -> DataFrame:
     none = F.array().cast(f"array<{SPAN}>")
     for k, pattern in enumerate((EMAIL, IP, CARD, PHONE)):
         df = df.withColumn(f"_b{k}", F.when(has[k], _found(t, pattern, k)).otherwise(none))
-    opened = {0: t.rlike(r"(?i)[\[(]at[\])]"), 3: t.rlike(r"[0-9][\x20.-][0-9]{4}"), 4: t.rlike(r"(?i)key|secret|token|passw")}
-    for k, pattern in zip((0, 3, 4), (OPEN_EMAIL, OPEN_PHONE, SECRET)):
-        df = df.withColumn(f"_o{k}", F.when(opened[k], _found(t, pattern, k)).otherwise(none))
-    base = F.filter(F.concat("_b0", "_b1", "_b2", "_b3"), _base_ok)
-    df = df.withColumn("base", base)
-    clear = lambda o: ~F.exists("base", lambda b: (o["start"] < b["stop"]) & (b["start"] < o["stop"]))
-    return df.select("_key", "_text", "base", F.filter(F.concat("_o0", "_o3", "_o4"), clear).alias("open"))
+    opened = {"o0": t.rlike(r"(?i)[\[(]at[\])]"), "o3": t.rlike(r"[0-9][\x20.-][0-9]{4}"), "o4": t.rlike(r"(?i)key|secret|token|passw"), "own": t.rlike(r"[A-Za-z0-9_+/-]{32}"), "name": t.rlike(r"(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20[A-Z]|[Nn]ame(?:\x20is|:)\x20[A-Z]")}
+    for name, k, pattern in zip(opened, (0, 3, 4, 4, 5), (OPEN_EMAIL, OPEN_PHONE, SECRET, KEY, NAME)):
+        df = df.withColumn(f"_{name}", F.when(opened[name], _found(t, pattern, k)).otherwise(none))
+    every = F.concat("_b0", "_b1", "_b2", "_b3")
+    df = df.withColumn("base", F.filter(every, _base_ok)).withColumn("_failed", F.filter(every, lambda s: ~_base_ok(s) & _near_base(s)))
+    clear = lambda o, others: ~F.exists(others, lambda b: (o["start"] < b["stop"]) & (b["start"] < o["stop"]))
+    # what overlaps goes to the base, then to announced and spelled-out spans, then to keys of their own, then to what failed
+    df = df.withColumn("_first", F.filter(F.concat("_o0", "_o3", "_o4", "_name"), lambda o: clear(o, "base")))
+    df = df.withColumn("_own", F.filter("_own", lambda o: clear(o, "base") & clear(o, "_first")))
+    failed = F.filter("_failed", lambda o: clear(o, "base") & clear(o, "_first") & clear(o, "_own"))
+    return df.select("_key", "_text", "base", F.concat("_first", "_own", failed).alias("open"))
 
 
 def _any(text: Column, words) -> Column:
@@ -112,25 +131,32 @@ def votes(span: Column, text: Column) -> list[Column]:
     after = F.substring(text, span["stop"] + 1, F.lit(NEAR))
     vote = lambda yes, no: F.when(yes, 1).when(no, 0).otherwise(-1)
     flat = F.length(own) == n
-    pattern = F.when(kind == 0, F.when(own.rlike("@|(?i)dot"), 1).otherwise(0)).when(kind == 4, 1).when(kind == 3, F.when(own.startswith("+"), 1).otherwise(-1)).otherwise(-1)
+    spelled = own.rlike("@|(?i)dot")
+    announced = own.rlike("(?i)^(api[_-]?key|secret|token|passw)")
+    fits = F.when(kind == 1, own.rlike(rf"^{BYTE}\.{BYTE}\.{BYTE}\.{BYTE}$")).when(kind == 2, F.when(n.between(13, 19), luhn(_digits(own))).otherwise(False)).otherwise(n.between(9, 15))
+    mixed = (8 * n >= F.length(own)) & (8 * n <= 7 * F.length(own))
+    pattern = F.when(kind == 0, F.when(spelled, 1).otherwise(0)).when(kind == 4, F.when(announced, 1).otherwise(-1)).when(kind == 5, 1).when(kind == 3, F.when(own.startswith("+"), 1).otherwise(-1)).otherwise(-1)
+    check = F.when((kind == 0) & own.contains("@"), 1).when(kind.isin(1, 2) | ((kind == 3) & own.startswith("+")), vote(fits, F.lit(True))).when((kind == 4) & ~announced, vote(mixed, F.lit(True))).otherwise(-1)
     shape = F.when(kind == 3, vote(n.between(9, 15), F.lit(True))).when(kind == 2, vote(~flat, F.lit(False))).when(kind == 1, vote(~own.rlike(r"(^|\.)0[0-9]"), F.lit(True))).when(kind == 4, vote(own.rlike("[0-9].*[A-Za-z]|[A-Za-z].*[0-9]"), F.lit(True))).otherwise(-1)
     ending = own.rlike("(?i)[. ](" + "|".join(DOMAINS) + ")$")
     gazetteer = F.when(kind == 0, vote(ending, F.lit(False))).otherwise(vote(_any(before, FOR_WORDS), F.lit(False)))
     against = vote(F.lit(False), _any(before, AGAINST_WORDS))
     context = vote(before.rlike(r"[:=]\s*$|(?i)\b(at|to|from|on|is)\s+$"), before.rlike(r"[#$€%]\s*$"))
     edges = vote(~before.rlike(r"[0-9A-Za-z]$") & ~after.rlike(r"^[0-9A-Za-z]"), F.lit(True))
-    return [pattern, shape, gazetteer, against, context, edges]
+    return [pattern, check, shape, gazetteer, against, context, edges]
 
 
-def em(counts: dict[tuple[int, tuple[int, ...]], int], rounds: int = ROUNDS) -> dict[tuple[int, tuple[int, ...]], float]:
+def em(counts: dict[tuple[int, tuple[int, ...]], int], rounds: int = ROUNDS, names: tuple[str, ...] = ()) -> dict[tuple[int, tuple[int, ...]], float]:
     """Posterior of each (kind, votes) pattern: labelers are independent given the truth, with a prior for each kind.
 
-    rates[l][truth][vote] starts from labelers that are right more often than not.
+    rates[l][truth][vote] starts from BELIEF, which keeps the meaning of the classes in place and rare votes in hand;
+    labelers of the names in KNOWN keep the rates given there.
     """
     kinds = sorted({k for k, _ in counts})
     prior = {k: 0.7 for k in kinds}
     labelers = range(len(next(iter(counts))[1])) if counts else range(0)
-    rates = [[{1: 0.2, 0: 0.5, -1: 0.3}, {1: 0.6, 0: 0.1, -1: 0.3}] for _ in labelers]
+    known = [KNOWN.get(names[i]) if i < len(names) else None for i in labelers]
+    rates = [[dict(r) for r in k or BELIEF] for k in known]
     post = {}
     for _ in range(rounds):
         for (k, v), _n in counts.items():
@@ -142,9 +168,8 @@ def em(counts: dict[tuple[int, tuple[int, ...]], int], rounds: int = ROUNDS) ->
             total = sum(n for (q, _), n in counts.items() if q == k)
             prior[k] = (7 + sum(n * post[p] for p, n in counts.items() if p[0] == k)) / (10 + total)
         for i, r in enumerate(rates):
-            for truth in (0, 1):
-                # ten votes' weight of the starting belief keeps rare votes and the meaning of the classes in place
-                seen = {x: 10 * start for x, start in ({1: 0.6, 0: 0.1, -1: 0.3} if truth else {1: 0.2, 0: 0.5, -1: 0.3}).items()}
+            for truth in (0, 1) if known[i] is None else ():
+                seen = {x: 10 * start for x, start in BELIEF[truth].items()}
                 for p, n in counts.items():
                     seen[p[1][i]] += n * (post[p] if truth else 1 - post[p])
                 total = sum(seen.values())
@@ -171,7 +196,7 @@ def logistic(counts: dict, post: dict, steps: int = 300, rate: float = 0.5) -> l
 
 
 def spans(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """A row for each row of df: key, base and added, both array<struct<kind, start, stop, p>> by kind and start.
+    """A row for each row of df: key, base, added and rejected, all array<struct<kind, start, stop, p>> by kind and start.
 
     Kinds are indices of KINDS; starts and ends are code points, ends exclusive.  A null text is an empty one, without
     spans; repeated rows get equal spans, null keys are passed on; texts of any length are read whole; no rows give no
@@ -186,7 +211,7 @@ def spans(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: flo
     # a few hundred patterns of votes at most
     patterns = rows.select(F.explode(F.concat("base", "open")).alias("s")).groupBy("s.kind", "s.votes").count().collect()
     counts = {(r["kind"], tuple(r["votes"])): r["count"] for r in patterns}
-    weights = logistic(counts, em(counts))
+    weights = logistic(counts, em(counts, names=LABELERS))
 
     def scored(s: Column) -> Column:
         z = F.lit(weights[0])
@@ -195,8 +220,15 @@ def spans(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: flo
             z = z + F.when(v == 1, weights[1 + 2 * i]).when(v == 0, weights[2 + 2 * i]).otherwise(0.0) if counts else z
         return F.struct(*place(s), (1 / (1 + F.exp(-z))).alias("p"))
 
-    added = F.filter(F.transform("open", scored), lambda s: s["p"] >= threshold)
-    return rows.select(F.col("_key").alias(key), F.array_sort(F.transform("base", scored)).alias("base"), F.array_sort(added).alias("added"))
+    told = F.array_sort(F.transform("open", scored))
+    part = lambda yes: F.filter(told, lambda s: (s["p"] >= threshold) == yes)
+    return rows.select(F.col("_key").alias(key), F.array_sort(F.transform("base", scored)).alias("base"), part(True).alias("added"), part(False).alias("rejected"))
+
+
+def tally(found: DataFrame) -> DataFrame:
+    """(kind, base, added, rejected): how many spans of each kind rows of spans() have."""
+    each = [found.select(F.explode(c).alias("s")).select(F.get(F.array(*map(F.lit, KINDS)), F.col("s.kind")).alias("kind"), F.lit(c).alias("part")) for c in ("base", "added", "rejected")]
+    return each[0].union(each[1]).union(each[2]).groupBy("kind").pivot("part", ["base", "added", "rejected"]).count().na.fill(0)
 
 
 def cut(text: Column, spans: Column) -> Column:
@@ -227,4 +259,4 @@ def op2_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spans(_spark.table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint")
     numbers = [count(k).alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
-    return rows.select("doc_id", *numbers, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.array_sort(F.concat("base", "added"))).alias("spans"))
+    return rows.select("doc_id", *numbers, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size(F.concat("base", "added")).cast("bigint").alias("n_spans"))
