@@ -37,6 +37,8 @@ CELLS = 1 << 20
 _SHIFT = np.uint64(64 - 20)
 #: Ids that are sent to all executors; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Rows beyond which a key counts as hot.
+HOT = 1000
 
 #: Entries that a task of nodes_of() looks through, and that are packed at a time.
 TASK_ENTRIES, PACK = 2_000_000, 1 << 17
@@ -369,6 +371,20 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("id", "component")
 
 
+def left_join(rows: DataFrame, table: DataFrame, on: str, hot: DataFrame) -> DataFrame:
+    """rows with the columns of table(on, ...), null where it has none; no key of many rows is dealt to one task.
+
+    hot: the keys that many rows may have, at most one for each HOT rows; they go to all tasks, as the whole table does
+    up to a checked number of rows.
+    """
+    if table.count() <= BROADCAST_IDS:
+        return rows.join(F.broadcast(table), on, "left")
+    keys = F.broadcast(hot.select(on).withColumn("_hot", F.lit(True)))
+    both = rows.join(keys, on, "left")
+    many = both.filter("_hot").drop("_hot").join(F.broadcast(table.join(keys, on, "left_semi")), on, "left")
+    return many.unionByName(both.filter("_hot is null").drop("_hot").join(table, on, "left"))
+
+
 def picked(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """The rows of df whose key is among ids(id): ids go to all executors up to a checked number of them."""
     few = ids.count() <= BROADCAST_IDS

@@ -11,6 +11,7 @@ bring the recall to its target: one tree keeps a pair of similarity 0.8 together
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 import numpy as np
@@ -35,23 +36,35 @@ def word_sets(size: int) -> _links.Sets:
     return sets
 
 
+def _prints(buf: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """SHA-256 of each text's words, A-Z lowered, with a space behind each: equal for equal sequences only."""
+    n = end - start + 1
+    at = np.cumsum(n) - n
+    # all words with the byte behind them, which is then made a space
+    flat = np.concatenate([buf, np.zeros(1, np.uint8)])[np.repeat(start - at, n) + np.arange(n.sum())]
+    flat[at + n - 1] = 0x20
+    edge = np.append(at, len(flat))[first].tolist()
+    raw = flat.tobytes()
+    return [hashlib.sha256(raw[a:b]).digest() for a, b in zip(edge, edge[1:])]
+
+
 def _embedded(size: int):
+    """(id, n, print, tokens) of (id, text): the set's size, the digest of the words, and the MinHash values."""
+
     def run(batches):
         seeds = [int(s) for s in _text.seeds(TOKENS, 3)]
         for batch in batches:
             buf, off = _text.strings(batch.column(1))
-            columns: list[list] = [[], [], [], []]
+            n, prints, tokens = [np.zeros(0, np.int64)], [], []
             for a, b in _text.slices(off):
-                v, at = word_sets(size)(buf[off[a] : off[b]], off[a : b + 1] - off[a])
-                sums = np.zeros((2, len(v) + 1), np.uint64)
-                np.cumsum(v, out=sums[0, 1:])
-                np.cumsum(_text.mix(v ^ _text._ODD), out=sums[1, 1:])
-                columns[0].append(np.diff(at))
-                for k in (0, 1):
-                    columns[k + 1].append((sums[k][at[1:]] - sums[k][at[:-1]]).view(np.int64))
-                columns[3] += [r.tobytes() for r in _text.minima(v, at, seeds)]
-            parts = [pa.array(np.concatenate([np.zeros(0, np.int64), *c])) for c in columns[:3]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *parts, pa.array(columns[3], pa.binary())], ["id", "n", "f1", "f2", "tokens"])
+                part, at = _text.lower(buf[off[a] : off[b]]), off[a : b + 1] - off[a]
+                start, end, first = _text.words(part, at)
+                v, at = _text.sets(*_text.shingle_runs(_text.hash_spans(_text.prefix(part), start, end), first, size))
+                n.append(np.diff(at))
+                prints += _prints(part, start, end, first)
+                tokens += [r.tobytes() for r in _text.minima(v, at, seeds)]
+            columns = [pa.array(np.concatenate(n)), pa.array(prints, pa.binary()), pa.array(tokens, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "n", "print", "tokens"])
 
     return run
 
@@ -103,33 +116,70 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
 
     Words are what white space (space, codes 9 to 13) divides, A-Z lowered.  A document's set holds its runs of
     ``words`` words, or all its words as one where they are fewer; documents link from ``percent`` hundredths of
-    common over joint members.  Equal sets are one class.  component_id is the smallest key that links reach, kept
-    says that it is the document's own.  A null, empty or blank text has no members, links with nothing and is kept.
-    n_links counts the confirmed links of the document's class to other classes that were needed to find components.
-    Rows that repeat a key stand for one document, whose text is the largest of theirs.  Null keys link with nothing,
-    get a null component and are kept.  Keys are integers.  No rows give no rows; other columns are not looked at.
+    common over joint members.  Documents of equal words are one class.  component_id is the smallest key that links
+    reach, kept says that the row is the one that stays.  A null, empty or blank text has no members, links with nothing
+    and is kept.  n_links counts the confirmed links of the document's class to other classes that were needed to find
+    components.  Rows that share a key are documents of their own, told apart by a number: of those of a component one
+    is kept, in no stated order.  Null keys link with nothing, get a null component and are kept.  Keys are integers.
+    No rows give no rows; other columns are not looked at.
     """
     slim = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    shared = slim.filter("id is not null").groupBy("id").agg(F.count("*").alias("c")).filter("c > 1").select("id")
-    if shared.limit(1).count():
-        # one row for each key, then its result for each row
-        one = _spark.written(slim.filter("id is not null").groupBy("id").agg(F.max("text").alias("text")).union(slim.filter("id is null")))
-        told = _near_duplicates(one, words, percent, trees)
-        known = slim.filter("id is not null").select("id").join(told.filter("id is not null"), "id")
-        out = known.union(told.filter("id is null").select(*known.columns))
-    else:
+    numbered = _numbered(slim, "id")
+    if numbered is None:
         out = _near_duplicates(slim, words, percent, trees)
+    else:
+        out = _row_results(numbered, words, percent, trees).drop("_row")
     return out.withColumnRenamed("id", key)
 
 
+def without_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, trees: int = TREES) -> DataFrame:
+    """The rows of df that near_duplicates() keeps, with all their columns, whatever these are called."""
+    row = _spark.free(df, "row")[0]
+    numbered = _numbered(df, key, row)
+    if numbered is None:
+        own, told = key, near_duplicates(df, key, text, words, percent, trees).withColumnRenamed(key, "id")
+    else:
+        slim = numbered.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"), F.col(row).alias("_row"))
+        own, told = row, _row_results(slim, words, percent, trees).select(F.col("_row").alias("id"), "kept")
+    gone = _spark.written(told.filter("not kept").select("id"))
+    few = gone.count() <= _links.BROADCAST_IDS
+    rows = df if numbered is None else numbered
+    return rows.join(F.broadcast(gone) if few else gone, F.col(f"`{own}`") == gone["id"], "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def _numbered(df: DataFrame, key: str, name: str = "_row") -> DataFrame | None:
+    """df as a written table with a number for each row, if keys other than null repeat; else None."""
+    shared = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_shared")).agg(F.count("*").alias("_n")).filter("_n > 1")
+    return _spark.written(df.withColumn(name, F.monotonically_increasing_id())) if shared.limit(1).count() else None
+
+
+def _row_results(numbered: DataFrame, words: int, percent: int, trees: int) -> DataFrame:
+    """near_duplicates() of written rows(id, text, _row), with _row: rows link as documents of their own."""
+    told = _spark.written(_near_duplicates(numbered.select(F.when(F.col("id").isNotNull(), F.col("_row")).alias("id"), "text"), words, percent, trees))
+    rows = _spark.written(told.filter("id is not null").withColumnRenamed("id", "_row").join(numbered.select("id", "_row"), "_row"))
+    # rows that are alone are their own heads, so only components of several rows are looked up
+    heads = rows.groupBy("component_id").agg(F.min(F.struct("id", "_row")).alias("head"), F.count("*").alias("c")).filter("c > 1")
+    heads = _spark.written(heads)
+    out = _links.left_join(rows, heads.select("component_id", "head"), "component_id", heads.filter(F.col("c") > _links.HOT))
+    first = F.coalesce("head._row", "_row")
+    out = out.select("_row", "id", "n_shingles", F.coalesce("head.id", "id").alias("component_id"), (first == F.col("_row")).alias("kept"), "n_links")
+    return out.union(told.filter("id is null").select(F.lit(None).cast("bigint").alias("_row"), "id", "n_shingles", "component_id", "kept", "n_links"))
+
+
 def _near_duplicates(slim: DataFrame, words: int, percent: int, trees: int) -> DataFrame:
     """near_duplicates() of slim(id, text), in which no id but null is repeated."""
     _spark.small_batches(slim.sparkSession)
-    made = _spark.written(_spark.mapped(slim, _embedded(words), "id bigint, n bigint, f1 bigint, f2 bigint, tokens binary"))
-    alike = made.filter("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1")
-    docs = _spark.written(made.join(alike, ["f1", "f2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"), F.when(F.coalesce("rep", "id") == F.col("id"), F.col("tokens")).alias("tokens")))
+    made = _spark.written(_spark.mapped(slim, _embedded(words), "id bigint, n bigint, print binary, tokens binary"))
+    alike = made.filter("n > 0 and id is not null").groupBy("print").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1")
+    alike = _spark.written(alike)
+    hot = alike.filter(F.col("copies") > _links.HOT)
+    # texts without words are alone, so they do not meet anywhere
+    classed = _links.left_join(made.filter("n > 0"), alike.select("print", "rep"), "print", hot).select("id", "n", "rep", "tokens")
+    classed = classed.union(made.filter("n = 0").select("id", "n", F.lit(None).cast("bigint").alias("rep"), "tokens"))
+    rep = F.coalesce("rep", "id")
+    docs = _spark.written(classed.select("id", "n", F.when(F.col("id").isNotNull(), rep).alias("rep"), F.when(rep == F.col("id"), F.col("tokens")).alias("tokens")))
     _spark.dropped(made)
-    reps = _spark.written(docs.filter("id = rep and n > 0").select("id", "tokens").dropDuplicates(["id"]))
+    reps = _spark.written(docs.filter("id = rep and n > 0").select("id", "tokens"))
     share = 100 / PERCENT
     nodes = _links.nodes_of(reps, _roots(trees), trees * share)
     levels = [nodes]
@@ -140,15 +190,15 @@ def _near_duplicates(slim: DataFrame, words: int, percent: int, trees: int) -> D
     sketches = _spark.mapped(reps, _sketch, "id bigint, sketch binary")
 
     def texts(ids: DataFrame) -> DataFrame:
-        return _links.picked(slim, "id", ids).select("id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).dropDuplicates(["id"])
+        return _links.picked(slim, "id", ids).select("id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
     links, found = _links.link(leaves, large, sketches, texts, _links.Similarity(word_sets(words), percent, LOOSE))
     _spark.dropped(reps)
     for n in levels:
         n.drop()
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    info = found.withColumnRenamed("id", "rep").join(degree, "rep", "left")
-    out = docs.join(info, "rep", "left")
+    info = _spark.written(found.withColumnRenamed("id", "rep").join(degree, "rep", "left").select("rep", "component", "n_links"))
+    out = _links.left_join(docs, info, "rep", hot)
     component = F.coalesce("component", "rep")
     return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 

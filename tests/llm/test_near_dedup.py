@@ -1,6 +1,7 @@
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from budgetlens.llm import _links, near_dedup
 from tests.llm.helpers import ODD, clashing, components, corpus, documents
@@ -60,7 +61,7 @@ def test_large_nodes_equal_brute_force(spark):
 
 def test_repeated_rows_null_keys_and_clashing_columns(spark):
     rows = near_dedup.near_duplicates(documents(spark, ["a b c d e", "a b c d e", "A b c d e"], [7, 7, 9])).collect()
-    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in rows) == [(7, 7, True), (7, 7, True), (9, 7, False)]
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in rows) == [(7, 7, False), (7, 7, True), (9, 7, False)]
     rows = near_dedup.near_duplicates(documents(spark, ["a b c d e", "a b c d e"], [None, 3])).collect()
     assert {(r["doc_id"], r["component_id"], r["kept"]) for r in rows} == {(None, None, True), (3, 3, True)}
     docs = clashing(spark, ["a b c d", "a b c d"], ["component_id", "kept", "id", "n", "node", "rep"])
@@ -100,9 +101,22 @@ def test_families_under_the_threshold_equal_brute_force(spark, monkeypatch, midd
     assert [rows[i] for i in range(len(texts))] == comp
 
 
-def test_rows_of_one_key_are_one_document_with_their_largest_text(spark):
-    rows = [(1, "a b c d e f"), (2, "z b c d e f"), (2, "A B c d e f"), (None, "a b c d e f"), (None, None), (3, "z b c d e f"), (2, None)]
-    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
-    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0, r["kept"]) for r in got) == sorted(
-        [(1, 3, 1, True), (0, 3, 0, True), (0, 0, 0, True), (3, 3, 2, False), *[(2, 3, 2, True)] * 3]
-    )
+def test_rows_of_one_key_are_documents_of_their_own(spark, monkeypatch):
+    rows = [(1, "a b c d e f"), (2, "z b c d e f"), (2, "A B c d e f"), (None, "a b c d e f"), (None, None), (3, "z b c d e f"), (2, None), (7, "p q r s t"), (7, "u v w x y")]
+    for limit in (1_000_000, 0):
+        monkeypatch.setattr(_links, "BROADCAST_IDS", limit)
+        monkeypatch.setattr(_links, "HOT", 1)
+        df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("kept", F.lit("?"))
+        got = near_dedup.near_duplicates(df).collect()
+        want = [(1, 3, 1, True), (2, 3, 1, False), (2, 3, 2, True), (3, 3, 2, False), (2, 0, 2, True), (7, 2, 7, True), (7, 2, 7, True), (0, 3, 0, True), (0, 0, 0, True)]
+        assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0, r["kept"]) for r in got) == sorted(want)
+        stay = sorted((r["doc_id"] or 0, r["text"] or "") for r in near_dedup.without_near_duplicates(df).collect())
+        assert stay == sorted((i or 0, t or "") for i, t in rows if (i, t) not in ((2, "A B c d e f"), (3, "z b c d e f")))
+
+
+def test_equal_sets_of_other_order_meet_by_confirmed_links(spark):
+    """Only texts of equal words are one class unseen; equal sets of other order are linked like any other pair."""
+    texts = ["a b c d a b c d e", "a b c d e", "b c d a b c d e a b c d", "A  b\tc D e", "q"]
+    bags, comp = brute(texts)
+    rows = {r["doc_id"]: r for r in near_dedup.near_duplicates(documents(spark, texts)).collect()}
+    assert [rows[i]["component_id"] for i in range(len(texts))] == comp and [rows[i]["n_shingles"] for i in range(len(texts))] == [len(b) for b in bags]
