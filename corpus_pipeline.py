@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from budgetlens.llm import _links, _spark, _tokens, decontamination, language_id, line_dedup, near_dedup, packing
+from budgetlens.llm import _spark, _tokens, decontamination, language_id, line_dedup, near_dedup, packing
 
 #: Texts whose best language has no more than this share of the score are rejected, as are those without a letter.
 LEAST_SCORE = 0.3
@@ -39,11 +39,9 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (runs of five words, similarity 0.8).
 
-    Documents without words and those with a null doc_id stay; rows that repeat a doc_id are one document.
+    Documents without words and those with a null doc_id stay; rows that repeat a doc_id are documents of their own.
     """
-    gone = _spark.written(near_dedup.near_duplicates(docs, words=WORDS).filter("not kept").select("doc_id"))
-    few = gone.count() <= _links.BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    return near_dedup.without_near_duplicates(docs, words=WORDS)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
