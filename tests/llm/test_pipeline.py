@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry_point
 import corpus_pipeline as P
 from budgetlens.llm import _spark, decontamination, line_dedup, near_dedup
@@ -17,7 +19,7 @@ def test_stages_and_names():
     assert [n for n, _ in P.STAGES] == ["language ID", "line dedup", "MinHash near-dedup", "benchmark decontamination", "packing"]
     assert "pipeline" in entry_point.queries() and P.ORACLE_SQL is None
     names = [n for n in entry_point.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
 
 
 def test_stages_keep_the_columns_and_take_effect(spark, data):
@@ -67,3 +69,15 @@ def test_clashing_columns(spark, data):
         out = stage(spark, docs, data)
         assert out.columns == docs.columns and out.count() == 2
     assert line_dedup and decontamination
+
+
+def test_rows_that_share_a_key_keep_every_text_of_their_own(spark, data):
+    """No stage loses a text because another row has its key; null keys pass."""
+    own = ["The first words of a long text that stands nowhere else.", "Some other words of a text, which no other row repeats.", "Words without any key, in a sentence of their own."]
+    rows = [(1, own[0]), (7, own[0]), (7, own[1]), (None, own[2]), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in P.without_near_duplicates(spark, docs, data).collect())
+    assert got == [(0, ""), (0, own[2]), (1, own[0]), (7, own[1])]
+    for stage in (P.by_language, P.without_repeated_lines, P.without_benchmarks):
+        assert {own[0], own[1], own[2]} <= {r["text"] for r in stage(spark, docs.withColumn("lang", F.lit("en")), data).collect()}
+    assert P.packed(spark, docs, data).count() >= 5
