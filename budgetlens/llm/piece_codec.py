@@ -13,10 +13,11 @@ from __future__ import annotations
 
 import codecs
 import heapq
+import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +28,8 @@ SPACE = "▁"
 LONG = 512
 #: Characters of new words that are encoded together.
 ROUND_CHARS = 1 << 18
-#: Words of a worker's memo and their longest length; beyond, they are encoded anew.  It changes speed only.
-MEMO, MEMO_CHARS = 300_000, 64
+#: Entries after which a worker's memo begins a new generation, and their longest length.  It changes speed only.
+MEMO, MEMO_CHARS = 250_000, 64
 NONE = np.int64(1) << np.int64(40)
 #: Kinds of pieces in the model file's format (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
@@ -36,6 +37,30 @@ NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 codecs.register_error("budgetlens_each_byte", lambda e: ("�", e.start + 1))
 
 
+class Memo:
+    """Keys that a worker has encoded: those of the last generation are moved on as they are met again."""
+
+    def __init__(self, make: Callable[[list[str]], list[bytes]]) -> None:
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.make = make
+
+    def joined(self, lists: list[list[str]]) -> list[bytes]:
+        """What make() gives for each list's keys, joined."""
+        if len(self.new) > MEMO:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        missing = [k for k in set().union(*lists) if k not in new]
+        fresh = [k for k in missing if k not in old]
+        new.update((k, old[k]) for k in missing if k in old)
+        new.update(zip(fresh, self.make(fresh)))
+        out = [b"".join(map(new.__getitem__, keys)) for keys in lists]
+        for k in fresh:
+            if len(k) > MEMO_CHARS:
+                del new[k]
+        return out
+
+
 class Pieces:
     """Tables of a BPE model with byte fallback: ids, merge ranks, surfaces."""
 
@@ -76,15 +101,19 @@ class Pieces:
         # characters that no longer piece has stand alone; a space mark inside a piece would keep words together
         inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         joined = {c for p in self.ids if len(p) > 1 for c in p}
-        alone = "".join(regex.escape(chr(c)) for c in range(128) if chr(c) not in joined and chr(c) != " ")
+        alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in joined and chr(c) != " ")
         word = f"[^{alone}]+" if inner else f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+"
-        self.words = regex.compile(f"[{alone}]|{word}" if alone else word)
+        self.words = re.compile(f"[{alone}]|{word}" if alone else word)
         self.surfaces = [self._surface(i) for i in range(len(self.pieces))]
         self.lengths = np.array([len(s) for s in self.surfaces], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.flat = np.frombuffer(b"".join(self.surfaces), np.uint8)
-        self.marked = np.array([p.startswith(SPACE) and k == NORMAL for p, k in zip(self.pieces, kinds)])
-        self.memo: dict[str, np.ndarray] = {}
+        self.led = np.array([p.startswith(SPACE) and k == NORMAL for p, k in zip(self.pieces, kinds)])
+        self.of_code = np.full(0x110000, -1, np.int32)
+        for p, i in self.symbol.items():
+            if len(p) == 1:
+                self.of_code[ord(p)] = i
+        self.parts, self.marked = Memo(self._encode_parts), Memo(self.encode_words)
 
     @classmethod
     def of(cls, path: str) -> Pieces:
@@ -190,10 +219,8 @@ class Pieces:
             i = after[i]
         return out
 
-    def _ids(self, word: str, symbols) -> np.ndarray:
+    def _ids(self, word: str, symbols: list[int]) -> bytes:
         """Ids of a word's final symbols; characters that are no piece as bytes.  symbols: negative for unknown ones."""
-        if all(0 <= s < len(self.pieces) for s in symbols):
-            return np.asarray(symbols, np.int32)
         out, chars = [], iter([c for c in word if c not in self.symbol])
         for s in symbols:
             if 0 <= s < len(self.pieces):
@@ -201,50 +228,59 @@ class Pieces:
             else:
                 c = self.names[s] if s >= 0 else next(chars)
                 out += [self.bytes[b] for b in c.encode()]
-        return np.array(out, np.int32)
+        return np.array(out, np.int32).tobytes()
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each of some distinct words."""
-        get = self.symbol.get
-        out: list[np.ndarray | None] = [None] * len(words)
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each of some distinct words, as 32-bit numbers."""
+        out: list[bytes] = [b""] * len(words)
         short, held = [], 0
 
         def flush() -> None:
-            if short:
-                first = np.zeros(len(short) + 1, np.int64)
-                np.cumsum([len(words[i]) for i in short], out=first[1:])
-                sym = np.fromiter((get(c, -1) for i in short for c in words[i]), np.int64, first[-1])
-                final, at = self._rounds(sym, first)
-                for k, i in enumerate(short):
-                    out[i] = self._ids(words[i], final[at[k] : at[k + 1]].tolist())
-                short.clear()
+            first = np.zeros(len(short) + 1, np.int64)
+            np.cumsum([len(words[i]) for i in short], out=first[1:])
+            codes = np.frombuffer("".join([words[i] for i in short]).encode("utf-32-le"), np.uint32)
+            final, at = self._rounds(self.of_code[codes], first)
+            odd = np.logical_or.reduceat((final < 0) | (final >= len(self.pieces)), at[:-1]).tolist()
+            raw, at = final.astype(np.int32).tobytes(), at.tolist()
+            for k, i in enumerate(short):
+                out[i] = self._ids(words[i], final[at[k] : at[k + 1]].tolist()) if odd[k] else raw[4 * at[k] : 4 * at[k + 1]]
+            short.clear()
 
         for i, w in enumerate(words):
             if len(w) > LONG:
-                out[i] = self._ids(w, self._heap([get(c, -1) for c in w]))
+                out[i] = self._ids(w, self._heap([self.symbol.get(c, -1) for c in w]))
                 continue
             short.append(i)
             held += len(w)
             if held >= ROUND_CHARS:
                 flush()
                 held = 0
-        flush()
-        return out  # type: ignore[return-value]
+        if short:
+            flush()
+        return out
+
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of each of some distinct texts without spaces that follow a space."""
+        split = [self.words.findall(SPACE + p) for p in parts]
+        words = list({w for ws in split for w in ws})
+        known = dict(zip(words, self.encode_words(words)))
+        return [b"".join([known[w] for w in ws]) for ws in split]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without an end id."""
-        split = [self.words.findall((SPACE + t.replace(" ", SPACE)) if t else "") for t in texts]
-        new = list({w for ws in split for w in ws if w not in self.memo})
-        fresh = dict(zip(new, self.encode_words(new)))
-        memo = self.memo
-        out = []
-        for ws in split:
-            found = [memo[w] if w in memo else fresh[w] for w in ws]
-            out.append(np.concatenate(found) if found else np.zeros(0, np.int32))
-        if len(memo) + len(fresh) > MEMO:
-            memo.clear()
-        memo.update({w: i for w, i in fresh.items() if len(w) <= MEMO_CHARS})
-        return out
+        split, odd = [], []
+        for i, t in enumerate(texts):
+            parts = t.split(" ") if t else []
+            # spaces that stand side by side, at an edge or in disguise may merge: such texts go by their words
+            if "" in parts or SPACE in t:
+                odd.append(i)
+                parts = []
+            split.append(parts)
+        out = self.parts.joined(split)
+        if odd:
+            for i, ids in zip(odd, self.marked.joined([self.words.findall(SPACE + texts[i].replace(" ", SPACE)) for i in odd])):
+                out[i] = ids
+        return [np.frombuffer(ids, np.int32) for ids in out]
 
     # decoding
 
@@ -262,7 +298,7 @@ class Pieces:
         edges = sorted({0, *(int(begin[k]) for k in (stop - np.arange(len(stop))).tolist() if k < len(said)), len(flat)})
         raw = flat.tobytes()
         text = "".join(raw[a:b].decode("utf-8", "budgetlens_each_byte") for a, b in zip(edges, edges[1:]))
-        return text[1:] if len(said) and self.marked[said[0]] else text
+        return text[1:] if len(said) and self.led[said[0]] else text
 
 
 def encode(df: DataFrame, path: str, text: str = "text", name: str = "ids", end: bool = True) -> DataFrame:

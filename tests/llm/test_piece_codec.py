@@ -34,7 +34,7 @@ def texts(seed=4, n=400):
 @pytest.mark.parametrize("long", [P.LONG, 4])
 def test_ids_equal_the_librarys_by_rounds_and_by_heap(library, pieces, monkeypatch, long):
     monkeypatch.setattr(P, "LONG", long)
-    pieces.memo.clear()
+    pieces.parts.new.clear(), pieces.marked.new.clear()
     all_texts = texts()
     for text, ids in zip(all_texts, pieces.encode(all_texts)):
         assert ids.tolist() == library.encode(text), repr(text[:80])
@@ -43,7 +43,7 @@ def test_ids_equal_the_librarys_by_rounds_and_by_heap(library, pieces, monkeypat
 def test_a_memo_and_small_rounds_change_nothing(library, pieces, monkeypatch):
     monkeypatch.setattr(P, "MEMO", 5)
     monkeypatch.setattr(P, "ROUND_CHARS", 50)
-    pieces.memo.clear()
+    pieces.parts.new.clear(), pieces.marked.new.clear()
     for text in texts(9, 60):
         assert pieces.encode([text])[0].tolist() == library.encode(text)
 
