@@ -86,7 +86,8 @@ def medians(samples: DataFrame, value: str, *groups: str, many: int = MANY) -> D
     names = [f"_g{i}" for i in range(len(groups))]
     on = [F.col(g).eqNullSafe(F.col(n)) for g, n in zip(groups, names)]
     rest = rows.join(F.broadcast(large.select(*[F.col(g).alias(n) for g, n in zip(groups, names)], F.lit(1).alias("_one"))), on or F.lit(True), "left_anti")
-    return middle.union(rest.groupBy(*groups).agg(F.median("_v").alias("median")))
+    # without groups each part has a row, one of which is null
+    return middle.union(rest.groupBy(*groups).agg(F.median("_v").alias("median"))).filter("median is not null")
 
 
 def latency_summary(samples: DataFrame, value: str, *groups: str) -> DataFrame:

@@ -532,19 +532,19 @@ def multi_hop_qrels(x: Fixtures) -> DataFrame:
 CAPPED_ROWS, CAPPED_DOCS, CAPPED_HOPS = 900, 300, 60
 
 
-def _stored_rows(x: Fixtures, rows: DataFrame, schema) -> DataFrame:
-    """rows(n, ...) as raw files in order, read again by the source of ordered rows."""
+def _stored_rows(x: Fixtures, rows: DataFrame, schema) -> str:
+    """The folder of rows(n, ...) as raw files in order."""
     path = files.scratch(x.spark)
     rows.repartitionByRange("n").sortWithinPartitions("n").select(*schema.names).write.option("maxRecordsPerFile", 250).parquet(path)
-    return capped.ordered_rows(x.spark, path, schema)
+    return path
 
 
 def _capped_short(x: Fixtures) -> tuple[DataFrame, DataFrame]:
-    return capped.short_form(_stored_rows(x, _short_rows(x), S.SHORT_FORM_ROW), most_rows=CAPPED_ROWS, most_docs=CAPPED_DOCS, first=200)
+    return capped.short_form(x.spark, _stored_rows(x, _short_rows(x), S.SHORT_FORM_ROW), most_rows=CAPPED_ROWS, most_docs=CAPPED_DOCS, first=200)
 
 
 def _capped_hops(x: Fixtures) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return capped.multi_hop(_stored_rows(x, _hop_rows(x), S.MULTI_HOP_ROW), most_rows=CAPPED_HOPS)
+    return capped.multi_hop(x.spark, _stored_rows(x, _hop_rows(x), S.MULTI_HOP_ROW), most_rows=CAPPED_HOPS)
 
 
 @query

@@ -1,22 +1,22 @@
 """A data source for raw rows that are read in order up to a cap.
 
 ``spark.read.format("ordered_rows")`` reads the Parquet files of a folder by name and gives every row its ordinal ``n``
-from 1.  The footers tell how many rows each row group has, so ordinals are known before anything is read, and a
-filter on ``n`` that is pushed down drops all row groups outside it and ends the reading of the last one at the cap.
-The scans of construction stop at two caps: a number of rows, and a number of documents that are kept; the second is
+from 1.  The footers tell how many rows each row group has, so ordinals are known before anything is read; bounds of
+``n`` drop all row groups outside them and end the reading of the last one at the cap.  Bounds are options: Spark keeps
+what is pushed into a Python reader for later queries over the same table, where it would be wrong.  The scans of construction stop at two caps: a number of rows, and a number of documents that are kept; the second is
 looked for in growing prefixes, so what lies far behind it is never read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .. import schema as S
 from . import construct
 
 #: Rows of the first prefix in which the cap of documents is looked for, and how prefixes grow.
@@ -53,18 +53,8 @@ class Group(InputPartition):
 
 
 class OrderedReader(DataSourceReader):
-    def __init__(self, path: str, schema: T.StructType) -> None:
-        self.path, self.schema, self.low, self.high = path, schema, 1, 1 << 62
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            if not isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) or f.attribute != ("n",) or not isinstance(f.value, int):
-                yield f
-                continue
-            if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
-                self.low = max(self.low, f.value + isinstance(f, GreaterThan))
-            if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
-                self.high = min(self.high, f.value - isinstance(f, LessThan))
+    def __init__(self, path: str, schema: T.StructType, low: int, high: int) -> None:
+        self.path, self.schema, self.low, self.high = path, schema, low, high
 
     def partitions(self) -> list[Group]:
         import pyarrow.parquet as pq
@@ -105,37 +95,42 @@ class OrderedReader(DataSourceReader):
 
 
 class OrderedRows(DataSource):
-    """Options: path, a folder of Parquet files or one file.  The schema has to be given, with ``n bigint`` in it."""
+    """Options: path, a folder of Parquet files or one file; low and high, the first and last ordinal to read.
+
+    The schema has to be given, with ``n bigint`` in it.
+    """
 
     @classmethod
     def name(cls) -> str:
         return FORMAT
 
     def reader(self, schema: T.StructType) -> OrderedReader:
-        return OrderedReader(self.options["path"], schema)
+        return OrderedReader(self.options["path"], schema, int(self.options.get("low", 1)), int(self.options.get("high", 1 << 62)))
 
 
-def ordered_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The rows of a folder with their ordinal n from 1; filters on n end the scan."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+def ordered_rows(spark: SparkSession, path: str, schema: T.StructType, low: int = 1, high: int = 1 << 62) -> DataFrame:
+    """The rows of a folder with ordinals n from low to high."""
     spark.dataSource.register(OrderedRows)
-    return spark.read.format(FORMAT).schema(T.StructType([T.StructField("n", T.LongType()), *schema.fields])).load(path)
+    return spark.read.format(FORMAT).schema(T.StructType([T.StructField("n", T.LongType()), *schema.fields])).option("low", low).option("high", high).load(path)
 
 
-def prefix(rows: DataFrame, kept: Callable[[DataFrame], DataFrame], most_rows: int, most_kept: int, first: int = FIRST, growth: int = GROWTH) -> DataFrame:
-    """The shortest prefix tried of rows(n, ...), up to most_rows, of which kept() keeps most_kept rows, or all."""
+def prefix(spark: SparkSession, path: str, schema: T.StructType, kept: Callable[[DataFrame], DataFrame], most_rows: int, most_kept: int, first: int = FIRST, growth: int = GROWTH) -> DataFrame:
+    """The shortest prefix tried of a folder's rows, up to most_rows, of which kept() keeps most_kept rows, or all."""
     upto = min(first, most_rows)
-    while upto < most_rows and kept(rows.filter(F.col("n") <= upto)).limit(most_kept).count() < most_kept and rows.filter((F.col("n") > upto) & (F.col("n") <= most_rows)).limit(1).count():
+    while upto < most_rows:
+        rows = ordered_rows(spark, path, schema, 1, upto)
+        if kept(rows).limit(most_kept).count() >= most_kept or not ordered_rows(spark, path, schema, upto + 1, upto + 1).count():
+            break
         upto = min(most_rows, upto * growth)
-    return rows.filter(F.col("n") <= upto)
+    return ordered_rows(spark, path, schema, 1, upto)
 
 
-def short_form(rows: DataFrame, most_rows: int = construct.SHORT_ROWS, most_docs: int = construct.KB_DOCS, first: int = FIRST, **how) -> tuple[DataFrame, DataFrame]:
-    """construct.short_form() of ordered rows, reading no more than a prefix that holds what is kept."""
+def short_form(spark: SparkSession, path: str, most_rows: int = construct.SHORT_ROWS, most_docs: int = construct.KB_DOCS, first: int = FIRST, **how) -> tuple[DataFrame, DataFrame]:
+    """construct.short_form() of a folder's rows, reading no more than a prefix that holds what is kept."""
     kept = lambda part: construct.short_form(part, "n", most_rows=most_rows, most_docs=most_docs, **how)[0]
-    return construct.short_form(prefix(rows, kept, most_rows, most_docs, first), "n", most_rows=most_rows, most_docs=most_docs, **how)
+    return construct.short_form(prefix(spark, path, S.SHORT_FORM_ROW, kept, most_rows, most_docs, first), "n", most_rows=most_rows, most_docs=most_docs, **how)
 
 
-def multi_hop(rows: DataFrame, most_rows: int = construct.HOP_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """construct.multi_hop() of ordered rows; no row behind the cap is read."""
-    return construct.multi_hop(rows.filter(F.col("n") <= most_rows), "n", most_rows)
+def multi_hop(spark: SparkSession, path: str, most_rows: int = construct.HOP_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """construct.multi_hop() of a folder's rows; no row behind the cap is read."""
+    return construct.multi_hop(ordered_rows(spark, path, S.MULTI_HOP_ROW, 1, most_rows), "n", most_rows)
