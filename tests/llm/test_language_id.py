@@ -61,3 +61,11 @@ def test_any_number_of_languages(spark):
     sums = sum(model.weights[c[c >= 0]].astype(np.float64).sum(0) for c in L.cells(np.array(sym, np.uint32), np.array([0, len(sym)])))
     p = np.exp((sums - sums.max()) / np.sqrt(len(sym) * len(L.ORDERS)))
     assert abs(got[7]["score"] - p[7] / p.sum()) < 1e-6
+
+
+def test_null_keys_and_repeated_rows(spark):
+    """Each row is judged by its own text, and all rows of a label count in training."""
+    rows = [(1, "abc abd", "en"), (1, "abc abd", "en"), (None, "xyz xyw", "de"), (2, "xyz", "de"), (3, None, "en"), (4, "123", None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = sorted((r["doc_id"] or 0, r["lang_pred"]) for r in L.predict(frame, L.train(frame)).collect())
+    assert got == [(0, "de"), (1, "en"), (1, "en"), (2, "de"), (3, "und"), (4, "und")]

@@ -68,6 +68,10 @@ def test_clashing_columns(spark, data):
     for _, stage in P.STAGES[1:4]:
         out = stage(spark, docs, data)
         assert out.columns == docs.columns and out.count() == 2
+    more = clashing(spark, ["The words of a text. The words of a text.", None], ["language", "score", "_language", "lang", "sequence_id", "length"])
+    told = P.by_language(spark, more, data)
+    assert told.columns == more.columns and told.count() <= 1
+    assert P.packed(spark, more, data).select("doc_id").distinct().count() == 2
     assert line_dedup and decontamination
 
 

@@ -66,3 +66,13 @@ def test_repeated_rows_empty_table_and_clashing_columns(spark):
     state = C.build(clashing(spark, ["one two", None], ["n_tokens", "leaf_chars", "reencoded_chars"]), PATH)
     out = C.apply_edits(state.withColumn("edits", F.lit(None).cast(C.EDITS)), PATH)
     assert sorted(r["n_tokens"] for r in out.collect()) == [0, 2] and out.columns.count("reencoded_chars") == 1
+
+
+def test_null_keys_and_repeated_rows(spark):
+    """Each row stands for itself, whatever its key; edits of a key reach all rows of it."""
+    rows = spark.createDataFrame([(None, "one two three"), (None, "one two three"), (5, "one two"), (5, "one two"), (6, None)], "doc_id bigint, text string")
+    state = C.build(rows, PATH)
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in state.collect()) == [(0, 3), (0, 3), (5, 2), (5, 2), (6, 0)]
+    changes = spark.createDataFrame([(5, 1, 0, 3, "a b c"), (6, 1, 0, 0, "new"), (9, 1, 0, 0, "lost")], "doc_id bigint, turn int, start bigint, stop bigint, text string")
+    out = C.apply_edits(C.with_edits(state, changes), PATH)
+    assert sorted((r["doc_id"] or 0, r["text"], r["n_tokens"]) for r in out.collect()) == [(0, "one two three", 3), (0, "one two three", 3), (5, "a b c two", 4), (5, "a b c two", 4), (6, "new", 1)]
