@@ -33,7 +33,11 @@ def by_qid(questions: DataFrame, order: str) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder that all executors share, deleted when the session's JVM ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = spark.conf.get("spark.sql.warehouse.dir")
+        if not spark.sparkContext.master.startswith("local") and (base.startswith("file:") or "://" not in base):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     path = f"{base}/files-{uuid.uuid4().hex}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
