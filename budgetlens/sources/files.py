@@ -53,13 +53,13 @@ def kept(df: DataFrame) -> DataFrame:
 
 def write_facts(tables: dict[str, DataFrame], path: str, key: str = "qid", buckets: int | None = None) -> None:
     """Tables bucketed and sorted by key under path, and a manifest of them; what is joined or grouped by key reads them
-    without a shuffle.  buckets: the session's number of shuffle partitions, unless given."""
+    without a shuffle.  buckets: the session's number of shuffle partitions, four for each core at most, unless given."""
     import json
 
     rows = []
     for name, df in tables.items():
         spark = df.sparkSession
-        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        n = buckets or min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
         held = f"budgetlens_{name}_{uuid.uuid4().hex}"
         df.repartition(n, key).write.option("path", f"{path}/{name}").bucketBy(n, key).sortBy(key).format("parquet").saveAsTable(held)
         spark.sql(f"DROP TABLE {held}")  # its files stay
