@@ -326,7 +326,7 @@ def index(df: DataFrame, vec: str, key: str = "vec_id", label: str = "label", sc
             cell = cells.cells(x, top) if len(x) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell, pa.int64()), pa.array([r.tobytes() for r in x], pa.binary())], ["vec_id", "label", "cell", "x"])
 
-    few = rows.select("q").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    few = _spark.first_by_hash(rows.select("vec_id", "q"), "vec_id", n, sample).select("q").collect()
     seen = np.zeros((len(few), dim), np.int64)
     for r, (q,) in zip(seen, few):
         r[: len(q)] = q

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from budgetlens.llm import _spark
 from budgetlens.llm import hard_negatives as H
 
 VECTORS = "vec_id bigint, embedding array<float>, label int"
@@ -92,3 +93,19 @@ def test_traversal_skips_what_the_annulus_excludes():
         assert (near[:, leaf] <= d.min(1)).all() and (far[:, leaf] >= d.max(1)).all()
     window = H._distance((x[:4].astype(float) ** 2).sum(1), top, np.full(4, 30_000))
     assert (near > window[:, None]).mean() > 0.4  # leaves that a window of high scores never visits
+
+
+def test_the_sample_is_cut_before_rows_go_to_the_driver(spark):
+    df = spark.range(20_000).select(F.col("id").alias("vec_id"))
+    exact = [r["vec_id"] for r in df.orderBy(F.xxhash64("vec_id"), "vec_id").limit(500).collect()]
+    assert [r["vec_id"] for r in _spark.first_by_hash(df, "vec_id", 20_000, 500).collect()] == exact
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    near = _spark.below_hash(df, "vec_id", 20_000, 500).mapInArrow(counted, "vec_id bigint")
+    assert near.count() == seen.value < 1000
+    assert _spark.first_by_hash(df, "vec_id", 20_000, 50_000).count() == 20_000
