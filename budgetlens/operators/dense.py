@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
-#: Numbers in a block of queries that is sent to the tasks.
-BLOCK_FLOATS = 4 << 20
+#: Numbers in a block of queries that is sent to the tasks, and entries of the lists that a task keeps for a block.
+BLOCK_FLOATS, BLOCK_ENTRIES = 4 << 20, 4 << 20
 
 
 def ranked(df: DataFrame, k: int, *order) -> DataFrame:
@@ -26,6 +26,12 @@ def ranked(df: DataFrame, k: int, *order) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def few_tasks(df: DataFrame) -> DataFrame:
+    """df in one task for each core at most.  Each task keeps a list for every query, so what is shuffled then grows with
+    the queries, however many files or partitions the documents have."""
+    return df.coalesce(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
