@@ -44,15 +44,37 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.add.accumulate(a * b, axis=1)[:, -1]
 
 
+#: Documents that are scored together, and scores of such a tile.
+ROWS, TILE = 8192, 2 << 20
+
+
+def _gathered(batches):
+    """Batches of ROWS rows or a few more, whatever the session's batch size is."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= ROWS:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches(ROWS)
+            held, n = [], 0
+    if n:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches(ROWS)
+
+
 def _parts(batch: pa.RecordBatch, need: np.ndarray | None, n: int):
-    """(rows, queries) that are to meet: all, or those whose query needs the rows' cell."""
+    """(rows, queries) that are to meet, in tiles: all, or those whose query needs the rows' cell."""
+    each = max(1, TILE // max(1, batch.num_rows))
     if need is None:
-        yield batch, range(n)
+        for i in range(0, n, each):
+            yield batch, np.arange(i, min(n, i + each))
         return
     cell = batch.column(3).to_numpy(zero_copy_only=False)
     for c in np.unique(cell):
-        if need[:, c].any():
-            yield batch.take(pa.array(np.flatnonzero(cell == c))), np.flatnonzero(need[:, c])
+        asked = np.flatnonzero(need[:, c])
+        if len(asked):
+            rows = batch.take(pa.array(np.flatnonzero(cell == c)))
+            for i in range(0, len(asked), each):
+                yield rows, asked[i : i + each]
 
 
 def _search(qids: list, queries: np.ndarray, k: int, positive: bool, need: np.ndarray | None = None):
@@ -60,26 +82,33 @@ def _search(qids: list, queries: np.ndarray, k: int, positive: bool, need: np.nd
 
     def run(batches):
         kind, best = None, [(np.zeros(0), np.zeros(0, np.int64))] * len(qids)
-        for batch, asked in ((b, q) for whole in batches for b, q in _parts(whole, need, len(qids))):
+        floor = np.full(len(qids), -np.inf)  # a document must come near the k-th score so far
+        last = docs = None
+        for batch, asked in ((b, q) for some in _gathered(batches) for b, q in _parts(some, need, len(qids))):
             kind = batch.schema.field(0).type
-            docs = _matrix(batch.column(1))
+            if batch is not last:
+                last, docs = batch, _matrix(batch.column(1))
+                ids, norm = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
             if not len(docs):
                 continue
-            ids, norm = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
             near = queries[asked] @ docs.T / norm
-            for row, q in zip(near, asked):
+            # what rounding may cost is left
+            held = floor[asked]
+            able = np.nanmax(near, axis=1) >= held - 4e-9 * np.maximum(1.0, np.abs(np.where(np.isfinite(held), held, 0.0)))
+            for row, q in zip(near[able], asked[able]):
+                edge = floor[q]
                 if len(row) > k:
                     # the k-th best, less what rounding may have cost
-                    edge = np.partition(row, len(row) - k)[len(row) - k]
-                    at = np.flatnonzero(row >= edge - 2e-9 * max(1.0, abs(edge)))
-                else:
-                    at = np.arange(len(row))
+                    edge = max(edge, np.partition(row, len(row) - k)[len(row) - k])
+                at = np.flatnonzero(row >= edge - 4e-9 * max(1.0, abs(edge))) if np.isfinite(edge) else np.arange(len(row))
                 score = _exact(docs[at], queries[q]) / norm[at]
                 own = np.isfinite(score) & ((score > 0) | (not positive))
                 score = np.concatenate([best[q][0], score[own]])
                 mine = np.concatenate([best[q][1], ids[at[own]]])
                 keep = np.lexsort((mine, -np.floor(score * 1e9 + 0.5)))[:k]
                 best[q] = score[keep], mine[keep]
+                if len(keep) == k:
+                    floor[q] = score[keep].min()
         if kind is not None:
             lengths = [len(s) for s, _ in best]
             columns = [pa.array(np.repeat(np.array(qids, dtype=object), lengths), pa.string()), pa.array(np.concatenate([i for _, i in best]), kind), pa.array(np.concatenate([s for s, _ in best]))]
@@ -88,14 +117,14 @@ def _search(qids: list, queries: np.ndarray, k: int, positive: bool, need: np.nd
     return run
 
 
-def query_blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
-    """Blocks of (qids, vectors) of queries(qid, vec), bounded in size."""
+def query_blocks(queries: DataFrame, k: int = 1) -> Iterator[tuple[list, np.ndarray]]:
+    """Blocks of (qids, vectors) of queries(qid, vec), bounded in size, also of lists of k for each."""
     qids, rows = [], []
     for r in queries.select(F.col("qid").cast("string"), F.col("vec").cast("array<double>")).toLocalIterator():
         if r["vec"]:
             qids.append(r["qid"])
             rows.append(r["vec"])
-        if rows and len(rows) * len(rows[0]) >= BLOCK_FLOATS:
+        if rows and (len(rows) * len(rows[0]) >= BLOCK_FLOATS or len(rows) * k >= BLOCK_ENTRIES):
             yield qids, np.array(rows)
             qids, rows = [], []
     if rows:
@@ -112,8 +141,8 @@ def dense_topk(queries: DataFrame, docs: DataFrame, k: int, positive: bool = Fal
     norm = F.col("norm").cast("double") if "norm" in docs.columns else F.lit(1.0)
     slim = docs.filter(F.col("vec").isNotNull()).select("doc_id", F.col("vec").cast("array<double>").alias("vec"), norm.alias("norm")).filter("norm > 0")
     found = None
-    for qids, vectors in query_blocks(queries):
-        part = slim.mapInArrow(_search(qids, vectors, k, positive), "qid string, doc_id bigint, score double")
+    for qids, vectors in query_blocks(queries, k):
+        part = few_tasks(slim).mapInArrow(_search(qids, vectors, k, positive), "qid string, doc_id bigint, score double")
         found = part if found is None else found.union(part)
     if found is None:
         return docs.sparkSession.createDataFrame([], "qid string, doc_id bigint, rank int, score double")
