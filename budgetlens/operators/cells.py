@@ -22,6 +22,8 @@ from . import dense
 
 #: Most cells, vectors of a cell on average, vectors that centroids are sought in, rounds of k-means.
 CELLS, CELL_ROWS, SAMPLE, ROUNDS = 1024, 64, 8192, 6
+#: Queries whose bounds are computed together, a number for each cell.
+TILE_QUERIES = 512
 #: What rounding may add to a score, with the unit of its order.
 MARGIN = 4e-9
 
@@ -98,6 +100,13 @@ def _merged(key, table):
     return pa.table([pa.array(a, k) for a, k in zip(arrays, (pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64())))], table.column_names)
 
 
+def _first_by_hash(docs: DataFrame, n: int, k: int) -> DataFrame:
+    """The first k of n documents by a hash of their ids, of rows that are cut before each task sends its first k."""
+    h = F.xxhash64("doc_id")
+    cut = min(2**63 - 1, int(-(2**63) + (1.25 * k + 100) / max(1, n) * 2**64))
+    return docs.filter(h <= F.lit(cut)).orderBy(h, "doc_id").limit(k)
+
+
 def build(docs: DataFrame, cells: int | None = None, sample: int = SAMPLE) -> CellIndex:
     """The index of docs(doc_id, vec[, norm]); vectors without a positive norm are left out.
 
@@ -105,9 +114,10 @@ def build(docs: DataFrame, cells: int | None = None, sample: int = SAMPLE) -> Ce
     """
     norm = F.col("norm").cast("double") if "norm" in docs.columns else F.lit(1.0)
     slim = docs.filter(F.col("vec").isNotNull()).select("doc_id", F.col("vec").cast("array<double>").alias("vec"), norm.alias("norm")).filter("norm > 0")
-    few = [np.array(r["vec"]) / r["norm"] for r in slim.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
+    total = slim.count()
+    few = [np.array(r["vec"]) / r["norm"] for r in _first_by_hash(slim, total, sample).collect()]
     points = np.array(few) if few else np.zeros((1, 1))
-    n = cells or min(CELLS, max(1, slim.count() // CELL_ROWS))
+    n = cells or min(CELLS, max(1, total // CELL_ROWS))
     points = centroids(points, min(n, len(points)))
     told = slim.mapInArrow(_assigned(points), "doc_id bigint, vec array<double>, norm double, cell int")
     vectors = files.kept(told.repartitionByRange("cell", F.xxhash64("doc_id")).sortWithinPartitions("cell"))
@@ -124,23 +134,27 @@ def pruned_topk(queries: DataFrame, index: CellIndex, k: int, positive: bool = F
     """What dense.dense_topk() finds, and (qid, n_all, n_scored): how many vectors there are and how many were scored."""
     spark = index.vectors.sparkSession
     kind, found, counts = "qid string, doc_id bigint, score double", None, []
-    for qids, vectors in dense.query_blocks(queries):
-        bound = index.bounds(vectors)
-        order = np.argsort(-bound, axis=1, kind="stable")
-        before = np.cumsum(index.sizes[order], axis=1) - index.sizes[order]
-        need = np.zeros(bound.shape, bool)
-        np.put_along_axis(need, order, before < k, axis=1)
+    for qids, vectors in dense.query_blocks(queries, k):
+        shape = (len(qids), len(index.sizes))
+        tiles = [slice(i, i + TILE_QUERIES) for i in range(0, len(qids), TILE_QUERIES)]
+        need, more = np.zeros(shape, bool), np.zeros(shape, bool)
+        for t in tiles:
+            order = np.argsort(-index.bounds(vectors[t]), axis=1, kind="stable")
+            before = np.cumsum(index.sizes[order], axis=1) - index.sizes[order]
+            np.put_along_axis(need[t], order, before < k, axis=1)
 
         def part(need, qids=qids, vectors=vectors):
             rows = index.vectors.filter(F.col("cell").isin(np.flatnonzero(need.any(0)).tolist()))
-            return rows.mapInArrow(dense._search(qids, vectors, k, positive, need), kind)
+            return dense.few_tasks(rows).mapInArrow(dense._search(qids, vectors, k, positive, need), kind)
 
         first = files.kept(dense.ranked(part(need), k, F.desc(X.scaled(F.col("score"))), "doc_id").drop("rank"))
         # the k-th score of each query of this block
         last = {r["qid"]: r["last"] for r in first.groupBy("qid").agg(F.when(F.count("*") >= k, F.min("score")).alias("last")).collect() if r["last"] is not None}
         floor = np.array([last.get(q, -np.inf) for q in qids])
-        more = ~need & (bound + MARGIN * np.maximum(1.0, np.abs(bound)) >= floor[:, None]) & ((bound > 0) | (not positive)) & (index.sizes > 0)
-        counts += [(q, int(index.sizes.sum()), int(n)) for q, n in zip(qids, ((need | more) * index.sizes).sum(1))]
+        for t in tiles:
+            bound = index.bounds(vectors[t])
+            more[t] = ~need[t] & (bound + MARGIN * np.maximum(1.0, np.abs(bound)) >= floor[t, None]) & ((bound > 0) | (not positive)) & (index.sizes > 0)
+            counts += [(q, int(index.sizes.sum()), int(n)) for q, n in zip(qids[t], (need[t] | more[t]) @ index.sizes)]
         both = first.union(part(more))
         found = both if found is None else found.union(both)
     reads = spark.createDataFrame(counts, "qid string, n_all bigint, n_scored bigint")

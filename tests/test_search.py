@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +132,37 @@ def test_text_search_in_blocks_and_chunks_equals_plain_sums(spark, monkeypatch):
     monkeypatch.setattr(lexical, "BLOCK_TERMS", 9)
     monkeypatch.setattr(lexical, "CHUNK", 50)
     assert rows(lexical.bm25_topk(queries, index, 7)) == plain
+
+
+def test_dense_search_keeps_lists_in_few_tasks_and_scores_in_bounded_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    vectors = [(i, rng.normal(size=5).round(1).tolist()) for i in range(300)]
+    docs, queries = spark.createDataFrame(vectors, "doc_id bigint, vec array<double>").repartition(30), spark.createDataFrame([(f"q{i}", rng.normal(size=5).round(1).tolist()) for i in range(40)], "qid string, vec array<double>")
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300))], ["doc_id"])
+    monkeypatch.setattr(dense, "TILE", 900)
+    tiles = list(dense._parts(batch, None, 40))
+    assert max(b.num_rows * len(q) for b, q in tiles) <= 900 and sorted(i for _, q in tiles for i in q) == list(range(40))
+    monkeypatch.setattr(dense, "BLOCK_ENTRIES", 60)
+    assert [len(q) for q, _ in dense.query_blocks(queries, 4)] == [15, 15, 10]
+    assert dense.few_tasks(docs).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    plan = dense.dense_topk(queries, docs, 4)._jdf.queryExecution().toString()
+    assert "Coalesce" in plan
+    asked = {r["qid"]: np.array(r["vec"]) for r in queries.collect()}
+    plain = [(q, [i for _, i in sorted((-int(np.floor(float(np.add.accumulate(np.array(v) * x)[-1]) * 1e9 + 0.5)), i) for i, v in vectors)[:4]]) for q, x in asked.items()]
+    got = {}
+    for r in dense.dense_topk(queries, docs, 4).orderBy("qid", "rank").collect():
+        got.setdefault(r["qid"], []).append(r["doc_id"])
+    assert got == dict(plain)
+
+
+def test_cells_take_their_sample_from_few_rows_and_bound_few_queries_at_a_time(spark, monkeypatch):
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.array(F.sin("id"), F.cos("id")).alias("vec"))
+    exact = [r["doc_id"] for r in docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(100).collect()]
+    assert [r["doc_id"] for r in cells._first_by_hash(docs, 5000, 100).collect()] == exact
+    index, seen = cells.build(docs, cells=8, sample=100), []
+    monkeypatch.setattr(cells, "TILE_QUERIES", 3)
+    bounds = cells.CellIndex.bounds
+    monkeypatch.setattr(cells.CellIndex, "bounds", lambda self, q: seen.append(len(q)) or bounds(self, q))
+    queries = spark.createDataFrame([(f"q{i}", [float(i), 1.0]) for i in range(7)], "qid string, vec array<double>")
+    assert [r[:3] for r in rows(cells.pruned_topk(queries, index, 5)[0])] == [r[:3] for r in rows(dense.dense_topk(queries, docs, 5))]
+    assert seen == [3, 3, 1] * 2
