@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 BLOCK_PASSAGES, BLOCK_CHARS = 1 << 16, 8 << 20
 #: Characters of a passage that the automaton knows; the rest is compared where they occur.
 HEAD = 24
+#: Texts that a task holds as Python strings at a time.
+SLICE = 256
 
 
 def _blocks(passages: DataFrame):
@@ -50,7 +52,7 @@ def containing(docs: DataFrame, passages: DataFrame) -> DataFrame:
 
         def run(batches, sent=sent):
             automaton = _automaton(sent.value)
-            for batch in batches:
+            for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
                 items, found = [], []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     own = {}
