@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from budgetlens.operators import blockmax, cells, critic, dense, lexical, staged
+from budgetlens.operators import blockmax, cells, critic, dense, lexical, matching, staged
 
 
 def corpus(spark, n=300, seed=1, words=120):
@@ -175,3 +175,11 @@ def test_block_max_tells_the_best_of_each_task_only(spark, monkeypatch):
     assert rows(top) == rows(lexical.bm25_topk(asked(spark), index, 3))
     cores = spark.sparkContext.defaultParallelism
     assert len(seen) == 2 and all(0 < s.count() <= 12 * cores * (3 + 1) for s in seen)
+
+
+def test_passages_are_found_whatever_the_slices_of_a_batch(spark, monkeypatch):
+    monkeypatch.setattr(matching, "SLICE", 3)
+    docs = spark.createDataFrame([(i, f"some words and number{i % 4} here" if i % 5 else None) for i in range(20)], "doc_id bigint, text string").coalesce(1)
+    passages = spark.createDataFrame([(1, "and number1"), (2, "words and"), (3, "")], "item_id bigint, text string")
+    plain = sorted([(1, i) for i in range(20) if i % 5 and i % 4 == 1] + [(2, i) for i in range(20) if i % 5])
+    assert sorted(map(tuple, matching.containing(docs, passages).collect())) == plain
