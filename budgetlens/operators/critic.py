@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import text as X
+from ..sources import files
 
 DOC_WORDS = 48
 FEATURES = ("term_share", "log_words", "k")
@@ -22,7 +23,8 @@ def samples(questions: DataFrame, runs: DataFrame, docs: DataFrame, cov: DataFra
     docs joins the first words of each document of the cut list in order of rank; label is full coverage.
     """
     stages = cov.select("qid", "level", "method", "k", "full")
-    listed = stages.join(runs, ["qid", "method"]).filter(F.col("rank") <= F.col("k")).join(docs.select("doc_id", X.first_words(F.col("text"), words).alias("w")), "doc_id")
+    cut = files.kept(stages.join(runs, ["qid", "method"]).filter(F.col("rank") <= F.col("k")).select("qid", "level", "rank", "doc_id"))
+    listed = cut.join(_heads(docs, cut, words), "doc_id")
     lists = listed.groupBy("qid", "level").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "w"))).alias("l"))
     out = stages.join(lists, ["qid", "level"], "left").join(questions.select("qid", "question"), "qid")
     none = F.array()
@@ -32,9 +34,14 @@ def samples(questions: DataFrame, runs: DataFrame, docs: DataFrame, cov: DataFra
     )
 
 
+def _heads(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
+    """(doc_id, w): the first words of the documents in asked."""
+    return files.picked(docs.select("doc_id", "text"), asked).select("doc_id", X.first_words(F.col("text"), words).alias("w"))
+
+
 def inputs(questions: DataFrame, lists: DataFrame, docs: DataFrame, phase: str, level: int, k: int, words: int = DOC_WORDS) -> DataFrame:
     """(qid, question, phase, level, k, docs) of one stage: what the critic reads of lists(qid, doc_id, rank)."""
-    listed = lists.join(docs.select("doc_id", X.first_words(F.col("text"), words).alias("w")), "doc_id").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "w"))).alias("l"))
+    listed = lists.join(_heads(docs, lists, words), "doc_id").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "w"))).alias("l"))
     said = F.array_join(F.coalesce(F.transform("l", lambda x: x["w"]), F.array().cast("array<string>")), " ")
     return questions.select("qid", "question").join(listed, "qid", "left").select("qid", "question", F.lit(phase).alias("phase"), F.lit(level).alias("level"), F.lit(k).alias("k"), said.alias("docs"))
 

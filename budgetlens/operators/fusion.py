@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import files
 from .dense import ranked
 
 # Fusion constant, length of the fused lists, length of the result.
@@ -49,5 +50,6 @@ def scored_by(model: Callable[[], Scorer]):
 
 def rerank(pool: DataFrame, queries: DataFrame, docs: DataFrame, score=pair_share, top: int = TOP) -> DataFrame:
     """(qid, doc_id, rank, score): the pool(qid, doc_id, rank) of each query by score(question, text), ties by its rank."""
-    pairs = pool.select("qid", "doc_id", F.col("rank").alias("before")).join(queries.select("qid", "question"), "qid").join(docs.select("doc_id", "text"), "doc_id")
+    pool = files.kept(pool.select("qid", "doc_id", F.col("rank").alias("before")))
+    pairs = pool.join(queries.select("qid", "question"), "qid").join(files.picked(docs.select("doc_id", "text"), pool), "doc_id")
     return ranked(pairs.withColumn("score", score(F.col("question"), F.col("text"))), top, F.desc("score"), "before").select("qid", "doc_id", "rank", "score")

@@ -51,6 +51,17 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Ids that are sent to all executors; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def picked(docs: DataFrame, asked: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of docs whose key is among asked's, which go to all executors up to a checked number of them: where few
+    of many documents are asked for, the texts of the others stay where they are."""
+    ids = kept(asked.select(key).distinct())
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
+
+
 def write_facts(tables: dict[str, DataFrame], path: str, key: str = "qid", buckets: int | None = None) -> None:
     """Tables bucketed and sorted by key under path, and a manifest of them; what is joined or grouped by key reads them
     without a shuffle.  buckets: the session's number of shuffle partitions, four for each core at most, unless given."""

@@ -8,7 +8,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from budgetlens.operators import blockmax, cells, critic, dense, lexical, matching, staged
+from budgetlens.operators import blockmax, cells, critic, dense, fusion, lexical, matching, staged
+from budgetlens.plans.fixtures import Fixtures
+from budgetlens.sources import files
 
 
 def corpus(spark, n=300, seed=1, words=120):
@@ -183,3 +185,68 @@ def test_passages_are_found_whatever_the_slices_of_a_batch(spark, monkeypatch):
     passages = spark.createDataFrame([(1, "and number1"), (2, "words and"), (3, "")], "item_id bigint, text string")
     plain = sorted([(1, i) for i in range(20) if i % 5 and i % 4 == 1] + [(2, i) for i in range(20) if i % 5])
     assert sorted(map(tuple, matching.containing(docs, passages).collect())) == plain
+
+
+@pytest.fixture
+def shuffled(spark):
+    """Bytes that an action shuffles, where no table goes to all tasks unless it is told to."""
+
+    def written():
+        sc = spark.sparkContext
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        none = sc._jvm.java.util.ArrayList()
+        stages = sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(sc._jvm.double, 0), none)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    def run(action):
+        before = written()
+        action()
+        return written() - before
+
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield run
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def noise(n, words=60):
+    rng = random.Random(11)
+    return [" ".join(f"{rng.getrandbits(48):012x}" for _ in range(words)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_texts_that_no_list_asks_for_do_not_move(spark, shuffled, tmp_path, monkeypatch, limit):
+    texts = noise(1000)
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(path)
+    docs, size = spark.read.parquet(path), sum(map(len, texts))
+    pool = spark.createDataFrame([("q", d, r) for r, d in enumerate((7, 500, 900), 1)], "qid string, doc_id bigint, rank int")
+    question = spark.createDataFrame([("q", " ".join(texts[900].split()[:4]))], "qid string, question string")
+    runs = pool.withColumn("method", F.lit("dense"))
+    cov = spark.createDataFrame([("q", 1, "dense", 3, True)], "qid string, level int, method string, k int, full boolean")
+    monkeypatch.setattr(files, "BROADCAST_IDS", limit)
+    told = []
+    moved = [
+        shuffled(lambda: told.append([r["doc_id"] for r in fusion.rerank(pool, question, docs).orderBy("rank").collect()])),
+        shuffled(lambda: told.append(critic.samples(question, runs, docs, cov).first()["docs"])),
+        shuffled(lambda: told.append(critic.inputs(question, pool, docs, "dense", 1, 3).first()["docs"])),
+    ]
+    heads = " ".join(" ".join(texts[d].split()[:48]) for d in (7, 500, 900))
+    assert told == [[900, 7, 500], heads, heads]
+    if limit:
+        assert max(moved) < size / 20
+
+
+def test_gold_of_equal_texts_moves_digests_only(spark, shuffled, tmp_path):
+    texts = noise(600, 90)
+    texts[150] = texts[50] = texts[3]
+    texts[100] = texts[4] = None
+    rows = [(d, t, "en") for d, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, texts[9])], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    x, got = Fixtures(spark, str(tmp_path)), []
+    moved = shuffled(lambda: got.extend(x.qrels.collect()))
+    x.release()
+    same = {("d0", 0), *((f"d{a}", b) for a in (50, 150) for b in (3, 50, 150)), *((f"d{i}", i) for i in range(200, 600, 50)), ("b1", 9)}
+    assert sorted(map(tuple, got)) == sorted(same)
+    assert moved < sum(len(t or "") for t in texts) / 4
