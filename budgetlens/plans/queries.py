@@ -98,7 +98,7 @@ def stored_blockmax_topk(x: Fixtures) -> DataFrame:
 def grown_bm25_topk(x: Fixtures) -> DataFrame:
     """BM25 over an index that two batches have made."""
     path, later = files.scratch(x.spark), F.col("doc_id") % 3 == 1
-    lexical.build(x.docs.filter(~later)).write(path)
+    lexical.build(x.docs.filter(~later), path=path)
     return _listed(lexical.bm25_topk(x.questions, lexical.Index.append(path, x.docs.filter(later)), fusion.POOL), F.col("score"))
 
 

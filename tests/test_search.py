@@ -250,3 +250,17 @@ def test_gold_of_equal_texts_moves_digests_only(spark, shuffled, tmp_path):
     same = {("d0", 0), *((f"d{a}", b) for a in (50, 150) for b in (3, 50, 150)), *((f"d{i}", i) for i in range(200, 600, 50)), ("b1", 9)}
     assert sorted(map(tuple, got)) == sorted(same)
     assert moved < sum(len(t or "") for t in texts) / 4
+
+
+def test_an_index_makes_its_postings_once(spark, shuffled, tmp_path):
+    texts = noise(400)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(8).cache()
+    docs.count()
+    once = shuffled(lambda: lexical.postings(docs).agg(F.sum("tf")).first())
+    made = []
+    moved = shuffled(lambda: made.append(lexical.build(docs, path=str(tmp_path / "index"))))
+    counts = shuffled(lambda: lexical.term_idf(made[0].postings, 400).count())
+    docs.unpersist()
+    assert moved < 1.2 * (once + counts)
+    stored = lexical.Index.read(spark, str(tmp_path / "index"))
+    assert (stored.n, stored.words) == (400, 400 * 60) and stored.postings.count() == 400 * 60
