@@ -412,7 +412,10 @@ def _linked(small: DataFrame, large: DataFrame | None, sketches: DataFrame, text
         held.append(_spark.written(df))
         return held[-1]
 
-    def confirmed(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    def confirmed(pairs: DataFrame, whole: DataFrame, few: bool = True) -> DataFrame:
+        if few:  # only texts of pairs move
+            pairs = kept(pairs)
+            whole = picked(whole, "id", kept(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()))
         both = pairs.join(whole.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(whole.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         return _spark.mapped(both.select("a", "b", "ta", "tb"), _verified(rule), "a bigint, b bigint")
 
@@ -434,7 +437,7 @@ def _linked(small: DataFrame, large: DataFrame | None, sketches: DataFrame, text
     candidates = kept(candidates.distinct())
     ids = candidates.select(F.col("a").alias("id")).union(candidates.select("b"))
     whole = kept(texts(kept((ids if large is None else ids.union(large.select("id"))).distinct())))
-    links = _spark.written(confirmed(candidates, whole))
+    links = _spark.written(confirmed(candidates, whole, few=False))
     if large is None:
         return links, components(links)
     # where many members are left that no pivot has joined, they get pivots of their own, as long as that joins many
@@ -485,7 +488,8 @@ def _late_links(large: DataFrame, found: DataFrame, whole: DataFrame, rule: Simi
     middle = kept(rest.groupBy("node").agg(F.any_value("members").alias("n"), F.sum("size").alias("bytes")).filter((F.col("n") <= MIDDLE) & (F.col("bytes") <= NODE_BYTES)).select("node"))
     few = middle.count() <= BROADCAST_IDS
     part = lambda how: rest.join(F.broadcast(middle) if few else middle, "node", how)
-    lists = part("left_semi").join(whole, "id").groupBy("node").agg(F.collect_list(F.struct("id", "component", "asks", "text")).alias("l")).select("l")
+    among = kept(part("left_semi"))
+    lists = among.join(picked(whole, "id", kept(among.select("id").distinct())), "id").groupBy("node").agg(F.collect_list(F.struct("id", "component", "asks", "text")).alias("l")).select("l")
     more = _spark.mapped(lists, _asked(rule), "a bigint, b bigint")
     members = kept(part("left_anti").groupBy("id", "component").agg(F.bool_or("asks").alias("asks")))
     if members.limit(1).count():
@@ -496,7 +500,7 @@ def _late_links(large: DataFrame, found: DataFrame, whole: DataFrame, rule: Simi
 
 def _common_fronts(rest: DataFrame, whole: DataFrame, rule: Similarity, kept) -> DataFrame:
     """Pairs(a, b) of rest(id, component, asks), of two components and one at least that asks, that may be similar."""
-    rows = kept(whole.join(rest, "id").select("id", "component", "asks", "text"))
+    rows = kept(picked(whole, "id", rest.select("id")).join(rest, "id").select("id", "component", "asks", "text"))
     counts = _spark.mapped(rows, _cells(rule), "cell bigint, n bigint, asked bigint").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("asked").alias("asked")).filter("asked > 0").select("cell", "n").toArrow()
     common = np.zeros(CELLS, np.int64)
     common[counts["cell"].to_numpy()] = counts["n"].to_numpy()

@@ -169,18 +169,19 @@ def _duplicates(slim: DataFrame, size: int = SHINGLE, percent: int = PERCENT, le
     sketches = tables[-1]
 
     def texts(ids: DataFrame) -> DataFrame:
-        places = _links.picked(classes.select("id", "doc", "line"), "id", ids)
+        places = _links.picked(classes.select("id", "doc", "line"), "id", ids).dropDuplicates(["id"])
         few = ids.count() <= _links.BROADCAST_IDS
         asked = places.groupBy("doc").agg(F.collect_list(F.struct("id", "line")).alias("asked"))
         parts = slim.join(F.broadcast(asked) if few else asked, "doc").select(F.split("text", "\n").alias("parts"), "asked")
         each = F.explode(F.transform("asked", lambda a: F.struct(a["id"].alias("id"), F.get("parts", a["line"].cast("int")).cast("binary").alias("text"))))
-        return parts.select(each.alias("e")).select("e.*").dropDuplicates(["id"])
+        return parts.select(each.alias("e")).select("e.*")
 
     large = nodes.part(True) if nodes.large is not None else None
     links, found = _links.link(nodes.part(False), large, sketches, texts, _links.Similarity(line_sets(size), percent, LOOSE))
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     # only classes with links or copies need more than their own first line
-    linked = classes.join(found, "id").join(degree, "id", "left")
+    tables.append(_spark.written(_links.picked(classes, "id", found.select("id")).join(found, "id").join(degree, "id", "left")))
+    linked = tables[-1]
     heads = linked.groupBy("component").agg(F.min(F.struct("doc", "line")).alias("head"))
     linked = linked.join(heads, "component").select("f1", "f2", F.col("head.doc").alias("hd"), F.col("head.line").alias("hl"), "n_links")
     copied = classes.filter("copies > 1").select("f1", "f2", F.col("doc").alias("cd"), F.col("line").alias("cl"), "copies")

@@ -23,3 +23,25 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def data():
     return str(DATA / "sf0.001")
+
+
+@pytest.fixture
+def shuffled(spark):
+    """Bytes that an action shuffles, where no table goes to all tasks unless it is told to."""
+
+    def written():
+        sc = spark.sparkContext
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        none = sc._jvm.java.util.ArrayList()
+        stages = sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(sc._jvm.double, 0), none)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    def run(action):
+        before = written()
+        action()
+        return written() - before
+
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield run
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)

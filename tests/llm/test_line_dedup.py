@@ -1,8 +1,9 @@
+import random
 from itertools import combinations
 
 import pytest
 
-from budgetlens.llm import line_dedup
+from budgetlens.llm import _links, line_dedup
 from tests.llm.helpers import ODD, clashing, components, corpus, documents
 
 
@@ -79,3 +80,20 @@ def test_rows_of_one_key_lose_their_own_lines_only(spark):
     got = [r["text"] for r in line_dedup.without_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
     lines = sorted(x for t in got for x in t.split("\n"))
     assert lines == sorted({x for _, t in rows for x in t.split("\n")})
+
+
+def test_texts_of_lines_are_read_where_they_are(spark, shuffled, tmp_path, monkeypatch):
+    rng = random.Random(4)
+    words = [[f"{rng.getrandbits(40):010x}" for _ in range(40)] for _ in range(150)]
+    docs = [(2 * i + k, " ".join([*w[:-1], "end"] if k else w)) for i, w in enumerate(words) for k in (0, 1)]
+    path, moved, linked = str(tmp_path / "docs"), [], _links.link
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(path)
+
+    def link(small, large, sketches, texts, rule):
+        moved.append(shuffled(lambda: texts(small.select("id").distinct()).write.format("noop").mode("overwrite").save()))
+        return linked(small, large, sketches, texts, rule)
+
+    monkeypatch.setattr(_links, "link", link)
+    got = {r["doc_id"]: r["component_key"] for r in line_dedup.duplicate_lines(spark.read.parquet(path)).collect()}
+    assert got == {d: d - d % 2 for d, _ in docs}
+    assert moved[0] < sum(len(t) for _, t in docs) / 4
