@@ -105,7 +105,7 @@ def _exhaustive(loose: float):
                 for i in range(n - 1):
                     for j in range(i + 1, n):
                         x, y = members[:, i], members[:, j]
-                        near = (sketch[x] == sketch[y]).sum(1) >= least
+                        near = ((sketch[x] == sketch[y]).sum(1) >= least) & (ids[x] != ids[y])
                         low.append(ids[x[near]])
                         high.append(ids[y[near]])
             yield _pairs(np.concatenate(low), np.concatenate(high))
@@ -288,42 +288,54 @@ def _chunks(batches, least):
         yield tuple(np.concatenate([h[k] for h in held]) for k in (0, 1))
 
 
-def _met(batches):
-    """(id, node) of the nodes that two ids have, some rows more than once.
+def _met(small: int):
+    """(id, node, null) of the nodes that two ids have, and (null, node, n) of those that more than ``small`` entries have.
 
-    What is held are the distinct nodes with an id each; a node's members stream past, however many there are.
+    What is held are the distinct nodes with an id and a count each; a node's members stream past, however many there
+    are.  An entry that comes twice may be told twice.
     """
-    known, one, done = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-    for ids, nodes in _chunks(batches, lambda: max(PACK, len(known) // 2)):
-        order = np.argsort(nodes)
-        ids, nodes = ids[order], nodes[order]
-        new = np.flatnonzero(np.append(True, nodes[1:] != nodes[:-1]))
-        kinds, low, high = nodes[new], np.minimum.reduceat(ids, new), np.maximum.reduceat(ids, new)
-        at = np.searchsorted(known, kinds)
-        at[at == len(known)] = 0
-        old = known[at] == kinds if len(known) else np.zeros(len(kinds), bool)
-        met, late = low != high, np.zeros(len(kinds), bool)
-        if old.any():
-            was, first = done[at], one[at]
-            late = old & ~was & (met | (first != low))  # the id that came alone is told now
-            met = np.where(old, was | late, met)
-        take = np.repeat(met, np.diff(np.append(new, len(nodes))))
-        columns = [np.concatenate([ids[take], one[at[late]]]), np.concatenate([nodes[take], kinds[late]])]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "node"])
-        done[at[late]] = True
-        fresh = ~old
-        known, one, done = (np.concatenate(x) for x in ((known, kinds[fresh]), (one, low[fresh]), (done, met[fresh])))
-        order = np.argsort(known, kind="stable")
-        known, one, done = known[order], one[order], done[order]
+
+    def run(batches):
+        known, one, done, count = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
+        for ids, nodes in _chunks(batches, lambda: max(PACK, len(known) // 2)):
+            order = np.argsort(nodes)
+            ids, nodes = ids[order], nodes[order]
+            new = np.flatnonzero(np.append(True, nodes[1:] != nodes[:-1]))
+            each = np.diff(np.append(new, len(nodes)))
+            kinds, low, high = nodes[new], np.minimum.reduceat(ids, new), np.maximum.reduceat(ids, new)
+            at = np.searchsorted(known, kinds)
+            at[at == len(known)] = 0
+            old = known[at] == kinds if len(known) else np.zeros(len(kinds), bool)
+            met, late = low != high, np.zeros(len(kinds), bool)
+            if old.any():
+                was, first = done[at], one[at]
+                late = old & ~was & (met | (first != low))  # the id that came alone is told now
+                met = np.where(old, was | late, met)
+                count[at[old]] += each[old]
+            take = np.repeat(met, each)
+            columns = [pa.array(np.concatenate([ids[take], one[at[late]]])), pa.array(np.concatenate([nodes[take], kinds[late]]))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(columns[0]), pa.int64())], ["id", "node", "n"])
+            done[at[late]] = True
+            fresh = ~old
+            known, one, done, count = (np.concatenate(x) for x in ((known, kinds[fresh]), (one, low[fresh]), (done, met[fresh]), (count, each[fresh])))
+            order = np.argsort(known, kind="stable")
+            known, one, done, count = known[order], one[order], done[order], count[order]
+        large = np.flatnonzero(done & (count > small))
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(large), pa.int64()), pa.array(known[large]), pa.array(count[large])], ["id", "node", "n"])
+
+    return run
 
 
 @dataclass
 class Nodes:
-    """rows(id, node), distinct; large(node): nodes of more members than are compared exhaustively, or None."""
+    """rows(id, node); large(node, n): nodes of more members than are compared exhaustively, or None; members: of all
+    large nodes; table: the written one that these read."""
 
     rows: DataFrame
     large: DataFrame | None
     few: bool = True
+    members: int = 0
+    table: DataFrame | None = None
 
     def part(self, large: bool) -> DataFrame:
         """The rows of large nodes, or of the others."""
@@ -331,38 +343,48 @@ class Nodes:
             return self.rows.limit(0) if large else self.rows
         return self.rows.join(F.broadcast(self.large) if self.few else self.large, "node", "left_semi" if large else "left_anti").select("id", "node")
 
+    def sent(self):
+        """The numbers of few large nodes, sorted, for all tasks."""
+        held = np.sort(self.large.select("node").toArrow()["node"].to_numpy().view(np.uint64))
+        return self.rows.sparkSession.sparkContext.broadcast(held)
+
     def drop(self) -> None:
-        _spark.dropped(self.rows, self.large)
+        _spark.dropped(self.table)
 
 
-def nodes_of(df: DataFrame, entries: Entries, each: float, small: int = SMALL) -> Nodes:
+def nodes_of(df: DataFrame, entries: Entries, each: float, small: int = SMALL, total: float | None = None) -> Nodes:
     """The nodes that two members at least have, in the shared folder.
 
     entries: from a batch of df to (ids, nodes), about ``each`` of them for each row; nodes are well mixed 64-bit
-    numbers.  Entries move packed, by the upper bits of their nodes, and meet in tasks that hold distinct nodes only.
+    numbers.  Entries move packed, by the upper bits of their nodes, and meet in tasks that hold distinct nodes only,
+    which also tell the large ones.  total: how many entries there are, where that is known.
     """
     spark = df.sparkSession
-    total = df.count() * each
+    total = df.count() * each if total is None else total
     tasks = max(1, math.ceil(total / TASK_ENTRIES), min(spark.sparkContext.defaultParallelism, math.ceil(total / PACK)))
     bits = max(4, (4 * tasks).bit_length())
     packed = _spark.mapped(df, _packed(entries, bits), "bucket int, ids binary, nodes binary")
-    met = _spark.mapped(packed.repartition(tasks, "bucket").select("ids", "nodes"), _met, "id bigint, node bigint")
-    rows = _spark.written(met.distinct())
-    large = _spark.written(rows.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > small).select("node"))
-    n = large.count()
-    if not n:
-        _spark.dropped(large)
-    return Nodes(rows, large if n else None, n <= BROADCAST_IDS)
+    table = _spark.written(_spark.mapped(packed.repartition(tasks, "bucket").select("ids", "nodes"), _met(small), "id bigint, node bigint, n bigint"))
+    large = table.filter("id is null").select("node", "n")
+    n, members = large.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return Nodes(table.filter("id is not null").select("id", "node"), large if n else None, n <= BROADCAST_IDS, members, table)
+
+
+def sent(table: DataFrame) -> DataFrame:
+    """A written table, to be joined: it goes to all executors up to a checked number of rows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of all ids in links(a, b): component is the smallest id that links reach.  Written."""
     edges = _spark.written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")))
     labels = _spark.written(edges.groupBy(F.col("u").alias("id")).agg(F.least("u", F.min("v")).alias("component")))
+    few = labels.count() <= BROADCAST_IDS
     while True:
-        near = edges.join(labels.select(F.col("id").alias("v"), "component"), "v").groupBy(F.col("u").alias("id")).agg(F.min("component").alias("m"))
-        step = labels.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "m").alias("component"))
-        up = labels.select(F.col("id").alias("component"), F.col("component").alias("top"))
+        all_over = F.broadcast(labels) if few else labels
+        near = edges.join(all_over.select(F.col("id").alias("v"), "component"), "v").select(F.col("u").alias("id"), F.lit(None).cast("bigint").alias("was"), "component")
+        step = labels.select("id", F.col("component").alias("was"), "component").union(near).groupBy("id").agg(F.max("was").alias("was"), F.min("component").alias("component"))
+        up = all_over.select(F.col("id").alias("component"), F.col("component").alias("top"))
         step = _spark.written(step.join(up, "component", "left").select("id", "was", F.least("component", F.coalesce("top", "component")).alias("component")))
         _spark.dropped(labels)
         labels = step
@@ -443,9 +465,9 @@ def _linked(small: DataFrame, large: DataFrame | None, sketches: DataFrame, text
     # where many members are left that no pivot has joined, they get pivots of their own, as long as that joins many
     todo, n = large, large.count()
     for _ in range(ROUNDS - 1):
-        told = near.select("node", "id", *ordered("id", "pivot")).join(links, ["a", "b"]).select("node", "id")
-        told = told.union(pivots.select("node", F.col("pivot").alias("id"))).distinct()
-        rest = todo.join(told, ["node", "id"], "left_anti")
+        told = near.select("node", "id", *ordered("id", "pivot")).join(sent(links), ["a", "b"]).select("node", "id")
+        told = kept(told.union(pivots.select("node", F.col("pivot").alias("id"))))
+        rest = todo.join(sent(told), ["node", "id"], "left_anti")
         many = rest.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > MIDDLE).select("node")
         todo, before = kept(rest.join(many, "node", "left_semi")), n
         n = todo.count()
@@ -460,11 +482,12 @@ def _linked(small: DataFrame, large: DataFrame | None, sketches: DataFrame, text
     if more is None:
         return links, found
     # the new links join components
-    ends = more.join(found.toDF("a", "ca"), "a", "left").join(found.toDF("b", "cb"), "b", "left")
+    place = sent(found)
+    ends = more.join(place.toDF("a", "ca"), "a", "left").join(place.toDF("b", "cb"), "b", "left")
     ends = kept(ends.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")))
     joined = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).filter("a <> b").distinct())
     known = found.union(ends.select("a", "ca")).union(ends.select("b", "cb")).distinct()
-    final = known.join(joined.toDF("component", "top"), "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+    final = known.join(sent(joined).toDF("component", "top"), "component", "left").select("id", F.coalesce("top", "component").alias("component"))
     return links.union(more).distinct(), _spark.written(final)
 
 
@@ -477,14 +500,15 @@ def _late_links(large: DataFrame, found: DataFrame, whole: DataFrame, rule: Simi
     ones by a table of counts of fixed size, so what many texts have in common is hardly ever looked at.  None without
     any link.
     """
-    placed = kept(large.select("node", "id").join(found, "id", "left").select("node", "id", F.coalesce("component", "id").alias("component")))
+    placed = kept(large.select("node", "id").join(sent(found), "id", "left").select("node", "id", F.coalesce("component", "id").alias("component")))
     shares = placed.groupBy("node", "component").agg(F.count("*").alias("n"))
     split = shares.groupBy("node").agg(F.count("*").alias("parts"), F.sum("n").alias("members"), F.max_by("component", F.struct("n", -F.col("component"))).alias("main")).filter("parts > 1")
-    sizes = whole.select("id", F.octet_length("text").alias("size"))
-    rest = placed.join(split, "node").join(sizes, "id").select("node", "id", "component", (F.col("component") != F.col("main")).alias("asks"), "members", "size")
-    rest = kept(rest)
-    if not rest.limit(1).count():
+    split = kept(split)
+    if not split.limit(1).count():
         return None
+    sizes = sent(kept(whole.select("id", F.octet_length("text").alias("size"))))
+    rest = placed.join(sent(split), "node").join(sizes, "id").select("node", "id", "component", (F.col("component") != F.col("main")).alias("asks"), "members", "size")
+    rest = kept(rest)
     middle = kept(rest.groupBy("node").agg(F.any_value("members").alias("n"), F.sum("size").alias("bytes")).filter((F.col("n") <= MIDDLE) & (F.col("bytes") <= NODE_BYTES)).select("node"))
     few = middle.count() <= BROADCAST_IDS
     part = lambda how: rest.join(F.broadcast(middle) if few else middle, "node", how)

@@ -86,14 +86,19 @@ def _tokens(column: pa.Array) -> np.ndarray:
     return np.ascontiguousarray(_links._fixed(column)).view(np.uint32).reshape(-1, TOKENS)
 
 
-def _roots(trees: int):
-    """(ids, nodes) of (id, tokens): the first level of all trees."""
+def _paths(trees: int, large: list):
+    """(ids, nodes) of (id, tokens): the first level of all trees, or the one below the large nodes of those before it."""
 
     def entries(batch):
         ids, tokens = batch.column(0).to_numpy(), _tokens(batch.column(1))
         for t in range(trees):
-            rows, child = _children(np.full(len(ids), t + 1, np.uint64), tokens)
-            yield ids[rows], child.view(np.int64)
+            rows, node = _children(np.full(len(ids), t + 1, np.uint64), tokens)
+            for sent in large:
+                at = np.minimum(np.searchsorted(sent.value, node), len(sent.value) - 1)
+                rows = rows[mine := sent.value[at] == node]
+                own, node = _children(node[mine], tokens[rows])
+                rows = rows[own]
+            yield ids[rows], node.view(np.int64)
 
     return entries
 
@@ -181,10 +186,14 @@ def _near_duplicates(slim: DataFrame, words: int, percent: int, trees: int) -> D
     _spark.dropped(made)
     reps = _spark.written(docs.filter("id = rep and n > 0").select("id", "tokens"))
     share = 100 / PERCENT
-    nodes = _links.nodes_of(reps, _roots(trees), trees * share)
-    levels = [nodes]
+    levels, large = [_links.nodes_of(reps, _paths(trees, []), trees * share)], []
     while len(levels) < DEPTH and levels[-1].large is not None:
-        levels.append(_links.nodes_of(levels[-1].part(True).join(reps, "id").select("id", "node", "tokens"), _branches, share))
+        last = levels[-1]
+        if last.few and len(large) == len(levels) - 1:  # documents find their way down again, none moves for it
+            large.append(last.sent())
+            levels.append(_links.nodes_of(reps, _paths(trees, list(large)), share, total=last.members * share))
+        else:
+            levels.append(_links.nodes_of(last.part(True).join(reps, "id").select("id", "node", "tokens"), _branches, share, total=last.members * share))
     leaves = reduce(DataFrame.union, [n.part(False) for n in levels])
     large = levels[-1].part(True) if levels[-1].large is not None else None
     sketches = _spark.mapped(reps, _sketch, "id bigint, sketch binary")

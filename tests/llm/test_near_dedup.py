@@ -1,5 +1,6 @@
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +121,39 @@ def test_equal_sets_of_other_order_meet_by_confirmed_links(spark):
     bags, comp = brute(texts)
     rows = {r["doc_id"]: r for r in near_dedup.near_duplicates(documents(spark, texts)).collect()}
     assert [rows[i]["component_id"] for i in range(len(texts))] == comp and [rows[i]["n_shingles"] for i in range(len(texts))] == [len(b) for b in bags]
+
+
+def test_lower_levels_are_found_without_moving_documents(spark):
+    rng = np.random.default_rng(5)
+    tokens = rng.integers(0, 3, (400, near_dedup.TOKENS)).astype(np.uint32)
+    rows = [(i, bytearray(t.tobytes())) for i, t in enumerate(tokens)]
+    reps = spark.createDataFrame(rows, "id bigint, tokens binary").repartition(3).persist()
+    first = _links.nodes_of(reps, near_dedup._paths(2, []), 2.5)
+    counts = {r["node"]: r["n"] for r in first.rows.groupBy("node").count().withColumnRenamed("count", "n").collect()}
+    large = {r["node"]: r["n"] for r in first.large.collect()}
+    assert large == {k: n for k, n in counts.items() if n > _links.SMALL} and first.members == sum(large.values()) > 0
+    moved = _links.nodes_of(first.part(True).join(reps, "id").select("id", "node", "tokens"), near_dedup._branches, 1.25)
+    own = _links.nodes_of(reps, near_dedup._paths(2, [first.sent()]), 1.25, total=first.members * 1.25)
+    assert own.rows.count() > 0 and sorted(own.rows.collect()) == sorted(moved.rows.collect())
+
+
+def test_steps_over_few_ids_are_not_dealt_out_by_them(spark):
+    """A round of labels is one shuffle."""
+    links = _links._spark.written(spark.createDataFrame([(i, i + 1) for i in range(6)], "a bigint, b bigint"))
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm.java.util.ArrayList()
+
+    def tasks():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(none, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), none)
+        return sum(stages.apply(i).numCompleteTasks() for i in range(stages.size()))
+
+    for k, v in zip(was, ("50", "false", "-1")):
+        spark.conf.set(k, v)
+    try:
+        before = tasks()
+        assert {r["component"] for r in _links.components(links).collect()} == {0}
+        assert tasks() - before < 350  # four rounds and the first labels
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
