@@ -190,3 +190,21 @@ def hashed(terms: DataFrame, key: str = "doc_id", cells: int = 256) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0), vectors, batch.column(2)], [key, "vec", "norm"])
 
     return lists.select(key, "m", "norm").mapInArrow(run, f"`{key}` {kind}, vec array<double>, norm double")
+
+
+def hashed_lists(lists: DataFrame, cells: int = 256) -> DataFrame:
+    """hashed() of lexical.listed(): each document's vector is made in its own row."""
+    cell = F.transform(F.split("words", " "), lambda t: (X.hash16(t) % cells).cast("int"))
+    rows = lists.filter("words <> ''").select("doc_id", cell.alias("cell"), F.split("tfs", " ").cast("array<double>").alias("w"))
+    kind = lists.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in (x.slice(i, 1024) for x in batches for i in range(0, x.num_rows, 1024)):
+            of = np.diff(batch.column(1).offsets.to_numpy())
+            at = np.repeat(np.arange(len(of)), of) * cells + batch.column(1).flatten().to_numpy()
+            out = np.bincount(at, batch.column(2).flatten().to_numpy(), len(of) * cells)
+            norm = np.sqrt((out.reshape(-1, cells) ** 2).sum(1))
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, cells), pa.int32()), pa.array(out))
+            yield pa.RecordBatch.from_arrays([batch.column(0), vectors, pa.array(norm)], ["doc_id", "vec", "norm"])
+
+    return rows.mapInArrow(run, f"doc_id {kind}, vec array<double>, norm double")

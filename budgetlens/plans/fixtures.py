@@ -77,7 +77,8 @@ class Fixtures:
 
     @cached_property
     def vectors(self) -> DataFrame:
-        return dense.hashed(self.index.postings).persist()
+        lists = self.index.lists
+        return (dense.hashed(self.index.postings) if lists is None else dense.hashed_lists(lists)).persist()
 
     @cached_property
     def hybrid(self) -> DataFrame:
@@ -159,7 +160,7 @@ class Fixtures:
                 self.__dict__[name].unpersist()
         files.forget(*self.held)
         if "index" in self.__dict__:
-            self.index.postings.unpersist()
+            (self.index.postings if self.index.lists is None else self.index.lists).unpersist()
 
 
 _HELD: dict[str, Fixtures] = {}

@@ -242,3 +242,31 @@ def test_an_index_makes_its_postings_once(spark, shuffled, tmp_path):
     assert moved < 1.2 * (once + counts)
     stored = lexical.Index.read(spark, str(tmp_path / "index"))
     assert (stored.n, stored.words) == (400, 400 * 60) and stored.postings.count() == 400 * 60
+
+
+def test_an_index_that_is_kept_moves_no_text_and_equals_one_that_moves_it(spark, shuffled, tmp_path):
+    texts = [*noise(1000), None, "", "a of", "w1 w1 w2 w1", "b2-c w1 it's"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5).write.parquet(str(tmp_path / "docs"))
+    docs, made, size = spark.read.parquet(str(tmp_path / "docs")), [], sum(len(t or "") for t in texts)
+    queries = spark.createDataFrame([(f"q{d}", " ".join(texts[d].split()[:6]) + " w1 w1 it's") for d in range(0, 1000, 50)], "qid string, question string")
+    counted = shuffled(lambda: lexical.term_idf(lexical.postings(docs).localCheckpoint(), len(texts)).count()) - shuffled(lambda: lexical.postings(docs).count())
+    moved = shuffled(lambda: made.append(lexical.build(docs, keep=True)))
+    kept, plain = made[0], lexical.build(docs)
+    assert moved < counted + size / 4
+    assert (kept.n, kept.words) == (plain.n, plain.words) == (len(texts), 60_000 + 7)
+    assert sorted(kept.postings.collect()) == sorted(plain.postings.collect()) and kept.postings.dtypes == plain.postings.dtypes
+    best = rows(lexical.bm25_topk(queries, plain, 9))
+    assert rows(lexical.bm25_topk(queries, kept, 9)) == best
+    plan = lexical.bm25_topk(queries, kept, 9)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(qid", plan) and not re.search(r"hashpartitioning\(doc_id", plan)
+    told = lambda df: sorted((r["doc_id"], list(r["vec"]), r["norm"]) for r in df.collect())
+    assert told(dense.hashed_lists(kept.lists)) == told(dense.hashed(plain.postings))
+
+
+def test_counts_of_terms_meet_in_more_tasks_where_there_are_more_documents(spark, monkeypatch):
+    seen, kept = [], files.kept
+    monkeypatch.setattr(lexical, "TASK_DOCS", 10)
+    monkeypatch.setattr(files, "kept", lambda df: seen.append(spark.conf.get("spark.sql.shuffle.partitions")) or kept(df))
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    lexical.build(corpus(spark).limit(0).union(spark.createDataFrame(list(enumerate(noise(120))), "doc_id bigint, text string")), keep=True)
+    assert seen == ["12"] and spark.conf.get("spark.sql.shuffle.partitions") == was
