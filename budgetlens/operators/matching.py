@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 BLOCK_PASSAGES, BLOCK_CHARS = 1 << 16, 8 << 20
 #: Characters of a passage that the automaton knows; the rest is compared where they occur.
 HEAD = 24
-#: Texts that a task holds as Python strings at a time.
-SLICE = 256
+#: Texts that a task is sent at a time, and that it holds as Python strings.
+ROWS, SLICE = 1000, 256
 
 
 def _blocks(passages: DataFrame):
@@ -46,6 +46,9 @@ def containing(docs: DataFrame, passages: DataFrame) -> DataFrame:
     passages of a block.  Empty passages match nothing.
     """
     spark = docs.sparkSession
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= ROWS:
+        spark.conf.set(rows, str(ROWS))
     out = spark.createDataFrame([], "item_id bigint, doc_id bigint")
     for block in _blocks(passages):
         sent = spark.sparkContext.broadcast(block)

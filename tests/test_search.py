@@ -270,3 +270,15 @@ def test_counts_of_terms_meet_in_more_tasks_where_there_are_more_documents(spark
     was = spark.conf.get("spark.sql.shuffle.partitions")
     lexical.build(corpus(spark).limit(0).union(spark.createDataFrame(list(enumerate(noise(120))), "doc_id bigint, text string")), keep=True)
     assert seen == ["12"] and spark.conf.get("spark.sql.shuffle.partitions") == was
+
+
+def test_tasks_that_seek_passages_are_sent_few_texts_at_a_time(spark):
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(rows)
+    spark.conf.set(rows, "10000")
+    try:
+        docs = spark.createDataFrame([(i, f"text {i} end") for i in range(3000)], "doc_id bigint, text string").coalesce(1)
+        found = matching.containing(docs, spark.createDataFrame([(1, "text 2999 end")], "item_id bigint, text string"))
+        assert [tuple(r) for r in found.collect()] == [(1, 2999)] and int(spark.conf.get(rows)) <= 1000
+    finally:
+        spark.conf.set(rows, was)
