@@ -34,11 +34,14 @@ def _fs(spark: SparkSession, path: str):
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder; it is deleted when the session's JVM ends, or by dropped()."""
+def written(df: DataFrame, rows: int = 0) -> DataFrame:
+    """df as a Parquet table in the shared folder; it is deleted when the session's JVM ends, or by dropped().
+
+    rows: the most that a file gets, 0 for any number; readers hold thousands of rows of a file at once, however long.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows).parquet(path)
     fs, hadoop = _fs(spark, path)
     fs.deleteOnExit(hadoop)
     out = spark.read.schema(df.schema).parquet(path)

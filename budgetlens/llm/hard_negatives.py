@@ -6,10 +6,10 @@ is an annulus of distances.
 
 A tree of vantage points, fitted to a bounded sample, splits the rows into cells by distance; every row goes to the cell
 that its distances name.  A cell's rows, dealt to as many blocks as their number asks for, get a vantage-point tree each.
-An anchor visits its nearest cell first and then only those that can still hold something better.  In a block all
-anchors of a chunk walk the leaves together, each in the order of its own lower bounds, and leave when k rows are found
-that no further leaf can beat, or the annulus ends.  Components, scores and comparisons of scores are whole numbers;
-distances only decide what can be skipped, with a margin for rounding.
+An anchor visits its nearest cell first and then only those that can still hold something better.  In a block each anchor
+of a chunk visits its nearest leaves first, in the order of its own lower bounds, and then those that its k rows and its
+annulus leave.  Components, scores and comparisons of scores are whole numbers; distances only decide what can be skipped,
+with a margin for rounding.
 """
 
 from __future__ import annotations
@@ -26,6 +26,10 @@ from . import _spark
 
 #: Rows of a block, anchors of a chunk, rows of a leaf.
 BLOCK, CHUNK, LEAF = 8192, 1024, 128
+#: Blocks and chunks of a file.
+FILE_BLOCKS, FILE_CHUNKS = 8, 64
+#: Leaves of a block that each anchor visits in its own order.
+FIRST = 4
 #: Rows that the tree of cells is fitted to, and how many of them each cell has at least.
 SAMPLE, SAMPLE_CELL = 16_384, 64
 #: Share of M by which rounding may put a bound off.
@@ -53,14 +57,18 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return out
 
 
-def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T in whole numbers; by floating-point products where these are exact."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-    if most < 2**53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
+def _kind(a: np.ndarray, b: np.ndarray) -> tuple[type, int]:
+    """The quickest type in which a @ b.T is exact, and what no score exceeds."""
+    most = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * a.shape[1]
     if most >= 2**55:
         raise ValueError("scores do not fit in 55 bits")
-    return a @ b.T
+    return (np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64), most
+
+
+def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b.T in whole numbers."""
+    kind, _ = _kind(a, b)
+    return (a.astype(kind) @ b.astype(kind).T).astype(np.int64)
 
 
 def _distances(x: np.ndarray, up: np.ndarray, point: np.ndarray, point_up: float, top: float) -> np.ndarray:
@@ -169,32 +177,32 @@ def _kept(unit: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.nd
 def search(tree: Tree, x: np.ndarray, ids: np.ndarray, labels: np.ndarray, q: np.ndarray, who: np.ndarray, label: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, same: bool, top: float):
     """(unit, id, score): the k best rows of a block for each unit, an anchor who[i] with its window of scores.
 
-    Rows have the anchor's label (same) or another one, and another id.  Units go through the leaves together, each
-    nearest first.
+    Rows have the anchor's label (same) or another one, and another id.  Units go through their FIRST nearest leaves each
+    in its own order; each other leaf then meets all units at once for which it can still hold something better.
     """
     norm = (q.astype(np.float64) ** 2).sum(1)
     near, far = tree.bounds(q, top)
     # leaves wholly inside the annulus's hole or outside it are never visited
-    near = np.where((far < _distance(norm, top, high)[:, None]) | (near > _distance(norm, top, low)[:, None]), np.inf, near)
-    turn = np.argsort(near, axis=1, kind="stable")
-    floor = low.copy()  # a row must reach this score
-    held = [np.zeros(0, np.int64)] * 3
-    active = np.flatnonzero(low <= high)
-    for step in range(turn.shape[1]):
-        if not len(active):
-            break
-        leaf = turn[active, step]
-        # no leaf behind this one is nearer
-        active = active[near[active, leaf] <= _distance(norm[active], top, floor[active])]
-        leaf = turn[active, step]
-        found = [held]
-        for i in np.unique(leaf):
-            own, at = active[leaf == i], tree.order[tree.starts[i] : tree.starts[i + 1]]
-            s = _scores(q[own], x[at])
-            fits = (s >= floor[own, None]) & (s <= high[own, None]) & ((labels[at][None, :] == label[own, None]) == same) & (ids[at][None, :] != who[own, None])
-            r, c = np.nonzero(fits)
-            found.append([own[r], ids[at[c]], s[r, c]])
-        held = [np.concatenate(c) for c in zip(*found)]
+    near = np.where((far < _distance(norm, top, high)[:, None]) | (near > _distance(norm, top, low)[:, None]) | (low > high)[:, None], np.inf, near)
+    kind, most = _kind(q, x)
+    asked, rows, ids, labels = q.astype(kind), x[tree.order].astype(kind), ids[tree.order], labels[tree.order]
+    edges = lambda score: np.clip(score, -most - 1, most + 1).astype(kind)[:, None]
+    floor, reach = low.copy(), _distance(norm, top, low)  # a row must reach this score, so lie within this distance
+    least, greatest = edges(floor), edges(high)
+    held, met = [np.zeros(0, np.int64)] * 3, []
+
+    def meet(own: np.ndarray, leaf: int) -> None:
+        begin, end = tree.starts[leaf], tree.starts[leaf + 1]
+        s = asked[own] @ rows[begin:end].T
+        at = np.flatnonzero((s >= least[own]) & (s <= greatest[own]))
+        r, c = own[at // (end - begin)], begin + at % (end - begin)
+        fits = ((labels[c] == label[r]) == same) & (ids[c] != who[r])
+        met.append([r[fits], ids[c[fits]], s.ravel()[at[fits]].astype(np.int64)])
+
+    def merge() -> None:
+        nonlocal held, floor, reach, least
+        held = [np.concatenate(c) for c in zip(held, *met)]
+        met.clear()
         best = _kept(held[0], held[2], held[1], k)
         held = [c[best] for c in held]
         # units that have k rows must find something as good as their last
@@ -202,6 +210,26 @@ def search(tree: Tree, x: np.ndarray, ids: np.ndarray, labels: np.ndarray, q: np
         last = np.full(len(q), FAR)
         np.minimum.at(last, held[0], held[2])
         floor = np.where(n >= k, np.maximum(low, last), low)
+        reach, least = _distance(norm, top, floor), edges(floor)
+
+    turn = np.argsort(near, axis=1, kind="stable")[:, :FIRST]
+    active = np.arange(len(q))
+    for step in range(turn.shape[1]):
+        # no leaf behind this one is nearer
+        active = active[near[active, turn[active, step]] <= reach[active]]
+        leaf = turn[active, step]
+        for i in np.unique(leaf):
+            meet(active[leaf == i], i)
+        near[active, leaf] = np.inf
+        merge()
+    left = np.isfinite(near)
+    for i in np.argsort(np.where(left, near, 0.0).sum(0) / np.maximum(1, left.sum(0)), kind="stable"):
+        own = np.flatnonzero(near[:, i] <= reach)
+        if len(own):
+            meet(own, i)
+            if sum(len(m[0]) for m in met) >= len(q):
+                merge()
+    merge()
     return held
 
 
@@ -254,8 +282,9 @@ class Index:
         routed = _spark.written(routed)
         counts = {r["cell"]: r["count"] for r in routed.groupBy("cell").count().collect()}  # a row for each cell
         chunks = _of(counts, lambda n: -(-n // CHUNK), F.col("cell"))
-        dealt = routed.withColumn("chunk", F.pmod(F.xxhash64("anchor", "unit"), chunks))
-        packed = dealt.groupBy("cell", "chunk").applyInArrow(_packed, "cell bigint, anchors binary, units binary, labels binary, lows binary, highs binary, xs binary")
+        dealt = routed.withColumn("chunk", F.pmod(F.xxhash64("anchor"), chunks))
+        packed = _spark.written(dealt.groupBy("cell", "chunk").applyInArrow(_packed, "cell bigint, anchors binary, units binary, labels binary, lows binary, highs binary, places binary, xs binary"), FILE_CHUNKS)
+        _spark.dropped(routed)
         shares = _of(self.shares, lambda n: n, F.col("cell"))
         asked = packed.withColumn("share", F.explode(F.sequence(F.lit(0).cast("bigint"), shares - 1)))
         top, dim = self.top, self.dim
@@ -264,17 +293,20 @@ class Index:
             for batch in batches:
                 for r in batch.to_pylist():
                     x = np.frombuffer(r["rows"], np.int64).reshape(-1, dim)
-                    ids, labels, who, unit, label, low, high = (np.frombuffer(r[c], np.int64) for c in ("ids", "kinds", "anchors", "units", "labels", "lows", "highs"))
-                    i, vec, score = search(Tree.read(r["tree"]), x, ids, labels, np.frombuffer(r["xs"], np.int64).reshape(-1, dim), who, label, low, high, k, same, top)
+                    ids, labels, who, unit, label, low, high, place = (np.frombuffer(r[c], np.int64) for c in ("ids", "kinds", "anchors", "units", "labels", "lows", "highs", "places"))
+                    q = np.frombuffer(r["xs"], np.int64).reshape(-1, dim)[place]
+                    i, vec, score = search(Tree.read(r["tree"]), x, ids, labels, q, who, label, low, high, k, same, top)
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in (who[i], unit[i], vec, score)], ["anchor", "unit", "vec_id", "score"])
 
-        found = _spark.mapped(asked.join(self.blocks, ["cell", "share"]), run, _FOUND)
+        # the size of either side is guessed too low, and one that then goes to all tasks passes whole through the driver
+        met = asked.join(self.blocks.hint("merge"), ["cell", "share"])
+        found = _spark.mapped(met, run, _FOUND)
         order = Window.partitionBy("anchor", "unit").orderBy(F.desc("score"), "vec_id")
         spark = routed.sparkSession
         _spark.small_batches(spark, 4)  # a row is a block and a chunk
         out = _spark.written(found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).drop("r"))
         _spark.small_batches(spark)
-        _spark.dropped(routed)
+        _spark.dropped(packed)
         return out
 
 
@@ -285,8 +317,12 @@ def _of(counts: dict[int, int], value, cell: Column) -> Column:
 
 
 def _packed(key, table):
+    """A chunk of units in one row: places tells the vector of each, as those of an anchor share one."""
     raw = [pa.array([table[c].to_numpy().astype(np.int64).tobytes()], pa.binary()) for c in ("anchor", "unit", "label", "low", "high")]
-    return pa.table([pa.array([key[0].as_py()]), *raw, pa.array([b"".join(table["x"].to_pylist())], pa.binary())], ["cell", "anchors", "units", "labels", "lows", "highs", "xs"])
+    _, first, place = np.unique(table["anchor"].to_numpy(), return_index=True, return_inverse=True)
+    vectors = b"".join(table["x"].take(pa.array(first)).to_pylist())
+    own = [pa.array([b], pa.binary()) for b in (place.astype(np.int64).tobytes(), vectors)]
+    return pa.table([pa.array([key[0].as_py()]), *raw, *own], ["cell", "anchors", "units", "labels", "lows", "highs", "places", "xs"])
 
 
 def _block(dim: int, top: float):
@@ -336,7 +372,7 @@ def index(df: DataFrame, vec: str, key: str = "vec_id", label: str = "label", sc
     _spark.dropped(rows)
     shares = {r["cell"]: -(-r["count"] // block) for r in placed.groupBy("cell").count().collect()}  # a row for each cell
     dealt = placed.withColumn("share", F.pmod(F.xxhash64("vec_id"), _of(shares, lambda n: n, F.col("cell"))))
-    blocks = _spark.written(dealt.groupBy("cell", "share").applyInArrow(_block(dim, top), "cell bigint, share bigint, ids binary, kinds binary, rows binary, tree binary"))
+    blocks = _spark.written(dealt.groupBy("cell", "share").applyInArrow(_block(dim, top), "cell bigint, share bigint, ids binary, kinds binary, rows binary, tree binary"), FILE_BLOCKS)
     return Index(placed, blocks, cells, {c: shares.get(c, 1) for c in range(len(cells.path))}, top, dim)
 
 

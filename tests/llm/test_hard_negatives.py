@@ -109,3 +109,42 @@ def test_the_sample_is_cut_before_rows_go_to_the_driver(spark):
     near = _spark.below_hash(df, "vec_id", 20_000, 500).mapInArrow(counted, "vec_id bigint")
     assert near.count() == seen.value < 1000
     assert _spark.first_by_hash(df, "vec_id", 20_000, 50_000).count() == 20_000
+
+
+def test_neither_chunks_nor_blocks_go_to_all_tasks(spark, monkeypatch):
+    monkeypatch.setattr(H, "SAMPLE_CELL", 8)
+    made = H.index(spark.createDataFrame(vectors(400, 6, 3, 2), VECTORS), "embedding", block=40)
+    units = made.rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("anchor"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(2).cast("bigint"))).alias("unit"), "label", F.lit(-(2**40)).alias("low"), F.lit(2**40).alias("high"), "x")
+    plans, written = [], _spark.written
+
+    def seen(df, *rows):
+        out = written(df, *rows)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(_spark, "written", seen)
+    # files tell little of a size: vectors that many cells have are compressed, and chunks are repeated after they are read
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 0
+    found = made.nearest(units, 3, True)
+    joins = [p for p in plans if "xs#" in p and "rows#" in p]
+    assert len(joins) == 2 and all("SortMergeJoin" in p and "Broadcast" not in p for p in joins)
+    best = {}
+    for r in found.collect():
+        best.setdefault((r["anchor"], r["unit"]), []).append((-r["score"], r["vec_id"]))
+    assert len(best) == 40 and all(sorted(best[a, 1]) == sorted(best[a, 2]) for a, _ in best)
+
+
+def test_whole_scores_take_the_quickest_exact_type():
+    rng = np.random.default_rng(6)
+    for most, kind in ((500, np.float32), (2**20, np.float64), (2**26, np.int64)):
+        x = rng.integers(-most, most, (900, 5))
+        x[0, 0] = -most
+        assert H._kind(x, x)[0] is kind
+        top, ids, labels = float((x.astype(float) ** 2).sum(1).max()), np.arange(900), np.arange(900) % 3
+        q, who, full = x[:30], ids[:30], x[:30] @ x.T
+        high = np.where(who % 2 == 0, H.FAR, full.max(1) // 2)
+        low = np.where(who % 5 == 0, full.max(1) // 4, -H.FAR)
+        unit, vec, score = H.search(H.Tree(x, top, 64), x, ids, labels, q, who, labels[:30], low, high, 4, False, top)
+        for u in range(30):
+            fits = [i for i in np.lexsort((ids, -full[u])) if labels[i] != labels[u] and low[u] <= full[u, i] <= high[u]][:4]
+            assert sorted(zip(-score[unit == u], vec[unit == u])) == [(-full[u, i], i) for i in fits]
