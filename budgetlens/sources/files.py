@@ -44,10 +44,11 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: what is read several times is computed once, and again only from there."""
+def kept(df: DataFrame, rows: int = 0) -> DataFrame:
+    """df as a table in the shared folder: what is read several times is computed once, and again only from there.
+    rows: the most that a file gets, 0 for any number."""
     path = scratch(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -282,3 +282,25 @@ def test_tasks_that_seek_passages_are_sent_few_texts_at_a_time(spark):
         assert [tuple(r) for r in found.collect()] == [(1, 2999)] and int(spark.conf.get(rows)) <= 1000
     finally:
         spark.conf.set(rows, was)
+
+
+def test_blocks_move_no_posting_and_hold_documents_of_two_lengths(spark, shuffled, tmp_path, monkeypatch):
+    texts = noise(1000)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5).write.parquet(str(tmp_path / "docs"))
+    index, told = lexical.build(spark.read.parquet(str(tmp_path / "docs")), keep=True), []
+    queries = spark.createDataFrame([(f"q{d}", " ".join(texts[d].split()[:6])) for d in range(0, 1000, 50)], "qid string, question string")
+    size = sum(map(len, texts))
+    terms = shuffled(lambda: queries.join(index.idf, queries["question"] == index.idf["term"]).count())
+    moved = shuffled(lambda: told.append(blockmax.pruned_topk(queries, blockmax.build(index), 3)[0].collect()))
+    assert len(told[0]) == 20 and moved < terms + size / 4
+    # segments of few postings; documents under one id, of different and of equal lengths
+    monkeypatch.setattr(blockmax, "BLOCK", 300)
+    monkeypatch.setattr(lexical, "LISTS", 10)
+    docs = corpus(spark).union(spark.createDataFrame([(3, "w1 w1 w2"), (3, "w1"), (5, "w1 w9"), (5, "w2 w9")], "doc_id bigint, text string"))
+    index = lexical.build(docs, keep=True)
+    made = blockmax.build(index)
+    assert index.lists is None and made.blocks.count() > 4 and made.blocks.filter("size(of) > 0").count()
+    rows_of = made.blocks.select(F.explode("docs").alias("d")).groupBy("d").count()
+    assert rows_of.filter("count > 1").count() == 0
+    for k in (2, 10, 1000):
+        assert rows(blockmax.pruned_topk(asked(spark), made, k)[0]) == rows(lexical.bm25_topk(asked(spark), index, k))
