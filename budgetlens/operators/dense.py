@@ -97,10 +97,11 @@ def _search(qids: list, queries: np.ndarray, k: int, positive: bool, need: np.nd
             able = np.nanmax(near, axis=1) >= held - 4e-9 * np.maximum(1.0, np.abs(np.where(np.isfinite(held), held, 0.0)))
             for row, q in zip(near[able], asked[able]):
                 edge = floor[q]
-                if len(row) > k:
-                    # the k-th best, less what rounding may have cost
-                    edge = max(edge, np.partition(row, len(row) - k)[len(row) - k])
+                # less what rounding may have cost
                 at = np.flatnonzero(row >= edge - 4e-9 * max(1.0, abs(edge))) if np.isfinite(edge) else np.arange(len(row))
+                if len(at) > k:
+                    edge = np.partition(row[at], len(at) - k)[len(at) - k]
+                    at = at[row[at] >= edge - 4e-9 * max(1.0, abs(edge))] if np.isfinite(edge) else at
                 score = _exact(docs[at], queries[q]) / norm[at]
                 own = np.isfinite(score) & ((score > 0) | (not positive))
                 score = np.concatenate([best[q][0], score[own]])

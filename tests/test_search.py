@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from budgetlens.operators import blockmax, cells, critic, dense, fusion, lexical, matching, staged
+from budgetlens.plans import fixtures
 from budgetlens.plans.fixtures import Fixtures
 from budgetlens.sources import files
 
@@ -304,3 +305,30 @@ def test_blocks_move_no_posting_and_hold_documents_of_two_lengths(spark, shuffle
     assert rows_of.filter("count > 1").count() == 0
     for k in (2, 10, 1000):
         assert rows(blockmax.pruned_topk(asked(spark), made, k)[0]) == rows(lexical.bm25_topk(asked(spark), index, k))
+
+
+def test_stages_are_timed_by_one_search_each(spark, data, monkeypatch):
+    from budgetlens.plans.queries import QUERIES
+
+    seen, by_vectors, by_words = [], dense.dense_topk, lexical.bm25_topk
+    monkeypatch.setattr(dense, "dense_topk", lambda *a, **b: seen.append("dense") or by_vectors(*a, **b))
+    monkeypatch.setattr(lexical, "bm25_topk", lambda *a, **b: seen.append("bm25") or by_words(*a, **b))
+    fixtures.release()
+    told = {r["stage"]: r for r in QUERIES["stage_latency"](spark, data).collect()}
+    assert sorted(seen) == ["bm25", "dense"]
+    x, top = fixtures.fixtures(spark, data), lambda df, k: df.filter(F.col("rank") <= k).count()
+    counts = {"dense": top(x.dense200, 20), "bm25": x.bm25.count(), "hybrid": x.hybrid.count(), "rerank": x.reranked.count()}
+    assert {s: r["n_rows"] for s, r in told.items()} == counts and all(r["ms"] > 0 for r in told.values())
+
+
+def test_dense_search_sorts_only_what_reaches_the_kth_best(monkeypatch):
+    rng, sizes, partition = np.random.default_rng(8), [], np.partition
+    monkeypatch.setattr(dense, "ROWS", 500)
+    monkeypatch.setattr(np, "partition", lambda a, n: sizes.append(len(a)) or partition(a, n))
+    docs, queries = rng.normal(size=(5000, 6)).round(1), rng.normal(size=(20, 6)).round(1)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5000)), pa.array(docs.tolist()), pa.array(np.ones(5000))], ["doc_id", "vec", "norm"])
+    found = pa.Table.from_batches(dense._search([f"q{i}" for i in range(20)], queries, 7, False)([batch.slice(i, 500) for i in range(0, 5000, 500)])).to_pylist()
+    for q in range(20):
+        score = np.floor(dense._exact(docs, queries[q]) * 1e9 + 0.5)
+        assert sorted(r["doc_id"] for r in found if r["qid"] == f"q{q}") == sorted(np.lexsort((np.arange(5000), -score))[:7].tolist())
+    assert sum(sizes) < 20 * 5000 / 4
